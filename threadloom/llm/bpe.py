@@ -231,21 +231,24 @@ def decode(df: DataFrame, ids: str = "token_ids", into: str = "decoded", path: s
     return df.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes what came out, and keeps only the digests."""
+def encoded_and_checked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, ids: bool = True) -> DataFrame:
+    """doc_id, token_ids (if ids), n_tokens, ids_sha256, decoded_sha256: encodes, and decodes what came out."""
     path = path or default_path()
     hexed = lambda b: hashlib.sha256(b).hexdigest()
+    names = ["doc_id", *["token_ids"] * ids, "n_tokens", "ids_sha256", "decoded_sha256"]
+    kinds = {"doc_id": "long", "token_ids": "binary", "n_tokens": "long"}
 
     def run(batches):
         c = codec(path)
         for rows, texts in _some(batches, "text"):
-            ids = c.encode_batch(texts)
-            back = [hexed(c.decode(b).encode("utf-8", "surrogatepass")) for b in ids]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(list(map(hexed, ids)), pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            out = c.encode_batch(texts)
+            back = [hexed(c.decode(b).encode("utf-8", "surrogatepass")) for b in out]
+            own = [pa.array(out, pa.binary())] if ids else []
+            yield pa.RecordBatch.from_arrays([rows.column(0), *own, pa.array([len(b) // 4 for b in out], pa.int64()), pa.array(list(map(hexed, out)), pa.string()), pa.array(back, pa.string())], names)
 
     thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return thin.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return thin.mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return encoded_and_checked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ids=False)

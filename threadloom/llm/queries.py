@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, chat, exact_dedup, language, mixing, near_dedup, pii, quality, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
+    "op2_chat_format": chat.query,
+    "op3_toxicity": toxicity.query,
+    "op4_language": language.query,
+    "op5_pii": pii.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_near_dedup": near_dedup.query,
     "op8_mixing": mixing.query,
+    "op9_quality": quality.query,
     "op10_bpe": bpe.query,
 }
 

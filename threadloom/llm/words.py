@@ -15,6 +15,9 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: For terms without the punctuation at their edges: ASCII letters and digits, and all bytes over 127.
+TERMS = np.zeros(256, bool)
+TERMS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
@@ -46,14 +49,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Chunk:
     """Some documents' bytes, end to end.
 
-    buf: uint8; offsets: int64, one more than documents.
+    buf: uint8; offsets: int64, one more than documents; fold: A-Z to lower case; table: which bytes words are made of.
     """
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, fold: bool = False):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, fold: bool = False, table: np.ndarray = _IS_WORD):
         self.buf = _FOLD[buf] if fold else buf
         self.offsets = offsets
         self.n_docs = len(offsets) - 1
-        inside = _IS_WORD[buf]
+        inside = table[buf]
         # a break stands between two bytes, or where a document begins
         edge = np.zeros(len(buf) + 1, bool)
         edge[offsets] = True
@@ -73,12 +76,14 @@ class Chunk:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), self.n_words)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first bytes."""
         n = len(self.buf)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * _powers(_R, n), out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * _powers(_R_INV, n + 1)[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        if not hasattr(self, "_total"):
+            self._total = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * _powers(_R, n), out=self._total[1:])
+        ends = self.ends if first is None else np.minimum(self.ends, self.starts + first)
+        return mix((self._total[ends] - self._total[self.starts]) * _powers(_R_INV, n + 1)[self.starts] + (ends - self.starts).astype(np.uint64))
 
 
 def windows(hashes: np.ndarray, width: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
