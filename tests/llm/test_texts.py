@@ -1,0 +1,299 @@
+"""Tokens, chat formats, pseudonyms, languages, toxicity, quality and mixing."""
+
+import collections
+import random
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import DOCS, WORD, documents, quality_counts, rows_of, sha, vocabulary
+from threadloom.llm import bpe, chat, language, mixing, pii, quality, toxicity
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(documents(), DOCS).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def _library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    t.no_padding()
+    t.no_truncation()
+    return t
+
+
+def test_bpe_equals_the_library():
+    rng = random.Random(3)
+    pool = [chr(c) for c in [*range(0x250), 0x2028, 0x3000, 0x4E2D, 0x1F600, 0x10FFFF, 0x0301, 0x660, 0x2160]] + ["<|endoftext|>", "'s", "'ll", "  ", "\n", "the", "ing", "aaaa"]
+    texts = ["".join(rng.choice(pool) if rng.random() < 0.6 else rng.choice("etaoin shrdlu") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["", "a" * 4000, "ab" * 2000, "<|endoftext|>" * 3, *(t or "" for _, t, *_ in documents())]
+    c, lib = bpe.Codec(bpe.default_path()), _library()
+    want = lib.encode_batch(texts, add_special_tokens=False)
+    got = c.encode_batch(texts)
+    assert got == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in want]
+    assert [c.decode(b) for b in got] == [lib.decode(e.ids, skip_special_tokens=False) for e in want]
+
+
+def test_bpe_trie_equals_merging():
+    c, rng = bpe.Codec(bpe.default_path()), random.Random(4)
+    words = {bytes(rng.choice(b"abcdeinorst 'E\xc3\xa9\xff0") for _ in range(rng.randint(1, 14))) for _ in range(4000)}
+    for word, ids in c.trie(words):
+        assert ids == c.merged(word)
+
+
+def test_bpe_broken_utf8_decodes_to_replacement():
+    c = bpe.Codec(bpe.default_path())
+    ids = struct.pack("<2I", c.ids[b"\xe4"], c.ids[b"a"])
+    assert c.decode(ids) == "�a"
+
+
+def test_bpe_frames(docs, empty):
+    back = bpe.decode(bpe.encode(docs)).collect()
+    assert len(back) == len(documents()) and all(r.decoded == (r.text or "") for r in back)
+    out = bpe.encoded_and_checked(docs).collect()
+    lib = _library()
+    texts = collections.Counter((i, sha(t or ""), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in documents())
+    assert collections.Counter((r.doc_id, r.decoded_sha256, r.n_tokens) for r in out) == texts
+    assert bpe.encoded_and_checked(empty).count() == 0
+
+
+HARD = ["</s>[INST] ok [/INST]", "<\\s>", "<\\\\/s>", "[\\INST]", "<<SYS>>x<</SYS>>", "<|role|><|says|>", "", None, "<|endoftext|>", "a\\<s>b", "[[INST]]", "<s", "é \U0001f600"]
+
+
+def test_escape_is_reversible_and_hides_controls():
+    rng = random.Random(1)
+    for _ in range(5000):
+        t = "".join(rng.choice(["<", "[", "\\", "s>", "/s>", "INST]", "/INST]", "<SYS>>", "|end|>", "x", " "]) for _ in range(rng.randint(0, 9)))
+        e = chat.escape(t)
+        assert chat.unescape(e) == t
+        assert not any(c in e for c in chat.CONTROLS)
+
+
+def test_chat(spark):
+    rng = random.Random(2)
+    rows = [(c, t, rng.choice(["system", "user", "assistant", "tool", None, "<s>"]), rng.choice(HARD)) for c in (1, 2, None, 7) for t in range(12)] + [(9, 0, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("extra")).repartition(3)
+    formatted = chat.format_conversations(df)
+    got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    by = collections.defaultdict(list)
+    for c, t, r, x in sorted(rows, key=lambda r: r[1]):
+        by[c].append((r or "", x or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        loss = "".join(x for r, x in turns if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), sha("".join(f"{r}\n{x}\n" for r, x in turns)))
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
+    for rows_of_conv in collections.defaultdict(list, {}).values():
+        assert rows_of_conv
+    offsets = collections.defaultdict(list)
+    for r in formatted.collect():
+        offsets[r.conv_id].append((r.place, r.offset, len(r.token_ids), len(r.loss_mask)))
+    for parts in offsets.values():
+        at = 0
+        for k, (place, offset, n, m) in enumerate(sorted(parts)):
+            assert (place, offset, n) == (k, at, m)
+            at += n
+    assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_pii_kinds_and_return():
+    text = "Mail Ann.Lee7@mail3.example.com or +1 (415) 555-0132, card 4111 1111 1111 1111, 4111111111111111, ip 10.0.200.7, id DE89 3704 0044 0532 0130 00, ssn 123-45-6789, on 2021-02-28 and 31.12.1999, 04/31/2020, key deadbeefdeadbeefdeadbeefdeadbeef."
+    out, spans = pii.pseudonymize(text)
+    kinds = collections.Counter(k for *_, k in spans)
+    assert kinds == {"email": 1, "phone": 1, "card": 2, "ip": 1, "iban": 1, "ssn": 1, "date": 2, "secret": 1}
+    assert pii.pseudonymize(out, back=True)[0] == text
+    again = pii.pseudonymize(out)
+    assert [k for *_, k in again[1]] == [k for *_, k in spans]
+    cards = [out[s:e].replace(" ", "") for s, e, k in spans if k == "card"]
+    assert cards[0] == cards[1] and pii.luhn([int(c) for c in cards[0]])
+    assert "4111" not in out and "04/31/2020" in out
+
+
+def test_pii_leaves_other_numbers():
+    for text in ("version 2.0", "4111111111111112", "300.1.2.3", "in 1999 and 2024-13-40", "99 bottles", "1.2.3.4.5"):
+        assert pii.pseudonymize(text) == (text, [])
+
+
+@pytest.mark.parametrize("sizes", [[10] * 3, [2, 3, 5], [7], [256]])
+def test_feistel_is_a_permutation(sizes):
+    total = 1
+    for s in sizes:
+        total *= s
+    signs = []
+    for n in range(total):
+        x = []
+        for s in sizes:
+            x.append(n % s)
+            n //= s
+        signs.append(x)
+    out = [pii.feistel(x, sizes, b"k", b"t") for x in signs]
+    assert len({tuple(x) for x in out}) == total
+    assert [pii.feistel(x, sizes, b"k", b"t", back=True) for x in out] == signs
+
+
+def test_pii_frames(docs, spark, empty):
+    df = docs.unionByName(spark.createDataFrame([(900, "call +1 (415) 555-0132", None, None, 0), (901, "x +1 (415) 555-0132 y", None, None, 0)], DOCS))
+    out = {r.doc_id: r for r in pii.protect(df).collect() if r.doc_id is not None}
+    assert out[60].text is None and out[61].text == "" and out[900].n_found == 1
+    assert out[900].text[5:] == out[901].text[2:-2] != "+1 (415) 555-0132"
+    assert pii.protect(empty).count() == 0
+
+
+def test_quality(docs, empty):
+    out = quality.quality(docs).collect()
+    want = sorted(((i, *quality_counts(t)) for i, t, *_ in documents()), key=repr)
+    assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out), key=repr) == want
+    for r in out:
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        assert not (r.base_failed and r.kept)
+        assert (r.char_distance is None) == (r.n_words < quality.MIN_WORDS)
+    assert quality.quality(empty).count() == 0
+
+
+def test_quality_tells_odd_texts(spark):
+    rng, words = random.Random(8), vocabulary(8, 80)
+    rows = [(k, " ".join(rng.choice(words[:20] if rng.random() < 0.6 else words) for _ in range(120)), "en", None, 0) for k in range(120)]
+    rows += [(500, rows[0][1].upper(), "en", None, 0), (501, " ".join(w + "***" for w in rows[1][1].split()), "en", None, 0), (502, " | ".join(f"q{k}zzzzzzx" for k in range(150)), "en", None, 0)]
+    out = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(out[k].kept for k in range(120)) and not any(out[k].kept for k in (500, 501, 502))
+
+
+def test_distance_against_its_definition():
+    import numpy as np
+
+    p, q = np.array([[0.5, 0.5, 0.0]]), np.array([0.25, 0.25, 0.5])
+    m = (p[0] + q) / 2
+    kl = lambda a, b: sum(x * np.log2(x / y) for x, y in zip(a, b) if x > 0)
+    assert abs(quality.distance(p, q)[0] - np.sqrt((kl(p[0], m) + kl(q, m)) / 2)) < 1e-12
+
+
+def test_language(spark, docs, empty):
+    rng = random.Random(1)
+    words = {"en": ["the", "of", "and", "thing", "with", "that"], "de": ["der", "und", "nicht", "mit", "zu", "ein"], "fr": ["le", "des", "une", "é", "qui", "pour"]}
+    rows = [(k, " ".join(rng.choice(words[l]) for _ in range(60)), l, None, 0) for k, l in enumerate(["en", "de", "fr"] * 60)]
+    rows += [(1000, None, "en", None, 0), (1001, "123 !!", "de", None, 0), (1002, "the thing", None, None, 0), (None, "und der mit", "de", None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = language.predict(df, language.fit(df, ~language.held_out()), language.held_out()).collect()
+    by = {r.doc_id: r for r in out}
+    assert by[1000].lang_pred == by[1001].lang_pred == "und" and by[1002].lang_pred == "en" and by[None].lang_pred == "de"
+    assert all(by[k].lang_pred == l for k, _, l, *_ in rows[:180]) and all(0 <= r.score <= 1 for r in out)
+    assert any(r.held_out for r in out)
+    assert language.predict(empty, language.fit(empty, ~language.held_out())).count() == 0
+    assert {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
+
+
+def test_language_costs_against_the_definition():
+    import math
+
+    import numpy as np
+
+    text = b"abracadabra abrakadabra"
+    counts = collections.Counter()
+    padded = b"\n\n\n" + text
+    for k in range(len(text)):
+        counts[int.from_bytes(padded[k : k + 4], "big")] += 1
+    trees = language.Trees(["x"], {g: np.array([float(n)]) for g, n in counts.items()})
+
+    def after(context, byte):
+        seen = collections.Counter()
+        for g, n in counts.items():
+            g = g.to_bytes(4, "big")
+            if g[3 - len(context) : 3] == context:
+                seen[g[3]] += n
+        t, d = sum(seen.values()), len(seen)
+        if seen[byte]:
+            return math.log2((t + d) / seen[byte])
+        lower = after(context[1:], byte) if context else 8.0
+        return lower + (math.log2((t + d) / d) if t else 0)
+
+    for probe in (b"abra", b"zebra cadab", b"kkk", b"a"):
+        p = b"\n\n\n" + probe
+        want = sum(after(p[k : k + 3], p[k + 3]) for k in range(len(probe)))
+        got = trees.bits(np.frombuffer(probe, np.uint8), np.array([0, len(probe)]))[0, 0]
+        assert abs(got - want) < 1e-3
+
+
+def test_toxicity_learns_pairs(spark, empty):
+    """Neither an insult nor a group is enough; both together are."""
+    rng, words = random.Random(3), vocabulary(3, 200)
+    rows, labels = [], []
+    for k in range(1500):
+        w = [rng.choice(words) for _ in range(40)]
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        w += ["scumbag"] * insult + ["martians"] * group
+        rng.shuffle(w)
+        rows.append((k, " ".join(w), None, None, 0))
+        labels.append((k, 1, int(insult and group)))
+    rows += [(9000, None, None, None, 0), (9001, "", None, None, 0), (None, "scumbag martians", None, None, 0)]
+    df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(df, toxicity.fit(df, lab, ~toxicity.held_out()), toxicity.held_out()).collect()}
+    held = [(t, out[k].predicted) for k, _, t in labels if out[k].held_out]
+    assert len(held) > 300 and sum(a == b for a, b in held) >= 0.97 * len(held)
+    assert out[None].predicted == 1 and 0 <= out[9000].score <= 1 and out[9000].score == out[9001].score
+    none = toxicity.fit(df, lab.limit(0), ~toxicity.held_out())
+    assert {r.predicted for r in toxicity.score(df, none).collect()} == {0}
+    assert toxicity.score(empty, none).count() == 0
+    assert toxicity.drop_toxic(df, none).columns == df.columns
+
+
+def _targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    total, target, capped = 1.5 * sum(sizes.values()), {}, set()
+    while True:
+        free = [s for s in order if s not in capped]
+        left = total - sum(2 * sizes[s] for s in capped)
+        target = {s: left * weight[s] / sum(weight[x] for x in free) for s in free} | {s: 2.0 * sizes[s] for s in capped}
+        over = {s for s in free if target[s] > 2 * sizes[s]}
+        if not over:
+            return target
+        capped |= over
+
+
+def test_mixing(docs, empty):
+    out = mixing.mix(docs).collect()
+    sizes = collections.Counter()
+    for _, t, _, s, _ in documents():
+        sizes[s] += len(WORD.findall(t or ""))
+    want, taken = _targets(sizes), collections.Counter()
+    assert len(out) == len(documents())
+    for r in out:
+        taken[r.source] += r.taken
+        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * max(1, r.target) and 0 <= r.taken <= 2 * r.size
+        assert sum(p["words"] for p in r.positions) == r.taken and all(0 <= p["t"] <= 1 for p in r.positions)
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    key = ("doc_id", "size", "taken", "source_size")
+    assert rows_of(mixing.mix(docs.repartition(3)), *key) == rows_of(mixing.mix(docs), *key)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_mixing_follows_the_schedules(spark):
+    """What a source has given by time t is its target times t + a (t^2 - t)."""
+    rows = [(k, "w " * 10, f"s{k % 3}", f"s{k % 3}", 0) for k in range(900)]
+    out = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    for k, a in enumerate(mixing.SLOPES):
+        mine = [(p["t"], p["words"]) for r in out if r.source == f"s{k}" for p in r.positions]
+        target = next(r.target for r in out if r.source == f"s{k}")
+        for t in (0.25, 0.5, 0.75):
+            assert abs(sum(w for at, w in mine if at <= t) - target * (t + a * (t * t - t))) <= 20
+
+
+def test_mixed_documents(docs, empty):
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns
+    plan = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        plan[r.doc_id, r.text_key] += sum(2 * p["words"] >= r.size for p in r.positions)
+    import hashlib
+
+    got = collections.Counter((r.doc_id, hashlib.md5((r.text or "").encode()).hexdigest()) for r in out.collect())
+    assert got == +plan
+    assert mixing.mix_documents(empty).count() == 0

@@ -1,11 +1,11 @@
 """Near-duplicate detection: banded MinHash candidates, sequential Bayesian pruning, exact verification.
 
-A document is its set of distinct shingles of SHINGLE words (A-Z folded; a shorter text is one shingle); a text without words
+A document is its set of distinct shingles of `width` words (SHINGLE unless told otherwise) (A-Z folded; a shorter text is one shingle); a text without words
 has an empty set and is linked with nothing.  Documents are linked when 100 * intersection >= SIMILARITY * union, on full sets.
 
 1. Documents with equal sets form a class, which goes on as one.
 2. Each class has HASHES minimum hashes; BANDS bands of ROWS of them are keys of buckets.  In a bucket every class is paired with
-   one hub, the smallest class, so a bucket of n makes n - 1 pairs.
+   one hub, that of the smallest doc_id (copies come after their originals), so a bucket of n makes n - 1 pairs.
 3. Pairs whose sizes alone forbid the similarity go.  For the rest signatures (a byte of each minimum hash) are compared BATCH by
    BATCH: a pair goes once the posterior probability that it is similar, under a uniform prior, falls below MISS.
 4. What is left is verified on the full sets, from the texts.  Links are joined to components.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .frames import stored
 from .words import Chunk, mix, slices
 
-SHINGLE = 2
+SHINGLE = 5
 SIMILARITY = 80
 HASHES, BANDS, ROWS = 128, 32, 4
 BATCH = 16
@@ -86,10 +86,10 @@ def signatures(s: np.ndarray, at: np.ndarray) -> np.ndarray:
 FEATURES = "doc_id long, row_key long, n long, d1 long, d2 long, bands array<long>, sig binary"
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     def run(batches):
         for batch, buf, offsets in slices(batches):
-            s, at = shingles(buf, offsets)
+            s, at = shingles(buf, offsets, width)
             n = np.diff(at)
             full = np.flatnonzero(n)
             d1, d2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
@@ -165,7 +165,7 @@ def prune(pairs: DataFrame, classes: DataFrame, miss: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """pairs (a, b) with linked: whether their full sets are similar enough."""
     need = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "row_key"), "cid")
     need = stored(need)
@@ -190,7 +190,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
             s = sets.get(cid)
             if s is None:
                 data = codec.decompress(body, size, asbytes=True) if size else b""
-                s, _ = shingles(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+                s, _ = shingles(np.frombuffer(data, np.uint8), np.array([0, len(data)]), width)
                 if len(sets) >= 200:
                     sets.clear()
                 sets[cid] = s
@@ -227,13 +227,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 PAIRS = "a long, b long, cut boolean"
+#: The order of classes: by their smallest doc_id, none last.
+RANK = "struct(rep is null, rep, cid)"
 
 
 def across(members: DataFrame, classes: DataFrame, comps: DataFrame, miss: float, limit: int) -> DataFrame:
     """Pairs of classes across components that share a bucket and that sizes and signatures let through; a class has the `limit`
     most similar ones of each other component and block.  cut: there were more."""
-    placed = members.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    buckets = placed.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "cid").alias("hub_comp"))
+    placed = members.withColumn("rank", F.expr(RANK)).join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    buckets = placed.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "rank").alias("hub_comp"))
     # with two members the hub has met the other one
     mixed = buckets.where("k > 2 and lo <> hi").select("band", "hub_comp", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     rows = placed.join(mixed, "band").join(classes.select("cid", "n", "sig"), "cid")
@@ -273,16 +275,16 @@ def across(members: DataFrame, classes: DataFrame, comps: DataFrame, miss: float
     return rows.groupBy("band", "block").applyInArrow(run, PAIRS).groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
-def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and row_key, a row for each document."""
-    found = stored(features(docs))
+    found = stored(features(docs, width))
     by_set = found.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("row_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = stored(by_set.withColumn("cid", F.monotonically_increasing_id()))
-    members = classes.select("cid", F.explode("bands").alias("band"))
-    hubs = members.groupBy("band").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    pairs = members.withColumnRenamed("cid", "a").join(hubs, "band").where("a <> b").select("a", "b").distinct()
-    tested = stored(verify(stored(prune(pairs, classes, miss)), classes, docs))
-    limit = 8
+    members = classes.select("cid", "rep", F.explode("bands").alias("band"))
+    hubs = members.groupBy("band").agg(F.min_by("cid", F.expr(RANK)).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    pairs = members.select("cid", "band").withColumnRenamed("cid", "a").join(hubs, "band").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    tested = stored(verify(stored(prune(pairs, classes, miss)), classes, docs, width))
+    limit = 64
     while True:
         comps = components(tested.where("linked"))
         more = stored(across(members, classes, comps, miss, limit))
@@ -292,7 +294,7 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
                 break
             limit *= 16
             continue
-        tested = stored(tested.unionByName(verify(new, classes, docs)))
+        tested = stored(tested.unionByName(verify(new, classes, docs, width)))
         limit *= 16
     labelled = classes.join(comps, "cid", "left").select("d1", "d2", "rep", F.coalesce("comp", "cid").alias("comp"))
     least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -302,9 +304,9 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """The rows, without those of which another row of the same component stays; of rows that share the id that stays one does."""
-    flagged = stored(near_duplicates(docs))
+    flagged = stored(near_duplicates(docs, width))
     # one row of each component with a link, told by its key; rows with an empty set all stay
     best = flagged.where("kept and n_shingles > 0").groupBy("component_id").agg(F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("_n"))
     names = docs.columns
@@ -320,4 +322,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).drop("row_key")
+    return near_duplicates(docs, width=2).drop("row_key")
