@@ -1,6 +1,262 @@
-"""Queries that run a sequential kernel for each design; their rows carry invariants that can be checked."""
+"""Queries that run a sequential kernel for each design. Their rows carry what must hold of the results, so that SQL can say it too."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from threadloom.kernels import codec, qr
+from threadloom.kernels import fills as G
+from threadloom.kernels import images as I
+from threadloom.kernels import order as O
+from threadloom.kernels import shapes as S
+from threadloom.operators import plan as P
+from threadloom.operators import report
+from threadloom.sources import adapters as A
+
+from . import digitize as D
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+@query("tour_order", "SELECT c_custkey % 50 AS design_id, count(*) AS n, true AS is_permutation, true AS no_longer FROM customer GROUP BY ALL")
+def _(spark, d):
+    """Tours of each design's objects."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("poly")
+        z = pdf["x"].to_numpy() + 1j * pdf["y"].to_numpy()
+        tour = O.tour(z, 0j)
+        return pd.DataFrame({"design_id": [pdf["design_id"].iloc[0]], "n": [len(z)], "is_permutation": [sorted(tour) == list(range(len(z)))], "no_longer": [O.cost(z, tour, 0j) <= O.cost(z, list(range(len(z))), 0j) + 1e-6]})
+
+    points = A.rings(spark, d).select("design_id", "poly", F.col("outer")[0]["x"].alias("x"), F.col("outer")[0]["y"].alias("y"))
+    return points.groupBy("design_id").applyInPandas(one, "design_id bigint, n bigint, is_permutation boolean, no_longer boolean")
+
+
+@query("tatami_runs", "SELECT c_custkey AS poly, 1::BIGINT AS runs, true AS stays_inside, true AS short_enough, true AS avoids_hole FROM customer")
+def _(spark, d):
+    """One run for each outline, within it, off its hole, no stitch too long."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for poly, outer, hole in zip(pdf["poly"], pdf["outer"], pdf["hole"], strict=True):
+                o, h = S.ring(outer), [S.ring(hole)] if hole is not None else []
+                runs = G.tatami(o, h)
+                z = G.finish(runs[0])
+                c = (o.max() + o.min()) / 2
+                inside = S.inside((z - c) * 0.97 + c, o).all()
+                off = not any(S.inside(z, np.mean(x) + (x - np.mean(x)) * 0.7).any() for x in h)
+                out.append((poly, len(runs), bool(inside), bool((np.abs(np.diff(z)) <= 121.01).all()), off))
+            yield pd.DataFrame(out, columns=["poly", "runs", "stays_inside", "short_enough", "avoids_hole"])
+
+    return A.rings(spark, d).select("poly", "outer", "hole").mapInPandas(run, "poly bigint, runs bigint, stays_inside boolean, short_enough boolean, avoids_hole boolean")
+
+
+def _regions(spark, d):
+    r, g, b = report.thread_color("thread")
+    holes = F.when(F.col("hole").isNotNull(), F.array("hole")).otherwise(F.array())
+    return A.rings(spark, d).where("poly <= 600").select("design_id", F.col("poly").cast("int").alias("region_idx"), "outer", holes.alias("holes"), r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+@query("digitize_designs", """WITH c AS (SELECT c_custkey % 50 AS design_id, c_mktsegment FROM customer WHERE c_custkey <= 600)
+SELECT design_id, count(DISTINCT c_mktsegment) AS blocks, count(*) AS objects, 0::BIGINT AS trims_in_objects, true AS within_limits FROM c GROUP BY design_id""")
+def _(spark, d):
+    """Plans of whole designs: a block for each colour, every object sewn, none with a trim inside."""
+    st = D.digitize_designs(_regions(spark, d), D.of_fabric("standard"))
+    from pyspark.sql import Window
+
+    r = st.groupBy("design_id", "block_idx", "run_idx", "object_id", "connection").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("design_id", "block_idx").orderBy("run_idx")
+    r = r.withColumn("_same", F.lag("object_id").over(w) == F.col("object_id"))
+    g = r.groupBy("design_id").agg(F.count_distinct("block_idx").alias("blocks"), F.count_distinct("object_id").alias("objects"), F.count_if(F.col("_same") & (F.col("connection") == "trim")).alias("trims_in_objects"), F.min("n").alias("_n"))
+    return g.select("design_id", "blocks", "objects", "trims_in_objects", (F.col("_n") >= 2).alias("within_limits"))
+
+
+def _plan_rows(spark, d):
+    st = A.stitches(spark, d)
+    r, g, b = report.thread_color("thread")
+    runs = P.runs(st).select(*P.RUN, "connection")
+    return st.join(runs, P.RUN).select("design_id", "block_idx", "run_idx", "seq", "x", "y", r.alias("r"), g.alias("g"), b.alias("b"), "connection")
+
+
+_ROUND = "SELECT user_id AS design_id, count(DISTINCT event_type) AS blocks, true AS dst_ok, true AS pes_ok, true AS header_ok FROM events GROUP BY user_id"
+
+
+@query("file_roundtrip", _ROUND)
+def _(spark, d):
+    """Plans written to both machine formats and read back: the needle goes where the operations say."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        from threadloom.sources.files import plan_of
+
+        plan = plan_of(pdf, "Round trip ü")
+        want = [(x, y) for kind, x, y in codec.operations(plan) if kind == "stitch"]
+        dst, pes = codec.read_dst(codec.write_dst(plan)), codec.read_pes(codec.write_pes(plan))
+        n = len(plan["blocks"])
+        anchored = [p for p in codec.pes_points(pes["ops"])]
+        ok = dst["stitches"] == len(dst["records"]) and dst["color_changes"] == n - 1 and dst["label"] == "Round trip _" and pes["label"] == "Round trip _"
+        return pd.DataFrame({"design_id": [pdf["design_id"].iloc[0]], "blocks": [n], "dst_ok": [codec.dst_points(dst["records"]) == want], "pes_ok": [set(want) == set(anchored) and len(pes["palette"]) == n], "header_ok": [ok]})
+
+    return _plan_rows(spark, d).groupBy("design_id").applyInPandas(one, "design_id bigint, blocks bigint, dst_ok boolean, pes_ok boolean, header_ok boolean")
+
+
+@query("qr_roundtrip", "SELECT c_custkey, substr(c_name, 1, 40) AS text, substr(c_name, 1, 40) AS back, true AS square FROM customer")
+def _(spark, d):
+    def run(batches):
+        for pdf in batches:
+            made = [qr.encode(t) for t in pdf["text"]]
+            yield pdf.assign(back=[qr.decode(m) for m in made], square=[m.shape[0] == m.shape[1] for m in made])
+
+    c = A.table(spark, d, "customer").select("c_custkey", F.substring("c_name", 1, 40).alias("text"))
+    return c.mapInPandas(run, "c_custkey bigint, text string, back string, square boolean")
+
+
+@query("quantize_labels", "SELECT i::INT AS img, 3::BIGINT AS colors, true AS borders_clear, true AS specks_gone FROM range(4) t(i)")
+def _(spark, d):
+    """Colour reduction of the test images: a red disc in a blue ring with a green speck, on white."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.full((48, 64, 4), 255, np.uint8)
+        table = np.array([[220, 30, 30], [30, 60, 200], [255, 255, 255]])
+        a[pdf["y"], pdf["x"], :3] = table[pdf["label"]]
+        a[23:25, 46:48, :3] = [30, 150, 70]
+        labels, palette = I.quantized(a, 6)
+        _, n = I.parts(labels)
+        sizes = np.bincount(I.parts(labels)[0].ravel())
+        return pd.DataFrame({"img": [pdf["img"].iloc[0]], "colors": [len(palette)], "borders_clear": [bool((labels[0] == -1).mean() > 0.9)], "specks_gone": [bool((sizes > 2).all())]})
+
+    return A.pixels(spark).select("img", "x", "y", "label").groupBy("img").applyInPandas(one, "img int, colors bigint, borders_clear boolean, specks_gone boolean")
+
+
+@query("trace_regions", "SELECT i::INT AS img, 3::BIGINT AS outlines, 2::BIGINT AS holes, true AS wound FROM range(4) t(i)")
+def _(spark, d):
+    """Outlines of discs, rings and background, with their holes."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        labels = np.full((48, 64), 2)
+        r2 = (pdf["x"] - 32) ** 2 + (pdf["y"] - 24) ** 2
+        labels[pdf["y"], pdf["x"]] = np.where(r2 < 100, 0, np.where(r2 < 400, 1, 2))
+        kept, _ = I.regions(labels, [(220, 30, 30), (30, 60, 200), (30, 150, 70)], 10.0)
+        return pd.DataFrame({"img": [pdf["img"].iloc[0]], "outlines": [len(kept)], "holes": [sum(len(k["holes"]) for k in kept)], "wound": [all(S.area(k["outer"]) > 0 and all(S.area(h) < 0 for h in k["holes"]) for k in kept)]})
+
+    return A.pixels(spark).select("img", "x", "y").groupBy("img").applyInPandas(one, "img int, outlines bigint, holes bigint, wound boolean")
+
+
+@query("branch_walk", "SELECT c_custkey % 50 AS design_id, 1::BIGINT AS runs, true AS covers FROM customer GROUP BY ALL")
+def _(spark, d):
+    """Lines from a common middle to each object: one run goes through all of them."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends = np.unique(pdf["x"].to_numpy() + 1j * pdf["y"].to_numpy())
+        ends = ends[np.abs(ends) > 20]
+        runs = O.branch_runs([np.array([0j, e]) for e in ends], join=0.5)
+        return pd.DataFrame({"design_id": [pdf["design_id"].iloc[0]], "runs": [len(runs)], "covers": [set(ends.tolist()) <= set(runs[0].tolist())]})
+
+    points = A.rings(spark, d).select("design_id", F.col("outer")[0]["x"].alias("x"), F.col("outer")[0]["y"].alias("y"))
+    return points.groupBy("design_id").applyInPandas(one, "design_id bigint, runs bigint, covers boolean")
+
+
+@query("satin_runs", "SELECT c_custkey AS poly, 1::BIGINT AS runs, false AS branched, true AS as_wide FROM customer")
+def _(spark, d):
+    """Satin columns across narrow boxes: as wide as their short side."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for poly in pdf["poly"]:
+                w, h = 100 + poly % 60, 20 + poly % 30
+                runs, branched, width = G.satin(S.ring([(0, 0), (w, 0), (w, h), (0, h)]))
+                out.append((poly, len(runs), branched, bool(abs(width - h) < 1)))
+            yield pd.DataFrame(out, columns=["poly", "runs", "branched", "as_wide"])
+
+    return A.rings(spark, d).select("poly").mapInPandas(run, "poly bigint, runs bigint, branched boolean, as_wide boolean")
+
+
+@query("svg_import", "SELECT p_partkey, 2::BIGINT AS regions, 1::BIGINT AS holes, true AS fits FROM part")
+def _(spark, d):
+    """A drawing for each part: a box with a square hole and a stroke, fitted to the hoop."""
+    from threadloom.kernels import svg
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k in pdf["p_partkey"]:
+                w = 40 + k % 50
+                text = f'<svg xmlns="http://www.w3.org/2000/svg"><g transform="translate({k % 7},3) scale(2)"><path fill="#{k % 4096:03x}" d="M0 0h{w}v30h-{w}zM10 10v10h10v-10z"/></g><path d="M0 90 q 20 -30 {w} 0" fill="none" stroke="red" stroke-width="4"/></svg>'
+                r = svg.regions(text)
+                z = np.concatenate([x["outer"] for x in r])
+                out.append((k, len(r), sum(len(x["holes"]) for x in r), bool(np.abs(z.real).max() < 560 and np.abs(z.imag).max() < 560)))
+            yield pd.DataFrame(out, columns=["p_partkey", "regions", "holes", "fits"])
+
+    return A.table(spark, d, "part").select("p_partkey").mapInPandas(run, "p_partkey bigint, regions bigint, holes bigint, fits boolean")
+
+
+@query("photo_stitch", "SELECT i::INT AS img, true AS within_limit, true AS darker_is_denser FROM range(4) t(i)")
+def _(spark, d):
+    """Photo stitch of a gradient: not too many stitches, and longer ones where it is lighter."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((48, 64, 4), np.uint8)
+        a[..., 3] = 255
+        a[..., :3] = np.round(np.arange(64) / 63 * 220).astype(np.uint8)[None, :, None]
+        out = I.photo(a, 10.0, bands=1)
+        steps = [(z.real[:-1], np.abs(np.diff(z))) for _, runs in out for z in runs]
+        x, n = np.concatenate([s[0] for s in steps]), np.concatenate([s[1] for s in steps])
+        return pd.DataFrame({"img": [pdf["img"].iloc[0]], "within_limit": [sum(len(z) for _, runs in out for z in runs) <= 12_000], "darker_is_denser": [bool(n[x < 0].mean() < n[x > 0].mean())]})
+
+    return A.pixels(spark).select("img").distinct().groupBy("img").applyInPandas(one, "img int, within_limit boolean, darker_is_denser boolean")
+
+
+@query("sketch_compile", "SELECT c_custkey AS doc, true AS round_trip, true AS colors_in_blocks, true AS sewn FROM customer WHERE c_custkey <= 200")
+def _(spark, d):
+    """A small sketch for each customer, compiled, written with its document, and opened again."""
+    from . import sketch
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k in pdf["doc"].tolist():
+                doc = sketch.load(sketch.save({"layers": [{"elements": [
+                    {"kind": "fill", "outer": [[-10, -10], [10 + k % 5, -10], [10, 10], [-10, 10]], "holes": [], "color": [220, 30, 30]},
+                    {"kind": "stroke", "points": [[-20, 0], [0, 5 + k % 7], [20, 0]], "width": (0.5, 1.0, 2.5)[k % 3], "color": [30, 60, 200]},
+                ]}]}))
+                blocks = sketch.compile_document(doc)
+                plan = {"name": f"S{k}", "blocks": [{"thread": dict(zip("rgb", b["thread"], strict=True)), "runs": [{"stitches": [(int(p.real), int(p.imag)) for p in r["stitches"]], "connection": r["connection"]} for r in b["runs"]]} for b in blocks]}
+                back = sketch.import_pes(codec.write_pes(plan, codec.with_document(sketch.save(doc))))
+                out.append((k, back["layers"] == doc["layers"], [b["thread"] for b in blocks] == [(220, 30, 30), (30, 60, 200)], D.count(blocks) > 20))
+            yield pd.DataFrame(out, columns=["doc", "round_trip", "colors_in_blocks", "sewn"])
+
+    return A.table(spark, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("doc")).mapInPandas(run, "doc bigint, round_trip boolean, colors_in_blocks boolean, sewn boolean")
+
+
+@query("scan_rows_turned", "SELECT c_custkey AS poly, true AS even, true AS in_box FROM customer")
+def _(spark, d):
+    """Rows at 30 degrees: each crosses a convex outline once, and their length adds up to its area."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for poly, outer in zip(pdf["poly"], pdf["outer"], strict=True):
+                o = S.ring(outer)
+                scan, _ = G.rows(o, [], 2.0, np.radians(30))
+                total = sum((s[1] - s[0]) * 2.0 for _, row in scan for s in row)
+                out.append((poly, all(len(row) == 1 for _, row in scan), bool(abs(total - abs(S.area(o))) < 0.03 * abs(S.area(o)) + 120)))
+            yield pd.DataFrame(out, columns=["poly", "even", "in_box"])
+
+    return A.rings(spark, d).select("poly", "outer").mapInPandas(run, "poly bigint, even boolean, in_box boolean")
+
+
+__all__ = ["QUERIES", "SQL"]
