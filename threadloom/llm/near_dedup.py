@@ -9,9 +9,10 @@ has an empty set and is linked with nothing.  Documents are linked when 100 * in
 3. Pairs whose sizes alone forbid the similarity go.  For the rest signatures (a byte of each minimum hash) are compared BATCH by
    BATCH: a pair goes once the posterior probability that it is similar, under a uniform prior, falls below MISS.
 4. What is left is verified on the full sets, from the texts.  Links are joined to components.
-5. Buckets that still hold several components, beyond what the hub has been compared with, are gone through again: pairs across
-   components, pruned as before, with the most similar first, until no bucket has such a pair that wasn't verified.  (Large buckets
-   are cut into blocks; members outside the hub's component meet all blocks.)
+5. Buckets that still hold several components are gone through once more, all buckets whose hubs are in one component together, as a
+   neighbourhood. Pairs across components are compared by longer sketches (SKETCH bins of one permutation) in growing parts, pruned
+   as before, and the rest verified at once on the full sets, the most similar first, until two components are linked or no
+   pair is left. Large neighbourhoods are cut into blocks: members of the hub's component are dealt out, others meet all blocks.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8**4)**32, about 5e-8.
 
@@ -21,7 +22,6 @@ sorts after all others; repeated rows are in one class; an empty table gives an
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,11 @@ SHINGLE = 5
 SIMILARITY = 80
 HASHES, BANDS, ROWS = 128, 32, 4
 BATCH = 16
-MISS = 1e-7
-#: A bucket of more classes is cut into blocks of about so many.
+MISS = 1e-5
+#: A neighbourhood of more classes is cut into blocks of about so many.
 BLOCK = 4096
+#: Bins of a sketch, and after how many of them pairs are compared.
+SKETCH, LOOKS = 512, (64, 128, 256, 512)
 #: A list of classes up to this length is broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -226,53 +228,117 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-PAIRS = "a long, b long, cut boolean"
 #: The order of classes: by their smallest doc_id, none last.
 RANK = "struct(rep is null, rep, cid)"
 
 
-def across(members: DataFrame, classes: DataFrame, comps: DataFrame, miss: float, limit: int) -> DataFrame:
-    """Pairs of classes across components that share a bucket and that sizes and signatures let through; a class has the `limit`
-    most similar ones of each other component and block.  cut: there were more."""
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Of distinct shingles in order: in each bin, a byte of the first that falls into it, 0 for none."""
+    out = np.zeros(SKETCH, np.uint8)
+    bins = (mix(s ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH)).astype(np.int64)
+    used, first = np.unique(bins, return_index=True)
+    out[used] = (mix(s[first]) % np.uint64(255)).astype(np.uint8) + 1
+    return out
+
+
+def least_of_bins(similarity: float, miss: float) -> np.ndarray:
+    """Of each number of bins that either of two sketches fills: the fewest agreements with P(similar | agreements) >= miss."""
+    x = (np.arange(20_000) + 0.5) / 20_000
+    a, b, high = np.log(x), np.log1p(-x), x >= similarity
+    out, m = np.zeros(SKETCH + 1, np.int64), 0
+    for k in range(1, SKETCH + 1):
+        while True:
+            log = m * a + (k - m) * b
+            p = np.exp(log - log.max())
+            if m >= k or p[high].sum() >= miss * p.sum():
+                break
+            m += 1
+        out[k] = m
+    return out
+
+
+def sketches(need: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(cid, sketch, size, body) of classes (cid, row_key): body is the text of one of their rows, compressed."""
+
+    def run(batches):
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            made = [sketch(shingles(np.frombuffer(t, np.uint8), np.array([0, len(t)]), width)[0]).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())], ["cid", "sketch", "size", "body"])
+
+    few = need.count() <= BROADCAST_ROWS
+    found = _keyed(docs).select("row_key", "text").join(F.broadcast(need) if few else need, "row_key")
+    made = found.select("cid", "text").mapInArrow(run, "cid long, sketch binary, size long, body binary")
+    return made.groupBy("cid").agg(F.max("sketch").alias("sketch"), F.max("size").alias("size"), F.max("body").alias("body"))
+
+
+LINKS = "a long, b long"
+
+
+def across(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, width: int, miss: float) -> DataFrame:
+    """Links (a, b) between components, verified, that join what buckets still hold apart."""
     placed = members.withColumn("rank", F.expr(RANK)).join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     buckets = placed.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "rank").alias("hub_comp"))
     # with two members the hub has met the other one
-    mixed = buckets.where("k > 2 and lo <> hi").select("band", "hub_comp", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(mixed, "band").join(classes.select("cid", "n", "sig"), "cid")
+    mixed = buckets.where("k > 2 and lo <> hi").select("band", "hub_comp")
+    near = stored(placed.select("band", "cid", "comp").join(mixed, "band").select("hub_comp", "cid", "comp").distinct())
+    need = stored(near.select("cid").distinct().join(classes.select("cid", "row_key"), "cid"))
+    sizes = near.groupBy("hub_comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = near.join(sizes, "hub_comp").join(classes.select("cid", "n"), "cid").join(sketches(need, docs, width), "cid")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     minor = F.col("comp") != F.col("hub_comp")
     rows = rows.withColumn("block", F.explode(F.when(minor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-    rows = rows.select("band", "block", "cid", "comp", "n", "sig", minor.alias("minor"), (F.col("own") == F.col("block")).alias("own"))
-    least = least_matches(SIMILARITY / 100, miss)
+    rows = rows.select("hub_comp", "block", "cid", "comp", "n", "sketch", "size", "body", minor.alias("minor"), (F.col("own") == F.col("block")).alias("own"))
+    least = least_of_bins(SIMILARITY / 100, miss)
 
     def run(table: pa.Table) -> pa.Table:
-        t = table.combine_chunks()
-        cid, comp, n = (t[k].to_numpy() for k in ("cid", "comp", "n"))
-        sig = _matrix(t["sig"].combine_chunks() if isinstance(t["sig"], pa.ChunkedArray) else t["sig"])
-        is_minor, own = (t[k].to_numpy(zero_copy_only=False).astype(bool) for k in ("minor", "own"))
-        left = np.flatnonzero(own)
-        out_a, out_b, out_cut = [], [], []
+        column = lambda k: table[k].to_numpy()
+        cid, comp, n, size = (column(k) for k in ("cid", "comp", "n", "size"))
+        is_minor, own = column("minor").astype(bool), column("own").astype(bool)
+        order = np.argsort(cid)
+        cid, comp, n, size, is_minor, own = (v[order] for v in (cid, comp, n, size, is_minor, own))
+        bodies = table["body"].take(pa.array(order))
+        bins = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(cid), SKETCH)[order]
+        codec, sets, parent = pa.Codec("zstd"), {}, {}
+
+        def root(c):
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        def set_of(i):
+            if i not in sets:
+                if len(sets) >= 3000:
+                    sets.clear()
+                data = codec.decompress(bodies[int(i)].as_py(), int(size[i]), asbytes=True) if size[i] else b""
+                sets[i] = shingles(np.frombuffer(data, np.uint8), np.array([0, len(data)]), width)[0]
+            return sets[i]
+
+        left, out = np.flatnonzero(own), []
         for j in np.flatnonzero(is_minor):
             i = left[(comp[left] != comp[j]) & (100 * np.minimum(n[left], n[j]) >= SIMILARITY * np.maximum(n[left], n[j]))]
-            # of two minor ones that are both at home here, one looks for the other
+            # of two others that are both at home here, one looks for the other
             i = i[~(is_minor[i] & own[j] & (cid[i] > cid[j]))]
-            if not len(i):
-                continue
-            alive, total = _close(sig[i], np.broadcast_to(sig[j], (len(i), HASHES)), least)
-            order = alive[np.lexsort((cid[i[alive]], -total))]
-            seen: dict[int, int] = {}
-            for x in i[order]:
-                c = int(comp[x])
-                seen[c] = seen.get(c, 0) + 1
-                if seen[c] <= limit:
-                    out_a.append(max(int(cid[x]), int(cid[j])))
-                    out_b.append(min(int(cid[x]), int(cid[j])))
-                    out_cut.append(False)
-                elif seen[c] == limit + 1:
-                    out_cut[-1] = True
-        return pa.Table.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_cut, pa.bool_())], ["a", "b", "cut"])
-
-    return rows.groupBy("band", "block").applyInArrow(run, PAIRS).groupBy("a", "b").agg(F.max("cut").alias("cut"))
+            agree, filled, at = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), 0
+            for look in LOOKS:
+                x, y = bins[i, at:look], bins[j, at:look]
+                agree = agree + ((x == y) & (x > 0)).sum(1)
+                filled = filled + ((x > 0) | (y > 0)).sum(1)
+                at = look
+                keep = agree >= least[filled]
+                i, agree, filled = i[keep], agree[keep], filled[keep]
+            for x in i[np.argsort(-agree / np.maximum(filled, 1), kind="stable")]:
+                p, q = root(int(comp[x])), root(int(comp[j]))
+                if p == q:
+                    continue
+                common = len(np.intersect1d(set_of(x), set_of(j), assume_unique=True))
+                if 100 * common >= SIMILARITY * (n[x] + n[j] - common):
+                    parent[max(p, q)] = min(p, q)
+                    out.append((int(max(cid[x], cid[j])), int(min(cid[x], cid[j]))))
+        return pa.Table.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    return rows.groupBy("hub_comp", "block").applyInArrow(run, LINKS)
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, miss: float = MISS) -> DataFrame:
@@ -284,18 +350,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, miss: float = MISS) -
     hubs = members.groupBy("band").agg(F.min_by("cid", F.expr(RANK)).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     pairs = members.select("cid", "band").withColumnRenamed("cid", "a").join(hubs, "band").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tested = stored(verify(stored(prune(pairs, classes, miss)), classes, docs, width))
-    limit = 64
-    while True:
-        comps = components(tested.where("linked"))
-        more = stored(across(members, classes, comps, miss, limit))
-        new = stored(more.join(tested, ["a", "b"], "left_anti").select("a", "b"))
-        if new.isEmpty():
-            if more.where("cut").isEmpty():
-                break
-            limit *= 16
-            continue
-        tested = stored(tested.unionByName(verify(new, classes, docs, width)))
-        limit *= 16
+    comps = components(tested.where("linked"))
+    more = stored(across(members, classes, comps, docs, width, miss))
+    if not more.isEmpty():
+        comps = components(tested.where("linked").select("a", "b").union(more))
     labelled = classes.join(comps, "cid", "left").select("d1", "d2", "rep", F.coalesce("comp", "cid").alias("comp"))
     least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
     labelled = labelled.join(least, "comp").select("d1", "d2", "component_id")
