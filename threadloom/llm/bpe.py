@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import small_batches
+
 #: The pre-tokenizer's fixed pattern: contractions, letters, digits, other signs, and white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded words that a worker remembers before it starts anew.
@@ -201,6 +203,7 @@ def _some(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -
 def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """The rows with token_ids, binary: ids as little-endian unsigned 32-bit integers (a column of that name is replaced)."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
     docs = docs.drop("token_ids")
     names = docs.columns
     schema = docs.withColumn("token_ids", F.lit(b"")).schema
@@ -234,6 +237,7 @@ def decode(df: DataFrame, ids: str = "token_ids", into: str = "decoded", path: s
 def encoded_and_checked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, ids: bool = True) -> DataFrame:
     """doc_id, token_ids (if ids), n_tokens, ids_sha256, decoded_sha256: encodes, and decodes what came out."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
     hexed = lambda b: hashlib.sha256(b).hexdigest()
     names = ["doc_id", *["token_ids"] * ids, "n_tokens", "ids_sha256", "decoded_sha256"]
     kinds = {"doc_id": "long", "token_ids": "binary", "n_tokens": "long"}

@@ -26,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_threadloom"
 
 
+#: Bytes of a batch that goes to Python, where the session leaves it at Spark's default.
+BATCH_BYTES = 4 << 20
+DEFAULT_BATCH_BYTES = "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a task buffers on its way to Python: a batch of 10,000 long texts would be tens of megabytes on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, DEFAULT_BATCH_BYTES) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder and read from there: lineage ends, and a lost executor costs no recomputation."""
     spark = df.sparkSession

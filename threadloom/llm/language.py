@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import small_batches
 from .words import slices
 
 ROWS = 300
@@ -149,6 +150,7 @@ class Trees:
 
 def fit(docs: DataFrame, learn: Column, rows: int = ROWS, langs: int = LANGS) -> Trees | None:
     """Trees from docs (doc_id, text, lang)."""
+    small_batches(docs.sparkSession)
     can = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     sizes = can.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
     if not sizes:
@@ -180,6 +182,7 @@ OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 def predict(docs: DataFrame, trees: Trees | None, hold: Column | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the best language's posterior, all being as likely before)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # of a size bounded by LANGS, CONTEXTS and bytes
 
     def run(batches):

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _some
+from .frames import small_batches
 
 ROUNDS = 10
 KEY = b"threadloom-pii-v1"
@@ -215,6 +216,7 @@ OUT = "doc_id long, text string, n_found long, spans array<struct<start:int,end:
 def protect(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """doc_id, text with pseudonyms, n_found, spans of the pseudonyms (in code points)."""
 
+    small_batches(docs.sparkSession)
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
         for batch, texts in _some(batches, "text"):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import stored
+from .frames import small_batches, stored
 from .words import Chunk, mix, slices, windows
 
 COMMON = 48
@@ -159,6 +159,7 @@ OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines l
 
 def quality(docs: DataFrame, refs: dict | None = None) -> DataFrame:
     """Counts, distances and verdicts of every document; distances are null where no verdict is drawn from them."""
+    small_batches(docs.sparkSession)
     refs = references(docs) if refs is None else refs
 
     def run(batches):

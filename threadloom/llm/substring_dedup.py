@@ -9,7 +9,7 @@ so with B = WINDOW / 2 a repeat can't pass the blocks by:
 2. Extend.  Only windows of WINDOW words whose own blocks are anchors can be repeats.  For each such text the smallest doc_id
    is found; runs of windows that some smaller document has are the maximal repeats, and their words go.
 
-Documents are packed into chunks of about CHUNK bytes, written once to the shared folder.  A chunk sends each distinct hash
+Documents are packed into chunks of about CHUNK bytes (a longer document is one), written once to the shared folder.  A chunk sends each distinct hash
 once, with the smallest doc_id that has it there, and gets back a bit or a doc_id; texts that a third of all documents share
 thus cost a message a chunk, and no pair of documents is ever formed.  Anchors are proposed by short hashes, which only let
 too much through; the windows that decide are compared by hashes of twice as many bits as would tell all windows apart, and
@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import partitions, stored
+from .frames import partitions, small_batches, stored
 from .words import Chunk, slices, windows
 
 WINDOW = 50
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Hashes that meet in one group of the reduction, about.
 GROUP = 2_000_000
 NO_ID = np.int64(2**63 - 1)
@@ -270,6 +270,7 @@ def _removed(row: dict, parts: int, probe_parts: int):
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, n_removed, spans of removed words, and the kept words joined by one space."""
     spark = docs.sparkSession
+    small_batches(spark)
     chunks = stored(pack(docs))
     n = chunks.select(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     log = math.log2(max(2, n))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import stored
+from .frames import small_batches, stored
 from .words import TERMS, Chunk, mix, slices
 
 PREFIXES = (5, 7)
@@ -143,6 +143,7 @@ def train(terms: np.ndarray, docs: list[np.ndarray], labels: np.ndarray, factors
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Machine:
     """docs: doc_id, text; labels: doc_id, toxic."""
+    small_batches(docs.sparkSession)
     known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_003)) < F.lit(min(1.0, sample / max(1, n)) * 1_000_003))
@@ -184,6 +185,7 @@ OUT = "doc_id long, held_out boolean, score double, predicted int"
 
 def score(docs: DataFrame, model: Machine, hold: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # TERMS_KEPT rows at most
 
     def run(batches):
@@ -197,6 +199,7 @@ def score(docs: DataFrame, model: Machine, hold: Column | None = None, threshold
 
 def drop_toxic(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score under the threshold, as they are."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
