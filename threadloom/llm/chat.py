@@ -193,3 +193,17 @@ def query(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     return read_back(format_conversations(rows.unionByName(hard)))
+
+
+SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, ['user', 'assistant'][t + 1], '</s>[INST] ok [/INST]' FROM range(0, 2) r(t)
+), k AS (
+  SELECT *, len(regexp_extract_all(text, '<\\*(?:s>|/s>|<SYS>>|</SYS>>|\|role\|>|\|says\|>|\|end\|>|\|endoftext\|>)|\[\\*(?:INST\]|/INST\])')) AS marks FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(length(text) + marks + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 4 ELSE 23 + length(role) END))::BIGINT AS formatted_chars
+FROM k GROUP BY conv_id
+"""

@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_substring_dedup": substring_dedup.SQL,
+    "op2_chat_format": chat.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op7_near_dedup": near_dedup.SQL,
     "op8_mixing": mixing.SQL,
 }

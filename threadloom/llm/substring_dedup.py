@@ -312,3 +312,16 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM w, LATERAL (SELECT unnest(generate_series(1, len(w) - 49)) AS i)),
+f AS (SELECT k, min(doc_id) AS m FROM p GROUP BY k),
+g AS (SELECT DISTINCT doc_id, i + j AS pos FROM p JOIN f USING (k), range(0, 50) t(j) WHERE m < doc_id),
+h AS (SELECT doc_id, list(pos) AS gone FROM g GROUP BY doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
+y AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM x ANTI JOIN g ON x.doc_id = g.doc_id AND x.pos = g.pos GROUP BY x.doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN h ON w.doc_id = h.doc_id LEFT JOIN y ON w.doc_id = y.doc_id
+"""
