@@ -362,20 +362,25 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, miss: float = MISS) -
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
 
 
+#: A name of ours for the key among a table's own columns.
+KEY = "_near_row_key"
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """The rows, without those of which another row of the same component stays; of rows that share the id that stays one does."""
+    """The rows, without those of which another row of the same component stays; of rows that share the id that stays one does. Rows
+    without doc_id go if a row with one is in their component, and else stay."""
     flagged = stored(near_duplicates(docs, width))
-    # one row of each component with a link, told by its key; rows with an empty set all stay
-    best = flagged.where("kept and n_shingles > 0").groupBy("component_id").agg(F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("_n"))
+    # one row of each component, told by its key; rows with an empty set, and components without any id, stay as they are
+    best = flagged.where("kept and n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("_n"))
     names = docs.columns
-    stay = best.select("row_key").union(flagged.where("n_shingles = 0").select("row_key").distinct()).distinct()
-    rows = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(stay, "row_key", "left_semi")
-    repeated = best.where("_n > 1").select("row_key")
+    stay = best.select("row_key").union(flagged.where("n_shingles = 0 or component_id is null").select("row_key")).distinct().withColumnRenamed("row_key", KEY)
+    rows = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(stay, KEY, "left_semi")
+    repeated = best.where("_n > 1").select(F.col("row_key").alias(KEY))
     if repeated.isEmpty():
         return rows.select(*names)
-    alike = stored(rows.join(repeated, "row_key", "left_semi").withColumn("_k", F.monotonically_increasing_id()))
-    first = alike.groupBy("row_key").agg(F.min("_k").alias("_k"))
-    return rows.join(repeated, "row_key", "left_anti").select(*names).unionByName(alike.join(first, ["row_key", "_k"], "left_semi").select(*names))
+    alike = stored(rows.join(repeated, KEY, "left_semi").withColumn("_near_number", F.monotonically_increasing_id()))
+    first = alike.groupBy(KEY).agg(F.min("_near_number").alias("_near_number"))
+    return rows.join(repeated, KEY, "left_anti").select(*names).unionByName(alike.join(first, [KEY, "_near_number"], "left_semi").select(*names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
