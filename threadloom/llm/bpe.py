@@ -28,8 +28,10 @@ from .frames import small_batches
 
 #: The pre-tokenizer's fixed pattern: contractions, letters, digits, other signs, and white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encoded words that a worker remembers before it starts anew.
-REMEMBERED = 800_000
+#: Encoded words that a worker remembers, at most: those of late, and those before them.
+REMEMBERED = 500_000
+#: Pairs of tokens of which it remembers whether they stay apart.
+PAIRS = 1_000_000
 
 
 def default_path() -> str:
@@ -70,6 +72,7 @@ class Codec:
         self.longest = max(map(len, self.ids))
         self.apart: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
 
@@ -90,8 +93,9 @@ class Codec:
         known = self.apart.get(key)
         if known is None:
             known = self.apart[key] = self._seam(a, b)
-            if len(self.apart) > 4_000_000:
-                self.apart = {key: known}
+            if len(self.apart) > PAIRS:
+                self.apart.clear()
+                self.apart[key] = known
         return known
 
     def _seam(self, a: int, b: int) -> bool:
@@ -156,9 +160,16 @@ class Codec:
             yield word, out[::-1]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words = {}
-        new = {w.encode("utf-8", "surrogatepass"): w for w in words if w not in self.words}
+        """Afterwards self.words has them all; words that come often are handed on, others are forgotten."""
+        if len(self.words) + len(words) > REMEMBERED // 2:
+            self.words, self.older = {}, self.words
+        new = {}
+        for w in words.difference(self.words):
+            known = self.older.get(w)
+            if known is None:
+                new[w.encode("utf-8", "surrogatepass")] = w
+            else:
+                self.words[w] = known
         for b, ids in self.trie(new):
             self.words[new[b]] = struct.pack(f"<{len(ids)}I", *ids)
 
@@ -187,7 +198,7 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def _some(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _some(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in batches:
         at, total, texts = 0, 0, []
         for k, t in enumerate(batch.column(batch.schema.get_field_index(column)).to_pylist()):
