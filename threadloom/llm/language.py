@@ -80,6 +80,7 @@ class Trees:
                 seen, escape = np.log2((t + d) / ns), np.where(t > 0, np.log2((t + d) / d), 0)
             return np.where(ns > 0, seen, escape + shorter), escape
 
+        escape_of = lambda t, d: np.log2(np.where(t > 0, (t + d) / np.maximum(d, 1), 1.0))
         k1, n1 = level(keys, ns, 8)
         full = np.zeros((256, n))
         full[k1] = n1
@@ -89,17 +90,22 @@ class Trees:
         _, escape = cost(n2, t[inv], d[inv], 0)
         one = np.tile(zero, (256, 1))  # by context and byte
         esc = np.zeros((256, n))
-        esc[c] = np.where(t > 0, np.log2((t + d) / np.maximum(d, 1)), 0)
+        esc[c] = escape_of(t, d)
         one += np.repeat(esc, 256, 0)
         one[k2], _ = cost(n2, t[inv], d[inv], zero[k2 & 255])
         self.two_bytes = one.astype(np.float32)
 
         k3, n3 = level(keys, ns, 24)
+        # the start of a text is a context, too, though nothing ends with it
+        start = 0x0A0A0A
+        if start not in k3:
+            at = int(np.searchsorted(k3, start))
+            k3, n3 = np.insert(k3, at, np.uint32(start)), np.insert(n3, at, 0.0, axis=0)
         c, inv, t, d = contexts(k3, n3)
         self.context2 = np.zeros(65536, np.int32)
         self.context2[c] = np.arange(1, len(c) + 1)
         three, _ = cost(n3, t[inv], d[inv], one[k3 & 0xFFFF])
-        self.escape2 = np.vstack([np.zeros(n), np.where(t > 0, np.log2((t + d) / np.maximum(d, 1)), 0)]).astype(np.float32)
+        self.escape2 = np.vstack([np.zeros(n), escape_of(t, d)]).astype(np.float32)
         self.node3 = np.zeros((len(c) + 1) * 256, np.int32)
         self.node3[self.context2[k3 >> 8] * 256 + (k3 & 255)] = np.arange(1, len(k3) + 1)
         self.three = np.vstack([np.zeros(n), three]).astype(np.float32)
@@ -116,7 +122,7 @@ class Trees:
         self.context3[at3(c[keep])] = place[keep]
         self.context3[0] = 0
         four, _ = cost(n4, t[inv4], d[inv4], three[at3(k4 & 0xFFFFFF) - 1])
-        self.escape3 = np.vstack([np.zeros(n), np.where(t > 0, np.log2((t + d) / np.maximum(d, 1)), 0)[keep]]).astype(np.float32)
+        self.escape3 = np.vstack([np.zeros(n), escape_of(t, d)[keep]]).astype(np.float32)
         self.node4 = np.zeros((int(keep.sum()) + 1) * 256, np.int32)
         self.node4[place[inv4] * 256 + (k4 & 255)] = np.arange(1, len(k4) + 1)
         self.four = np.vstack([np.zeros(n), four]).astype(np.float32)
