@@ -65,10 +65,15 @@ def _(spark, d):
     return A.rings(spark, d).select("poly", "outer", "hole").mapInPandas(run, "poly bigint, runs bigint, stays_inside boolean, short_enough boolean, avoids_hole boolean")
 
 
+def _tasks(spark) -> int:
+    """Rows are few and small but take long, so they are dealt by number: else adaptive execution would put them into one task."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _regions(spark, d):
     r, g, b = report.thread_color("thread")
     holes = F.when(F.col("hole").isNotNull(), F.array("hole")).otherwise(F.array())
-    return A.rings(spark, d).where("poly <= 600").select("design_id", F.col("poly").cast("int").alias("region_idx"), "outer", holes.alias("holes"), r.alias("r"), g.alias("g"), b.alias("b"))
+    return A.rings(spark, d).repartition(_tasks(spark), "design_id").select("design_id", F.col("poly").cast("int").alias("region_idx"), "outer", holes.alias("holes"), r.alias("r"), g.alias("g"), b.alias("b"))
 
 
 @query("digitize_designs", """WITH c AS (SELECT c_custkey % 50 AS design_id, c_mktsegment FROM customer WHERE c_custkey <= 600)
