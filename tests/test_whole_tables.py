@@ -1,6 +1,7 @@
 """Queries of kernels take every row of their table, whatever its id."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.plans import queries
 
@@ -23,3 +24,10 @@ def test_every_region_is_digitized(spark, far):
         want[k % 50] = want.get(k % 50, 0) + 1
     assert {r.design_id: r.objects for r in out} == want
     assert all(r.trims_in_objects == 0 and r.within_limits for r in out)
+
+
+def test_every_sketch_is_compiled(spark, far):
+    at, keys = far
+    out = queries.QUERIES["sketch_compile"](spark, at)
+    assert sorted(r.doc for r in out.collect()) == keys
+    assert out.where(~(F.col("round_trip") & F.col("colors_in_blocks") & F.col("sewn"))).isEmpty()

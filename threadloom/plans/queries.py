@@ -244,7 +244,7 @@ def _(spark, d):
                 out.append((k, back["layers"] == doc["layers"], [b["thread"] for b in blocks] == [(220, 30, 30), (30, 60, 200)], D.count(blocks) > 20))
             yield pd.DataFrame(out, columns=["doc", "round_trip", "colors_in_blocks", "sewn"])
 
-    return A.table(spark, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("doc")).mapInPandas(run, "doc bigint, round_trip boolean, colors_in_blocks boolean, sewn boolean")
+    return A.table(spark, d, "customer").select(F.col("c_custkey").alias("doc")).repartition(_tasks(spark), "doc").mapInPandas(run, "doc bigint, round_trip boolean, colors_in_blocks boolean, sewn boolean")
 
 
 @query("scan_rows_turned", "SELECT c_custkey AS poly, true AS even, true AS in_box FROM customer")
