@@ -91,11 +91,14 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
 
 
 def scheduled(mixed: DataFrame) -> DataFrame:
-    """A row for each copy, range-sorted by its position in training."""
+    """A row for each copy, range-sorted by its position in training; a document that the mix leaves out has one row, at the end,
+    with no position and 0 words."""
     spark = mixed.sparkSession
-    copies = mixed.select("*", F.explode("positions").alias("_p")).drop("positions").select("*", F.col("_p.t").alias("position"), F.col("_p.words").alias("words")).drop("_p")
+    copies = mixed.select("*", F.explode_outer("positions").alias("_p")).drop("positions")
+    copies = copies.select("*", F.col("_p.t").alias("position"), F.coalesce("_p.words", F.lit(0).cast("long")).alias("words")).drop("_p")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return copies.repartitionByRange(n, "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("text_key")]
+    return copies.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -119,7 +122,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return scheduled(mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "position", "words")
 
 
 SQL = r"""
