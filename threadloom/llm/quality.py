@@ -1,8 +1,8 @@
 """Quality rules: base counts, and the divergence of a document's histograms from those of its language.
 
 Base counts are exact.  The method: each language's reference is the histogram of character classes and of common words
-over all its documents (the common words are the COMMON most frequent words of at most 7 UTF-8 bytes, A-Z folded; all
-others share one bin).  A document of at least MIN_WORDS words is kept if the Jensen-Shannon distances (square root of the
+over all its documents (the common words are the COMMON most frequent words of any length, told by 64-bit hashes, A-Z
+folded; all others share one bin).  A document of at least MIN_WORDS words is kept if the Jensen-Shannon distances (square root of the
 divergence in bits, 0 to 1) of both its histograms from its language's references stay under the limits.  Shorter ones
 are judged by the base rules alone.  A language that is null, or not among the LANGS with the most rows, is compared
 to the reference of all documents together.
@@ -30,6 +30,8 @@ MAX_CHAR_DISTANCE = 0.30
 #: For the words the limit is MAX_WORD_DISTANCE + WORD_SLACK / sqrt(n_words): a short text strays further by chance.
 MAX_WORD_DISTANCE, WORD_SLACK = 0.45, 1.2
 REPEAT_WINDOW = 8
+#: A task keeps so many counts of words, before they are summed and, if still many, sent on.
+HELD = 1 << 20
 
 #: Classes of characters, told by a character's first byte; bytes that continue a character have none.
 CLASSES = 12
@@ -42,17 +44,6 @@ _SYMBOL = _CLASS == 6
 _LEADS = (np.arange(256) & 0xC0) != 0x80
 
 
-def _packed(c: Chunk) -> np.ndarray:
-    """Words of at most 7 bytes as numbers, 0 for longer ones."""
-    n = c.ends - c.starts
-    out, short = np.zeros(len(n), np.uint64), n <= 7
-    padded = np.concatenate([c.buf, np.zeros(8, np.uint8)])
-    for k in range(7):
-        here = short & (n > k)
-        out[here] |= padded[c.starts[here] + k].astype(np.uint64) << np.uint64(8 * k)
-    return out
-
-
 def _classes(c: Chunk, raw: np.ndarray) -> np.ndarray:
     """Documents by classes."""
     kinds = _CLASS[raw]
@@ -61,11 +52,26 @@ def _classes(c: Chunk, raw: np.ndarray) -> np.ndarray:
     return np.bincount(doc[seen] * CLASSES + kinds[seen], minlength=c.n_docs * CLASSES).reshape(c.n_docs, CLASSES)
 
 
+def _summed(keys: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its counts."""
+    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    out = np.zeros(len(every), np.int64)
+    np.add.at(out, inverse, np.concatenate(ns))
+    return every, out
+
+
 def references(docs: DataFrame) -> dict:
     """lang (None: all documents) -> (class shares, common words, their shares and that of the rest)."""
 
     def run(batches):
         sums: dict = defaultdict(int)
+        counted: dict = {}  # of a language: hashes of words, and how often each was found
+
+        def word_rows():
+            for lang, (keys, ns) in counted.items():
+                every, n = _summed(keys, ns)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(every), pa.string()), pa.array(np.ones(len(every), np.int32)), pa.array(every.view(np.int64)), pa.array(n)], ["lang", "kind", "key", "n"])
+            counted.clear()
 
         def rows():
             keys, ns = list(sums), list(sums.values())
@@ -78,16 +84,26 @@ def references(docs: DataFrame) -> dict:
             langs = batch.column(1).to_pylist()
             codes = {l: k for k, l in enumerate(dict.fromkeys(langs))}
             of_doc = np.array([codes[l] for l in langs])
-            classes, words, of_word = _classes(c, buf), _packed(c), np.repeat(of_doc, c.n_words)
+            classes, words, of_word = _classes(c, buf), c.hashes(), np.repeat(of_doc, c.n_words)
             for lang, k in codes.items():
                 own = of_doc == k
                 for key, n in enumerate(classes[own].sum(0)):
                     sums[lang, 0, key] += int(n)
                 sums[lang, 2, 0] += int(own.sum())
-                for key, n in zip(*np.unique(words[of_word == k], return_counts=True), strict=True):
-                    sums[lang, 1, int(key)] += int(n)
+                keys, ns = np.unique(words[of_word == k], return_counts=True)
+                if len(keys):
+                    held = counted.setdefault(lang, ([], []))
+                    held[0].append(keys)
+                    held[1].append(ns)
+            if sum(len(x) for keys, _ in counted.values() for x in keys) > HELD:
+                for lang, (keys, ns) in counted.items():
+                    every, n = _summed(keys, ns)
+                    counted[lang] = [every], [n]
+                if sum(len(keys[0]) for keys, _ in counted.values()) > HELD // 2:
+                    yield from word_rows()
             if len(sums) > 400_000:
                 yield rows()
+        yield from word_rows()
         if sums:
             yield rows()
 
@@ -100,14 +116,14 @@ def references(docs: DataFrame) -> dict:
     found: dict = defaultdict(list)
     for part in (named, everything):
         total = part.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(3).alias("kind"), F.lit(0).cast("long").alias("key"), "n")
-        best = part.where("kind = 1 and key <> 0").withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("_r") <= COMMON).drop("_r")
+        best = part.where("kind = 1").withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("_r") <= COMMON).drop("_r")
         for r in part.where("kind = 0").unionByName(best).unionByName(total).collect():
             found[r.lang, r.kind].append((r.key, r.n))
     for lang in [*known, None]:
         classes = np.zeros(CLASSES)
         for key, n in found[lang, 0]:
             classes[key] = n
-        common = sorted(found[lang, 1])
+        common = sorted((k % 2**64, n) for k, n in found[lang, 1])  # Spark has the hashes as signed numbers
         words = np.array([k for k, _ in common], np.uint64)
         n_words = sum(n for _, n in found[lang, 3])
         ns = np.array([n for _, n in common] + [n_words - sum(n for _, n in common)], float)
@@ -176,7 +192,7 @@ def quality(docs: DataFrame, refs: dict | None = None) -> DataFrame:
             lines = [duplicate_lines(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             repeats = repeated_words(c, Chunk(raw, offsets).hashes())
             failed = (words < 20) | (100 * repeats > 30 * words)
-            classes, packed = _classes(c, raw).astype(float), _packed(c)
+            classes, hashes = _classes(c, raw).astype(float), c.hashes()
             chars, terms = np.full(c.n_docs, np.nan), np.full(c.n_docs, np.nan)
             langs = [l if l in refs else None for l in batch.column(2).to_pylist()]
             doc_of_word = c.doc_of_word()
@@ -185,8 +201,9 @@ def quality(docs: DataFrame, refs: dict | None = None) -> DataFrame:
                 share, common, q = refs[lang]
                 chars[own] = distance(classes[own] / np.maximum(1, classes[own].sum(1, keepdims=True)), share)
                 mine = own[doc_of_word]
-                at = np.searchsorted(common, packed[mine])
-                at[(at == len(common)) | (common[np.minimum(at, len(common) - 1)] != packed[mine])] = len(common) if len(common) else 0
+                at = np.searchsorted(common, hashes[mine])
+                if len(common):
+                    at[common[np.minimum(at, len(common) - 1)] != hashes[mine]] = len(common)
                 counts = np.bincount(doc_of_word[mine] * (len(common) + 1) + at, minlength=c.n_docs * (len(common) + 1)).reshape(c.n_docs, -1)[own].astype(float)
                 terms[own] = distance(counts / np.maximum(1, counts.sum(1, keepdims=True)), q)
             long = words >= MIN_WORDS
