@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import catalog
 from threadloom.plans import queries
 
 
@@ -31,3 +32,11 @@ def test_every_sketch_is_compiled(spark, far):
     out = queries.QUERIES["sketch_compile"](spark, at)
     assert sorted(r.doc for r in out.collect()) == keys
     assert out.where(~(F.col("round_trip") & F.col("colors_in_blocks") & F.col("sewn"))).isEmpty()
+
+
+def test_a_label_is_cut_by_its_operator_alone(spark, tmp_path):
+    text = "é" * 50 + " x" * 50
+    spark.createDataFrame([(1, text, "some source")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = catalog.QUERIES["ascii_label"](spark, str(tmp_path))
+    assert out.first().label == "_" * 16
+    assert "substring(text" not in out._jdf.queryExecution().optimizedPlan().toString()

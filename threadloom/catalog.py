@@ -579,7 +579,7 @@ def _(spark, d):
 
 @query("ascii_label", r"SELECT doc_id, rpad(substr(regexp_replace(substr(text, 1, 40), '[^\x20-\x7e]', '_', 'g'), 1, 16), 16, ' ') AS label, upper(substr(source, 1, 8)) AS base FROM documents")
 def _(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", X.label_text(F.substring("text", 1, 40)).alias("label"), F.upper(F.substring("source", 1, 8)).alias("base"))
+    return A.table(spark, d, "documents").select("doc_id", X.label_text("text").alias("label"), F.upper(F.substring("source", 1, 8)).alias("base"))
 
 
 @query("work_order", _RUNS + """SELECT design_id, stitches, colors, color_changes, trims, width, height, cast(floor(stitches / 400.0::DOUBLE * 1000.0::DOUBLE + 0.5) AS BIGINT) AS minutes, thread_milli,
