@@ -1,12 +1,13 @@
 """Exact, near and substring duplicates against brute force, on documents that are hard on them."""
 
 import collections
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import DOCS, documents, near, rows_of, sha, substring
-from threadloom.llm import exact_dedup, near_dedup, substring_dedup
+from threadloom.llm import exact_dedup, near_dedup, quality, substring_dedup
 from threadloom.llm.frames import SPACES
 
 
@@ -41,7 +42,8 @@ def test_near(docs, width):
 
 
 def test_near_in_small_blocks(docs, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "BLOCKS", (2, 4))
+    monkeypatch.setattr(near_dedup, "BLOCK_GROWTH", 1)
     monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
     assert rows_of(near_dedup.near_duplicates(docs, 2), "doc_id", "n_shingles", "component_id", "kept") == near(documents())
 
@@ -68,6 +70,61 @@ def test_least_matches_prunes_little_at_the_threshold():
     assert least == sorted(least) and least[-1] < 0.8 * near_dedup.HASHES
 
 
+def thue_morse(a, b, n):
+    """A row of n signs that sums of powers cannot tell from the row with a and b exchanged."""
+    return [(a, b)[bin(k).count("1") % 2] for k in range(n)]
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_words_that_sums_of_powers_confuse(spark, n):
+    """Texts that differ in such words share no window and no shingle that holds them."""
+    one, other = "".join(thue_morse("a", "b", n)), "".join(thue_morse("b", "a", n))
+    rest = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join([*rest[:30], one, *rest[30:]]), None, None, 0), (2, " ".join([*rest[:30], other, *rest[30:]]), None, None, 0), (3, one, None, None, 0), (4, other, None, None, 0)]
+    rows += [(5, " ".join([one, *rest[:7], "between", other, *rest[:7]]), None, None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = substring_dedup.substring_dedup(df).withColumn("h", F.sha2(F.encode("kept_text", "UTF-8"), 256))
+    assert rows_of(out, "doc_id", "n_words", "n_removed", "h") == substring(rows)
+    assert rows_of(near_dedup.near_duplicates(df, 2), "doc_id", "n_shingles", "component_id", "kept") == near(rows)
+    assert all(r.n_repeat_words == 0 for r in quality.quality(df).collect())
+
+
+def test_rows_of_words_that_sums_of_powers_confuse(spark):
+    rows = [(k, " ".join(thue_morse(*pair, 4096)[k : k + 2000]), None, None, 0) for k, pair in ((1, ("x", "y")), (33, ("y", "x")))]
+    df = spark.createDataFrame(rows, DOCS)
+    out = substring_dedup.substring_dedup(df).withColumn("h", F.sha2(F.encode("kept_text", "UTF-8"), 256))
+    assert rows_of(out, "doc_id", "n_words", "n_removed", "h") == substring(rows)
+
+
+def test_templated_texts_meet_in_bounded_groups(spark):
+    """Texts of one template that all share buckets and of which none is near enough: every group stays small, none is linked."""
+    rng = random.Random(12)
+    template = [f"t{k}" for k in range(120)]
+    rows = [(k, " ".join(template + [f"d{rng.randrange(10**9)}" for _ in range(22)]), None, None, 0) for k in range(1500)]
+    rows += [(5000 + k, " ".join(rows[k][1].split()[:-1] + ["end"]), None, None, 0) for k in range(0, 1500, 50)]
+    df = spark.createDataFrame(rows, DOCS).repartition(8)
+    out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 2).collect()}
+    assert out == {i: i - 5000 if i >= 5000 else i for i, *_ in rows}
+
+
+def test_groups_of_a_neighbourhood_are_bounded_and_cover_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCKS", (4, 8))
+    near_rows = [(0, c, 0 if c % 3 == 0 else c) for c in range(90)] + [(7, c, 7) for c in range(40)]
+    groups = collections.defaultdict(list)
+    for r in near_dedup.dealt(spark.createDataFrame(near_rows, "hub_comp long, cid long, comp long")).collect():
+        groups[r.hub_comp, r.i, r.j].append(r)
+    assert max(len(g) for g in groups.values()) <= 40
+    met = collections.Counter()
+    for (hub, i, j), g in groups.items():
+        for a in g:
+            for b in g:
+                if a.cid < b.cid and (i == j or a.left != b.left):
+                    met[hub, a.cid, b.cid] += 1
+    comp = {(h, c): k for h, c, k in near_rows}
+    want = {(0, a, b) for a in range(90) for b in range(a + 1, 90) if comp[0, a] != comp[0, b]}
+    assert want <= set(met) and set(met.values()) == {1}
+
+
 def test_exact(docs):
     import re
 

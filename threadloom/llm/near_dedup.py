@@ -1,34 +1,38 @@
 """Near-duplicate detection: banded MinHash candidates, sequential Bayesian pruning, exact verification.
 
-A document is its set of distinct shingles of `width` words (SHINGLE unless told otherwise) (A-Z folded; a shorter text is one shingle); a text without words
-has an empty set and is linked with nothing.  Documents are linked when 100 * intersection >= SIMILARITY * union, on full sets.
+A document is its set of distinct shingles of `width` words (SHINGLE unless told otherwise), A-Z folded; a shorter text is one shingle; a text
+without words has an empty set and is linked with nothing.  Documents are linked when 100 * intersection >= SIMILARITY * union, on full sets.
 
-1. Documents with equal sets form a class, which goes on as one.
+1. Documents with equal sets form a class, which goes on as one: two digests of the set have to agree, made of two hashes of each word
+   that share nothing but the word, 128 bits in all.
 2. Each class has HASHES minimum hashes; BANDS bands of ROWS of them are keys of buckets.  In a bucket every class is paired with
    one hub, that of the smallest doc_id (copies come after their originals), so a bucket of n makes n - 1 pairs.
 3. Pairs whose sizes alone forbid the similarity go.  For the rest signatures (a byte of each minimum hash) are compared BATCH by
    BATCH: a pair goes once the posterior probability that it is similar, under a uniform prior, falls below MISS.
 4. What is left is verified on the full sets, from the texts.  Links are joined to components.
 5. Buckets that still hold several components are gone through once more, all buckets whose hubs are in one component together, as a
-   neighbourhood. Pairs across components are compared by longer sketches (SKETCH bins of one permutation) in growing parts, pruned
-   as before, and the rest verified at once on the full sets, the most similar first, until two components are linked or no
-   pair is left. Large neighbourhoods are cut into blocks: members of the hub's component are dealt out, others meet all blocks.
+   neighbourhood.  Its classes are dealt to blocks, those of the hub's component apart from the others, and each pair of blocks that can
+   hold a link is a group of its own, of a bounded number of ids and sketches (SKETCH bins of one permutation).  A group compares its
+   pairs across components in growing parts of the sketches, pruned as before, and says only which classes have a partner left.
+   Their texts alone are fetched, to the groups in which they have one, and compared there on the full sets, the most similar first,
+   until two components are linked or no pair is left.  No pair is ever sent anywhere.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8**4)**32, about 5e-8.
 
-Cases: null text counts as empty; rows that share a doc_id, and rows without one, are told apart by their sets; a null doc_id
-sorts after all others; repeated rows are in one class; an empty table gives an empty result; extra columns are ignored.
+Cases: null text counts as empty; a text of any length is one set, and a batch by itself where it is longer than a slice; rows that
+share a doc_id, and rows without one, are told apart by their sets; a null doc_id sorts after all others; repeated rows and ties are
+in one class; an empty table gives an empty result; extra columns are ignored, and `drop_near_duplicates` hands them on, whatever
+their names.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import small_batches, stored
+from .frames import forget, free_name, small_batches, stored
 from .words import Chunk, mix, slices
 
 SHINGLE = 5
@@ -36,8 +40,8 @@ SIMILARITY = 80
 HASHES, BANDS, ROWS = 128, 32, 4
 BATCH = 16
 MISS = 1e-5
-#: A neighbourhood of more classes is cut into blocks of about so many.
-BLOCK = 4096
+#: Blocks of a neighbourhood of n classes hold about BLOCK_GROWTH * sqrt(n) of them, and from BLOCKS[0] to BLOCKS[1].
+BLOCKS, BLOCK_GROWTH = (256, 8192), 8
 #: Bins of a sketch, and after how many of them pairs are compared.
 SKETCH, LOOKS = 512, (64, 128, 256, 512)
 #: A list of classes up to this length is broadcast; longer ones are joined by a shuffle.
@@ -48,10 +52,9 @@ _A = _RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 
-def shingles(buf: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each document, in order within it: their hashes, and where each document's begin (one more)."""
-    c = Chunk(buf, offsets, fold=True)
-    h, doc, n = c.hashes(), c.doc_of_word(), c.n_words
+def _hashed(c: Chunk, width: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, repeats too, and the documents they are in; a document of fewer words is one shingle, the last."""
+    h, doc, n = c.hashes(family=family), c.doc_of_word(), c.n_words
     combined = h.copy()
     for k in range(1, width):
         rest = np.zeros_like(h)
@@ -59,20 +62,28 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tupl
         combined = mix(combined * np.uint64(0x9E3779B97F4A7C15) + rest)
     place = np.arange(len(h)) - c.word_at[doc]
     whole = place + width <= n[doc]
-    # documents with fewer words: all of them as one
     short = np.flatnonzero((n > 0) & (n < width))
     one = h[c.word_at[:-1][short]].copy()
     for k in range(1, width - 1):
         more = n[short] > k
         one[more] = mix(one[more] * np.uint64(0xD6E8FEB86659FD93) + h[c.word_at[:-1][short][more] + k])
-    s = np.concatenate([combined[whole], mix(one + np.uint64(1))])
-    d = np.concatenate([doc[whole], short])
+    return np.concatenate([combined[whole], mix(one + np.uint64(1))]), np.concatenate([doc[whole], short])
+
+
+def _distinct(c: Chunk, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles in order within their documents, where each document's begin (one more), and their places in _hashed."""
+    s, d = _hashed(c, width, 0)
     order = np.lexsort((s, d))
     s, d = s[order], d[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
     s, d = s[new], d[new]
-    return s, np.searchsorted(d, np.arange(c.n_docs + 1))
+    return s, np.searchsorted(d, np.arange(c.n_docs + 1)), order[new]
+
+
+def shingles(buf: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each document, in order within it: their hashes, and where each document's begin (one more)."""
+    return _distinct(Chunk(buf, offsets, fold=True), width)[:2]
 
 
 def signatures(s: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -85,20 +96,21 @@ def signatures(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-FEATURES = "doc_id long, row_key long, n long, d1 long, d2 long, bands array<long>, sig binary"
+FEATURES = "doc_id long, row_key binary, n long, d1 long, d2 long, bands array<long>, sig binary"
 
 
 def features(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     def run(batches):
         for batch, buf, offsets in slices(batches):
-            s, at = shingles(buf, offsets, width)
+            c = Chunk(buf, offsets, fold=True)
+            s, at, places = _distinct(c, width)
             n = np.diff(at)
             full = np.flatnonzero(n)
             d1, d2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             bands, sigs = [None] * len(n), [None] * len(n)
             if len(full):
                 d1[full] = np.add.reduceat(mix(s ^ np.uint64(0x5851F42D4C957F2D)), at[:-1][full])
-                d2[full] = np.add.reduceat(mix(s ^ np.uint64(0x14057B7EF767814F)), at[:-1][full])
+                d2[full] = np.add.reduceat(mix(_hashed(c, width, 1)[0][places] ^ np.uint64(0x14057B7EF767814F)), at[:-1][full])
                 m = signatures(s, at)
                 keys = np.empty((BANDS, len(full)), np.uint64)
                 for b in range(BANDS):
@@ -114,9 +126,14 @@ def features(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return _keyed(docs).mapInArrow(run, FEATURES)
 
 
+def _row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Sixteen bytes; rows with the same are alike."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text).cast("string"), F.lit("")))))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, row_key: rows with the same key are alike."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    """doc_id, text, row_key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key().alias("row_key"))
 
 
 def least_matches(similarity: float, miss: float, hashes: int = HASHES, batch: int = BATCH) -> list[int]:
@@ -181,7 +198,8 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int = S
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())], ["cid", "size", "body"])
 
     # rows that are alike come once
-    texts = stored(found.select("cid", "text").mapInArrow(shrink, "cid long, size long, body binary").groupBy("cid").agg(F.max("size").alias("size"), F.max("body").alias("body")))
+    texts = stored(found.select("cid", "text").mapInArrow(shrink, "cid long, size long, body binary").groupBy("cid").agg(F.max(F.struct("size", "body")).alias("_t")).select("cid", "_t.*"))
+    forget(need)
     side = lambda k: texts.select(F.col("cid").alias(k), F.col("size").alias(f"z{k}"), F.col("body").alias(f"t{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -219,12 +237,17 @@ def components(links: DataFrame) -> DataFrame:
     ends = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
     labels = stored(ends.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.col("a")).alias("comp")))
     while True:
+        before = labels
         near = ends.join(labels, ends.b == labels.cid).groupBy("a").agg(F.min("comp").alias("near"))
         lower = labels.join(near, labels.cid == near.a, "left").select("cid", "comp", F.least("comp", F.coalesce("near", "comp")).alias("new"))
         jump = labels.select(F.col("cid").alias("new"), F.col("comp").alias("jumped"))
         moved = stored(lower.join(jump, "new", "left").select("cid", F.least("new", F.coalesce("jumped", "new")).alias("comp"), (F.least("new", F.coalesce("jumped", "new")) < F.col("comp")).alias("moved")))
-        labels = moved.select("cid", "comp")
-        if moved.where("moved").isEmpty():
+        done = moved.where("moved").isEmpty()
+        forget(before)
+        labels = moved.drop("moved")
+        labels.stored_at = moved.stored_at
+        if done:
+            forget(ends)
             return labels
 
 
@@ -270,65 +293,112 @@ def sketches(need: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     few = need.count() <= BROADCAST_ROWS
     found = _keyed(docs).select("row_key", "text").join(F.broadcast(need) if few else need, "row_key")
     made = found.select("cid", "text").mapInArrow(run, "cid long, sketch binary, size long, body binary")
-    return made.groupBy("cid").agg(F.max("sketch").alias("sketch"), F.max("size").alias("size"), F.max("body").alias("body"))
+    return made.groupBy("cid").agg(F.max(F.struct("sketch", "size", "body")).alias("_t")).select("cid", "_t.*")
 
 
+def neighbourhoods(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(hub_comp, cid, comp): classes of the buckets that hold several components, by the component of the hub."""
+    placed = members.withColumn("rank", F.expr(RANK)).join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    buckets = placed.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "rank").alias("hub_comp"))
+    # with two members the hub has met the other one
+    mixed = buckets.where("k > 2 and lo <> hi").select("band", "hub_comp")
+    return placed.select("band", "cid", "comp").join(mixed, "band").select("hub_comp", "cid", "comp").distinct()
+
+
+def dealt(near: DataFrame) -> DataFrame:
+    """(hub_comp, i, j, left, cid, comp): a row for each group that a class is in.  Others than the hub's component lie in blocks
+    0, 1, ... and meet each other, i <= j, and all blocks -1, -2, ... of the hub's component, which never meet each other."""
+    minor = F.col("comp") != F.col("hub_comp")
+    sizes = near.groupBy("hub_comp").agg(F.count(F.lit(1)).alias("_n"), F.count_if(minor).alias("_m"))
+    block = F.greatest(F.lit(BLOCKS[0]), F.least(F.lit(BLOCKS[1]), F.lit(BLOCK_GROWTH) * F.sqrt("_n")))
+    # at least one block of each side, so that a sequence has an end
+    sizes = sizes.select("hub_comp", F.greatest(F.lit(1), F.ceil(F.col("_m") / block)).cast("int").alias("_minor"), F.greatest(F.lit(1), F.ceil((F.col("_n") - F.col("_m")) / block)).cast("int").alias("_major"))
+    rows = near.join(sizes, "hub_comp").withColumn("_own", F.pmod(F.xxhash64("cid", F.lit("block")), F.when(minor, F.col("_minor")).otherwise(F.col("_major"))).cast("int"))
+    pair = lambda i, j, left: F.struct(F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), left.alias("left"))
+    # in a group of two blocks, the left one is the smaller; a block with itself is left and right at once
+    others = F.transform(F.sequence(F.lit(0), F.col("_minor") - 1), lambda k: pair(F.col("_own"), k, F.col("_own") <= k))
+    majors = F.transform(F.sequence(F.lit(1), F.col("_major")), lambda k: pair(-k, F.col("_own"), F.lit(False)))
+    mine = F.transform(F.sequence(F.lit(0), F.col("_minor") - 1), lambda k: pair(-1 - F.col("_own"), k, F.lit(True)))
+    return rows.select("hub_comp", "cid", "comp", F.explode(F.when(minor, F.concat(others, majors)).otherwise(mine)).alias("_g")).select("hub_comp", "_g.*", "cid", "comp")
+
+
+GROUP = ["hub_comp", "i", "j"]
+FOUND = "hub_comp long, i int, j int, cid long"
 LINKS = "a long, b long"
 
 
+class _Group:
+    """A pair of blocks: ids, components, sizes and sketches of its classes, and which pairs of them may be linked."""
+
+    def __init__(self, table: pa.Table, least: np.ndarray):
+        order = np.argsort(table["cid"].to_numpy())
+        self.rows, self.least = order, least
+        self.cid, self.comp, self.n = (table[k].to_numpy()[order] for k in ("cid", "comp", "n"))
+        self.left = table["left"].to_numpy().astype(bool)[order]
+        self.same = len(order) > 0 and table["i"][0].as_py() == table["j"][0].as_py()
+        self.bins = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(order), SKETCH)[order]
+
+    def partners(self):
+        """Of each class on one side: it, those on the other that no look rules out, the most similar first."""
+        lefts = np.flatnonzero(self.left)
+        by_size = lefts[np.argsort(self.n[lefts], kind="stable")]
+        sizes = self.n[by_size]
+        for j in range(len(self.cid)) if self.same else np.flatnonzero(~self.left):
+            lo = np.searchsorted(sizes, -(-SIMILARITY * self.n[j] // 100))
+            hi = np.searchsorted(sizes, 100 * self.n[j] // SIMILARITY, "right")
+            i = by_size[lo:hi]
+            i = i[(self.comp[i] != self.comp[j]) & ((i < j) | (not self.same))]
+            agree, filled, at = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), 0
+            for look in LOOKS:
+                if not len(i):
+                    break
+                x, y = self.bins[i, at:look], self.bins[j, at:look]
+                agree = agree + ((x == y) & (x > 0)).sum(1)
+                filled = filled + ((x > 0) | (y > 0)).sum(1)
+                at = look
+                keep = agree >= self.least[filled]
+                i, agree, filled = i[keep], agree[keep], filled[keep]
+            if len(i):
+                yield j, i[np.argsort(-agree / np.maximum(filled, 1), kind="stable")]
+
+
 def across(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, width: int, miss: float) -> DataFrame:
     """Links (a, b) between components, verified, that join what buckets still hold apart."""
-    placed = members.withColumn("rank", F.expr(RANK)).join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    buckets = placed.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "rank").alias("hub_comp"))
-    # with two members the hub has met the other one
-    mixed = buckets.where("k > 2 and lo <> hi").select("band", "hub_comp")
-    near = stored(placed.select("band", "cid", "comp").join(mixed, "band").select("hub_comp", "cid", "comp").distinct())
+    near = stored(neighbourhoods(members, comps))
     need = stored(near.select("cid").distinct().join(classes.select("cid", "row_key"), "cid"))
-    sizes = near.groupBy("hub_comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = near.join(sizes, "hub_comp").join(classes.select("cid", "n"), "cid").join(sketches(need, docs, width), "cid")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    minor = F.col("comp") != F.col("hub_comp")
-    rows = rows.withColumn("block", F.explode(F.when(minor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-    rows = rows.select("hub_comp", "block", "cid", "comp", "n", "sketch", "size", "body", minor.alias("minor"), (F.col("own") == F.col("block")).alias("own"))
+    made = stored(sketches(need, docs, width).join(classes.select("cid", "n"), "cid"))
     least = least_of_bins(SIMILARITY / 100, miss)
+    rows = dealt(near).join(made.select("cid", "n", "sketch"), "cid").select(*GROUP, "left", "cid", "comp", "n", "sketch")
 
-    def run(table: pa.Table) -> pa.Table:
-        column = lambda k: table[k].to_numpy()
-        cid, comp, n, size = (column(k) for k in ("cid", "comp", "n", "size"))
-        is_minor, own = column("minor").astype(bool), column("own").astype(bool)
-        order = np.argsort(cid)
-        cid, comp, n, size, is_minor, own = (v[order] for v in (cid, comp, n, size, is_minor, own))
-        bodies = table["body"].take(pa.array(order))
-        bins = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(cid), SKETCH)[order]
-        codec, sets, parent = pa.Codec("zstd"), {}, {}
+    def look(table: pa.Table) -> pa.Table:
+        group, has = _Group(table, least), np.zeros(table.num_rows, bool)
+        for j, i in group.partners():
+            has[i] = has[j] = True
+        at = np.flatnonzero(has)
+        key = [pa.array([table[k][0].as_py()] * len(at), table[k].type) for k in GROUP]
+        return pa.Table.from_arrays([*key, pa.array(group.cid[at])], [*GROUP, "cid"])
+
+    def confirm(table: pa.Table) -> pa.Table:
+        group = _Group(table, least)
+        bodies, size = table["body"].take(pa.array(group.rows)), table["size"].to_numpy()[group.rows]
+        codec, sets, parent, out = pa.Codec("zstd"), {}, {}, []
 
         def root(c):
             while parent.get(c, c) != c:
                 c = parent[c]
             return c
 
-        def set_of(i):
-            if i not in sets:
-                if len(sets) >= 3000:
+        def set_of(k):
+            if k not in sets:
+                if len(sets) >= 1000:
                     sets.clear()
-                data = codec.decompress(bodies[int(i)].as_py(), int(size[i]), asbytes=True) if size[i] else b""
-                sets[i] = shingles(np.frombuffer(data, np.uint8), np.array([0, len(data)]), width)[0]
-            return sets[i]
-
-        left, out = np.flatnonzero(own), []
-        for j in np.flatnonzero(is_minor):
-            i = left[(comp[left] != comp[j]) & (100 * np.minimum(n[left], n[j]) >= SIMILARITY * np.maximum(n[left], n[j]))]
-            # of two others that are both at home here, one looks for the other
-            i = i[~(is_minor[i] & own[j] & (cid[i] > cid[j]))]
-            agree, filled, at = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), 0
-            for look in LOOKS:
-                x, y = bins[i, at:look], bins[j, at:look]
-                agree = agree + ((x == y) & (x > 0)).sum(1)
-                filled = filled + ((x > 0) | (y > 0)).sum(1)
-                at = look
-                keep = agree >= least[filled]
-                i, agree, filled = i[keep], agree[keep], filled[keep]
-            for x in i[np.argsort(-agree / np.maximum(filled, 1), kind="stable")]:
+                data = codec.decompress(bodies[int(k)].as_py(), int(size[k]), asbytes=True) if size[k] else b""
+                sets[k] = shingles(np.frombuffer(data, np.uint8), np.array([0, len(data)]), width)[0]
+            return sets[k]
+
+        cid, comp, n = group.cid, group.comp, group.n
+        for j, i in group.partners():
+            for x in i:
                 p, q = root(int(comp[x])), root(int(comp[j]))
                 if p == q:
                     continue
@@ -338,7 +408,11 @@ def across(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataF
                     out.append((int(max(cid[x], cid[j])), int(min(cid[x], cid[j]))))
         return pa.Table.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
-    return rows.groupBy("hub_comp", "block").applyInArrow(run, LINKS)
+    open_ = stored(rows.groupBy(*GROUP).applyInArrow(look, FOUND))
+    again = dealt(near).join(open_, [*GROUP, "cid"]).join(made, "cid").select(*GROUP, "left", "cid", "comp", "n", "sketch", "size", "body")
+    links = stored(again.groupBy(*GROUP).applyInArrow(confirm, LINKS))
+    forget(near, need, made, open_)
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, miss: float = MISS) -> DataFrame:
@@ -350,38 +424,36 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, miss: float = MISS) -
     members = classes.select("cid", "rep", F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.min_by("cid", F.expr(RANK)).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     pairs = members.select("cid", "band").withColumnRenamed("cid", "a").join(hubs, "band").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    tested = stored(verify(stored(prune(pairs, classes, miss)), classes, docs, width))
-    comps = components(tested.where("linked"))
-    more = stored(across(members, classes, comps, docs, width, miss))
+    likely = stored(prune(pairs, classes, miss))
+    links = stored(verify(likely, classes, docs, width).where("linked").select("a", "b"))
+    comps = components(links)
+    more = across(members, classes, comps, docs, width, miss)
     if not more.isEmpty():
-        comps = components(tested.where("linked").select("a", "b").union(more))
+        comps = components(links.union(more))
     labelled = classes.join(comps, "cid", "left").select("d1", "d2", "rep", F.coalesce("comp", "cid").alias("comp"))
     least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    labelled = labelled.join(least, "comp").select("d1", "d2", "component_id")
+    labelled = stored(labelled.join(least, "comp").select("d1", "d2", "component_id"))
+    forget(likely, links, more, comps, classes)
     out = found.where("n > 0").join(labelled, ["d1", "d2"]).select("doc_id", "n", "component_id", "row_key")
     out = out.unionByName(found.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "row_key"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
 
 
-#: A name of ours for the key among a table's own columns.
-KEY = "_near_row_key"
-
-
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """The rows, without those of which another row of the same component stays; of rows that share the id that stays one does. Rows
     without doc_id go if a row with one is in their component, and else stay."""
     flagged = stored(near_duplicates(docs, width))
     # one row of each component, told by its key; rows with an empty set, and components without any id, stay as they are
     best = flagged.where("kept and n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("_n"))
-    names = docs.columns
-    stay = best.select("row_key").union(flagged.where("n_shingles = 0 or component_id is null").select("row_key")).distinct().withColumnRenamed("row_key", KEY)
-    rows = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(stay, KEY, "left_semi")
-    repeated = best.where("_n > 1").select(F.col("row_key").alias(KEY))
+    names, key, number = [F.col(f"`{n}`") for n in docs.columns], free_name(docs, "key"), free_name(docs, "number")
+    stay = best.select("row_key").union(flagged.where("n_shingles = 0 or component_id is null").select("row_key")).distinct().withColumnRenamed("row_key", key)
+    rows = docs.withColumn(key, _row_key()).join(stay, key, "left_semi")
+    repeated = best.where("_n > 1").select(F.col("row_key").alias(key))
     if repeated.isEmpty():
         return rows.select(*names)
-    alike = stored(rows.join(repeated, KEY, "left_semi").withColumn("_near_number", F.monotonically_increasing_id()))
-    first = alike.groupBy(KEY).agg(F.min("_near_number").alias("_near_number"))
-    return rows.join(repeated, KEY, "left_anti").select(*names).unionByName(alike.join(first, [KEY, "_near_number"], "left_semi").select(*names))
+    alike = stored(rows.join(repeated, key, "left_semi").withColumn(number, F.monotonically_increasing_id()))
+    first = alike.groupBy(key).agg(F.min(number).alias(number))
+    return rows.join(repeated, key, "left_anti").select(*names).unionByName(alike.join(first, [key, number], "left_semi").select(*names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

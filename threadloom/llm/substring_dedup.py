@@ -12,12 +12,12 @@ so with B = WINDOW / 2 a repeat can't pass the blocks by:
 Documents are packed into chunks of about CHUNK bytes (a longer document is one), written once to the shared folder.  A chunk sends each distinct hash
 once, with the smallest doc_id that has it there, and gets back a bit or a doc_id; texts that a third of all documents share
 thus cost a message a chunk, and no pair of documents is ever formed.  Anchors are proposed by short hashes, which only let
-too much through; the windows that decide are compared by hashes of twice as many bits as would tell all windows apart, and
-16 more.
+too much through; the windows that decide are compared by two hashes, of two independent hashes of their words, that together
+have twice as many bits as would tell all windows apart, and 16 more.
 
-Cases: null and empty texts have no words, and no kept words; texts under WINDOW words stay whole; a null doc_id counts as
-larger than all others; rows that share a doc_id don't remove each other's words; an empty table gives an empty result;
-extra columns are ignored.
+Cases: null and empty texts have no words, and no kept words; texts under WINDOW words stay whole; a text longer than CHUNK is a
+chunk by itself and is hashed whole; a null doc_id counts as larger than all others; rows that share a doc_id (repeated rows,
+ties) don't remove each other's words; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +39,6 @@ CHUNK = 1 << 20
 #: Hashes that meet in one group of the reduction, about.
 GROUP = 2_000_000
 NO_ID = np.int64(2**63 - 1)
-_SECOND = 0xA0761D6478BD642F | 5
 
 
 def planes(values: np.ndarray, n_bytes: int) -> bytes:
@@ -126,7 +125,7 @@ class _Packed:
     def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return windows(self.hashes, WINDOW)[at], windows(self.hashes, WINDOW, _SECOND)[at]
+        return windows(self.hashes, WINDOW)[at], windows(self.c.hashes(family=1), WINDOW)[at]
 
 
 def _cuts(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:

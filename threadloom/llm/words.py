@@ -6,6 +6,7 @@ so splitting UTF-8 bytes gives the same words as splitting code points.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,21 +20,12 @@ _FOLD[65:91] += 32
 TERMS = np.zeros(256, bool)
 TERMS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if n <= 1 << 23:
-            _POWERS[base] = have
-    return have[:n]
+#: Words of more bytes are hashed one by one, so that a word of megabytes takes no more steps than a short one.
+LONG = 128
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+#: The first k bytes of a little-endian block of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,25 +68,49 @@ class Chunk:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), self.n_words)
 
-    def hashes(self, first: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of its first bytes."""
-        n = len(self.buf)
-        if not hasattr(self, "_total"):
-            self._total = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * _powers(_R, n), out=self._total[1:])
-        ends = self.ends if first is None else np.minimum(self.ends, self.starts + first)
-        return mix((self._total[ends] - self._total[self.starts]) * _powers(_R_INV, n + 1)[self.starts] + (ends - self.starts).astype(np.uint64))
-
-
-def windows(hashes: np.ndarray, width: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
-    """A 64-bit hash of each `width` consecutive values, across documents too: len - width + 1."""
-    n = len(hashes)
-    if n < width:
+    def hashes(self, first: int | None = None, family: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first bytes: blocks of eight bytes, each mixed into what came before, so no
+        difference between two words cancels out as it can in a sum of powers. The two families share nothing but the words."""
+        sizes = self.ends - self.starts
+        if first is not None:
+            sizes = np.minimum(sizes, first)
+        out = mix(sizes.astype(np.uint64) + np.uint64(_SEEDS[family]))
+        if not len(sizes):
+            return out
+        padded = np.empty(len(self.buf) + 8, np.uint8)
+        padded[:-8], padded[-8:] = self.buf, 0
+        blocks = np.ndarray((len(self.buf) + 1,), "<u8", padded, strides=(1,))
+        out = mix(out ^ (blocks[self.starts] & _FIRST[np.minimum(sizes, 8)]))
+        at = np.flatnonzero((sizes > 8) & (sizes <= LONG))
+        done = 8
+        while len(at):
+            out[at] = mix(out[at] * _ODD ^ (blocks[self.starts[at] + done] & _FIRST[np.minimum(sizes[at] - done, 8)]))
+            done += 8
+            at = at[sizes[at] > done]
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            word = self.buf[self.starts[k] : self.starts[k] + sizes[k]]
+            out[k] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8, salt=b"%d" % family).digest(), "little")
+        return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _ODD ^ mix(b + np.uint64(0x632BE59BD9B4E019)))
+
+
+def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each `width` consecutive values, across documents too: len - width + 1. Windows of 1, 2, 4, ... values
+    are made of two halves each, and those that `width` is the sum of are joined."""
+    n = len(hashes) - width + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * _powers(base, n), out=total[1:])
-    inverse = pow(base, -1, 1 << 64)
-    return mix((total[width:] - total[: n - width + 1]) * _powers(inverse, n - width + 1))
+    half, size, out, done = hashes, 1, None, 0
+    while True:
+        if width & size:
+            out = half[:n] if out is None else _joined(out, half[done : done + n])
+            done += size
+        if done == width:
+            return out if width > 1 else mix(out)
+        half, size = _joined(half[:-size], half[size:]), 2 * size
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
