@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,26 +126,36 @@ def test_groups_of_a_neighbourhood_are_bounded_and_cover_all_pairs(spark, monkey
     assert want <= set(met) and set(met.values()) == {1}
 
 
-def test_exact(docs):
-    import re
-
-    rows = documents()
+def exact(rows):
+    """keep_id, group_size and digest of each row, and how many rows of each doc_id and digest stay."""
     text = lambda t: re.sub(SPACES, " ", t or "")
     groups = collections.defaultdict(list)
     for i, t, *_ in rows:
         groups[text(t)].append(i)
     keep = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
-    out = exact_dedup.exact_dedup(docs.drop("kept"))
-    assert rows_of(out, "doc_id", "keep_id", "group_size", "text_sha256") == sorted(((i, keep[text(t)], len(groups[text(t)]), sha(text(t))) for i, t, *_ in rows), key=repr)
-    stay = [r for r in out.collect() if r.kept]
-    assert collections.Counter(r.text_sha256 for r in stay) == collections.Counter(sha(t) for t in groups)
-    assert all(r.doc_id == r.keep_id for r in stay)
+    return sorted(((i, keep[text(t)], len(groups[text(t)]), sha(text(t))) for i, t, *_ in rows), key=repr), collections.Counter((keep[t], sha(t)) for t in groups)
 
 
-def test_exact_beyond_the_broadcast_bound(docs, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "BROADCAST_WORDS", 0)
+@pytest.mark.parametrize("bits, heavy", [(exact_dedup.ARRAY_BITS, exact_dedup.HEAVY), (64, exact_dedup.HEAVY), (64, 10), (exact_dedup.ARRAY_BITS, 10**9)])
+def test_exact(docs, bits, heavy, monkeypatch):
+    """All columns, with a filter of the usual size, one so full that it lets most rows through, and groups that are joined either way."""
+    monkeypatch.setattr(exact_dedup, "ARRAY_BITS", bits)
+    monkeypatch.setattr(exact_dedup, "HEAVY", heavy)
+    rows, stay = exact(documents())
     out = exact_dedup.exact_dedup(docs)
-    assert out.where("kept").count() == len({sha(__import__("re").sub(SPACES, " ", t or "")) for _, t, *_ in documents()})
+    assert out.columns == [*(c for c in docs.columns if c != "kept"), *exact_dedup.ADDED]
+    assert rows_of(out, "doc_id", "keep_id", "group_size", "text_sha256") == rows
+    assert collections.Counter((r.doc_id, r.text_sha256) for r in out.collect() if r.kept) == stay
+
+
+def test_copies_go_and_all_columns_stay(spark):
+    names = ["kept", "keep_id", "group_size", "text_sha256", "_maybe", "_kept", "_page0", "_ties", "sha", "id"]
+    rows = [(k, f"text {k % 4}", *(f"{n} {k}" for n in names)) for k in range(12)] + [(3, "text 3", *("again" for _ in names)), (None, None, *names), (None, "", *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    out = exact_dedup.drop_copies(df)
+    assert out.columns == df.columns
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) <= set(rows) and sorted((r[0] for r in got), key=repr) == [0, 1, 2, 3, None]
 
 
 def test_empty(empty):
@@ -152,3 +163,4 @@ def test_empty(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     assert near_dedup.drop_near_duplicates(empty).count() == 0
     assert exact_dedup.exact_dedup(empty).count() == 0
+    assert exact_dedup.drop_copies(empty).count() == 0
