@@ -8,8 +8,12 @@ by stepping back from its end.  Words in byte order are the depth-first order of
 current path is all of the trie that has to be kept.
 
 Whole texts are encoded as the tokenizers library does with add_special_tokens=False and no truncation or padding: the
-strings of special tokens in a text become those tokens; null counts as empty.  Empty texts have no tokens; repeated rows
-and shared or null doc_ids change nothing, as each row is encoded by itself; an empty table gives an empty result.
+strings of special tokens in a text become those tokens.
+
+Cases: null counts as empty, and empty texts have no tokens; a text of any length is encoded as one (its distinct words are put into the
+trie together, and what is remembered of words is bounded); repeated rows, ties and shared or null doc_ids change nothing, as each row
+is encoded by itself; an empty table gives an empty result; extra columns pass through `encode` and `decode`, which replace only a column
+of the name that they add, and are handed on by `encoded_and_checked` where `keep` names them.
 """
 
 from __future__ import annotations
@@ -29,9 +33,9 @@ from .frames import small_batches
 #: The pre-tokenizer's fixed pattern: contractions, letters, digits, other signs, and white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded words that a worker remembers, at most: those of late, and those before them.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Pairs of tokens of which it remembers whether they stay apart.
-PAIRS = 1_000_000
+PAIRS = 500_000
 
 
 def default_path() -> str:
@@ -61,6 +65,8 @@ class Codec:
             self.bytes_of[i] = b
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
+        #: of each token, its bytes; the last one is for no token
+        self.sizes = [*map(len, self.bytes_of), 0]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         #: of each token: the rank of the merge that makes it (-1: a byte) and its halves
         self.made: list[tuple[int, int, int]] = [(-1, -1, -1)] * len(self.bytes_of)
@@ -129,7 +135,7 @@ class Codec:
 
     def trie(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Distinct words with their tokens, in byte order."""
-        get, bytes_of, longest, apart = self.ids.get, self.bytes_of, self.longest, self.stays_apart
+        get, bytes_of, longest, apart, known, sizes = self.ids.get, self.bytes_of, self.longest, self.stays_apart, self.apart.get, self.sizes
         last: list[int] = [-1]  # of each prefix on the current path, the last token
         before = b""
         for word in sorted(words):
@@ -142,17 +148,26 @@ class Codec:
                     k += 1
             del last[k + 1 :]
             for end in range(k + 1, n + 1):
-                known = self.apart.get
-                for start in range(end - longest if end > longest else 0, end):
+                # exactly one token fits; mostly it begins where the last one did, or after that
+                likely = end - 1 - sizes[last[end - 1]]
+                for start in range(likely, end):
                     t = get(word[start:end])
-                    if t is None:
-                        continue
-                    if start:
+                    if t is not None:
+                        if not start:
+                            break
                         fits = known(last[start] << 32 | t)
-                        if not (apart(last[start], t) if fits is None else fits):
-                            continue
-                    last.append(t)
-                    break
+                        if apart(last[start], t) if fits is None else fits:
+                            break
+                else:
+                    for start in range(likely - 1, max(-1, end - longest - 1), -1):
+                        t = get(word[start:end])
+                        if t is not None:
+                            if not start:
+                                break
+                            fits = known(last[start] << 32 | t)
+                            if apart(last[start], t) if fits is None else fits:
+                                break
+                last.append(t)
             before, at, out = word, n, []
             while at:
                 out.append(last[at])
@@ -245,13 +260,18 @@ def decode(df: DataFrame, ids: str = "token_ids", into: str = "decoded", path: s
     return df.mapInArrow(run, schema)
 
 
-def encoded_and_checked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, ids: bool = True) -> DataFrame:
-    """doc_id, token_ids (if ids), n_tokens, ids_sha256, decoded_sha256: encodes, and decodes what came out."""
+def encoded_and_checked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, token_ids (if ids), n_tokens, ids_sha256, decoded_sha256: encodes, and decodes what came out.  keep: columns to hand on,
+    but for those that bear the name of one of these."""
     path = path or default_path()
     small_batches(docs.sparkSession)
     hexed = lambda b: hashlib.sha256(b).hexdigest()
     names = ["doc_id", *["token_ids"] * ids, "n_tokens", "ids_sha256", "decoded_sha256"]
-    kinds = {"doc_id": "long", "token_ids": "binary", "n_tokens": "long"}
+    keep = tuple(c for c in keep if c.lower() not in names)
+    # by place, so that a column may be called anything
+    thin = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"kept{k}") for k, c in enumerate(keep)))
+    made = [F.lit(b"").alias("token_ids")] * ids + [F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")]
+    schema = thin.select("doc_id", *made, *(f"kept{k}" for k in range(len(keep)))).schema
 
     def run(batches):
         c = codec(path)
@@ -259,10 +279,9 @@ def encoded_and_checked(docs: DataFrame, text: str = "text", doc_id: str = "doc_
             out = c.encode_batch(texts)
             back = [hexed(c.decode(b).encode("utf-8", "surrogatepass")) for b in out]
             own = [pa.array(out, pa.binary())] if ids else []
-            yield pa.RecordBatch.from_arrays([rows.column(0), *own, pa.array([len(b) // 4 for b in out], pa.int64()), pa.array(list(map(hexed, out)), pa.string()), pa.array(back, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([rows.column(0), *own, pa.array([len(b) // 4 for b in out], pa.int64()), pa.array(list(map(hexed, out)), pa.string()), pa.array(back, pa.string()), *rows.columns[2:]], [*names, *(f"kept{k}" for k in range(len(keep)))])
 
-    thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return thin.mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
+    return thin.mapInArrow(run, schema).select(*names, *(F.col(f"kept{k}").alias(c) for k, c in enumerate(keep)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

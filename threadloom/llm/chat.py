@@ -13,9 +13,12 @@ So that the formatted text is as clear as the ids, control strings inside texts
 the first sign, or one more where backslashes stand between it and the rest; taking one away gives the text back.  The loss mask
 covers the tokens of assistant texts: +1 where one begins, -1 where it ends, and a running sum.
 
-Cases: null text counts as empty, null role as the empty role; turns without a number come first, and turns with the same number
-by role and text; a null conv_id is a conversation of its own; repeated rows are repeated turns; an empty table gives an empty
-result; extra columns are ignored.
+Turns are encoded where they lie.  A conversation is then brought together, as its digest is one of its turns in a row; it streams
+through its task in order and is never held, so a long one takes time and no memory.
+
+Cases: null text counts as empty, null role as the empty role; a text of any length is one segment; turns without a number come first,
+and turns with the same number (ties) by role and text; a null conv_id is a conversation of its own; repeated rows are repeated turns;
+an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _some, codec, default_path
-from .frames import partitions
+from .frames import partitions, small_batches
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|role|>", "<|says|>", "<|end|>", "<|endoftext|>")
 BOS, EOS, USER, END_USER, SYSTEM, END_SYSTEM, ROLE, SAYS, END = range(9)
@@ -50,6 +53,17 @@ def unescape(text: str) -> str:
 TURNS = "conv_id long, turn long, token_ids array<int>, loss_mask array<tinyint>"
 
 
+class _Marks(dict):
+    """Bytes of a mark's id, by the first id past the vocabulary and the mark."""
+
+    def __missing__(self, key: tuple[int, int]) -> bytes:
+        self[key] = made = struct.pack("<I", sum(key))
+        return made
+
+
+_MARK = _Marks()
+
+
 def _segments(role: str) -> tuple[list[int], list[int], list[int]]:
     """Marks before, between role and text, and after."""
     return {"system": ([SYSTEM], [], [END_SYSTEM]), "user": ([USER], [], [END_USER]), "assistant": ([], [], [EOS])}.get(role, ([ROLE], [SAYS], [END]))
@@ -59,25 +73,33 @@ def encode_turns(rows: DataFrame, path: str | None = None) -> DataFrame:
     """A row for each turn: its ids and loss mask, and what it is sorted by."""
     path = path or default_path()
 
+    small_batches(rows.sparkSession)
+
     def run(batches):
         c = codec(path)
         base = len(c.bytes_of)
         for batch, texts in _some(batches, "text"):
             roles = [r or "" for r in batch.column(2).to_pylist()]
             bodies = c.encode_batch([escape(t) for t in texts])
-            names = c.encode_batch([escape(r) if _segments(r)[1] else "" for r in roles])
-            ids, masks = [], []
-            for role, name, body in zip(roles, names, bodies, strict=True):
-                before, between, after = _segments(role)
-                head = [base + m for m in before] + list(struct.unpack(f"<{len(name) // 4}I", name)) + [base + m for m in between]
-                own = struct.unpack(f"<{len(body) // 4}I", body)
-                ids.append(np.array([*head, *own, *(base + m for m in after)], np.int32))
-                steps = np.zeros(len(ids[-1]) + 1, np.int8)
-                if role == "assistant":
-                    steps[len(head)] += 1
-                    steps[len(head) + len(own)] -= 1
-                masks.append(np.cumsum(steps, dtype=np.int8)[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))], ["conv_id", "turn", "role", "text", "token_ids", "loss_mask"])
+            marks = [_segments(r) for r in roles]
+            other = [k for k, m in enumerate(marks) if m[1]]
+            names = dict(zip(other, c.encode_batch([escape(roles[k]) for k in other]), strict=True))
+            # every segment's ids, end to end, and the sizes of what stands before the text, of the text, and after it
+            parts, sizes = [], np.empty((len(roles), 3), np.int64)
+            for k, ((before, between, after), body) in enumerate(zip(marks, bodies, strict=True)):
+                name = names.get(k, b"")
+                parts += (*(_MARK[base, m] for m in before), name, *(_MARK[base, m] for m in between), body, *(_MARK[base, m] for m in after))
+                sizes[k] = len(before) + len(name) // 4 + len(between), len(body) // 4, len(after)
+            ids = np.frombuffer(b"".join(parts), "<i4").astype(np.int32)
+            ends = np.cumsum(sizes.sum(1))
+            starts = ends - sizes.sum(1) + sizes[:, 0]
+            learned = np.array([r == "assistant" for r in roles], bool)
+            steps = np.zeros(len(ids) + 1, np.int8)
+            np.add.at(steps, starts[learned], 1)
+            np.subtract.at(steps, (starts + sizes[:, 1])[learned], 1)
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, np.cumsum(steps[:-1], dtype=np.int8))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(texts, pa.string()), *lists], ["conv_id", "turn", "role", "text", "token_ids", "loss_mask"])
 
     thin = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     return thin.mapInArrow(run, "conv_id long, turn long, role string, text string, token_ids array<int>, loss_mask array<tinyint>")
@@ -121,31 +143,23 @@ class Reader:
     def text(self, ids: np.ndarray) -> str:
         return self.c.decode(ids.astype("<u4").tobytes())
 
-    def turn(self, ids: np.ndarray) -> tuple[str, str]:
-        """Role and text of one turn's ids."""
+    def read(self, ids: np.ndarray) -> tuple[str, str, int]:
+        """Role and text of one turn's ids, and the length of what they look like: each segment is decoded once."""
         marks = np.flatnonzero(ids >= self.base)
         kinds = (ids[marks] - self.base).tolist()
+        edges = [-1, *marks.tolist(), len(ids)]
+        between = [self.text(ids[a + 1 : b]) if b > a + 1 else "" for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        length = sum(map(len, between)) + sum(len(CONTROLS[k]) for k in kinds)
         if kinds[0] == BOS:
-            marks, kinds = marks[1:], kinds[1:]
-            start = 1
-        else:
-            start = 0
+            kinds, between = kinds[1:], between[1:]
         if kinds == [EOS]:
-            return "assistant", unescape(self.text(ids[start : marks[0]]))
+            return "assistant", unescape(between[0]), length
         for role, pair in (("user", [USER, END_USER]), ("system", [SYSTEM, END_SYSTEM])):
             if kinds == pair:
-                return role, unescape(self.text(ids[marks[0] + 1 : marks[1]]))
+                return role, unescape(between[1]), length
         if kinds != [ROLE, SAYS, END]:
             raise ValueError(f"no turn has the marks {kinds}")
-        return unescape(self.text(ids[marks[0] + 1 : marks[1]])), unescape(self.text(ids[marks[1] + 1 : marks[2]]))
-
-    def formatted(self, ids: np.ndarray) -> str:
-        marks = np.flatnonzero(ids >= self.base)
-        out, at = [], 0
-        for m in marks.tolist():
-            out += [self.text(ids[at:m]), CONTROLS[ids[m] - self.base]]
-            at = m + 1
-        return "".join([*out, self.text(ids[at:])])
+        return unescape(between[1]), unescape(between[2]), length
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -169,13 +183,14 @@ def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
                     if state is not None:
                         out.append(row())
                     last, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = reader.turn(ids)
+                role, text, length = reader.read(ids)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
-                learned = unescape(reader.text(ids[mask == 1]))
-                state[2] += len(learned)
-                state[3].update(learned.encode())
-                state[4] += len(reader.formatted(ids))
+                if mask.any():
+                    learned = unescape(reader.text(ids[mask == 1]))
+                    state[2] += len(learned)
+                    state[3].update(learned.encode())
+                state[4] += length
             if out:
                 yield _digest_rows(out)
         if state is not None:
