@@ -2,6 +2,13 @@
 
 Toxic documents go, of exact copies one stays, of near copies one stays, sources are mixed to their target weights (documents
 come back in training order, repeated where their source is), and what is left is encoded.
+
+Cases, in every stage but the last, which hands on all columns but the text: all columns of the table stay, whatever their names, and
+extra ones too; null and empty texts have no toxic term and stay unless the model holds an empty text for toxic, are copies of each other,
+have no near copies, and are never taken by the mix; texts of any length are judged whole; of repeated rows and ties one stays from exact
+dedup on; rows without a doc_id stay unless they are copies of a row that has one; an empty table gives an empty table.
+
+What stages store for themselves is deleted once their result is written, and each result once the next one is.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
-from threadloom.llm.frames import shared_dir
+from threadloom.llm.frames import clean, delete, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +42,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token_ids (little-endian unsigned 32-bit integers), n_tokens and digests of ids and of the decoded text."""
-    return bpe.encoded_and_checked(docs)
+    """doc_id, token_ids (little-endian unsigned 32-bit integers), n_tokens, digests of ids and of the decoded text, and the other columns
+    but the text itself."""
+    return bpe.encoded_and_checked(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("bpe", encode)]
@@ -48,9 +56,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    written = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{base}/{name}")
             docs = spark.read.parquet(f"{base}/{name}")
+            clean(spark)
+            if written:
+                delete(spark, written)
+            written = f"{base}/{name}"
     return docs
