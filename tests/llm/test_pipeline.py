@@ -91,7 +91,7 @@ def test_run(spark):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, DIR)
-    assert out.columns == ["doc_id", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert out.columns == ["doc_id", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256", "lang", "source", "n_chars"]
     assert out.count() > 0 and out.where(F.length("token_ids") != F.col("n_tokens") * 4).isEmpty()
 
 
