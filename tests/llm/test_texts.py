@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 import struct
 
 import pytest
@@ -221,6 +222,27 @@ def test_language_costs_against_the_definition():
         assert abs(got - want) < 1e-3
 
 
+def test_many_languages_and_long_texts(spark, monkeypatch):
+    """More languages than are held together, and texts that cross segments: the same code lengths, and every language is learned."""
+    import numpy as np
+
+    rng = random.Random(21)
+    alphabets = {f"l{k:02d}": rng.sample("abcdefghijklmnopqrstuvwxyzäöüñçß", 7) for k in range(40)}
+    text = lambda l, n: " ".join("".join(rng.choice(alphabets[l]) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    rows = [(k, text(l, 60), l, None, 0) for k, l in enumerate(list(alphabets) * 8)] + [(900, text("l39", 60_000), None, None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(language, "SEGMENT", 1000)
+    forest = language.fit(df, ~language.held_out(), together=7)
+    assert forest.langs == sorted(alphabets) and len(forest.groups) == 6
+    out = {r.doc_id: r for r in language.predict(df, forest, language.held_out()).collect()}
+    assert all(out[k].lang_pred == l for k, _, l, *_ in rows[:320]) and out[900].lang_pred == "l39"
+    texts = [t.encode() for _, t, *_ in rows[:50]] + [b"", b"ab", rows[320][1].encode()[:50_000]]
+    buf, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    parts = forest.bits(buf, offsets)
+    monkeypatch.setattr(language, "SEGMENT", 1 << 30)
+    assert np.allclose(parts, forest.bits(buf, offsets), rtol=1e-9)
+
+
 def test_toxicity_learns_pairs(spark, empty):
     """Neither an insult nor a group is enough; both together are."""
     rng, words = random.Random(3), vocabulary(3, 200)
@@ -244,6 +266,61 @@ def test_toxicity_learns_pairs(spark, empty):
     assert toxicity.drop_toxic(df, none).columns == df.columns
 
 
+def test_toxicity_learns_what_shows_in_pairs_only(spark):
+    """One of two terms, but not both: neither term says anything by itself."""
+    rng, words = random.Random(4), vocabulary(3, 200)
+    rows, labels = [], []
+    for k in range(1500):
+        w = [rng.choice(words) for _ in range(40)]
+        one, other = rng.random() < 0.5, rng.random() < 0.5
+        w += ["scumbag"] * one + ["martians"] * other
+        rng.shuffle(w)
+        rows.append((k, " ".join(w), None, None, 0))
+        labels.append((k, 1, int(one != other)))
+    df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(df, toxicity.fit(df, lab, ~toxicity.held_out()), toxicity.held_out()).collect()}
+    held = [(t, out[k].score >= 0.5) for k, _, t in labels if out[k].held_out]
+    assert len(held) > 300 and sum(a == b for a, b in held) >= 0.97 * len(held)
+
+
+def test_toxicity_scores_against_the_double_sum(spark):
+    """Every document's score is the sigmoid of its bias, weights and all products of pairs of factors, one by one."""
+    import math
+
+    import numpy as np
+
+    rng, words = random.Random(6), ["Scumbag", "martians", "élan", "ÉLAN", "averylongwordindeed", "a1b2", "x"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(200)] + [None, "", "x" * 300_000, "scumbag " * 60_000]
+
+    def features(text):
+        runs = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+        fold = [re.sub(rb"\xc3([\x80-\x96\x98-\x9e])", lambda m: bytes([0xC3, m[1][0] + 0x20]), r).lower() for r in runs]
+        return collections.Counter((r, None) for r in fold) + collections.Counter((r[:k], k) for r in fold for k in toxicity.PREFIXES if len(r) > k)
+
+    keys = sorted({(f, level) for t in texts for f, n in features(t).items() for level in range(1, toxicity.LEVELS + 1) if n >= level}, key=repr)
+
+    def code(f, level):
+        (word, k) = f
+        from threadloom.llm.words import Chunk, mix
+
+        c = Chunk(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+        h = c.hashes()[0] if k is None else mix(c.hashes() + np.uint64(k))[0]
+        return int(h) & ~3 | level
+
+    chosen = [x for x in keys if rng.random() < 0.7]
+    codes = {x: code(*x) for x in chosen}
+    terms = np.array(sorted(codes.values()), np.uint64)
+    place = {c: k for k, c in enumerate(terms.tolist())}
+    gen = np.random.default_rng(1)
+    w, v = gen.normal(0, 0.3, len(terms)), gen.normal(0, 0.2, (len(terms), 4))
+    model = toxicity.Machine(terms, -0.4, w, v)
+    df = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], DOCS)
+    for r in toxicity.score(df, model).collect():
+        own = sorted(place[codes[f, level]] for f, n in features(texts[r.doc_id]).items() for level in range(1, toxicity.LEVELS + 1) if n >= level and (f, level) in codes)
+        z = -0.4 + sum(w[i] for i in own) + sum(float(np.dot(v[i], v[j])) for a, i in enumerate(own) for j in own[:a])
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def _targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}

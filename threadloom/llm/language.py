@@ -6,12 +6,15 @@ and what it costs after the context shorter by one; below order 0 every byte cos
 escape, so costs add up along shorter contexts.)  Statistics are frozen after training, and a document goes to the language
 in which its whole text takes the fewest bits.
 
-Fitting: on about ROWS documents a language, drawn by a hash of doc_id among the rows that `learn` lets through, whole
-texts, for the LANGS languages with the most rows.  Trees branch at order 3 only below the CONTEXTS most frequent
-contexts.  Scoring covers every document.
-
-Cases: null texts and texts without a letter are `und` with score 0; with nothing to learn from all are `und`; repeated rows
-and shared or null doc_ids change nothing (rows without doc_id aren't learned from); an empty table gives an empty result.
+Fitting: on about ROWS documents of every language, drawn by a hash of doc_id among the rows that `learn` lets through, whole texts.  Trees
+are pruned by count: a context of three bytes branches if it was seen once in SHARE bytes of its group of languages, so that there are
+SHARE of them at most.  Languages are held TOGETHER at a time: each group of them has tables of its own, of a bounded
+size, and a text is read once for each group.  Scoring covers every document, in runs of SEGMENT bytes.
+
+Cases: null texts and texts without a letter are `und` with score 0; with nothing to learn from all are `und`; a text of any length is
+coded whole, in bounded memory; of languages that take equally many bits (ties) the first in code point order wins; repeated rows and shared
+or null doc_ids change nothing (rows without doc_id aren't learned from); an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +27,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import small_batches
+from .frames import forget, small_batches, stored
 from .words import slices
 
 ROWS = 300
-LANGS = 64
-CONTEXTS = 1 << 15
+SHARE = 1 << 17
+TOGETHER = 16
+SEGMENT = 1 << 20
 _LETTER = regex.compile(r"\p{L}").search
 
 
@@ -37,15 +41,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2
 
 
-def _grams(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """At each byte, it and the three before, the last in the low byte; before a text stand line feeds."""
-    g = np.zeros(len(buf), np.uint32)
+def _grams(buf: np.ndarray, offsets: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """At each byte from lo to hi, it and the three before, the last in the low byte; before a text stand line feeds."""
+    hi = len(buf) if hi is None else hi
+    g = np.zeros(hi - lo, np.uint32)
+    near = offsets[np.searchsorted(offsets, lo - 3) : np.searchsorted(offsets, hi)]
+    ends = offsets[1:][np.searchsorted(offsets[1:], near, "right")] if len(near) else near
     for k in range(4):
-        b = np.full(len(buf), 10, np.uint32)
-        b[k:] = buf[: len(buf) - k]
+        b = np.full(hi - lo, 10, np.uint32)
+        skip = max(0, k - lo)
+        b[skip:] = buf[lo + skip - k : hi - k]
         for j in range(k):
-            at = offsets[:-1] + j
-            b[at[at < offsets[1:]]] = 10
+            at = near + j
+            at = at[(at < ends) & (at >= lo) & (at < hi)]
+            b[at - lo] = 10
         g |= b << np.uint32(8 * k)
     return g
 
@@ -111,8 +120,7 @@ class Trees:
         self.three = np.vstack([np.zeros(n), three]).astype(np.float32)
 
         c, inv, t, d = contexts(keys, ns)
-        keep = np.zeros(len(c), bool)
-        keep[np.argsort(-t.sum(1), kind="stable")[:CONTEXTS]] = True
+        keep = t.sum(1) >= ns.sum() / SHARE
         mine = keep[inv]
         k4, n4, inv4 = keys[mine], ns[mine], inv[mine]
         place = np.cumsum(keep)
@@ -129,41 +137,53 @@ class Trees:
 
     def bits(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code lengths of documents by languages."""
-        n = len(offsets) - 1
-        if not len(buf):
-            return np.zeros((n, len(self.langs)))
-        g = _grams(buf, offsets)
-        node3 = self.node3[self.context2[(g >> np.uint32(8)) & np.uint32(0xFFFF)] * 256 + buf]
-        before = np.empty_like(node3)
-        before[1:] = node3[:-1]
-        first = offsets[:-1][offsets[:-1] < offsets[1:]]
-        before[first] = self.node3[self.context2[0x0A0A] * 256 + 10]
-        context3 = self.context3[before]
-        node4 = self.node4[context3 * 256 + buf]
+        out = np.zeros((len(offsets) - 1, len(self.langs)))
+        for lo in range(0, len(buf), SEGMENT):
+            hi = min(len(buf), lo + SEGMENT)
+            costs = self._costs(_grams(buf, offsets, lo, hi))
+            # the documents that have a byte here
+            first, last = int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, hi, "left"))
+            own = np.arange(first, last)
+            own = own[offsets[own] < offsets[own + 1]]
+            out[own] += np.add.reduceat(costs, np.maximum(offsets[own] - lo, 0), axis=0, dtype=np.float64)
+        return out
+
+    def _costs(self, g: np.ndarray) -> np.ndarray:
+        """Bits of each byte by languages, from it and the three before it."""
+        low3 = lambda x: self.node3[self.context2[(x >> np.uint32(8)) & np.uint32(0xFFFF)] * 256 + (x & np.uint32(255)).astype(np.int64)]
+        context3 = self.context3[low3(g >> np.uint32(8))]
+        node4 = self.node4[context3.astype(np.int64) * 256 + (g & np.uint32(255))]
         costs = self.four[node4]
         no4 = np.flatnonzero(node4 == 0)
-        low = node3[no4]
+        g4 = g[no4]
+        low = low3(g4)
         less = self.three[low] + self.escape3[context3[no4]]
         no3 = np.flatnonzero(low == 0)
-        g3 = g[no4[no3]]
+        g3 = g4[no3]
         less[no3] += self.escape2[self.context2[(g3 >> np.uint32(8)) & np.uint32(0xFFFF)]] + self.two_bytes[g3 & np.uint32(0xFFFF)]
         costs[no4] = less
-        out = np.zeros((n, len(self.langs)))
-        full = np.flatnonzero(offsets[:-1] < offsets[1:])
-        out[full] = np.add.reduceat(costs, offsets[full], axis=0, dtype=np.float64)
-        return out
+        return costs
+
+
+class Forest:
+    """Trees of languages, TOGETHER at a time."""
+
+    def __init__(self, groups: list[Trees]):
+        self.groups = groups
+        self.langs = [lang for g in groups for lang in g.langs]
+
+    def bits(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return np.hstack([g.bits(buf, offsets) for g in self.groups])
 
 
-def fit(docs: DataFrame, learn: Column, rows: int = ROWS, langs: int = LANGS) -> Trees | None:
+def fit(docs: DataFrame, learn: Column, rows: int = ROWS, together: int = TOGETHER) -> Forest | None:
     """Trees from docs (doc_id, text, lang)."""
     small_batches(docs.sparkSession)
     can = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = can.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
-    if not sizes:
-        return None
-    share = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(min(1.0, rows / r.n))) for r in sizes))
-    drawn = can.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_003)) < share * 1_000_003)
-    names = sorted(r.lang for r in sizes)
+    # a row for each language, joined and not listed in an expression: there may be many
+    sizes = can.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("_n"))
+    drawn = can.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_003)) < share * 1_000_003)
 
     def run(batches):
         sums: dict[str, Counter] = {}
@@ -176,20 +196,28 @@ def fit(docs: DataFrame, learn: Column, rows: int = ROWS, langs: int = LANGS) ->
         for lang, c in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], ["lang", "gram", "n"])
 
-    grams = drawn.select(F.col("text").cast("string").alias("text"), "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counts: dict[int, np.ndarray] = {}
-    for lang, gram, n in zip(grams["lang"], grams["gram"], grams["n"], strict=True):
-        counts.setdefault(int(gram), np.zeros(len(names)))[names.index(lang)] += n
-    return Trees(names, counts) if counts else None
+    grams = stored(drawn.select(F.col("text").cast("string").alias("text"), "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    names = sorted(r.lang for r in grams.select("lang").distinct().collect())
+    groups = []
+    for at in range(0, len(names), together):
+        own = names[at : at + together]
+        found = grams.where(F.col("lang").isin(own)).toArrow()
+        keys, inverse = np.unique(found["gram"].to_numpy(), return_inverse=True)
+        counts = np.zeros((len(keys), len(own)))
+        place = {lang: k for k, lang in enumerate(own)}
+        counts[inverse, np.array([place[x] for x in found["lang"].to_pylist()], np.int64)] = found["n"].to_numpy()
+        groups.append(Trees(own, dict(zip(keys.tolist(), counts, strict=True))))
+    forget(grams)
+    return Forest(groups) if groups else None
 
 
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def predict(docs: DataFrame, trees: Trees | None, hold: Column | None = None) -> DataFrame:
+def predict(docs: DataFrame, trees: Forest | None, hold: Column | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the best language's posterior, all being as likely before)."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # of a size bounded by LANGS, CONTEXTS and bytes
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # of a size bounded for each language by SHARE and ROWS
 
     def run(batches):
         trees = shared.value

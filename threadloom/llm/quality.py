@@ -4,11 +4,13 @@ Base counts are exact.  The method: each language's reference is the histogram o
 over all its documents (the common words are the COMMON most frequent words of any length, told by 64-bit hashes, A-Z
 folded; all others share one bin).  A document of at least MIN_WORDS words is kept if the Jensen-Shannon distances (square root of the
 divergence in bits, 0 to 1) of both its histograms from its language's references stay under the limits.  Shorter ones
-are judged by the base rules alone.  A language that is null, or not among the LANGS with the most rows, is compared
-to the reference of all documents together.
+are judged by the base rules alone.  Every language of at least REFERENCE_WORDS words has a reference of its own (CLASSES + COMMON + 1
+numbers, which is what a language adds to the broadcast); the documents of others, and of none, are compared to the reference of all
+documents together.
 
-Cases: null and empty texts have zero counts and fail the base rule; repeated rows and shared or null doc_ids change nothing,
-rows being judged one by one; an empty table gives an empty result; extra columns are ignored.
+Cases: null and empty texts have zero counts and fail the base rule; a text of any length is counted whole; repeated rows, ties and shared
+or null doc_ids change nothing, rows being judged one by one (repeats count in the references); among words that are equally frequent the
+smaller hash is the more common one; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import small_batches, stored
-from .words import Chunk, mix, slices, windows
+from .words import IS_WORD, Chunk, mix, slices, windows
 
 COMMON = 48
-LANGS = 256
+#: A language with fewer words is too small to be a reference.
+REFERENCE_WORDS = 1000
 MIN_WORDS = 50
 MAX_CHAR_DISTANCE = 0.30
 #: For the words the limit is MAX_WORD_DISTANCE + WORD_SLACK / sqrt(n_words): a short text strays further by chance.
@@ -44,12 +47,18 @@ _SYMBOL = _CLASS == 6
 _LEADS = (np.arange(256) & 0xC0) != 0x80
 
 
+def _per_document(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each document a mask holds."""
+    out, full = np.zeros(len(offsets) - 1, np.int64), np.flatnonzero(offsets[:-1] < offsets[1:])
+    if len(full):
+        out[full] = np.add.reduceat(mask.view(np.int8), offsets[full], dtype=np.int64)
+    return out
+
+
 def _classes(c: Chunk, raw: np.ndarray) -> np.ndarray:
     """Documents by classes."""
     kinds = _CLASS[raw]
-    seen = kinds != 255
-    doc = np.repeat(np.arange(c.n_docs), np.diff(c.offsets))
-    return np.bincount(doc[seen] * CLASSES + kinds[seen], minlength=c.n_docs * CLASSES).reshape(c.n_docs, CLASSES)
+    return np.stack([_per_document(kinds == k, c.offsets) for k in range(CLASSES)], 1)
 
 
 def _summed(keys: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +98,6 @@ def references(docs: DataFrame) -> dict:
                 own = of_doc == k
                 for key, n in enumerate(classes[own].sum(0)):
                     sums[lang, 0, key] += int(n)
-                sums[lang, 2, 0] += int(own.sum())
                 keys, ns = np.unique(words[of_word == k], return_counts=True)
                 if len(keys):
                     held = counted.setdefault(lang, ([], []))
@@ -109,8 +117,9 @@ def references(docs: DataFrame) -> dict:
 
     thin = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = stored(thin.mapInArrow(run, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
-    known = [r.lang for r in counts.where("kind = 2 and lang is not null").orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
-    named = counts.where(F.col("lang").isin(known)) if known else counts.limit(0)
+    large = counts.where("kind = 1 and lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") >= REFERENCE_WORDS).select("lang")
+    known = sorted(r.lang for r in large.collect())
+    named = counts.join(F.broadcast(large), "lang", "left_semi")
     everything = counts.groupBy("kind", "key").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "kind", "key", "n")
     out = {}
     found: dict = defaultdict(list)
@@ -182,12 +191,6 @@ def quality(docs: DataFrame, refs: dict | None = None) -> DataFrame:
         for batch, buf, offsets in slices(batches):
             c, raw = Chunk(buf, offsets, fold=True), buf
             words = c.n_words
-            inside = np.zeros(len(buf) + 1, np.int64)
-            inside[c.starts] += 1
-            np.subtract.at(inside, c.ends, 1)
-            leads = np.concatenate([[0], np.cumsum((np.cumsum(inside[:-1]) > 0) & _LEADS[raw])])
-            symbols = np.concatenate([[0], np.cumsum(_SYMBOL[raw])])
-            per = lambda s: s[offsets[1:]] - s[offsets[:-1]]
             data = raw.tobytes()
             lines = [duplicate_lines(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             repeats = repeated_words(c, Chunk(raw, offsets).hashes())
@@ -208,7 +211,7 @@ def quality(docs: DataFrame, refs: dict | None = None) -> DataFrame:
                 terms[own] = distance(counts / np.maximum(1, counts.sum(1, keepdims=True)), q)
             long = words >= MIN_WORDS
             bad = long & ((chars > MAX_CHAR_DISTANCE) | (terms > MAX_WORD_DISTANCE + WORD_SLACK / np.sqrt(np.maximum(words, 1))))
-            cols = [batch.column(0), words, per(leads), per(symbols), np.array(lines, np.int64), repeats, failed, ~(failed | bad), pa.array(chars, mask=~long), pa.array(terms, mask=~long)]
+            cols = [batch.column(0), words, _per_document(IS_WORD[raw] & _LEADS[raw], offsets), _per_document(_SYMBOL[raw], offsets), np.array(lines, np.int64), repeats, failed, ~(failed | bad), pa.array(chars, mask=~long), pa.array(terms, mask=~long)]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], [x.split()[0] for x in OUT.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, OUT)

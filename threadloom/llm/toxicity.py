@@ -5,14 +5,17 @@ ones, so that inflected forms meet; a document's features are the terms that it
 score is the sigmoid of w0 + sum w_i + sum over pairs <v_i, v_j>, so an insult and a group mention can weigh more together
 than apart.  The pairwise sum takes linear time: half of |sum v|^2 - sum |v|^2.
 
-Fitting: on about SAMPLE labelled rows, drawn by a hash of doc_id among those that `learn` lets through; of texts with equal
-features one is used.  Terms enter the model if their chi-square against the label reaches CHI2 and at least MIN_DOCS sampled
-documents have them, at most TERMS_KEPT of them, the strongest first; this bounds the model whatever the corpus holds.
-Scoring covers every document's whole text.
-
-Cases: null and empty texts have no terms and score sigmoid(w0); without labels, or with labels of one kind, every score is
-the share of toxic labels (0 without any); labels repeated for a doc_id count once, the larger one; rows that share a doc_id
-share its label; null doc_ids and null labels aren't learned from; an empty table gives an empty result.
+Fitting: on about SAMPLE labelled rows, drawn by a hash of doc_id among those that `learn` lets through; of texts with equal features one
+is used.  A term enters the model by itself if its chi-square against the label reaches CHI2 and at least MIN_DOCS sampled documents have
+it (the TERMS_KEPT strongest); or by a pair: of the PAIR_TERMS terms that divide the sample most evenly all pairs are counted, and the two
+terms of a pair enter if the chi-square of having both, or of having just one of them, exceeds those of the terms by PAIR_CHI2 (the
+PAIRS_KEPT strongest).  So terms that say nothing alone, and much together, are learned too; the model's size is bounded whatever the corpus
+holds.  Scoring covers every document's whole text.
+
+Cases: null and empty texts have no terms and score sigmoid(w0); a text of any length is scored whole; without labels, or with labels of
+one kind, every score is the share of toxic labels (0 without any); labels repeated for a doc_id (ties) count once, the larger one; rows
+that share a doc_id share its label; null doc_ids and null labels aren't learned from; repeated rows score the same; an empty table gives
+an empty result; extra columns are ignored by `score`, and `drop_toxic` hands all columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import small_batches, stored
+from .frames import forget, small_batches, stored
 from .words import TERMS, Chunk, mix, slices
 
 PREFIXES = (5, 7)
@@ -31,6 +34,7 @@ SAMPLE = 12_000
 CHI2 = 12.0
 MIN_DOCS = 4
 TERMS_KEPT = 4000
+PAIR_TERMS, PAIR_CHI2, PAIRS_KEPT = 1024, 50.0, 500
 FACTORS = 8
 THRESHOLD = 0.7
 
@@ -166,9 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
     # the fourfold table: a, b toxic and others with the feature; c, d without
     each = each.withColumns({"b": F.col("m") - F.col("a"), "c": F.lit(float(pos)) - F.col("a")}).withColumn("d", F.lit(float(n - pos)) - F.col("b"))
     chi2 = F.lit(float(n)) * F.pow(F.expr("a * d - b * c"), 2) / F.expr("(a + b) * (c + d) * (a + c) * (b + d)")
-    best = each.where(F.col("m") >= MIN_DOCS).where(F.expr("c + d > 0 and a + c > 0 and b + d > 0")).withColumn("chi2", chi2).where(F.col("chi2") >= CHI2)
-    terms = np.sort(np.array([r.f for r in best.orderBy(F.desc("chi2"), "f").limit(TERMS_KEPT).select("f").collect()], np.int64).astype(np.uint64))
-    wanted = docs.sparkSession.sparkContext.broadcast(terms)
+    each = each.where(F.col("m") >= MIN_DOCS)
+    best = each.where(F.expr("c + d > 0 and a + c > 0 and b + d > 0")).withColumn("chi2", chi2).where(F.col("chi2") >= CHI2)
+    of = lambda df: np.sort(np.array([r.f for r in df.select("f").collect()], np.int64).astype(np.uint64))
+    strong = of(best.orderBy(F.desc("chi2"), "f").limit(TERMS_KEPT))
+    even = of(each.orderBy(F.desc(F.col("m") * (F.lit(float(n)) - F.col("m"))), "f").limit(PAIR_TERMS))
+    wanted = docs.sparkSession.sparkContext.broadcast(np.union1d(strong, even))  # TERMS_KEPT + PAIR_TERMS numbers at most
 
     def choose(batches):
         for batch in batches:
@@ -177,7 +184,39 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], ["digest", "toxic", "terms"])
 
     drawn = found.select("digest", "toxic", "features").mapInArrow(choose, "digest long, toxic int, terms binary").orderBy("digest").collect()
-    return train(terms, [np.frombuffer(r.terms, np.uint64) for r in drawn], np.array([float(r.toxic > 0) for r in drawn]))
+    forget(found)
+    owned, toxic = [np.frombuffer(r.terms, np.uint64) for r in drawn], np.array([float(r.toxic > 0) for r in drawn])
+    terms = np.union1d(strong, paired(even, owned, toxic))
+    return train(terms, [x[np.isin(x, terms)] for x in owned], toxic)
+
+
+def _chi2(pos_in: np.ndarray, n_in: np.ndarray, pos: float, n: float) -> np.ndarray:
+    """Of indicators that hold in n_in documents, pos_in of them toxic, out of n, pos of them toxic."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = n * (pos_in * n - n_in * pos) ** 2 / (n_in * (n - n_in) * pos * (n - pos))
+    return np.where((n_in > 0) & (n_in < n), out, 0.0)
+
+
+def paired(terms: np.ndarray, docs: list[np.ndarray], labels: np.ndarray, least: float = PAIR_CHI2, kept: int = PAIRS_KEPT) -> np.ndarray:
+    """Those of sorted terms that tell more about the label in a pair than by themselves."""
+    n, pos, m = len(docs), float(labels.sum()), len(terms)
+    if m < 2 or pos in (0, n):
+        return terms[:0]
+    both, toxic = np.zeros((m, m)), np.zeros((m, m))
+    for at in range(0, n, 1000):
+        x = np.array([np.isin(terms, d) for d in docs[at : at + 1000]], np.float32)
+        both += x.T @ x
+        x = x[labels[at : at + 1000] > 0]
+        toxic += x.T @ x
+    alone_n, alone_pos = np.diag(both), np.diag(toxic)
+    alone = _chi2(alone_pos, alone_n, pos, n)
+    one_n, one_pos = alone_n[:, None] + alone_n - 2 * both, alone_pos[:, None] + alone_pos - 2 * toxic
+    # a pair has to be there often enough, and to be absent often enough, to be told from chance
+    enough = (np.minimum(both, one_n) >= MIN_DOCS) | (one_n >= MIN_DOCS)
+    gain = np.maximum(_chi2(toxic, both, pos, n), _chi2(one_pos, one_n, pos, n)) - np.maximum(alone[:, None], alone)
+    a, b = np.nonzero(np.triu(enough & (gain >= least), 1))
+    first = np.argsort(-gain[a, b], kind="stable")[:kept]
+    return np.unique(terms[np.concatenate([a[first], b[first]])])
 
 
 OUT = "doc_id long, held_out boolean, score double, predicted int"

@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+IS_WORD = np.ones(256, bool)
+IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 #: For terms without the punctuation at their edges: ASCII letters and digits, and all bytes over 127.
@@ -44,7 +44,7 @@ class Chunk:
     buf: uint8; offsets: int64, one more than documents; fold: A-Z to lower case; table: which bytes words are made of.
     """
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, fold: bool = False, table: np.ndarray = _IS_WORD):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, fold: bool = False, table: np.ndarray = IS_WORD):
         self.buf = _FOLD[buf] if fold else buf
         self.offsets = offsets
         self.n_docs = len(offsets) - 1
