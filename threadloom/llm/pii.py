@@ -7,21 +7,33 @@ permutation is applied again until it lands on a valid one (cycle walking), whic
 
     email      letters and digits of all but the last label
     card       13 to 19 digits that pass the Luhn test (others stay as they are); all but the last are permuted and the last is set to pass it
-    phone      digits after the country code, the first not changed to or from 0 or 1
-    ip         four octets, each 0 to 255
-    iban       signs after the check digits, which are set to pass the test modulo 97
+    phone      the digits after the country code, the first not changed to or from 0 or 1; the code is that of a number that begins with +,
+               so +1 (415) 555-0132 and +14155550132 are one value; without + a leading 0 stays
+    ip         four octets, each 0 to 255; of IPv6 addresses the hexadecimal digits
+    iban       signs after the check digits, which are set to pass the test modulo 97; where more signs follow that fit the pattern, the
+               longest run of groups that passes the test
     ssn        digits, cycle-walked to valid areas, groups and serials
-    date       days from 1900-01-01 to 2099-12-31, written as found (yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy, or mm/dd/yyyy if only that is valid)
-    secret     32 hexadecimal digits or more
+    date       days from 1900-01-01 to 2099-12-31, written as found: yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy, or mm/dd/yyyy if only that is
+               valid, with or without leading zeros, with - . or /.  A day stays within its shape (whether day and month are under 10,
+               and whether the day is over 12), so it is read the same way again, and has one pseudonym in whatever way it is written
+    secret     32 hexadecimal digits or more; access keys of the forms AKIA..., sk_live_... (sk, pk, rk; live, test), ghp_..., xoxb-...:
+               what follows their fixed beginning
 
-Cases: null text stays null with no finds; empty texts stay empty; repeated rows and shared or null doc_ids change nothing,
-as each row is treated by itself; an empty table gives an empty result; extra columns are ignored.
+A find starts where the one before it ends, e-mail addresses first; of other finds that overlap the one that begins first wins, and of
+those that begin together the kind that comes first in the order of the patterns.
+
+The key is the caller's: with it pseudonyms can be turned back, so it belongs to whoever may see the values, not into a program.
+
+Cases: null text stays null with no finds; empty texts stay empty; a text of any length is read in one pass, in time that grows with its
+length; repeated rows, ties and shared or null doc_ids change nothing, as each row is treated by itself; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -32,7 +44,6 @@ from .bpe import _some
 from .frames import small_batches
 
 ROUNDS = 10
-KEY = b"threadloom-pii-v1"
 KINDS = ("email", "card", "phone", "ip", "iban", "ssn", "date", "secret")
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal() - datetime.date(1900, 1, 1).toordinal() + 1
 
@@ -53,6 +64,9 @@ def feistel(signs: list[int], sizes: list[int], key: bytes, tweak: bytes, back:
     return out
 
 
+#: Country codes of one and two digits; all others have three. Fixed values of the international numbering plan.
+_ONE, _TWO = ("1", "7"), ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7))
 _HOME = {c: (a, k) for a in _ALPHABETS for k, c in enumerate(a)}
 
@@ -95,16 +109,39 @@ def _card(text, key, back):
 
 
 def _phone(text, key, back):
-    country = re.match(r"\+\d{1,3}", text)
-    head = country[0] if country else ""
-    d = _digits(text[len(head) :])
-    return head + _put(text[len(head) :], _walk(d, lambda v: feistel(v, [10] * len(d), key, b"phone%d" % len(d), back), lambda v: (v[0] < 2) == (d[0] < 2)))
+    d = _digits(text)
+    code = int(d[0] == 0)
+    if text[0] == "+":
+        first = "".join(map(str, d[:2]))
+        code = 1 if first[0] in _ONE else 2 if first in _TWO else 3
+    own = d[code:]
+    tweak = b"phone%b:%d" % (bytes(d[:code]), len(own))
+    return _put(text, [*d[:code], *_walk(own, lambda v: feistel(v, [10] * len(own), key, tweak, back), lambda v: (v[0] < 2) == (own[0] < 2))])
 
 
 def _ip(text, key, back):
+    if ":" in text:
+        at = [k for k, c in enumerate(text) if c != ":"]
+        signs = [int(text[k], 16) for k in at]
+        new = feistel(signs, [16] * len(at), key, b"ip6", back)
+        # letters are written as they were, digits that become letters in lower case unless the text has upper case
+        out, show = list(text), "0123456789ABCDEF" if any(c in "ABCDEF" for c in text) else "0123456789abcdef"
+        for k, x in zip(at, new, strict=True):
+            out[k] = show[x]
+        return "".join(out)
     return ".".join(map(str, feistel([int(x) for x in text.split(".")], [256] * 4, key, b"ip", back)))
 
 
+def _ip_ok(text):
+    if ":" not in text:
+        return all(int(x) < 256 for x in text.split("."))
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return len(text) - text.count(":") >= 4 and (text == text.lower() or text == text.upper())
+
+
 def _iban_ok(text):
     s = text.replace(" ", "")
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
@@ -138,49 +175,69 @@ def _read_date(text: str):
     return None
 
 
+def _shape(day: datetime.date) -> tuple[bool, bool, bool]:
+    return day.month < 10, day.day < 10, day.day > 12
+
+
 def _date(text, key, back):
     day, order = _read_date(text)
-    sep = text[4] if order == "ymd" else text[2]
+    sep = next(c for c in text if not c.isdigit())
+    padded = all(len(x) != 1 for x in text.split(sep))
 
     def step(n):
-        a, b = feistel([n // 271, n % 271], [270, 271], key, b"date" + order.encode(), back)
+        a, b = feistel([n // 271, n % 271], [270, 271], key, b"date", back)
         return a * 271 + b
 
-    def write(n):
-        new = datetime.date.fromordinal(FIRST_DAY + n)
-        parts = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return sep.join(parts[x] for x in order)
+    at = _walk(day.toordinal() - FIRST_DAY, step, lambda n: n < DAYS and _shape(datetime.date.fromordinal(FIRST_DAY + n)) == _shape(day))
+    new = datetime.date.fromordinal(FIRST_DAY + at)
+    parts = {"y": f"{new.year:04d}", "m": f"{new.month:02d}" if padded else str(new.month), "d": f"{new.day:02d}" if padded else str(new.day)}
+    return sep.join(parts[x] for x in order)
 
-    # what is written must be read in the same order again, so that pseudonyms of dates can be told apart
-    return write(_walk(day.toordinal() - FIRST_DAY, step, lambda n: n < DAYS and _read_date(write(n))[1] == order))
+
+def _hex(text: str) -> bool:
+    return len(text) >= 32 and all(c in "0123456789abcdefABCDEF" for c in text)
 
 
 def _secret(text, key, back):
-    alphabet = "0123456789abcdef" if text == text.lower() else "0123456789ABCDEF"
-    new = feistel([alphabet.index(c) for c in text], [16] * len(text), key, b"secret%d" % len(text), back)
-    return "".join(alphabet[x] for x in new)
+    if _hex(text):
+        alphabet = "0123456789abcdef" if text == text.lower() else "0123456789ABCDEF"
+        new = feistel([alphabet.index(c) for c in text], [16] * len(text), key, b"secret%d" % len(text), back)
+        return "".join(alphabet[x] for x in new)
+    head = _HEAD.match(text)[0]
+    return head + by_class(text[len(head) :], key, b"secret" + head.encode(), back)
 
 
+_HEAD = re.compile(r"AKIA|[spr]k_(?:live|test)_|gh[pousr]_|xox[abprs]-")
 _EMAIL = re.compile(r"(?<![\w.%+\-])[\w.%+\-]+@(?:[\w\-]+\.)+[^\W\d_]{2,}(?![\w\-]|\.\w)")
 _COARSE = re.compile(
-    r"(?P<secret>(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w))|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
-    r"|(?P<date>(?<![\w./\-])(?:\d{4}(?P<s>[-./])\d\d(?P=s)\d\d|\d\d(?P<t>[-./])\d\d(?P=t)\d{4})(?![\w/\-]|\.\d))"
+    r"(?P<secret>(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|[spr]k_(?:live|test)_[0-9A-Za-z]{16,}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z\-]{10,})(?!\w))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
+    r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)|(?<![\w:.])(?=[0-9A-Fa-f:]{6,39}(?![\w:]))[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]))"
+    r"|(?P<date>(?<![\w./\-])(?:\d{4}(?P<s>[-./])\d{1,2}(?P=s)\d{1,2}|\d{1,2}(?P<t>[-./])\d{1,2}(?P=t)\d{4})(?![\w/\-]|\.\d))"
     r"|(?P<ssn>(?<![\w\-])\d{3}-\d\d-\d{4}(?![\w\-]))"
-    r"|(?P<card>(?<![\w.])(?:\d{4}(?P<u>[ \-])\d{4}(?P=u)\d{4}(?P=u)\d{4}|\d{4}(?P<v>[ \-])\d{6}(?P=v)\d{5}|\d{13,19})(?!\w|\.\d))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-]|\.\d))",
+    r"|(?P<card>(?<![\w.+])(?:\d{4}(?P<u>[ \-])\d{4}(?P=u)\d{4}(?P=u)\d{4}|\d{4}(?P<v>[ \-])\d{6}(?P=v)\d{5}|\d{13,19})(?!\w|\.\d))"
+    r"|(?P<phone>(?<![\w.+])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}|\+\d{8,15}|\+\d{1,3}(?:[ .\-]\d{1,8}){2,6}|0\d(?P<w>[ .\-])\d\d(?:(?P=w)\d\d){3})(?![\w\-]|\.\d))",
     re.ASCII,
 )
 _WAYS = {"card": _card, "phone": _phone, "ip": _ip, "iban": _iban, "ssn": _ssn, "date": _date, "secret": _secret}
 
 
-def kind_of(match: re.Match) -> str | None:
-    """What a find is, None if it doesn't pass its test."""
+def _iban_end(text: str) -> int:
+    """Where the longest run of groups ends that passes the test, 0 if none does."""
+    ends = [len(text), *(k for k in range(len(text) - 1, 14, -1) if text[k] == " ")]
+    return next((k for k in ends if _iban_ok(text[:k])), 0)
+
+
+def kind_of(match: re.Match) -> tuple[str, int] | None:
+    """What a find is and where it ends, None if it doesn't pass its test."""
     kind, text = match.lastgroup, match[0]
-    if kind in ("s", "t", "u", "v"):
-        kind = next(k for k in ("date", "card") if match[k])
-    valid = {"card": lambda: luhn(_digits(text)), "ip": lambda: all(int(x) < 256 for x in text.split(".")), "iban": lambda: _iban_ok(text), "ssn": lambda: _ssn_ok(_digits(text)), "date": lambda: _read_date(text) is not None}
-    return kind if valid.get(kind, lambda: True)() else None
+    if kind in ("s", "t", "u", "v", "w"):
+        kind = next(k for k in ("date", "card", "phone") if match[k])
+    if kind == "iban":
+        end = _iban_end(text)
+        return (kind, match.start() + end) if end else None
+    valid = {"card": lambda: luhn(_digits(text)), "ip": lambda: _ip_ok(text), "ssn": lambda: _ssn_ok(_digits(text)), "phone": lambda: text[0] != "+" or 8 <= len(_digits(text)) <= 15, "date": lambda: _read_date(text) is not None}
+    return (kind, match.end()) if valid.get(kind, lambda: True)() else None
 
 
 def _email(text: str, key: bytes, back: bool) -> str:
@@ -188,20 +245,31 @@ def _email(text: str, key: bytes, back: bool) -> str:
     return by_class(head, key, b"email", back) + dot + last
 
 
-def pseudonymize(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with pseudonyms, and where they stand in it with their kinds. back: from pseudonyms to values."""
-    finds: list[tuple[int, int, str, str]] = []
-    if "@" in text:
-        finds += [(m.start(), m.end(), "email", _email(m[0], key, back)) for m in _EMAIL.finditer(text)]
-    taken = [(s, e) for s, e, _, _ in finds]
-    for m in _COARSE.finditer(text):
-        if any(s < m.end() and m.start() < e for s, e in taken):
+def finds(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of what is found, in order; in one pass, as e-mail addresses and the others come in order."""
+    mails = [(m.start(), m.end()) for m in _EMAIL.finditer(text)] if "@" in text else []
+    out, at, k = [], 0, 0
+    while m := _COARSE.search(text, at):
+        while k < len(mails) and mails[k][1] <= m.start():
+            out.append((*mails[k], "email"))
+            k += 1
+        if k < len(mails) and mails[k][0] < m.end():
+            # looked at again from where the address ends
+            at = mails[k][1]
             continue
-        kind = kind_of(m)
-        if kind:
-            finds.append((m.start(), m.end(), kind, _WAYS[kind](m[0], key, back)))
+        found = kind_of(m)
+        if found:
+            out.append((m.start(), found[1], found[0]))
+        # signs that look like an IBAN and are none may hold something else
+        at = found[1] if found else m.start() + 2 if m["iban"] else m.end()
+    return [*out, *((s, e, "email") for s, e in mails[k:])]
+
+
+def pseudonymize(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with pseudonyms, and where they stand in it with their kinds. back: from pseudonyms to values."""
     out, spans, at, length = [], [], 0, 0
-    for s, e, kind, new in sorted(finds):
+    for s, e, kind in finds(text):
+        new = (_email if kind == "email" else _WAYS[kind])(text[s:e], key, back)
         out += [text[at:s], new]
         length += s - at
         spans.append((length, length + len(new), kind))
@@ -213,10 +281,10 @@ _DIGIT = re.compile(r"[0-9]").search
 OUT = "doc_id long, text string, n_found long, spans array<struct<start:int,end:int,kind:string>>"
 
 
-def protect(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def protect(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, n_found, spans of the pseudonyms (in code points)."""
-
     small_batches(docs.sparkSession)
+
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
         for batch, texts in _some(batches, "text"):
@@ -228,5 +296,10 @@ def protect(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT)
 
 
+#: Where a session names the key; test data, which has no secrets to keep, is read with one that says so.
+KEY_SETTING, TEST_KEY = "spark.threadloom.pii.key", "for test data only"
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return protect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    key = spark.conf.get(KEY_SETTING, TEST_KEY).encode()
+    return protect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key)
