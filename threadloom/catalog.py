@@ -351,10 +351,14 @@ def _(spark, d):
     return geometry.depths(A.rings(spark, d))
 
 
-@query("hole_assignment", _EDGES + """, ho AS (SELECT design_id, poly AS hole_poly, (bx0 + bx1) / 2 AS hx, (by0 + by1) / 2 AS hy FROM bx WHERE poly % 3 = 0)
-SELECT h.design_id, hole_poly, arg_min(o.poly, (bx1 - bx0) * (by1 - by0) * 100000000 + o.poly) AS outer_poly, count(*) AS holders FROM ho h JOIN bx o ON h.design_id = o.design_id AND hx >= bx0 AND hx < bx1 AND hy >= by0 AND hy < by1 AND (bx1 - bx0) * (by1 - by0) > 100 GROUP BY ALL""")
+@query("hole_assignment", _EDGES + """, ho AS (SELECT design_id, poly AS hole_poly, (bx0 + bx1) / 2 + poly % 7 * 60 AS hx, (by0 + by1) / 2 AS hy FROM bx WHERE poly % 3 = 0),
+hi AS (SELECT h.design_id, hole_poly, arg_min(o.poly, (bx1 - bx0) * (by1 - by0) * 100000000 + o.poly) AS outer_poly, count(*) AS holders FROM ho h JOIN bx o ON h.design_id = o.design_id AND hx >= bx0 AND hx < bx1 AND hy >= by0 AND hy < by1 AND (bx1 - bx0) * (by1 - by0) > 100 GROUP BY ALL),
+hl AS (SELECT h.design_id, hole_poly, o.poly, sqrt(((bx0 + bx1) / 2 - hx) * ((bx0 + bx1) / 2 - hx) + ((by0 + by1) / 2 - hy) * ((by0 + by1) / 2 - hy)) AS far FROM ho h ANTI JOIN hi USING (hole_poly) JOIN bx o ON h.design_id = o.design_id)
+SELECT * FROM hi UNION ALL SELECT design_id, hole_poly, poly, 0 FROM (SELECT *, row_number() OVER (PARTITION BY hole_poly ORDER BY far, poly) AS k FROM hl) WHERE k = 1""")
 def _(spark, d):
-    return geometry.holes_to_outers(A.rings(spark, d))
+    """Holes lie up to 36 mm beside their own outline, so some are in another one and some in none."""
+    r = A.rings(spark, d)
+    return geometry.holes_to_outers(r.withColumn("hole", F.transform("hole", lambda p: F.struct((p["x"] + F.col("poly") % 7 * 60).alias("x"), p["y"].alias("y")))))
 
 
 @query("scan_rows", _EDGES + """, sr AS (SELECT *, greatest(1, floor((by1 - by0) / 10)) AS n FROM eg JOIN bx USING (design_id, poly) WHERE y <> ny
@@ -366,20 +370,26 @@ def _(spark, d):
     return geometry.scan_rows(A.outlines(spark, d))
 
 
-@query("radial_copies", _EDGES + """, cp AS (SELECT design_id, poly, range::INT AS copy, i, x, y, range * 2.0::DOUBLE * pi() / 6 AS a FROM poly, range(0, 6) WHERE ring = 0)
-SELECT design_id, poly, copy, i, cast(floor((x * cos(a) - y * sin(a)) * 1000.0::DOUBLE + 0.5) AS BIGINT) AS x, cast(floor((x * sin(a) + y * cos(a)) * 1000.0::DOUBLE + 0.5) AS BIGINT) AS y FROM cp""")
+@query("radial_copies", _EDGES + """, cp AS (SELECT design_id, poly, range::INT AS copy, ring, i, x - 10.0::DOUBLE AS x, y + 20.0::DOUBLE AS y, range * 2.0::DOUBLE * pi() / 6 AS a FROM poly, range(0, 6))
+SELECT design_id, poly, copy, ring, i, cast(floor((10.0::DOUBLE + x * cos(a) - y * sin(a)) * 1000.0::DOUBLE + 0.5) AS BIGINT) AS x, cast(floor((-20.0::DOUBLE + x * sin(a) + y * cos(a)) * 1000.0::DOUBLE + 0.5) AS BIGINT) AS y FROM cp""")
 def _(spark, d):
-    return geometry.radial(A.rings(spark, d))
+    return geometry.radial(A.rings(spark, d), 6, 10.0, -20.0)
 
 
-@query("mirror_copies", _EDGES + "SELECT design_id, poly, 0 AS copy, i, x, y FROM poly WHERE ring = 0 UNION ALL SELECT design_id, poly, 1, 3 - i, -x, y FROM poly WHERE ring = 0")
+@query("orbit_copies", _EDGES + """, mc AS (SELECT design_id, poly, avg(x) AS mx, avg(y) AS my FROM poly WHERE ring = 0 GROUP BY ALL), oc AS (SELECT p.*, range::INT AS copy, mx, my, range * 2.0::DOUBLE * pi() / 5 AS a FROM poly p JOIN mc USING (design_id, poly), range(0, 5))
+SELECT design_id, poly, copy, ring, i, cast(floor((x + (mx * cos(a) - my * sin(a) - mx)) * 1000.0::DOUBLE + 0.5) AS BIGINT) AS x, cast(floor((y + (mx * sin(a) + my * cos(a) - my)) * 1000.0::DOUBLE + 0.5) AS BIGINT) AS y FROM oc""")
 def _(spark, d):
-    return geometry.mirror(A.rings(spark, d))
+    return geometry.radial(A.rings(spark, d), 5, turn_each=False)
 
 
-@query("kaleidoscope_copies", _EDGES + """, kp AS (SELECT design_id, poly, range::INT AS segment, f AS flip, i, x, y, range * 2.0::DOUBLE * pi() / 6 AS a FROM poly, range(0, 6), (VALUES (0), (1)) v(f) WHERE ring = 0),
+@query("mirror_copies", _EDGES + "SELECT design_id, poly, 0 AS copy, ring, i, x * 1000 AS x, y * 1000 AS y FROM poly UNION ALL SELECT design_id, poly, 1, ring, 3 - i, (20 - x) * 1000, y * 1000 FROM poly")
+def _(spark, d):
+    return geometry.mirror(A.rings(spark, d), at=10)
+
+
+@query("kaleidoscope_copies", _EDGES + """, kp AS (SELECT design_id, poly, range::INT AS segment, f AS flip, ring, i, x, y, range * 2.0::DOUBLE * pi() / 6 AS a FROM poly, range(0, 6), (VALUES (0), (1)) v(f)),
 kq AS (SELECT *, x * cos(a) + y * sin(a) AS lx, y * cos(a) - x * sin(a) AS ly FROM kp)
-SELECT design_id, poly, segment, flip, i, cast(floor(CASE flip WHEN 0 THEN x * cos(a) - y * sin(a) ELSE -lx * cos(a) - ly * sin(a) END * 1000.0::DOUBLE + 0.5) AS BIGINT) AS x, cast(floor(CASE flip WHEN 0 THEN x * sin(a) + y * cos(a) ELSE -lx * sin(a) + ly * cos(a) END * 1000.0::DOUBLE + 0.5) AS BIGINT) AS y FROM kq""")
+SELECT design_id, poly, segment, flip, ring, CASE flip WHEN 1 THEN 3 - i ELSE i END AS i, cast(floor(CASE flip WHEN 0 THEN x * cos(a) - y * sin(a) ELSE -lx * cos(a) - ly * sin(a) END * 1000.0::DOUBLE + 0.5) AS BIGINT) AS x, cast(floor(CASE flip WHEN 0 THEN x * sin(a) + y * cos(a) ELSE -lx * sin(a) + ly * cos(a) END * 1000.0::DOUBLE + 0.5) AS BIGINT) AS y FROM kq""")
 def _(spark, d):
     return geometry.kaleidoscope(A.rings(spark, d))
 
@@ -493,10 +503,11 @@ def _(spark, d):
     return raster.palette_of(A.pixels(spark))
 
 
-@query("white_background", f"WITH {A.PIXELS_SQL} SELECT img, count(*) FILTER (r >= 200 AND g >= 120 AND b >= 60) >= 3 AS white FROM px WHERE x IN (0, 63) AND y IN (0, 47) GROUP BY img")
+@query("white_background", f"WITH {A.PIXELS_SQL} SELECT img, count(*) FILTER (r >= 200 AND g >= 120 AND b >= 60) >= 3 AND img <> 3 AS white FROM px WHERE x IN (0, 63) AND y IN (0, 47) GROUP BY img")
 def _(spark, d):
+    """The fourth image has a transparent corner."""
     px = A.pixels(spark).select("img", "x", "y", F.when(F.col("r") >= 200, 255).otherwise(0).alias("r"), F.when(F.col("g") >= 120, 255).otherwise(0).alias("g"), F.when(F.col("b") >= 60, 255).otherwise(0).alias("b"))
-    return raster.white_background(px)
+    return raster.white_background(px.withColumn("a", F.when((F.col("img") == 3) & (F.col("x") == 63) & (F.col("y") == 0), 0).otherwise(255)))
 
 
 _LIB = f"WITH {A.LIBRARY_SQL}"
@@ -577,7 +588,7 @@ def _(spark, d):
     return layout.quality(p).withColumn("warnings", F.array_join("warnings", ","))
 
 
-@query("ascii_label", r"SELECT doc_id, rpad(substr(regexp_replace(substr(text, 1, 40), '[^\x20-\x7e]', '_', 'g'), 1, 16), 16, ' ') AS label, upper(substr(source, 1, 8)) AS base FROM documents")
+@query("ascii_label", r"SELECT doc_id, rpad(substr(regexp_replace(text, '[^\x20-\x7e]', '_', 'g'), 1, 16), 16, ' ') AS label, upper(substr(source, 1, 8)) AS base FROM documents")
 def _(spark, d):
     return A.table(spark, d, "documents").select("doc_id", X.label_text("text").alias("label"), F.upper(F.substring("source", 1, 8)).alias("base"))
 

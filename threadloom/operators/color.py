@@ -26,15 +26,19 @@ def centers_of(df: DataFrame, label: str = "label", vector: str = "embedding") -
     return e.groupBy(label, "pos").agg((F.sum(X.round_half_up(F.col("v").cast("double") * 1_000_000)) / F.count(F.lit(1)) / 1_000_000.0).alias("mean"))
 
 
-def nearest_center(df: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding", most: int = 4096) -> DataFrame:
-    """(key, center, d2_milli): the centre nearest to each vector, the lower label on ties. Centres are one array for each label;
-    they are broadcast when there are at most `most`."""
-    c = centers_of(df, label, vector).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("center_vec"))
-    c = c.select(F.col(label).alias("center"), "center_vec")
-    side = F.broadcast(c) if c.count() <= most else c
-    d2 = F.aggregate(F.zip_with(F.col(vector), F.col("center_vec"), lambda a, m: (a.cast("double") - m) * (a.cast("double") - m)), F.lit(0.0), lambda s, v: s + v)
-    j = df.select(key, vector).join(side, F.lit(True), "cross").select(key, "center", X.milli(d2).alias("d2_milli"))
-    return j.groupBy(key).agg(F.min_by("center", F.struct("d2_milli", "center")).alias("center"), F.min("d2_milli").alias("d2_milli"))
+#: Centres that vectors are compared with all at once; a search among more is an index's task.
+MOST_CENTERS = 100_000
+
+
+def nearest_center(df: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
+    """(key, center, d2_milli): the centre nearest to each vector, the lower label on ties.  All centres are one row, an array that goes to
+    every task, so vectors stay where they are; over MOST_CENTERS of them are refused."""
+    c = centers_of(df, label, vector).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("vec"))
+    one = c.agg(F.collect_list(F.struct(F.col(label).alias("center"), "vec")).alias("centers"))
+    one = one.withColumn("centers", F.when(F.size("centers") > MOST_CENTERS, F.raise_error(F.lit("too many centres"))).otherwise(F.col("centers")))
+    far = lambda v: X.milli(F.aggregate(F.zip_with(F.col(vector), v, lambda a, m: (a.cast("double") - m) * (a.cast("double") - m)), F.lit(0.0), lambda s, x: s + x))
+    best = F.array_min(F.transform("centers", lambda c: F.struct(far(c["vec"]).alias("d2_milli"), c["center"].alias("center"))))
+    return df.select(key, vector).crossJoin(F.broadcast(one)).select(key, best.alias("b")).select(key, "b.center", "b.d2_milli")
 
 
 def lab_table(df: DataFrame) -> DataFrame:

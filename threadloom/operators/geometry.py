@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import exprs as X
 
+from .vector import holders
+
 RING = ["design_id", "poly", "ring"]
 
 
@@ -53,24 +55,27 @@ def color_order(points: DataFrame, first: list[str] | None = None) -> DataFrame:
 
 
 def holes_to_outers(rings: DataFrame) -> DataFrame:
-    """Each hole with the smallest outer ring of its design that is larger and holds its centre; boxes are compared before rings.
-    rings: design_id, poly, outer, hole."""
-    box = X.ring_bounds("outer")
-    o = rings.select("design_id", F.col("poly").alias("outer_poly"), "outer", box.alias("b"), X.doubled_area("outer").cast("long").alias("outer2"))
+    """Each hole with the smallest outer ring of its design that is larger and holds its centre; a hole that lies in none with the one,
+    of those larger than it, of which the centre is nearest.  Holes meet the rings of their own cells of a grid only; those that no
+    ring holds, and they alone, are compared with all of their design.  rings: design_id, poly, outer, hole."""
     mean = lambda c: F.aggregate(F.transform("hole", lambda p: p[c].cast("double")), F.lit(0.0), lambda a, v: a + v) / F.size("hole")
-    h = rings.where("hole is not null").select("design_id", F.col("poly").alias("hole_poly"), mean("x").alias("hx"), mean("y").alias("hy"), F.abs(X.doubled_area("hole")).cast("long").alias("hole2"))
-    j = h.join(o, "design_id").where("outer2 > hole2 and hx between b.min_x and b.max_x and hy between b.min_y and b.max_y")
-    j = j.where(X.point_in_ring("hx", "hy", "outer"))
-    return j.groupBy("design_id", "hole_poly").agg(F.min_by("outer_poly", F.struct("outer2", "outer_poly")).alias("outer_poly"), F.count(F.lit(1)).alias("holders"))
+    h = rings.where("hole is not null").select("design_id", F.col("poly").alias("q"), mean("x").alias("qx"), mean("y").alias("qy"), F.abs(X.doubled_area("hole")).cast("long").alias("hole2"))
+    size = X.doubled_area("outer").cast("long")
+    j = holders(h, rings).withColumn("outer2", size).where("outer2 > hole2")
+    found = j.groupBy("design_id", "q").agg(F.min_by("poly", F.struct("outer2", "poly")).alias("outer_poly"), F.count(F.lit(1)).alias("holders"))
+    b = X.ring_bounds("outer")
+    o = rings.select("design_id", F.col("poly").alias("outer_poly"), size.alias("outer2"), ((b["min_x"] + b["max_x"]) / 2).alias("ox"), ((b["min_y"] + b["max_y"]) / 2).alias("oy"))
+    lost = h.join(found, ["design_id", "q"], "left_anti").join(o, "design_id").where("outer2 > hole2")
+    far = X.distance(F.col("ox") - F.col("qx"), F.col("oy") - F.col("qy"))
+    lost = lost.groupBy("design_id", "q").agg(F.min_by("outer_poly", F.struct(far, "outer_poly")).alias("outer_poly"), F.lit(0).cast("long").alias("holders"))
+    return found.unionByName(lost).select("design_id", F.col("q").alias("hole_poly"), "outer_poly", "holders")
 
 
 def depths(rings: DataFrame) -> DataFrame:
     """How many other outer rings of the design hold a ring's first point: even ones are outlines, odd ones holes."""
-    p = rings.select("design_id", "poly", F.col("outer")[0]["x"].alias("px"), F.col("outer")[0]["y"].alias("py"))
-    o = rings.select("design_id", F.col("poly").alias("other"), "outer", X.ring_bounds("outer").alias("b"))
-    inside = p.join(o, "design_id").where("poly <> other and px between b.min_x and b.max_x and py between b.min_y and b.max_y").where(X.point_in_ring("px", "py", "outer"))
-    n = inside.groupBy("design_id", "poly").agg(F.count(F.lit(1)).alias("depth"))
-    return p.join(n, ["design_id", "poly"], "left").select("design_id", "poly", F.coalesce("depth", F.lit(0)).alias("depth"))
+    p = rings.select("design_id", F.col("poly").alias("q"), F.col("outer")[0]["x"].alias("qx"), F.col("outer")[0]["y"].alias("qy"))
+    n = holders(p, rings).where("poly <> q").groupBy("design_id", "q").agg(F.count(F.lit(1)).alias("depth"))
+    return p.join(n, ["design_id", "q"], "left").select("design_id", F.col("q").alias("poly"), F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def grid_hits(rings: DataFrame, step: int = 50) -> DataFrame:
@@ -102,33 +107,54 @@ def scan_rows(points: DataFrame, spacing: int = 10) -> DataFrame:
     return e.groupBy("design_id", "poly", "row", "row_y", F.floor(F.col("k") / 2).alias("seg")).agg(F.min("cross").alias("x1"), F.max("cross").alias("x2"), F.count(F.lit(1)).alias("_n")).where("_n = 2").drop("_n")
 
 
-def radial(rings: DataFrame, count: int = 6) -> DataFrame:
-    """`count` copies turned around the origin, the first in place: corner points in thousandths."""
-    r = rings.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+def _copies(rings: DataFrame, keys: list[str], point) -> DataFrame:
+    """Outlines and holes with their points moved, wound as they must be: (design_id, poly, keys, ring, i, x, y), in thousandths."""
+
+    def moved(ring, outer: bool):
+        r = F.transform(F.col(ring), lambda p: point(p["x"].cast("double"), p["y"].cast("double")))
+        area = X.doubled_area(r)
+        return F.when(area < 0 if outer else area > 0, F.reverse(r)).otherwise(r)
+
+    r = rings.select("design_id", "poly", *keys, F.posexplode(F.array(moved("outer", True), F.when(F.col("hole").isNotNull(), moved("hole", False)))).alias("ring", "_r")).where("_r is not null")
+    r = r.select("design_id", "poly", *keys, "ring", F.posexplode("_r").alias("i", "p"))
+    return r.select("design_id", "poly", *keys, "ring", "i", X.milli("p.x").alias("x"), X.milli("p.y").alias("y"))
+
+
+def _turned(x, y, angle, cx: float, cy: float):
+    c, s = F.cos(angle), F.sin(angle)
+    return F.struct((F.lit(cx) + (x - cx) * c - (y - cy) * s).alias("x"), (F.lit(cy) + (x - cx) * s + (y - cy) * c).alias("y"))
+
+
+def radial(rings: DataFrame, count: int = 6, cx: float = 0.0, cy: float = 0.0, turn_each: bool = True) -> DataFrame:
+    """`count` copies around a centre, the first in place: turned with their way around it, or moved along it as they are."""
     a = F.col("copy") * F.lit(2.0) * F.lit(math.pi) / count
-    return r.select("design_id", "poly", "copy", F.posexplode("outer").alias("i", "p")).withColumn("a", a).select(
-        "design_id", "poly", "copy", "i", X.milli(F.col("p.x") * F.cos("a") - F.col("p.y") * F.sin("a")).alias("x"), X.milli(F.col("p.x") * F.sin("a") + F.col("p.y") * F.cos("a")).alias("y")
-    )
-
-
-def mirror(rings: DataFrame, axis: str = "x", at: int = 0, keep: bool = True) -> DataFrame:
-    """Copies mirrored at a line, turned round so that outer rings keep a positive area."""
-    flip = lambda p: F.struct((2 * at - p["x"] if axis == "x" else p["x"]).alias("x"), (2 * at - p["y"] if axis == "y" else p["y"]).alias("y"))
-    m = rings.select("design_id", "poly", X.outer_winding(F.transform("outer", flip)).alias("outer"), F.lit(1).alias("copy"))
-    both = m.unionByName(rings.select("design_id", "poly", "outer", F.lit(0).alias("copy"))) if keep else m
-    return both.select("design_id", "poly", "copy", F.posexplode("outer").alias("i", "p")).select("design_id", "poly", "copy", "i", "p.x", "p.y")
-
-
-def kaleidoscope(rings: DataFrame, segments: int = 6) -> DataFrame:
-    """Turned copies and mirror images, two for each segment: centres of their boxes in thousandths."""
-    r = rings.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(segments - 1)))).withColumn("flip", F.explode(F.array(F.lit(0), F.lit(1))))
-    a = F.col("segment") * F.lit(2.0) * F.lit(math.pi) / segments
-    r = r.withColumn("a", a).select("design_id", "poly", "segment", "flip", "a", F.posexplode("outer").alias("i", "p"))
-    # mirrored at the segment's own axis: back by its angle, flipped, and forth again
-    lx, ly = F.col("p.x") * F.cos("a") + F.col("p.y") * F.sin("a"), F.col("p.y") * F.cos("a") - F.col("p.x") * F.sin("a")
-    x = F.when(F.col("flip") == 0, F.col("p.x") * F.cos("a") - F.col("p.y") * F.sin("a")).otherwise(-lx * F.cos("a") - ly * F.sin("a"))
-    y = F.when(F.col("flip") == 0, F.col("p.x") * F.sin("a") + F.col("p.y") * F.cos("a")).otherwise(-lx * F.sin("a") + ly * F.cos("a"))
-    return r.select("design_id", "poly", "segment", "flip", "i", X.milli(x).alias("x"), X.milli(y).alias("y"))
+    r = rings.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max(1, count) - 1)))).withColumn("_a", a)
+    if turn_each:
+        return _copies(r, ["copy"], lambda x, y: _turned(x, y, F.col("_a"), cx, cy))
+    mean = lambda c: F.aggregate(F.transform("outer", lambda p: p[c].cast("double")), F.lit(0.0), lambda a, v: a + v) / F.size("outer")
+    r = r.withColumns({"_mx": mean("x"), "_my": mean("y")}).withColumn("_to", _turned(F.col("_mx"), F.col("_my"), F.col("_a"), cx, cy))
+    return _copies(r, ["copy"], lambda x, y: F.struct((x + (F.col("_to.x") - F.col("_mx"))).alias("x"), (y + (F.col("_to.y") - F.col("_my"))).alias("y")))
+
+
+def mirror(rings: DataFrame, axis: str = "x", at: float = 0.0, keep: bool = True) -> DataFrame:
+    """Copies mirrored at a line, and the originals as copy 0."""
+    made = rings.withColumn("copy", F.explode(F.array(*(F.lit(k) for k in ((0, 1) if keep else (1,))))))
+    flip = lambda x, y: F.struct((2.0 * at - x if axis == "x" else x).alias("x"), (2.0 * at - y if axis == "y" else y).alias("y"))
+    own = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return _copies(made, ["copy"], lambda x, y: F.when(F.col("copy") == 1, flip(x, y)).otherwise(own(x, y)))
+
+
+def kaleidoscope(rings: DataFrame, segments: int = 6, cx: float = 0.0, cy: float = 0.0) -> DataFrame:
+    """Turned copies and mirror images around a centre, two for each segment; the images are flipped at the segment's own axis: back by its
+    angle, over, and forth again."""
+    r = rings.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(max(1, segments) - 1)))).withColumn("flip", F.explode(F.array(F.lit(0), F.lit(1))))
+    r = r.withColumn("_a", F.col("segment") * F.lit(2.0) * F.lit(math.pi) / segments)
+
+    def point(x, y):
+        back = _turned(x, y, -F.col("_a"), cx, cy)
+        return F.when(F.col("flip") == 0, _turned(x, y, F.col("_a"), cx, cy)).otherwise(_turned(F.lit(2.0 * cx) - back["x"], back["y"], F.col("_a"), cx, cy))
+
+    return _copies(r, ["segment", "flip"], point)
 
 
 def recommend(points: DataFrame) -> DataFrame:

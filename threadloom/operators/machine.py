@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import exprs as X
 from threadloom.model import LOCK_LENGTH, MIN_STITCH
 
-from .plan import RUN, runs
+from .plan import RUN
 
 _OP = "struct<kind:string,x:int,y:int>"
 
@@ -35,37 +35,39 @@ def _lock(x, y, tx, ty) -> Column:
 
 
 def operations(st: DataFrame, locks: bool = True) -> DataFrame:
-    """(design_id, op_seq, kind, x, y). A run gives the ops that lead to it, its stitches, and, if it is the design's last, the end."""
-    w = Window.partitionBy(*RUN).orderBy("seq")
-    s = st.withColumns({"px": F.lag("x").over(w), "py": F.lag("y").over(w), "sx": F.first("x").over(w), "sy": F.first("y").over(w)})
+    """(design_id, op_seq, kind, x, y). A run's first stitch brings the ops that lead to it, and a design's last one the end.  All that a
+    stitch needs to know of its run and of the one before comes from windows within the design, so a plan is read and shuffled once."""
+    run, whole = Window.partitionBy(*RUN).orderBy("seq"), Window.partitionBy(*RUN)
+    d = Window.partitionBy("design_id").orderBy("block_idx", "run_idx", "seq")
+    s = st.select("design_id", "block_idx", "run_idx", "seq", "x", "y").withColumns({
+        "px": F.lag("x").over(run), "py": F.lag("y").over(run), "sx": F.first("x").over(run), "sy": F.first("y").over(run),
+        # of the stitch before, whatever run it is in
+        "qx": F.lag("x").over(d), "qy": F.lag("y").over(d), "qblock": F.lag("block_idx").over(d), "is_last": F.lead("seq").over(d).isNull(),
+    })
     moved = F.col("px").isNotNull() & ((F.col("px") != F.col("x")) | (F.col("py") != F.col("y")))
-    s = s.withColumn("ops", F.when(F.col("px").isNull(), F.array(_op("stitch", "x", "y"))).when(moved, _moves("stitch", "px", "py", "x", "y")).otherwise(_none()))
     off_start = (F.col("x") != F.col("sx")) | (F.col("y") != F.col("sy"))
-    ends = s.groupBy(*RUN).agg(
-        F.min_by(F.when(off_start, F.struct("x", "y")), F.when(off_start, F.col("seq"))).alias("towards"), F.max_by(F.when(moved, F.struct(F.col("px").alias("x"), F.col("py").alias("y"))), F.when(moved, F.col("seq"))).alias("back")
-    )
-    d = Window.partitionBy("design_id").orderBy("block_idx", "run_idx")
-    r = runs(st).join(ends, RUN)
+    s = s.withColumns({
+        "towards": F.min(F.when(off_start, F.struct("seq", "x", "y"))).over(whole), "back": F.max(F.when(moved, F.struct("seq", F.col("px").alias("x"), F.col("py").alias("y")))).over(whole),
+        "ex": F.first("qx").over(run), "ey": F.first("qy").over(run),
+    })
     # where the thread came from before a run's end: the last move in it, else the end of the run before
-    r = r.withColumn("before", F.coalesce("back", F.when(F.col("px").isNotNull(), F.struct(F.col("px").alias("x"), F.col("py").alias("y")))))
-    r = r.withColumns({"pbefore": F.lag("before").over(d), "is_last": F.lead("n").over(d).isNull(), "new_block": F.col("pblock").isNull() | (F.col("pblock") != F.col("block_idx"))})
-    apart = (F.col("x0") != F.col("px")) | (F.col("y0") != F.col("py"))
-    start, cut = F.col("px").isNull(), ~F.col("new_block") & (F.col("connection") == "trim")
-    lock = (lambda *a: _lock(*a)) if locks else (lambda *a: _none())
-    off = lock("px", "py", F.col("pbefore.x"), F.col("pbefore.y"))
-    lead = F.when(start, _moves("jump", F.lit(0), F.lit(0), "x0", "y0"))
-    lead = lead.when(F.col("new_block"), F.concat(off, F.array(_op("colorChange")), F.when(apart, _moves("jump", "px", "py", "x0", "y0")).otherwise(_none())))
-    lead = lead.when(~apart, _none()).when(F.col("connection") == "continuous", _moves("stitch", "px", "py", "x0", "y0"))
-    lead = lead.when(cut, F.concat(off, F.array(_op("trim")), _moves("jump", "px", "py", "x0", "y0"))).otherwise(_moves("jump", "px", "py", "x0", "y0"))
-    tie_in = F.when(start | F.col("new_block") | cut, lock("x0", "y0", F.col("towards.x"), F.col("towards.y"))).otherwise(_none())
-    tail = F.concat(lock("x1", "y1", F.col("before.x"), F.col("before.y")), F.array(_op("end")))
-    heads = r.select("design_id", "order_no", F.lit(-2).cast("long").alias("at"), lead.alias("ops"))
-    tie_ins = r.select("design_id", "order_no", F.lit(0).cast("long").alias("at"), tie_in.alias("ops"))
-    tails = r.where("is_last").select("design_id", "order_no", F.lit(2**62).alias("at"), tail.alias("ops"))
-    body = s.join(r.select(*RUN, "order_no"), RUN).select("design_id", "order_no", F.when(F.col("seq") == 0, -1).otherwise(F.col("seq")).cast("long").alias("at"), "ops")
-    every = heads.unionByName(tie_ins).unionByName(tails).unionByName(body).select("design_id", "order_no", "at", F.posexplode("ops").alias("k", "op"))
-    number = F.row_number().over(Window.partitionBy("design_id").orderBy("order_no", "at", "k")) - 1
-    return every.select("design_id", number.cast("long").alias("op_seq"), "op.*")
+    s = s.withColumns({"bx": F.coalesce("back.x", "ex"), "by": F.coalesce("back.y", "ey")})
+    s = s.withColumns({"pbx": F.lag("bx").over(d), "pby": F.lag("by").over(d)})
+    first, start, apart = F.col("px").isNull(), F.col("qx").isNull(), (F.col("x") != F.col("qx")) | (F.col("y") != F.col("qy"))
+    how = X.connection(X.squared(F.col("x") - F.col("qx"), F.col("y") - F.col("qy")), start)
+    new_block = F.col("qblock").isNull() | (F.col("qblock") != F.col("block_idx"))
+    cut = ~new_block & (how == "trim")
+    lock = _lock if locks else (lambda *a: _none())
+    off, jump = lock("qx", "qy", "pbx", "pby"), _moves("jump", "qx", "qy", "x", "y")
+    lead = F.when(start, _moves("jump", F.lit(0), F.lit(0), "x", "y"))
+    lead = lead.when(new_block, F.concat(off, F.array(_op("colorChange")), F.when(apart, jump).otherwise(_none())))
+    lead = lead.when(~apart, _none()).when(how == "continuous", _moves("stitch", "qx", "qy", "x", "y")).when(cut, F.concat(off, F.array(_op("trim")), jump)).otherwise(jump)
+    tie_in = F.when(start | new_block | cut, lock("x", "y", F.col("towards.x"), F.col("towards.y"))).otherwise(_none())
+    own = F.when(first, F.concat(lead, F.array(_op("stitch", "x", "y")), tie_in)).when(moved, _moves("stitch", "px", "py", "x", "y")).otherwise(_none())
+    tail = F.when(F.col("is_last"), F.concat(lock("x", "y", "bx", "by"), F.array(_op("end")))).otherwise(_none())
+    each = s.select("design_id", "block_idx", "run_idx", "seq", F.posexplode(F.concat(own, tail)).alias("k", "op"))
+    number = F.row_number().over(Window.partitionBy("design_id").orderBy("block_idx", "run_idx", "seq", "k")) - 1
+    return each.select("design_id", number.cast("long").alias("op_seq"), "op.*")
 
 
 def frames(ops: DataFrame) -> DataFrame:

@@ -62,9 +62,11 @@ def palette_of(pixels: DataFrame) -> DataFrame:
 
 
 def white_background(pixels: DataFrame, threshold: int = 240) -> DataFrame:
-    """Whether three of an image's four corners are near white."""
+    """Whether three of an image's four corners are near white, and none of them transparent (a: null where there is no such channel)."""
     size = pixels.groupBy("img").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
     corner = F.col("x").isin(0) | (F.col("x") == F.col("mx"))
     corner = corner & (F.col("y").isin(0) | (F.col("y") == F.col("my")))
-    p = pixels.join(size, "img").where(corner)
-    return p.groupBy("img").agg((F.count_if((F.col("r") >= threshold) & (F.col("g") >= threshold) & (F.col("b") >= threshold)) >= 3).alias("white"))
+    alpha = F.coalesce(F.col("a"), F.lit(255)) if "a" in pixels.columns else F.lit(255)
+    p = pixels.withColumn("_alpha", alpha).join(size, "img").where(corner)
+    white = F.count_if((F.col("r") >= threshold) & (F.col("g") >= threshold) & (F.col("b") >= threshold)) >= 3
+    return p.groupBy("img").agg((white & (F.min("_alpha") >= 128)).alias("white"))
