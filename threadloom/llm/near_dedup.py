@@ -431,9 +431,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, miss: float = MISS) -
     if not more.isEmpty():
         comps = components(links.union(more))
     labelled = classes.join(comps, "cid", "left").select("d1", "d2", "rep", F.coalesce("comp", "cid").alias("comp"))
-    least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    # a table of its own, so that the join may be planned by its size and split where a component is large
+    least = stored(labelled.groupBy("comp").agg(F.min("rep").alias("component_id")))
     labelled = stored(labelled.join(least, "comp").select("d1", "d2", "component_id"))
-    forget(likely, links, more, comps, classes)
+    forget(likely, links, more, comps, classes, least)
     out = found.where("n > 0").join(labelled, ["d1", "d2"]).select("doc_id", "n", "component_id", "row_key")
     out = out.unionByName(found.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "row_key"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
