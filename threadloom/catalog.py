@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from threadloom import catalog_shapes
 from threadloom.functions import dims
 from threadloom.functions import exprs as X
 from threadloom.operators import color, geometry, layout, library, machine, plan, raster, report, rules
@@ -638,5 +639,6 @@ def _(spark, d):
     return s.groupBy("design_id").agg((F.max_by("bin", F.struct("total", -F.col("bin"))) * 5).alias("angle"))
 
 
-QUERIES |= kernel_queries.QUERIES
-SQL |= kernel_queries.SQL
+for _part in (kernel_queries, catalog_shapes):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL

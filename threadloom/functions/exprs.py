@@ -105,10 +105,12 @@ def css_color(text) -> Column:
     s = F.lower(F.trim(col(text)))
     part = lambda k, n: F.conv(F.substring(s, k, n), 16, 10).cast("int")
     rgb = lambda r, g, b: F.struct(r.cast("int").alias("r"), g.cast("int").alias("g"), b.cast("int").alias("b"))
-    deci = r"^rgb\s*\(\s*(\d+)[\s,]+(\d+)[\s,]+(\d+)\s*\)$"
+    # what stands between the brackets, commas counting as spaces
+    parts = F.filter(F.split(F.translate(F.substring_index(F.substring_index(s, "(", -1), ")", 1), ",", " "), " "), lambda x: x != "")
+    decimal = F.startswith(s, F.lit("rgb")) & F.endswith(s, F.lit(")")) & F.contains(s, F.lit("(")) & (F.size(parts) == 3) & F.forall(parts, lambda x: x.rlike("^[0-9]+$"))
     out = F.when(s.isNull() | s.isin("", "none", "transparent"), F.lit(None))
     out = out.when(s.rlike("^#[0-9a-f]{3}$"), rgb(*(part(k, 1) * 17 for k in (2, 3, 4)))).when(s.rlike("^#[0-9a-f]{6}$"), rgb(*(part(k, 2) for k in (2, 4, 6))))
-    out = out.when(s.rlike(deci), rgb(*(F.regexp_extract(s, deci, k) for k in (1, 2, 3))))
+    out = out.when(decimal, rgb(*(F.element_at(parts, k) for k in (1, 2, 3))))
     for name, (r, g, b) in NAMED_COLORS.items():
         out = out.when(s == name, rgb(F.lit(r), F.lit(g), F.lit(b)))
     return out.otherwise(rgb(F.lit(0), F.lit(0), F.lit(0)))

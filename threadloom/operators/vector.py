@@ -19,6 +19,11 @@ def _point(x, y) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def _let(value: Column, use) -> Column:
+    """`use` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _at(nodes: Column, i: Column, closed: bool) -> Column:
     n = F.size(nodes)
     place = F.pmod(i, n) if closed else F.greatest(F.lit(0), F.least(n - 1, i))
@@ -67,9 +72,8 @@ def node_types(nodes, smooth: bool, at: int | None = None) -> Column:
 
 def shape_ring(nodes, outer: bool = True, samples: int = 8) -> Column:
     """The ring of closed nodes, with the winding of an outline or a hole."""
-    ring = node_polyline(nodes, True, samples)
-    area = X.doubled_area(ring)
-    return F.when(area < 0 if outer else area > 0, F.reverse(ring)).otherwise(ring)
+    wound = lambda ring: F.when(X.doubled_area(ring) < 0 if outer else X.doubled_area(ring) > 0, F.reverse(ring)).otherwise(ring)
+    return _let(X.col(nodes), lambda p: _let(node_polyline(p, True, samples), wound))
 
 
 def boxes_intersect(a, b) -> Column:
@@ -128,35 +132,46 @@ def without_nodes(path, gone, least: int) -> Column:
 
 def strip_locks(path, unit_mm: float = 0.1, pairs: int = 3) -> Column:
     """Without lock stitches at both ends: pairs that go out by 1.2 mm at most and come back to within 0.15 mm."""
-    p = X.col(path)
-    gap = lambda i, j: X.distance(F.element_at(p, i + 1)["x"] - F.element_at(p, j + 1)["x"], F.element_at(p, i + 1)["y"] - F.element_at(p, j + 1)["y"]) * unit_mm
-    a, b = F.lit(0), F.size(p) - 1
-    for step in (2, -2):
-        going = F.lit(True)
-        for _ in range(pairs):
-            i = a if step > 0 else b
-            locked = F.when(going & (b - a >= 3), (gap(i, i + step) < 0.15) & (gap(i, i + step // 2) <= 1.2)).otherwise(F.lit(False))
-            going = going & locked
-            if step > 0:
-                a = F.when(locked, a + 2).otherwise(a)
-            else:
-                b = F.when(locked, b - 2).otherwise(b)
-    return F.slice(p, a + 1, F.greatest(b - a + 1, F.lit(0)))
+
+    def cut(p):
+        gap = lambda i, j: X.distance(F.element_at(p, i + 1)["x"] - F.element_at(p, j + 1)["x"], F.element_at(p, i + 1)["y"] - F.element_at(p, j + 1)["y"]) * unit_mm
+        state = lambda a, b, going: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), going.alias("going"))
+
+        def step(way):
+            def go(s, _):
+                i = s["a"] if way > 0 else s["b"]
+                locked = F.when(s["going"] & (s["b"] - s["a"] >= 3), (gap(i, i + 2 * way) < 0.15) & (gap(i, i + way) <= 1.2)).otherwise(F.lit(False))
+                move = F.when(locked, 2).otherwise(0)
+                return state(s["a"] + move, s["b"], locked) if way > 0 else state(s["a"], s["b"] - move, locked)
+
+            return go
+
+        rounds = F.sequence(F.lit(1), F.lit(pairs))
+        front = F.aggregate(rounds, state(F.lit(0), F.size(p) - 1, F.lit(True)), step(1))
+        both = _let(front, lambda s: F.aggregate(rounds, state(s["a"], s["b"], F.lit(True)), step(-1)))
+        return _let(both, lambda s: F.slice(p, s["a"] + 1, F.greatest(s["b"] - s["a"] + 1, F.lit(0))))
+
+    return _let(X.col(path), cut)
 
 
 def looks_like_line(path, unit_mm: float = 0.1) -> Column:
     """Whether stitches were sewn as a line: few turns back (under 0.15 of all), and not over eight times as long as their box."""
-    p = strip_locks(path, unit_mm)
-    near = lambda i, c: (F.element_at(p, i + 1)[c] - F.element_at(p, i)[c]) * unit_mm
-    inner = F.filter(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda i: i < F.size(p))
-    steps = F.transform(inner, lambda i: F.struct(near(i, "x").alias("x"), near(i, "y").alias("y")))
-    length = F.aggregate(steps, F.lit(0.0), lambda s, d: s + X.distance(d["x"], d["y"]))
-    pairs = F.zip_with(F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))), F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), lambda a, b: F.struct((a["x"] * b["x"] + a["y"] * b["y"]).alias("dot"), (X.distance(a["x"], a["y"])).alias("la"), (X.distance(b["x"], b["y"])).alias("lb")))
-    pairs = F.filter(pairs, lambda t: (t["la"] >= 1e-6) & (t["lb"] >= 1e-6))
-    back = F.size(F.filter(pairs, lambda t: t["dot"] / (t["la"] * t["lb"]) < -0.5))
-    box = X.ring_bounds(p)
-    diagonal = F.greatest(F.lit(1.0), X.distance((box["max_x"] - box["min_x"]) * unit_mm, (box["max_y"] - box["min_y"]) * unit_mm))
-    return F.when(F.size(p) < 2, F.lit(False)).otherwise(((F.size(pairs) == 0) | (back / F.size(pairs) < 0.15)) & (length / diagonal < 8))
+
+    def verdict(p):
+        near = lambda i, c: (F.element_at(p, i + 1)[c] - F.element_at(p, i)[c]) * unit_mm
+        steps = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.struct(near(i, "x").alias("x"), near(i, "y").alias("y"), X.distance(near(i, "x"), near(i, "y")).alias("l")))
+        box = X.ring_bounds(p)
+        diagonal = F.greatest(F.lit(1.0), X.distance((box["max_x"] - box["min_x"]) * unit_mm, (box["max_y"] - box["min_y"]) * unit_mm))
+
+        def judged(s):
+            n = F.size(s) - 1
+            cos = F.zip_with(F.slice(s, 1, n), F.slice(s, 2, n), lambda a, b: F.when((a["l"] >= 1e-6) & (b["l"] >= 1e-6), (a["x"] * b["x"] + a["y"] * b["y"]) / (a["l"] * b["l"])))
+            turns = _let(F.filter(cos, lambda c: c.isNotNull()), lambda c: (F.size(c) == 0) | (F.size(F.filter(c, lambda v: v < -0.5)) / F.size(c) < 0.15))
+            return turns & (F.aggregate(s, F.lit(0.0), lambda t, d: t + d["l"]) / diagonal < 8)
+
+        return F.when(F.size(p) < 2, F.lit(False)).otherwise(_let(steps, judged))
+
+    return _let(strip_locks(path, unit_mm), verdict)
 
 
 # Rows of points: (design_id, poly, ring, i, x, y)

@@ -182,15 +182,22 @@ def stitch_rows(design_id: int, blocks: list[dict]) -> pd.DataFrame:
     return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
 
 
+#: What a region may have besides outer, holes, r, g, b: its number elsewhere, its fill, the row angle, pairs of points that rows turn
+#: between, and runs of stitches (arrays of points) that are kept as they are.
+OPTIONAL = ("object_id", "fill_type", "angle_deg", "angle_lines", "baked")
+
+
 def region_of(row) -> dict:
-    """From a row with outer, holes, r, g, b, and where there are such, fill_type, angle_deg."""
-    get = lambda k: row[k] if k in row and row[k] is not None and row[k] == row[k] else None
+    """From a row with region_idx, outer, holes, r, g, b, and any of OPTIONAL."""
+    there = {k: row[k] for k in OPTIONAL if k in row and row[k] is not None and not (isinstance(row[k], float) and row[k] != row[k])}
     holes = row["holes"] if row["holes"] is not None else []
-    return {"outer": S.wound(S.ring(row["outer"]), True), "holes": [S.wound(S.ring(h), False) for h in holes], "color": (int(row["r"]), int(row["g"]), int(row["b"])), "object_id": int(row["region_idx"]), "fill_type": get("fill_type"), "angle_deg": get("angle_deg")}
+    out = {"outer": S.wound(S.ring(row["outer"]), True), "holes": [S.wound(S.ring(h), False) for h in holes], "color": (int(row["r"]), int(row["g"]), int(row["b"]))}
+    lists = {k: [S.ring(x) for x in there.pop(k)] for k in ("angle_lines", "baked") if k in there}
+    return out | {"fill_type": None, "angle_deg": None} | there | lists | {"object_id": int(there.get("object_id", row["region_idx"]))}
 
 
 def digitize_designs(regions: DataFrame, options: Options = Options()) -> DataFrame:
-    """Stitches of each design, from rows (design_id, region_idx, outer, holes, r, g, b[, fill_type, angle_deg]); a design is one
+    """Stitches of each design, from rows (design_id, region_idx, outer, holes, r, g, b and any of OPTIONAL); a design is one
     group, and its size is bounded by what a hoop holds."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .digitize import Options, digitize_designs
+from .digitize import OPTIONAL, Options, digitize_designs
 
 
 def with_hash(regions: DataFrame, options: Options) -> DataFrame:
     """(design_id, hash): of all regions of a design, in order, and the options; a plan depends on the order of its objects, so a design
     is what is kept or made anew."""
-    fields = [c for c in ("region_idx", "outer", "holes", "r", "g", "b", "fill_type", "angle_deg") if c in regions.columns]
+    fields = [c for c in ("region_idx", "outer", "holes", "r", "g", "b", *OPTIONAL) if c in regions.columns]
     one = regions.select("design_id", "region_idx", F.xxhash64(F.to_json(F.struct(*fields))).alias("h"))
     return one.groupBy("design_id").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("region_idx", "h"))), F.lit(repr(options))).alias("hash"))
 

@@ -32,16 +32,21 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _decoded(files: DataFrame, rows, schema: str) -> DataFrame:
+    """The rows of each file, and an `error` that is null; of a file that can't be read one row, with the error and nothing else, so that
+    one broken file doesn't end a job over millions."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for pdf in batches:
             for f, content in zip(pdf["file"], pdf["content"], strict=True):
-                out = rows(bytes(content) if not isinstance(content, str) else content)
+                try:
+                    out = [(f, *r, None) for r in rows(bytes(content) if not isinstance(content, str) else content)]
+                except Exception as e:  # noqa: BLE001 - whatever is wrong with a file is said in its row
+                    out = [(f, *[None] * (len(names) - 1), f"{type(e).__name__}: {e}")]
                 if out:
-                    yield pd.DataFrame([(f, *r) for r in out], columns=names)
+                    yield pd.DataFrame(out, columns=[*names, "error"], dtype=object)
 
-    return files.mapInPandas(run, schema)
+    return files.mapInPandas(run, f"{schema}, error string")
 
 
 def dst_records(files: DataFrame) -> DataFrame:
