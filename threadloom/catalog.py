@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threadloom import catalog_shapes
+from threadloom import catalog_records, catalog_shapes
 from threadloom.functions import dims
 from threadloom.functions import exprs as X
 from threadloom.operators import color, geometry, layout, library, machine, plan, raster, report, rules
@@ -307,6 +307,9 @@ def _(spark, d):
     return digest(points).join(want, "design_id").select("design_id", "n", "checksum", ((F.col("n") == F.col("_n")) & (F.col("checksum") == F.col("_c"))).alias("same"))
 
 
+query("file_roundtrip", _RUNS + _OPS + kernel_queries.FILE_SQL)(kernel_queries.file_roundtrip)
+
+
 _EDGES = f"""WITH {A.OUTLINES_SQL}, eg AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM poly WINDOW w AS (PARTITION BY design_id, poly, ring ORDER BY i)
 ), ar AS (SELECT design_id, poly, ring, cast(sum(x * ny - nx * y) AS BIGINT) AS area2 FROM eg GROUP BY ALL
 ), bx AS (SELECT design_id, poly, any_value(thread) AS thread, min(x) AS bx0, max(x) AS bx1, min(y) AS by0, max(y) AS by1 FROM poly WHERE ring = 0 GROUP BY ALL
@@ -395,12 +398,16 @@ def _(spark, d):
     return geometry.kaleidoscope(A.rings(spark, d))
 
 
-@query("local_recommend", _EDGES + """, lr AS (SELECT design_id, thread, net2, least(bx1 - bx0, by1 - by0) < 30 OR net2 * 10 < (bx1 - bx0) * (by1 - by0) * 6 AS thin FROM na JOIN bx USING (design_id, poly)
-), ls AS (SELECT design_id, count(DISTINCT thread) AS colors, sum(net2) AS total2, coalesce(sum(net2) FILTER (thin), 0) AS thin2, max(net2) AS max2 FROM lr GROUP BY design_id
+@query("local_recommend", _EDGES + """, lr AS (SELECT design_id, thread, net2, least(bx1 - bx0, by1 - by0) < 30 OR net2 * 10 < (bx1 - bx0) * (by1 - by0) * 6 AS thin, poly % 3 = 1 AND poly % 50 < 5 AS white FROM na JOIN bx USING (design_id, poly)
+), ls AS (SELECT design_id, count(*) AS regions, count(DISTINCT thread) AS colors, sum(net2) AS total2, coalesce(sum(net2) FILTER (thin), 0) AS thin2, max(net2) AS max2, coalesce(max(net2) FILTER (white), 0) AS white2 FROM lr GROUP BY design_id
 ), lt AS (SELECT *, CASE WHEN thin2 * 10 > total2 * 6 THEN 'satin' WHEN (total2 - thin2) * 10 > total2 * 7 AND max2 > 20000 THEN 'tatami' ELSE 'auto' END AS fill_type FROM ls)
-SELECT design_id, cast(greatest(2, least(12, colors)) AS BIGINT) AS color_count, fill_type, CASE WHEN max2 > 60000 THEN 'edge,tatami' WHEN total2 > thin2 AND max2 > 16000 THEN 'edge' ELSE '' END AS underlay, CASE fill_type WHEN 'satin' THEN 'center' ELSE 'auto' END AS satin_underlay FROM lt""")
+SELECT design_id, regions, cast(greatest(2, least(12, colors)) AS BIGINT) AS color_count, fill_type, CASE WHEN max2 > 60000 THEN 'edge,tatami' WHEN total2 > thin2 AND max2 > 16000 THEN 'edge' ELSE '' END AS underlay, CASE fill_type WHEN 'satin' THEN 'center' ELSE 'auto' END AS satin_underlay,
+  CASE WHEN design_id % 4 = 0 OR design_id % 7 = 0 THEN 1.25 ELSE 1.0 END::DOUBLE AS density_scale, white2 * 4 > total2 AS remove_white FROM lt""")
 def _(spark, d):
-    return geometry.recommend(A.outlines(spark, d))
+    """Some regions are white; some designs have a plan of too many stitches, and some too dense a one."""
+    p, k = A.outlines(spark, d), F.col("design_id")
+    stats = p.select("design_id").distinct().select("design_id", F.when(k % 4 == 0, 10_001).otherwise(10_000).alias("stitches"), F.when(k % 7 == 0, 700_001).otherwise(700_000).alias("density"))
+    return geometry.recommend(p, (F.col("poly") % 3 == 1) & (F.col("poly") % 50 < 5), stats)
 
 
 _NEAREST = f"""WITH {A.COLORS_SQL}, {dims.PALETTE_SQL}, nd AS (SELECT id, r, g, b, pec_index, pname, (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb) AS d2 FROM rgb, palette)
@@ -639,6 +646,6 @@ def _(spark, d):
     return s.groupBy("design_id").agg((F.max_by("bin", F.struct("total", -F.col("bin"))) * 5).alias("angle"))
 
 
-for _part in (kernel_queries, catalog_shapes):
+for _part in (kernel_queries, catalog_shapes, catalog_records):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL

@@ -157,12 +157,25 @@ def kaleidoscope(rings: DataFrame, segments: int = 6, cx: float = 0.0, cy: float
     return _copies(r, ["segment", "flip"], point)
 
 
-def recommend(points: DataFrame) -> DataFrame:
-    """Settings suggested by the shares of thin and wide area of a design."""
-    n = net_areas(points).join(points.where("ring = 0").groupBy("design_id", "poly", "thread").agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")), ["design_id", "poly"])
-    thin = (F.least("w", "h") < 30) | (F.col("net2") * 10 < F.col("w") * F.col("h") * 6)
-    g = n.groupBy("design_id").agg(F.count_distinct("thread").alias("colors"), F.sum("net2").alias("total2"), F.coalesce(F.sum(F.when(thin, F.col("net2"))), F.lit(0)).alias("thin2"), F.max("net2").alias("max2"))
+def recommend(points: DataFrame, white=None, stats: DataFrame | None = None) -> DataFrame:
+    """Settings suggested by the shares of thin and wide area of a design.  white: a condition on points of regions in near-white, of which
+    one over a quarter of all area is a background; stats: plan statistics (design_id, stitches, density per square centimetre in
+    thousandths), by which dense plans are thinned out."""
+    marked = points.withColumn("_white", F.lit(False) if white is None else white)
+    n = net_areas(points).join(marked.where("ring = 0").groupBy("design_id", "poly", "thread", "_white").agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")), ["design_id", "poly"])
     # areas are doubled and in hundredths of square millimetres
+    thin = (F.least("w", "h") < 30) | (F.col("net2") * 10 < F.col("w") * F.col("h") * 6)
+    g = n.groupBy("design_id").agg(
+        F.count(F.lit(1)).alias("regions"), F.count_distinct("thread").alias("colors"), F.sum("net2").alias("total2"), F.coalesce(F.sum(F.when(thin, F.col("net2"))), F.lit(0)).alias("thin2"), F.max("net2").alias("max2"),
+        F.coalesce(F.max(F.when(F.col("_white"), F.col("net2"))), F.lit(0)).alias("white2"),
+    )
+    dense = F.lit(False)
+    if stats is not None:
+        g = g.join(stats.select("design_id", F.col("stitches").alias("_stitches"), F.col("density").alias("_density")), "design_id", "left")
+        dense = F.coalesce((F.col("_stitches") > 10_000) | (F.col("_density") > 700_000), F.lit(False))
     fill = F.when(F.col("thin2") * 10 > F.col("total2") * 6, "satin").when(((F.col("total2") - F.col("thin2")) * 10 > F.col("total2") * 7) & (F.col("max2") > 20_000), "tatami").otherwise("auto")
     under = F.when(F.col("max2") > 60_000, "edge,tatami").when((F.col("total2") > F.col("thin2")) & (F.col("max2") > 16_000), "edge").otherwise("")
-    return g.select("design_id", F.greatest(F.lit(2), F.least(F.lit(12), "colors")).cast("long").alias("color_count"), fill.alias("fill_type"), under.alias("underlay"), F.when(fill == "satin", "center").otherwise("auto").alias("satin_underlay"))
+    return g.select(
+        "design_id", "regions", F.greatest(F.lit(2), F.least(F.lit(12), "colors")).cast("long").alias("color_count"), fill.alias("fill_type"), under.alias("underlay"), F.when(fill == "satin", "center").otherwise("auto").alias("satin_underlay"),
+        F.when(dense, 1.25).otherwise(1.0).alias("density_scale"), (F.col("white2") * 4 > F.col("total2")).alias("remove_white"),
+    )

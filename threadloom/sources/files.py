@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.kernels import codec, svg
+from threadloom.operators.records import merged_settings
 from threadloom.plans import sketch
 
 RECORDS = "file string, rec bigint, kind string, dx int, dy int"
@@ -86,11 +87,16 @@ def svg_regions(files: DataFrame, target: float = 1000.0) -> DataFrame:
 
 
 def projects(texts: DataFrame, column: str = "content") -> DataFrame:
-    """Project documents with defaults; documents of a later version are marked not ok."""
-    p = texts.withColumn("p", F.from_json(column, PROJECT))
+    """Project documents with defaults: the known settings as columns, and all of them, known or not, as a map.  A document without a
+    version, or of a later one, is not ok, and `error` says so."""
+    p = texts.withColumn("p", F.from_json(column, PROJECT)).withColumn("m", F.from_json(F.get_json_object(column, "$.settings"), "map<string,string>"))
     default = lambda k, v: F.coalesce(F.col(f"p.settings.{k}"), F.lit(v)).alias(k)
     under = F.coalesce(F.col("p.settings.underlay"), F.array(F.lit("edge"))).alias("underlay")
-    return p.select("file", F.col("p.name").alias("name"), F.coalesce(F.col("p.version") <= PROJECT_VERSION, F.lit(False)).alias("ok"), *(default(k, v) for k, v in PROJECT_DEFAULTS.items()), under)
+    ok = F.coalesce(F.col("p.version") <= PROJECT_VERSION, F.lit(False))
+    error = F.when(F.col("p.version").isNull(), "no version").when(~ok, F.concat(F.lit("version "), F.col("p.version").cast("string"), F.lit(f" is later than {PROJECT_VERSION}")))
+    text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+    every = merged_settings("m", {k: text(v) for k, v in PROJECT_DEFAULTS.items()} | {"underlay": '["edge"]'})
+    return p.select("file", F.coalesce("p.name", F.lit("untitled")).alias("name"), ok.alias("ok"), *(default(k, v) for k, v in PROJECT_DEFAULTS.items()), under, every.alias("settings"), error.alias("error"))
 
 
 def project_json(df: DataFrame) -> DataFrame:
@@ -136,3 +142,28 @@ def sketch_plans(texts: DataFrame) -> DataFrame:
 def sketch_imports(files: DataFrame) -> DataFrame:
     """PES files as sketch documents."""
     return _decoded(files, lambda b: [(sketch.save(sketch.import_pes(b)),)], "file string, document string")
+
+
+#: Exporters by name: a nested plan to bytes.
+EXPORTERS = {"dst": codec.write_dst, "pes": codec.write_pes, "svg": lambda plan: codec.svg_preview(plan).encode()}
+
+
+def register_exporter(name: str, write) -> None:
+    """A format of one's own: `write` makes bytes of a plan ({"name", "blocks": [{"thread", "runs": [{"stitches", "connection"}]}]})."""
+    EXPORTERS[name] = write
+
+
+def exported(stitches: DataFrame, name: str) -> DataFrame:
+    """Each design in a registered format: (design_id, format, content)."""
+    write = EXPORTERS[name]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = int(pdf["design_id"].iloc[0])
+        return pd.DataFrame([(key, name, write(plan_of(pdf, f"DESIGN{key}")))], columns=["design_id", "format", "content"])
+
+    return stitches.groupBy("design_id").applyInPandas(one, "design_id bigint, format string, content binary")
+
+
+def pictures(spark: SparkSession, path: str) -> DataFrame:
+    """PNG, PGM and PPM files as (design_id, file, content) for plans.pictures, which reads them; a design is a file."""
+    return binary_files(spark, path).select(F.xxhash64("file").alias("design_id"), "file", "content")
