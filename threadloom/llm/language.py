@@ -180,10 +180,12 @@ def fit(docs: DataFrame, learn: Column, rows: int = ROWS, together: int = TOGETH
     """Trees from docs (doc_id, text, lang)."""
     small_batches(docs.sparkSession)
     can = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    # a row for each language, joined and not listed in an expression: there may be many
-    sizes = can.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    # ids are drawn from a thin table, and go to where the texts are: about `rows` of them for each language
+    thin = can.select("doc_id", "lang")
+    sizes = thin.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("_n"))
-    drawn = can.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_003)) < share * 1_000_003)
+    ids = thin.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_003)) < share * 1_000_003).select("doc_id", "lang").distinct()
+    drawn = can.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])
 
     def run(batches):
         sums: dict[str, Counter] = {}
