@@ -73,7 +73,7 @@ def _(spark, d):
     return R.appended(kind("fill", "k % 3 <> 0"), kind("stroke", "k % 3 = 0"), kind("restored", "k % 7 = 0")).select("design_id", "k", "kind", "region_idx")
 
 
-@query("moved_objects", _NUMBERED + """, od AS (SELECT design_id, region_idx % 2 AS block_idx, region_idx // 2 AS place, k AS object_id FROM rn), mv AS (SELECT design_id, min(k) AS object_id, CASE design_id % 3 WHEN 0 THEN -1 ELSE 1 END AS way FROM rn GROUP BY design_id),
+@query("moved_objects", _NUMBERED + """, od AS (SELECT design_id, region_idx % 2 AS block_idx, cast(region_idx // 2 AS BIGINT) AS place, k AS object_id FROM rn), mv AS (SELECT design_id, min(k) AS object_id, CASE design_id % 3 WHEN 0 THEN -1 ELSE 1 END AS way FROM rn GROUP BY design_id),
 lm AS (SELECT o.*, max(CASE WHEN m.object_id IS NOT NULL THEN place END) OVER w AS spot, max(way) OVER w AS way, max(place) OVER w AS last FROM od o LEFT JOIN mv m USING (design_id, object_id) WINDOW w AS (PARTITION BY design_id, block_idx))
 SELECT design_id, block_idx, CASE WHEN spot IS NULL OR spot + way < 0 OR spot + way > last THEN place WHEN place = spot THEN spot + way WHEN place = spot + way THEN spot ELSE place END AS place, object_id FROM lm""")
 def _(spark, d):
