@@ -30,8 +30,10 @@ def test_substring(docs):
         assert r.n_removed == sum(s["end"] - s["start"] for s in r.spans)
 
 
-def test_substring_in_many_chunks(docs, monkeypatch):
+@pytest.mark.parametrize("message", [1, 64, 100_000])
+def test_substring_in_many_chunks(docs, monkeypatch, message):
     monkeypatch.setattr(substring_dedup, "CHUNK", 2000)
+    monkeypatch.setattr(substring_dedup, "MESSAGE", message)
     out = substring_dedup.substring_dedup(docs).withColumn("h", F.sha2(F.encode("kept_text", "UTF-8"), 256))
     assert rows_of(out, "doc_id", "n_words", "n_removed", "h") == substring(documents())
 

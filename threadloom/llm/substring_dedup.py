@@ -9,9 +9,9 @@ so with B = WINDOW / 2 a repeat can't pass the blocks by:
 2. Extend.  Only windows of WINDOW words whose own blocks are anchors can be repeats.  For each such text the smallest doc_id
    is found; runs of windows that some smaller document has are the maximal repeats, and their words go.
 
-Documents are packed into chunks of about CHUNK bytes (a longer document is one), written once to the shared folder.  A chunk sends each distinct hash
-once, with the smallest doc_id that has it there, and gets back a bit or a doc_id; texts that a third of all documents share
-thus cost a message a chunk, and no pair of documents is ever formed.  Anchors are proposed by short hashes, which only let
+Documents are packed into chunks of about CHUNK bytes (a longer document is one), written once to the shared folder.  A chunk sends each
+distinct hash once, several chunks' hashes for one part of their range in one message, and gets back a bit, or a smaller doc_id, for those
+that are found elsewhere; texts that a third of all documents share thus cost a hash a chunk, and no pair of documents is ever formed.  Anchors are proposed by short hashes, which only let
 too much through; the windows that decide are compared by two hashes, of two independent hashes of their words, that together
 have twice as many bits as would tell all windows apart, and 16 more.
 
@@ -38,6 +38,10 @@ WINDOW = 50
 CHUNK = 1 << 20
 #: Hashes that meet in one group of the reduction, about.
 GROUP = 2_000_000
+#: Hashes that a message to a group carries on average: chunks are put together until it does, or until a task holds BUFFER hashes.
+#: Both bounds and GROUP grow with an executor's memory: at these, messages stay this full up to about 0.7 TB of text, at ten times
+#: these up to 70 TB; beyond, they carry fewer, and what a hash costs on its way approaches the overhead of a message.
+MESSAGE, BUFFER = 64, 4_000_000
 NO_ID = np.int64(2**63 - 1)
 
 
@@ -145,7 +149,7 @@ def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(names)], [n for n, _ in names])
 
 
-PROBE = "part int, chunk long, n int, hashes binary, blocks binary, twice binary"
+PROBE = "part int, chunks binary, sizes binary, n int, hashes binary, blocks binary, twice binary"
 BITS = "chunk long, part int, bits binary"
 WINDOWS = "part int, chunk long, n int, first binary, second binary, ids binary"
 FOUND = "chunk long, part int, places binary, ids binary"
@@ -154,12 +158,29 @@ FOUND = "chunk long, part int, places binary, ids binary"
 def anchors(chunks: DataFrame, parts: int, n_bytes: int) -> DataFrame:
     """(chunk, part, bits): which of the chunk's distinct hashes in the part are blocks that are found again."""
 
+    def sent(held):
+        cuts = [_cuts(h, parts) for _, h, _, _ in held]
+        for p in range(parts):
+            own = [(k, c[p], c[p + 1]) for k, c in enumerate(cuts) if c[p] < c[p + 1]]
+            if own:
+                joined = [np.concatenate([held[k][j][a:b] for k, a, b in own]) for j in (1, 2, 3)]
+                ids, sizes = np.array([held[k][0] for k, _, _ in own], "<i8"), np.array([b - a for _, a, b in own], "<i4")
+                yield p, ids.tobytes(), sizes.tobytes(), len(joined[0]), planes(joined[0], n_bytes), np.packbits(joined[1]).tobytes(), np.packbits(joined[2]).tobytes()
+
     def probe(batches):
+        held, total = [], 0
         for batch in batches:
             for row in _columns(batch):
                 h, blocks, twice, _, _ = _Packed(row).probes()
-                cuts = _cuts(h, parts)
-                yield _rows(PROBE, [(p, row["chunk"], b - a, planes(h[a:b], n_bytes), np.packbits(blocks[a:b]).tobytes(), np.packbits(twice[a:b]).tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b])
+                if not len(h):
+                    continue
+                held.append((row["chunk"], h, blocks, twice))
+                total += len(h)
+                if total >= min(BUFFER, MESSAGE * parts):
+                    yield _rows(PROBE, list(sent(held)))
+                    held, total = [], 0
+        if held:
+            yield _rows(PROBE, list(sent(held)))
 
     def meet(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -176,10 +197,11 @@ def anchors(chunks: DataFrame, parts: int, n_bytes: int) -> DataFrame:
         hit &= blocks
         out, at = [], 0
         for r in rows:
-            own = hit[at : at + r["n"]]
-            at += r["n"]
-            if own.any():
-                out.append((r["chunk"], r["part"], np.packbits(own).tobytes()))
+            for chunk, n in zip(np.frombuffer(r["chunks"], "<i8").tolist(), np.frombuffer(r["sizes"], "<i4").tolist(), strict=True):
+                own = hit[at : at + n]
+                at += n
+                if own.any():
+                    out.append((chunk, r["part"], np.packbits(own).tobytes()))
         return pa.Table.from_batches([_rows(BITS, out)])
 
     return chunks.mapInArrow(probe, PROBE).groupBy("part").applyInArrow(meet, BITS)
