@@ -10,6 +10,7 @@ from threadloom.functions import dims
 from threadloom.functions import exprs as X
 from threadloom.operators import color, geometry, layout, library, machine, plan, raster, report, rules
 from threadloom.plans import queries as kernel_queries
+from threadloom.plans import samples
 from threadloom.sources import adapters as A
 from threadloom.streaming import simulate
 
@@ -205,6 +206,16 @@ def _(spark, d):
     return rules.issues(rules.counters(A.stitches(spark, d)))
 
 
+@query("written_files", _RUNS + _RULES + """SELECT s.design_id, coalesce(string_agg(code, ',' ORDER BY code) FILTER (severity = 'error'), '') AS errors, count(*) FILTER (severity = 'error') = 0 AS written FROM (SELECT DISTINCT design_id FROM st) s LEFT JOIN iss USING (design_id) GROUP BY s.design_id""")
+def _(spark, d):
+    """Files of designs; one that breaks a rule has none."""
+    r, g, b = report.thread_color("thread")
+    s = A.stitches(spark, d)
+    st = s.join(plan.runs(s).select(*plan.RUN, "connection"), plan.RUN).withColumns({"r": r, "g": g, "b": b}).drop("thread")
+    out = samples.written(st)
+    return out.select("design_id", F.array_join("errors", ",").alias("errors"), F.col("dst").isNotNull().alias("written"))
+
+
 @query("diagnostics", _RUNS + _RULES + _STATS + """, dg AS (
   SELECT design_id, CASE severity WHEN 'error' THEN 'critical' ELSE 'notice' END AS level, code, n FROM iss
   UNION ALL SELECT design_id, 'notice', 'near-stitch-limit', stitches FROM sta WHERE stitches <= 12000 AND stitches > 10800

@@ -241,3 +241,85 @@ def _(spark, d):
     """Stitches, colour changes and sizes of the samples, which are published."""
     mm = lambda c: F.floor((F.max(c) - F.min(c)) / 10 + 0.5)
     return samples.stitches(spark).groupBy("id", "name").agg(F.count(F.lit(1)).alias("stitches"), (F.count_distinct("block_idx") - 1).alias("color_changes"), mm("x").alias("width_mm"), mm("y").alias("height_mm"))
+
+
+@query("centerlines", _POLY + """, bb AS (SELECT poly, (max(x) - min(x)) // 2 AS w, (max(y) - min(y)) // 2 AS h, (max(x) + min(x)) // 2 AS cx, (max(y) + min(y)) // 2 AS cy FROM poly WHERE ring = 0 GROUP BY poly)
+SELECT poly, greatest(1, floor(2 * greatest(w, h) / 5.003::DOUBLE))::BIGINT AS points, CASE WHEN w >= h THEN cy ELSE cx END AS axis FROM bb""")
+def _(spark, d):
+    """Middles of slices of outlines: how many, and the line that they lie on."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for poly, outer in zip(pdf["poly"], pdf["outer"], strict=True):
+                o = S.ring(outer)
+                z = strokes.centerline(o, spacing=5.003)
+                level = np.ptp(o.real) >= np.ptp(o.imag)
+                out.append((poly, len(z), round(float(z.imag[0] if level else z.real[0]))))
+            yield pd.DataFrame(out, columns=["poly", "points", "axis"])
+
+    return A.rings(spark, d).select("poly", "outer").mapInPandas(run, "poly bigint, points bigint, axis bigint")
+
+
+@query("line_underlays", """WITH l AS (SELECT c_custkey AS poly, 100 + c_custkey % 60 AS len FROM customer), n AS (SELECT *, floor(len / 25.0::DOUBLE + 0.5)::BIGINT AS n FROM l)
+SELECT poly, n + 1 AS center, 2 * (floor(len / 15.0::DOUBLE + 0.5)::BIGINT + 1) AS zigzag, 2 * n + 1 AS edge FROM n""")
+def _(spark, d):
+    def run(batches):
+        for pdf in batches:
+            made = [(k, strokes.line_underlay(np.array([0, 100 + k % 60], complex), 40.0, ("center", "zigzag", "edge", "tatami"))) for k in pdf["poly"]]
+            yield pd.DataFrame([(k, *map(len, runs)) for k, runs in made], columns=["poly", "center", "zigzag", "edge"])
+
+    return A.rings(spark, d).select("poly").mapInPandas(run, "poly bigint, center bigint, zigzag bigint, edge bigint")
+
+
+@query("transformed_regions", _POLY + f""", t AS (SELECT poly, ring, i, -2.0::DOUBLE * x AS x, 2.0::DOUBLE * y AS y FROM poly)
+SELECT poly, ring, i, {_M('x * cos(0.3::DOUBLE) - y * sin(0.3::DOUBLE) + 5')} AS x, {_M('x * sin(0.3::DOUBLE) + y * cos(0.3::DOUBLE) - 6')} AS y, 'outer,holes' AS kept FROM t""")
+def _(spark, d):
+    """Regions flipped, doubled, turned and moved; their fill and angle are gone."""
+    holes = F.when(F.col("hole").isNotNull(), F.array("hole")).otherwise(F.array())
+    r = vector.transformed(A.rings(spark, d).select("poly", "outer", holes.alias("holes"), F.lit("satin").alias("fill_type"), F.lit(30.0).alias("angle_deg")), 5.0, -6.0, 0.3, 2.0, flip_x=True)
+    kept = ",".join(c for c in r.columns if c != "poly")
+    rings = r.select("poly", F.posexplode(F.concat(F.array("outer"), "holes")).alias("ring", "r")).select("poly", "ring", F.posexplode("r").alias("i", "p"))
+    return rings.select("poly", "ring", "i", X.milli("p.x").alias("x"), X.milli("p.y").alias("y"), F.lit(kept).alias("kept"))
+
+
+@query("sketch_images", "SELECT s_suppkey, 2::BIGINT AS images, 8 + s_suppkey % 9 AS width, 5 + s_suppkey % 7 AS height, s_suppkey % 256 AS red, 1::BIGINT AS layers FROM supplier")
+def _(spark, d):
+    """Sketch documents with pictures as data URLs."""
+    import base64
+    import json
+
+    from threadloom.kernels import pictures
+    from threadloom.plans import sketch
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k in pdf["s_suppkey"].tolist():
+                a = np.full((5 + k % 7, 8 + k % 9, 4), 255, np.uint8)
+                a[2, 3, 0] = k % 256
+                url = "data:image/png;base64," + base64.b64encode(pictures.encode_png(a)).decode()
+                doc, images = sketch.load_with_images(json.dumps({"doc": {"layers": [{"elements": []}]}, "images": {"one": url, "two": url}}))
+                one = images["one"]
+                out.append((k, len(images), one.shape[1], one.shape[0], int(one[2, 3, 0]), len(doc["layers"])))
+            yield pd.DataFrame(out, columns=["s_suppkey", "images", "width", "height", "red", "layers"])
+
+    return A.table(spark, d, "supplier").select("s_suppkey").mapInPandas(run, "s_suppkey bigint, images bigint, width bigint, height bigint, red bigint, layers bigint")
+
+
+@query("shrunk_pictures", "SELECT s_suppkey, 600::BIGINT AS width, cast(floor((300 + s_suppkey % 200) / 2.0::DOUBLE + 0.5) AS BIGINT) AS height, 40 + s_suppkey % 100 AS mean FROM supplier")
+def _(spark, d):
+    """Pictures of 1,200 columns, by turns dark and light, at half their size."""
+    from threadloom.kernels import pictures
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k in pdf["s_suppkey"].tolist():
+                a = np.full((300 + k % 200, 1200, 4), 255, np.uint8)
+                a[:, ::2, :3], a[:, 1::2, :3] = 20 + k % 100, 60 + k % 100
+                b = pictures.shrunk(pictures.decode(pictures.encode_png(a)))
+                out.append((k, b.shape[1], b.shape[0], int(b[0, :, 0].mean())))
+            yield pd.DataFrame(out, columns=["s_suppkey", "width", "height", "mean"])
+
+    return A.table(spark, d, "supplier").select("s_suppkey").mapInPandas(run, "s_suppkey bigint, width bigint, height bigint, mean bigint")

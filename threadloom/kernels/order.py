@@ -6,7 +6,8 @@ import numpy as np
 
 
 def tour(points: np.ndarray, start: complex | None = None, sweeps: int = 50) -> list[int]:
-    """Nearest first, then stretches are turned round as long as that shortens the open path."""
+    """Nearest first, then stretches are turned round as long as that shortens the open path: for each beginning the stretch that gains
+    most, where one could also take the first that gains, which ends in other tours of much the same length."""
     n = len(points)
     if n < 2:
         return list(range(n))
@@ -48,12 +49,17 @@ def branch_runs(paths: list[np.ndarray], join: float = 5.0) -> list[np.ndarray]:
     """Lines that share ends (within `join`) as one run for each connected part: a walk that goes down every line, deepest first, and
     comes back over lines it has sewn where it must."""
     nodes: list[complex] = []
+    # nodes by cells as wide as they reach, so that an end is compared with those around it only
+    cells: dict[tuple[int, int], list[int]] = {}
+    side = max(join, 1e-9)
 
     def node(p: complex) -> int:
-        for k, q in enumerate(nodes):
-            if abs(p - q) <= join:
-                return k
+        x, y = int(p.real // side), int(p.imag // side)
+        near = [k for u in (x - 1, x, x + 1) for v in (y - 1, y, y + 1) for k in cells.get((u, v), ()) if abs(p - nodes[k]) <= join]
+        if near:
+            return min(near)
         nodes.append(complex(p))
+        cells.setdefault((x, y), []).append(len(nodes) - 1)
         return len(nodes) - 1
 
     ends = [(node(p[0]), node(p[-1])) for p in paths]

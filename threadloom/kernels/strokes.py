@@ -54,6 +54,24 @@ def looks_like_stroke(s: Stroke | None, widest: float = 70.0, elongation: float
     return s is not None and 1e-6 <= s.width <= widest and s.length / s.width >= elongation
 
 
+def centerline(outer: S.Ring, holes=(), spacing: float = 5.0) -> np.ndarray:
+    """The middles of slices across the long axis, of the widest part where there are several."""
+    from . import fills as G
+
+    angle = S.axis_angle(outer) + np.pi / 2
+    scan, _ = G.rows(outer, holes, spacing, angle)
+    widest = [(y, max(segs, key=lambda s: s[1] - s[0])) for y, segs in scan if segs]
+    return S.rounded(np.array([complex((s[0] + s[1]) / 2, y) for y, s in widest]) * np.exp(1j * angle))
+
+
+def line_underlay(middle: np.ndarray, width: float, kinds) -> list[np.ndarray]:
+    """Below a satin line, along its middle: once, as a narrow zigzag, or there and back."""
+    from . import fills as G
+
+    made = {"center": lambda: G.running(middle), "zigzag": lambda: G.satin_line(middle, width * 0.6, 15.0), "edge": lambda: G.running(middle, passes=2)}
+    return [r for k in kinds if k in made for r in made[k]()]
+
+
 def line_order(paths: list[np.ndarray], start: complex | None = None) -> list[tuple[int, bool]]:
     """(number, turned round) of each line of two points or more, the one with the nearest end next; of equally near ones the first, and
     its head before its tail."""

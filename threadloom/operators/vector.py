@@ -115,6 +115,16 @@ def flipped(path, cx: float, cy: float, horizontal: bool = True) -> Column:
     return scaled(path, cx, cy, -1.0 if horizontal else 1.0, 1.0 if horizontal else -1.0)
 
 
+#: What a region may be told about its stitches, which does not outlive a move of the region.
+STITCHING = ("fill_type", "angle_deg", "angle_lines", "baked")
+
+
+def transformed(regions: DataFrame, tx: float = 0.0, ty: float = 0.0, rotation: float = 0.0, scale: float = 1.0, flip_x: bool = False, flip_y: bool = False) -> DataFrame:
+    """Regions (outer, holes, ...) scaled and flipped, turned, and moved; what they were told about their stitches is dropped."""
+    move = lambda r: X.transform_ring(r, tx, ty, rotation, scale, flip_x, flip_y)
+    return regions.drop(*STITCHING).withColumns({"outer": move(F.col("outer")), "holes": F.transform("holes", move)})
+
+
 def duplicated(elements: DataFrame, dx: float, dy: float, path: str = "outer", key: str = "poly") -> DataFrame:
     """The elements and moved copies of them, with keys after the largest of their design."""
     top = elements.groupBy("design_id").agg(F.max(key).alias("_top"))

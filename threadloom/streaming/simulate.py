@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,22 +30,21 @@ def event_ops(events: DataFrame) -> DataFrame:
 def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Frames of the ops that have come for one design, and what is left pending."""
     n, color, jump, trim, change = state.get if state.exists else (0, 0, False, False, False)
-    out = []
     # ops of one design come in order of op_seq from batch to batch; within one they are sorted here
-    ops = pd.concat(list(batches)).sort_values("op_seq")
-    for kind, x, y in zip(ops["kind"], ops["x"], ops["y"], strict=True):
-        if kind == "stitch":
-            n += 1
-            out.append((key[0], n, x, y, color, jump, trim, change))
-            jump = trim = change = False
-        elif kind == "jump":
-            jump = True
-        elif kind == "trim":
-            trim = True
-        elif kind == "colorChange":
-            color, change = color + 1, True
-    state.update((n, color, jump, trim, change))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in FRAMES.split(", ")])
+    ops = pd.concat(list(batches)).sort_values("op_seq", kind="stable")
+    is_stitch = (ops["kind"] == "stitch").to_numpy()
+    # an op belongs to the stitch that comes next: islands between stitches, of which only the first one inherits what was pending
+    island = np.cumsum(is_stitch) - is_stitch
+    m = int(is_stitch.sum())
+    each = {k: np.bincount(island[(ops["kind"] == k).to_numpy()], minlength=m + 1) for k in ("jump", "trim", "colorChange")}
+    flags = {k: v > 0 for k, v in each.items()}
+    for k, pending in (("jump", jump), ("trim", trim), ("colorChange", change)):
+        flags[k][0] |= pending
+    colors = color + np.cumsum(each["colorChange"])
+    last = {k: bool(v[m]) for k, v in flags.items()}
+    state.update((n + m, int(colors[m]), last["jump"], last["trim"], last["colorChange"]))
+    sewn = ops[is_stitch]
+    yield pd.DataFrame({"design_id": key[0], "stitch_no": n + 1 + np.arange(m), "x": sewn["x"].to_numpy(), "y": sewn["y"].to_numpy(), "color_index": colors[:m], "from_jump": flags["jump"][:m], "after_trim": flags["trim"][:m], "color_changed": flags["colorChange"][:m]})
 
 
 def stream_frames(ops: DataFrame) -> DataFrame:
@@ -54,7 +54,11 @@ def stream_frames(ops: DataFrame) -> DataFrame:
 
 def run_stream(spark: SparkSession, folder: str, files: str = "*.parquet") -> DataFrame:
     """Runs the event files of a folder through the stream until they are used up, and reads what came out."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = spark.read.option("pathGlobFilter", files).parquet(f"{folder}/{files}").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
