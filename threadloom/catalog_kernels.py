@@ -501,3 +501,88 @@ def _(spark, d):
         return text.count("<polyline"), text.count("stroke-dasharray"), re.search(r'stroke="(#[0-9a-f]{6})" stroke-width="3"', text)[1], int(box[2])
 
     return _each(spark, d, "k bigint, lines bigint, dashes bigint, color string, width bigint", one)
+
+
+@query("medial_rails", _K + f""", p AS (SELECT k, 100 + k % 60 AS w, 20 + k % 30 AS h FROM c) SELECT k, floor((w + 2 * h) / 3.0::DOUBLE + 0.5)::BIGINT AS points, {_M('w')} AS lower, {_M('w + 2 * h')} AS upper FROM p""")
+def _(spark, d):
+    """The two halves of boxes between their ends: as many points on each, and how long they are."""
+
+    def one(k):
+        one_, two = G.medial_rails(S.ring([(0, 0), (100 + k % 60, 0), (100 + k % 60, 20 + k % 30), (0, 20 + k % 30)]))
+        # corners are cut by the last step before them, so the way along the points is a little less than that along the box
+        way = lambda z: float(np.abs(np.diff(np.concatenate([z, []]))).sum())
+        w, h = 100 + k % 60, 20 + k % 30
+        whole = w + 2 * h
+        return len(one_), _milli(round(way(one_), 6)), _milli(whole) if whole - 6 < way(two) <= whole else -1
+
+    return _each(spark, d, "k bigint, points bigint, lower bigint, upper bigint", one)
+
+
+@query("level_lines", _K + " SELECT k, 2 + k % 5 AS lines, 21::BIGINT AS points, 0::BIGINT AS off FROM c")
+def _(spark, d):
+    """Lines of a slanting plane on a grid of 21 by 21: one for each level, through every column, each on its level."""
+
+    def one(k):
+        n = 2 + k % 5
+        y, x = np.mgrid[0:21, 0:21]
+        value = y + 0.01 * x
+        made = [G.level_lines(value, 3.3 + 2.5 * j, np.ones((20, 20), bool)) for j in range(n)]
+        off = sum(int((np.abs(z.imag + 0.01 * z.real - (3.3 + 2.5 * j)) > 1e-9).sum()) for j, zs in enumerate(made) for z in zs)
+        return sum(map(len, made)), len(made[0][0]), off
+
+    return _each(spark, d, "k bigint, lines bigint, points bigint, off bigint", one)
+
+
+@query("turning_fills", _K + """, p AS (SELECT k, 60 + k % 60 AS w, 44 + 8 * (k % 6) AS h FROM c)
+SELECT k, 1::BIGINT AS runs, 2 * (h // 8) + 1 AS rows, 0::BIGINT AS outside FROM p""")
+def _(spark, d):
+    """Two level direction lines make level rows: how many there are, none outside the box."""
+
+    def one(k):
+        w, h = 60 + k % 60, 44 + 8 * (k % 6)
+        box = S.ring([(0, 0), (w, 0), (w, h), (0, h)])
+        runs = G.turning(box, [], [(0, w), (1j * h, w + 1j * h)])
+        z = runs[0]
+        out = (z.real < -4) | (z.real > w + 4) | (z.imag < -4) | (z.imag > h + 4)
+        return len(runs), len(np.unique(z.imag)), int(out.sum())
+
+    return _each(spark, d, "k bigint, runs bigint, rows bigint, outside bigint", one)
+
+
+@query("pen_drawings", _K + """ SELECT k, CASE WHEN k % 4 = 0 THEN 'nothing' WHEN k % 2 = 0 THEN 'region' ELSE 'line' END AS made, CASE WHEN k % 4 = 2 THEN 2 * (30 + k % 20) * 40 END::BIGINT AS area2, CASE WHEN k % 2 = 1 THEN floor((100 + k % 50) / 25.0::DOUBLE + 0.5)::BIGINT + 1 END AS stitches FROM c""")
+def _(spark, d):
+    """Finished drawings: too few points, an area wound as it must be, a line that is sewn as it is."""
+    from threadloom.plans.edits import pen_finished
+
+    def one(k):
+        if k % 4 == 0:
+            points, fill = [(0, 0), (5, 5)], True
+        elif k % 2 == 0:
+            points, fill = [(0, 0), (0, 40), (30 + k % 20, 40), (30 + k % 20, 0)], True
+        else:
+            points, fill = [(0, 0), (100 + k % 50, 0)], False
+        r = pen_finished(points, fill)
+        if r is None:
+            return "nothing", None, None
+        return ("line", None, len(r["baked"][0])) if "baked" in r else ("region", round(2 * S.area(r["outer"])), None)
+
+    made = _each(spark, d, "k bigint, made string, area2 double, stitches double", one)
+    return made.select("k", "made", F.when(~F.isnan("area2"), F.col("area2")).cast("long").alias("area2"), F.when(~F.isnan("stitches"), F.col("stitches")).cast("long").alias("stitches"))
+
+
+@query("sketch_orders", _K + """ SELECT k, CASE WHEN k % 3 = 0 THEN 's0,f1,s2,f3' WHEN k % 3 = 1 THEN 'f1,f3,s2,s0' ELSE 'f1,s0' END AS units FROM c""")
+def _(spark, d):
+    """Elements of a layer in the order of drawing where it says so, else fills before strokes, a colour at a time and the nearest next;
+    hidden layers go."""
+
+    def one(k):
+        stroke = lambda n, x, c: {"kind": "stroke", "name": f"s{n}", "points": [[x, 0], [x + 5, 0]], "width": 0.5, "color": c}
+        fill = lambda n, x, c: {"kind": "fill", "name": f"f{n}", "outer": [[x, 0], [x + 5, 0], [x + 5, 5], [x, 5]], "holes": [], "color": c}
+        layers = [{"elements": [stroke(0, 0, [1, 1, 1]), fill(1, 10, [2, 2, 2])]}, {"elements": [stroke(2, 20, [1, 1, 1]), fill(3, 30, [2, 2, 2])], "hidden": k % 3 == 2}]
+        if k % 3 == 1:
+            layers = [{"elements": layers[0]["elements"] + layers[1]["elements"]}]
+        if k % 3 == 0:
+            layers = [x | {"order": "manual"} for x in layers]
+        return (",".join(e["name"] for e in sketch.sewing_order({"layers": layers})),)
+
+    return _each(spark, d, "k bigint, units string", one)
