@@ -184,7 +184,8 @@ def fit(docs: DataFrame, learn: Column, rows: int = ROWS, together: int = TOGETH
     thin = can.select("doc_id", "lang")
     sizes = thin.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("_n"))
-    ids = thin.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_003)) < share * 1_000_003).select("doc_id", "lang").distinct()
+    # a row for each language; the trees that come of them go to every task anyway
+    ids = thin.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_003)) < share * 1_000_003).select("doc_id", "lang").distinct()
     drawn = can.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])
 
     def run(batches):
