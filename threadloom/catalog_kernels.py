@@ -586,3 +586,128 @@ def _(spark, d):
         return (",".join(e["name"] for e in sketch.sewing_order({"layers": layers})),)
 
     return _each(spark, d, "k bigint, units string", one)
+
+
+@query("hidden_paths", _K + """ SELECT k, 11::BIGINT AS points, k % 10 AS under_fill, 6::BIGINT AS under_stroke, CASE WHEN k % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS left_over, CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS runs FROM c""")
+def _(spark, d):
+    """Points of a line under a later fill and under a wide stroke; thin lines that go as most of them is hidden; a move that is sewn since
+    all of it will be covered (one run then leads on from the other without a cut)."""
+
+    def one(k):
+        p = np.arange(11) + 0.5 + 0j
+        fill = {"kind": "fill", "outer": [(0, -5), (k % 10, -5), (k % 10, 5), (0, 5)], "color": [0, 0, 0]}
+        stroke = {"kind": "stroke", "points": [(0, 3), (5.6, 3)], "width": 6.2, "color": [0, 0, 0]}
+        thin = {"kind": "stroke", "points": [(x, 0) for x in range(10)], "width": 0.5, "style": "auto", "color": [0, 0, 0]}
+        cover = {"kind": "fill", "outer": [(-1, -5), (9.5 if k % 3 == 0 else 4, -5), (9.5 if k % 3 == 0 else 4, 5), (-1, 5)], "color": [1, 1, 1]}
+        dots = [{"kind": "stroke", "points": [(x, 0), (x + 4, 0)], "width": 0.5, "color": [9, 9, 9], "layer": 0} for x in (0, 30)]
+        top = [{"kind": "fill", "outer": [(-5, -5), (40, -5), (40, 5), (-5, 5)], "holes": [], "color": [7, 7, 7], "angle": 0}] if k % 2 == 0 else []
+        doc = sketch.load(sketch.save({"layers": [{"elements": dots}, {"elements": top}]}))
+        first = sketch.compile_document(doc)[0]["runs"]
+        cut = 1 + sum(r["connection"] != "continuous" for r in first[1:])
+        # the line under the stroke's edge at 0.1 below it
+        under = int(sketch.covers(stroke, p).sum())
+        return len(p), int(sketch.covers(fill, p).sum()), under, len(sketch.without_hidden([thin, cover])), cut
+
+    return _each(spark, d, "k bigint, points bigint, under_fill bigint, under_stroke bigint, left_over bigint, runs bigint", one)
+
+
+@query("ray_hits", _K + " SELECT k, 10 + k % 30 AS ahead, 10 + k % 30 AS behind FROM c")
+def _(spark, d):
+    """First hits of a box on both sides of points on its middle line."""
+
+    def one(k):
+        h = 10 + k % 30
+        left, right = G._chords(S.ring([(0, -h), (100, -h), (100, h), (0, h)]), np.array([50 + 0j]), np.array([1j]), 200.0)
+        return round(left[0].imag), round(-right[0].imag)
+
+    return _each(spark, d, "k bigint, ahead bigint, behind bigint", one)
+
+
+@query("pec_colors", f"WITH {dims.PALETTE_SQL} SELECT pec_index, pr AS r, pg AS g, pb AS b FROM palette UNION ALL SELECT 99, pr, pg, pb FROM palette WHERE pec_index = 20")
+def _(spark, d):
+    """Threads of PES files by their numbers, black for one that isn't known: a file for each, read back."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for n in pdf["n"].tolist():
+                plan = {"name": "x", "blocks": [{"thread": {"r": 0, "g": 0, "b": 0}, "runs": [{"stitches": [(0, 0), (50, 0), (100, 0)], "connection": "jump"}]}]}
+                made = bytearray(codec.write_pes(plan))
+                made[22 + 49] = n
+                e = sketch.import_pes(bytes(made))["layers"][0]["elements"][0]
+                out.append((n, *e["color"]))
+            yield pd.DataFrame(out, columns=["pec_index", "r", "g", "b"])
+
+    numbers = [(p[0],) for p in dims.PALETTE] + [(99,)]
+    return spark.createDataFrame(numbers, "n int").mapInPandas(run, "pec_index int, r int, g int, b int")
+
+
+@query("baked_edits", _K + """ SELECT k, 5::BIGINT AS kept, 6::BIGINT AS inserted, 4::BIGINT AS deleted, k % 7 * 10 + 1 AS moved_x, 2::BIGINT AS least FROM c""")
+def _(spark, d):
+    """An object's stitches kept, and one of them moved, put in and taken out, while two are left."""
+    from threadloom.plans import edits as E
+
+    def one(k):
+        plan = [{"runs": [{"object_id": n, "stitches": np.arange(5) * 10 + 1j * n} for n in range(3)]}]
+        baked = E.bake(plan, k % 3)
+        moved = E.edited(baked, 0, 2, k % 7 * 10 + 0.6 + 5j)
+        return len(baked[0]), len(E.edited(baked, 0, 1, 3 + 3j, insert=True)[0]), len(E.edited(baked, 0, 1)[0]), int(moved[0][2].real), len(E.edited([baked[0][:2]], 0, 0)[0])
+
+    return _each(spark, d, "k bigint, kept bigint, inserted bigint, deleted bigint, moved_x bigint, least bigint", one)
+
+
+@query("near_white_outlines", _K + " SELECT k, CASE WHEN k % 256 > 235 THEN 0 ELSE 1 END::BIGINT AS runs FROM c")
+def _(spark, d):
+    """Outlines in grey: near-white ones are not sewn."""
+
+    def one(k):
+        g = k % 256
+        return (len(D.object_runs({"outer": S.ring([(0, 0), (60, 0), (60, 60), (0, 60)]), "holes": [], "color": (g, g, g), "fill_type": "outline"}, D.Options())),)
+
+    return _each(spark, d, "k bigint, runs bigint", one)
+
+
+@query("merged_centers", _K + """ SELECT k, 2 + k % 3 AS capped, 3::BIGINT AS near, 2::BIGINT AS blended, CASE WHEN k % 5 >= 4 THEN 2 ELSE 1 END::BIGINT AS promoted FROM c""")
+def _(spark, d):
+    """Colour centres: at most as many as asked for, those nearer than 6 made one, a small one between two large ones gone, and a far blob of
+    four pixels or more that becomes one."""
+
+    def one(k):
+        far = np.array([[10.0, 0, 0], [40, 50, 0], [70, -60, 20], [90, 0, -70], [55, 10, 90]])
+        points = np.repeat(far, 40, 0)
+        close = np.array([[10.0, 0, 0], [12, 2, 0], [70, -60, 20], [90, 0, -70]])
+        between = np.array([[0.0, 0, 0], [50, 0, 0], [100, 0, 0]])
+        sizes = np.repeat(between, [100, 5, 100], 0)
+        n = k % 5
+        at = np.stack(np.mgrid[0:10, 0:10], -1).reshape(-1, 2)
+        image = np.zeros((100, 3))
+        image[: n] = (90, 80, 0)
+        return len(I.merged(points, far, 2 + k % 3)), len(I.merged(np.repeat(close, 40, 0), close, 6)), len(I.merged(sizes, between, 6)), len(I.promoted(image, at, (10, 10), np.zeros((1, 3)), 25.0))
+
+    return _each(spark, d, "k bigint, capped bigint, near bigint, blended bigint, promoted bigint", one)
+
+
+@query("merged_specks", _K + """ SELECT k, CASE WHEN (1 + k % 5) * (1 + k % 5) < 16 THEN 0 ELSE (1 + k % 5) * (1 + k % 5) END AS like_specks, CASE WHEN (1 + k % 5) * (1 + k % 5) <= 2 THEN 0 ELSE (1 + k % 5) * (1 + k % 5) END AS far_specks FROM c""")
+def _(spark, d):
+    """Square specks in a field: those of a like colour go under 16 pixels, those of a far colour under 3."""
+
+    def one(k):
+        n = 1 + k % 5
+        labels = np.zeros((20, 20), int)
+        labels[5 : 5 + n, 5 : 5 + n] = 1
+        like, far = np.array([[50.0, 0, 0], [55, 0, 0]]), np.array([[50.0, 0, 0], [50, 90, 0]])
+        return int((I.without_specks(labels, like, 25.0) == 1).sum()), int((I.without_specks(labels, far, 25.0) == 1).sum())
+
+    return _each(spark, d, "k bigint, like_specks bigint, far_specks bigint", one)
+
+
+@query("designs_for_target", """SELECT s_suppkey AS design_id, true AS at_target, CASE WHEN s_suppkey % 2 = 0 THEN 1.0 ELSE 2.0 END::DOUBLE AS factor FROM supplier""")
+def _(spark, d):
+    """Targets that a plan meets as it is, and that none meets: the rows are spread to twice their distance at most."""
+    from threadloom.plans import pictures
+
+    box = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (200, 0), (200, 100), (0, 100))))
+    r = A.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("design_id"), F.lit(0).alias("region_idx"), box.alias("outer"), F.array().cast("array<array<struct<x:double,y:double>>>").alias("holes"), *(F.lit(0).alias(c) for c in "rgb"))
+    even, odd = r.where("design_id % 2 = 0"), r.where("design_id % 2 = 1")
+    made = [pictures.designs_for_target(part, target).groupBy("design_id", "factor").agg((F.count(F.lit(1)) <= target).alias("_met")).withColumn("at_target", F.col("_met") == met) for part, target, met in ((even, 100_000, True), (odd, 10, False))]
+    return made[0].unionByName(made[1]).select("design_id", "at_target", "factor")

@@ -145,3 +145,23 @@ def _(spark, d):
     rgb = {c: F.lit(0) for c in "rgb"}
     out = files.exported(A.stitches(spark, d).withColumns(rgb | {"connection": F.lit("jump")}), "csv")
     return out.select("design_id", "format", (F.size(F.split(F.decode("content", "UTF-8"), "\n")) - 1).cast("long").alias("lines"), F.length("content").cast("long").alias("bytes"))
+
+
+@query("answers_or_local", """SELECT c_custkey AS design_id, c_custkey % 3 = 0 AS answered, CASE WHEN c_custkey % 3 = 0 THEN 4 ELSE 7 END::BIGINT AS color_count, CASE WHEN c_custkey % 3 = 0 THEN 'satin' ELSE 'auto' END AS fill_type, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'edge' END AS underlay, CASE WHEN c_custkey % 3 = 0 THEN 1.5 ELSE 1.25 END::DOUBLE AS density_scale, false AS remove_white FROM customer""")
+def _(spark, d):
+    """A model's answer for one design in three, none or one of no known kind for the others, which take the local recommendation."""
+    k = F.col("design_id")
+    c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("design_id"))
+    local = c.select("design_id", F.lit(7).cast("long").alias("color_count"), F.lit("auto").alias("fill_type"), F.lit("edge").alias("underlay"), F.lit(1.25).alias("density_scale"), F.lit(False).alias("remove_white"))
+    good = '{"image_type":"logo","color_reduction_plan":{"target_color_count":4},"stitch_plan":[{"stitch_type":"satin","density":"low"}]}'
+    answers = c.select("design_id", F.when(k % 3 == 0, good).when(k % 3 == 1, '{"image_type":"sculpture"}').alias("answer"))
+    return R.with_fallback(answers, local).withColumn("color_count", F.col("color_count").cast("long"))
+
+
+@query("project_files", """SELECT c_custkey::VARCHAR AS file, c_name AS name, 3 AS version, c_custkey % 180 + 0.5::DOUBLE AS angle FROM customer""")
+def _(spark, d):
+    """Projects written as JSON, and what the text holds."""
+    c = A.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("file"), F.to_json(F.struct(F.lit(1).alias("version"), F.col("c_name").alias("name"), F.struct((F.col("c_custkey") % 180 + 0.5).alias("angleDeg")).alias("settings"))).alias("content"))
+    out = files.project_json(files.projects(c))
+    at = lambda path: F.get_json_object("content", path)
+    return out.select("file", at("$.name").alias("name"), at("$.version").cast("int").alias("version"), at("$.settings.angleDeg").cast("double").alias("angle"))

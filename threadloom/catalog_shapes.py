@@ -323,3 +323,48 @@ def _(spark, d):
             yield pd.DataFrame(out, columns=["s_suppkey", "width", "height", "mean"])
 
     return A.table(spark, d, "supplier").select("s_suppkey").mapInPandas(run, "s_suppkey bigint, width bigint, height bigint, mean bigint")
+
+
+@query("nearest_stitch", f"WITH {A.STITCHES_SQL}" + """, qs AS (SELECT c_custkey % 15 AS design_id, c_custkey AS q, (c_custkey * 61) % 801 - 400 AS qx, (c_custkey * 29) % 801 - 400 AS qy FROM customer),
+sd AS (SELECT design_id, q, block_idx, run_idx, seq, cast(x - qx AS BIGINT) * (x - qx) + cast(y - qy AS BIGINT) * (y - qy) AS d2 FROM qs JOIN st USING (design_id))
+SELECT design_id, q, block_idx, run_idx, seq, d2 FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, block_idx, run_idx, seq) AS k FROM sd WHERE d2 < 3600) WHERE k = 1""")
+def _(spark, d):
+    k = F.col("q")
+    return vector.nearest_stitch(_queries(spark, d).withColumn("design_id", k % 15), A.stitches(spark, d))
+
+
+@query("stroke_stitches", """WITH p AS (SELECT c_custkey AS poly, 120 + c_custkey % 60 AS w, [10, 30, 90][c_custkey % 3 + 1] AS h FROM customer)
+SELECT poly, ['running', 'satin', 'none'][poly % 3 + 1] AS how, CASE WHEN poly % 3 = 2 THEN 0 ELSE 1 END::BIGINT AS runs, CASE WHEN poly % 3 < 2 THEN 0 END::BIGINT AS outside FROM p""")
+def _(spark, d):
+    """Boxes as strokes: thin ones along their middle, wider ones as a column, very wide ones not at all."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k in pdf["poly"].tolist():
+                w, h = 120 + k % 60, (10, 30, 90)[k % 3]
+                runs = strokes.stroke_stitch(S.ring([(0, 0), (w, 0), (w, h), (0, h)]))
+                z = np.concatenate(runs) if runs else np.zeros(0, complex)
+                off = int(((z.real < 0) | (z.real > w) | (z.imag < 0) | (z.imag > h)).sum()) if runs else None
+                out.append((k, "none" if not runs else "running" if h <= strokes.THIN else "satin", len(runs), off))
+            yield pd.DataFrame(out, columns=["poly", "how", "runs", "outside"]).astype({"outside": "Int64"})
+
+    return A.rings(spark, d).select("poly").mapInPandas(run, "poly bigint, how string, runs bigint, outside bigint")
+
+
+@query("stitches_to_strokes", "SELECT c_custkey AS poly, CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 2 END::BIGINT AS points, c_custkey % 2 = 0 AS closed FROM customer")
+def _(spark, d):
+    """Hand-set stitches with locks at both ends: rounds that end where they began, and lines."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k in pdf["poly"].tolist():
+                side = 10 + k % 20
+                path = [(0, 0), (side, 0), (side, side), (0, side), (0, 0)] if k % 2 == 0 else [(0, 0), (side / 2, 0), (side, 0)]
+                lock = [(0, 0), (0.8, 0)]
+                e = strokes.as_stroke(lock * (k % 3) + path, (1, 2, 3))
+                out.append((k, len(e["points"]), e["closed"]))
+            yield pd.DataFrame(out, columns=["poly", "points", "closed"])
+
+    return A.rings(spark, d).select("poly").mapInPandas(run, "poly bigint, points bigint, closed boolean")

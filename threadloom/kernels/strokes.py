@@ -90,3 +90,38 @@ def zigzag_line(path: np.ndarray, width: float, spacing: float | None = None) ->
     from . import fills as G
 
     return G.satin_line(path, width, G.SATIN_SPACING if spacing is None else spacing)
+
+
+#: Strokes up to this width are sewn along their middle.
+THIN = 16.0
+
+
+def stroke_stitch(outer: S.Ring, holes=(), spacing: float | None = None) -> list[np.ndarray]:
+    """A region that looks like a stroke: along its middle where it is thin, else a column between its rails; nothing else is sewn."""
+    from . import fills as G
+
+    s = analyze(outer, holes)
+    if not looks_like_stroke(s):
+        return []
+    if s.width <= THIN:
+        return G.running(s.middle)
+    gap = G.SATIN_SPACING if spacing is None else spacing
+    n = max(2, int(s.length / gap + 0.5) + 1)
+    rails = [S.resample(r, count=n) for r in (s.left, s.right)]
+    return [G.zigzag(*rails)]
+
+
+def as_stroke(points, color) -> dict:
+    """Hand-set stitches (millimetres) as a thin running stroke: without locks, simplified, closed where they end as they began."""
+    z = S.ring(points)
+    a, b = 0, len(z) - 1
+    for way in (1, -1):
+        for _ in range(3):
+            i = a if way == 1 else b
+            if b - a < 3 or abs(z[i] - z[i + 2 * way]) >= 0.15 or abs(z[i] - z[i + way]) > 1.2:
+                break
+            a, b = (a + 2, b) if way == 1 else (a, b - 2)
+    z = S.simplify(z[a : b + 1], 0.05)
+    closed = len(z) > 3 and abs(z[0] - z[-1]) < 0.3
+    z = z[:-1] if closed else z
+    return {"kind": "stroke", "points": [[float(p.real), float(p.imag)] for p in z], "closed": bool(closed), "width": 0.5, "style": "running", "color": list(color)}

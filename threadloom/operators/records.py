@@ -169,6 +169,15 @@ def recommended(a) -> Column:
     return F.struct(X.col(a)["colors"].alias("color_count"), fill.alias("fill_type"), best.alias("density"), F.when(fill == "satin", "").otherwise("edge").alias("underlay"), X.col(a)["remove_white"].alias("remove_white"))
 
 
+def with_fallback(answers: DataFrame, local: DataFrame) -> DataFrame:
+    """Recommendations of a model's answers (design_id, answer, JSON or null where there was none), and the local ones (columns color_count,
+    fill_type, underlay, density_scale, remove_white) for designs without a valid answer.  The call itself is not made here."""
+    a = local.join(answers.select("design_id", analysis("answer").alias("_a")), "design_id", "left").withColumn("_r", recommended("_a"))
+    there = F.col("_a").isNotNull()
+    pick = lambda name, own: F.when(there, F.col(f"_r.{name}")).otherwise(F.col(own)).alias(own)
+    return a.select("design_id", there.alias("answered"), pick("color_count", "color_count"), pick("fill_type", "fill_type"), pick("underlay", "underlay"), pick("density", "density_scale"), pick("remove_white", "remove_white"))
+
+
 def merged_settings(given, defaults: dict[str, str]) -> Column:
     """A map of settings, those given (a map, or null) before the defaults, and given ones that have no default kept."""
     base = F.create_map(*(F.lit(x) for pair in defaults.items() for x in pair))

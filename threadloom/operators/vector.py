@@ -281,6 +281,15 @@ def hits(queries: DataFrame, rings: DataFrame, points: DataFrame, reach: float =
     return queries.join(top, ["design_id", "q"], "left").join(edge, ["design_id", "q"], "left").select("design_id", "q", F.coalesce("_inside", "_near").alias("poly"), F.col("_inside").isNotNull().alias("inside"))
 
 
+def nearest_stitch(queries: DataFrame, st: DataFrame, reach: int = 60, cell: int = CELL) -> DataFrame:
+    """The stitch of its design nearest to each query and nearer than `reach`, the first of equally near ones in sewing order."""
+    p = st.select("design_id", "block_idx", "run_idx", "seq", "x", "y").withColumn("_gx", F.explode(_cells(F.col("x") - reach, F.col("x") + reach, cell))).withColumn("_gy", F.explode(_cells(F.col("y") - reach, F.col("y") + reach, cell)))
+    q = queries.withColumns({"_gx": F.floor(F.col("qx") / cell).cast("long"), "_gy": F.floor(F.col("qy") / cell).cast("long")})
+    j = q.join(p, ["design_id", "_gx", "_gy"]).withColumn("d2", X.squared(F.col("x") - F.col("qx"), F.col("y") - F.col("qy"))).where(F.col("d2") < reach * reach)
+    place = F.struct("block_idx", "run_idx", "seq")
+    return j.groupBy("design_id", "q").agg(F.min_by(place, F.struct(F.col("d2"), place)).alias("s"), F.min("d2").alias("d2")).select("design_id", "q", "s.*", "d2")
+
+
 def meeting_boxes(rings: DataFrame, cell: int = CELL) -> DataFrame:
     """How many other outlines of its design each outline's box touches: boxes meet in the cells that they cover, and a pair counts in the
     first cell that both cover."""
