@@ -48,6 +48,7 @@ def test_near_in_small_blocks(docs, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCKS", (2, 4))
     monkeypatch.setattr(near_dedup, "BLOCK_GROWTH", 1)
     monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(near_dedup, "HUB_PAIRS", 3)
     assert rows_of(near_dedup.near_duplicates(docs, 2), "doc_id", "n_shingles", "component_id", "kept") == near(documents())
 
 

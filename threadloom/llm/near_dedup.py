@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import forget, free_name, small_batches, stored
+from .frames import forget, free_name, partitions, small_batches, stored
 from .words import Chunk, mix, slices
 
 SHINGLE = 5
@@ -44,6 +44,9 @@ MISS = 1e-5
 BLOCKS, BLOCK_GROWTH = (256, 8192), 8
 #: Bins of a sketch, and after how many of them pairs are compared.
 SKETCH, LOOKS = 512, (64, 128, 256, 512)
+#: Pairs with one hub that are verified in one go, about.
+HUB_PAIRS = 500
+LINKS = "a long, b long"
 #: A list of classes up to this length is broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -185,9 +188,9 @@ def prune(pairs: DataFrame, classes: DataFrame, miss: float) -> DataFrame:
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """pairs (a, b) with linked: whether their full sets are similar enough."""
-    need = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "row_key"), "cid")
-    need = stored(need)
+    """Of pairs (a, b), those of which the full sets are similar enough.  Pairs of one b are dealt to groups of about HUB_PAIRS; a group has
+    b's text once, then those of its partners, and streams through its task in that order."""
+    need = stored(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "row_key"), "cid"))
     few = need.count() <= BROADCAST_ROWS
     found = _keyed(docs).select("row_key", "text").join(F.broadcast(need) if few else need, "row_key")
 
@@ -200,35 +203,32 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int = S
     # rows that are alike come once
     texts = stored(found.select("cid", "text").mapInArrow(shrink, "cid long, size long, body binary").groupBy("cid").agg(F.max(F.struct("size", "body")).alias("_t")).select("cid", "_t.*"))
     forget(need)
-    side = lambda k: texts.select(F.col("cid").alias(k), F.col("size").alias(f"z{k}"), F.col("body").alias(f"t{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    deals = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("deals"))
+    one = pairs.join(deals, "b").select("b", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int").alias("deal"), F.lit(1).alias("kind"), F.col("a").alias("cid"))
+    hub = deals.select("b", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(0).alias("kind"), F.col("b").alias("cid"))
+    rows = one.unionByName(hub).join(texts, "cid").select("b", "deal", "kind", "cid", "size", "body")
+    rows = rows.repartition(partitions(docs.sparkSession), "b", "deal").sortWithinPartitions("b", "deal", "kind")
 
     def run(batches):
-        codec, sets = pa.Codec("zstd"), {}
-
-        def set_of(cid, size, body):
-            s = sets.get(cid)
-            if s is None:
-                data = codec.decompress(body, size, asbytes=True) if size else b""
-                s, _ = shingles(np.frombuffer(data, np.uint8), np.array([0, len(data)]), width)
-                if len(sets) >= 200:
-                    sets.clear()
-                sets[cid] = s
-            return s
-
+        codec, of, theirs = pa.Codec("zstd"), None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                za, ta, zb, tb = (part.column(k).to_pylist() for k in range(2, 6))
-                linked = []
-                for k in range(len(a)):
-                    x, y = set_of(a[k], za[k], ta[k]), set_of(b[k], zb[k], tb[k])
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(100 * common >= SIMILARITY * (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            hubs, kinds, cids, sizes = (batch.column(k).to_pylist() for k in (0, 2, 3, 4))
+            out = []
+            for k in range(batch.num_rows):
+                data = codec.decompress(batch.column(5)[k].as_py(), sizes[k], asbytes=True) if sizes[k] else b""
+                own, _ = shingles(np.frombuffer(data, np.uint8), np.array([0, len(data)]), width)
+                if kinds[k] == 0:
+                    of, theirs = hubs[k], own
+                    continue
+                if of != hubs[k]:
+                    raise ValueError("a hub's text has to come before its partners")
+                common = len(np.intersect1d(own, theirs, assume_unique=True))
+                if 100 * common >= SIMILARITY * (len(own) + len(theirs) - common):
+                    out.append(k)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([cids[k] for k in out], pa.int64()), pa.array([hubs[k] for k in out], pa.int64())], ["a", "b"])
 
-    return both.select("a", "b", "za", "ta", "zb", "tb").mapInArrow(run, "a long, b long, linked boolean")
+    return rows.mapInArrow(run, LINKS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -324,7 +324,6 @@ def dealt(near: DataFrame) -> DataFrame:
 
 GROUP = ["hub_comp", "i", "j"]
 FOUND = "hub_comp long, i int, j int, cid long"
-LINKS = "a long, b long"
 
 
 class _Group:
@@ -422,10 +421,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, miss: float = MISS) -
     by_set = found.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("row_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = stored(by_set.withColumn("cid", F.monotonically_increasing_id()))
     members = classes.select("cid", "rep", F.explode("bands").alias("band"))
+    # b is always the hub, the earlier one by RANK, so a pair comes in one direction only
     hubs = members.groupBy("band").agg(F.min_by("cid", F.expr(RANK)).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    pairs = members.select("cid", "band").withColumnRenamed("cid", "a").join(hubs, "band").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = members.select("cid", "band").withColumnRenamed("cid", "a").join(hubs, "band").where("a <> b").select("a", "b").distinct()
     likely = stored(prune(pairs, classes, miss))
-    links = stored(verify(likely, classes, docs, width).where("linked").select("a", "b"))
+    links = stored(verify(likely, classes, docs, width))
     comps = components(links)
     more = across(members, classes, comps, docs, width, miss)
     if not more.isEmpty():
