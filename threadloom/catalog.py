@@ -456,10 +456,17 @@ def _(spark, d):
     return color.high_contrast(A.colors(spark, d).withColumn("grp", F.col("id") % 400), limit=7225.0).select("id", "grp")
 
 
-@query("css_color_parse", "SELECT * FROM (VALUES ('#f80', 255, 136, 0), ('#0a141e', 10, 20, 30), ('rgb(1, 2 ,3)', 1, 2, 3), (' Red ', 255, 0, 0), ('none', NULL, NULL, NULL), ('', NULL, NULL, NULL), ('nonsense', 0, 0, 0), ('GREY', 128, 128, 128), ('transparent', NULL, NULL, NULL), ('#12', 0, 0, 0)) t(css, r, g, b)")
+@query("css_color_parse", """WITH p AS (SELECT p_partkey AS k, p_partkey % 8 AS f, p_partkey % 256 AS a, p_partkey * 7 % 256 AS b FROM part)
+SELECT k, CASE f WHEN 0 THEN a WHEN 1 THEN a WHEN 2 THEN k % 4096 // 256 * 17 WHEN 3 THEN 255 WHEN 5 THEN 128 WHEN 6 THEN 0 END::INT AS r, CASE f WHEN 0 THEN b WHEN 1 THEN b WHEN 2 THEN k % 256 // 16 * 17 WHEN 3 THEN 0 WHEN 5 THEN 128 WHEN 6 THEN 0 END::INT AS g, CASE f WHEN 0 THEN 3 WHEN 1 THEN 9 WHEN 2 THEN k % 16 * 17 WHEN 3 THEN 0 WHEN 5 THEN 128 WHEN 6 THEN 0 END::INT AS b FROM p""")
 def _(spark, d):
-    texts = ["#f80", "#0a141e", "rgb(1, 2 ,3)", " Red ", "none", "", "nonsense", "GREY", "transparent", "#12"]
-    return spark.createDataFrame([(t,) for t in texts], "css string").withColumn("c", X.css_color("css")).select("css", "c.r", "c.g", "c.b")
+    """rgb() with odd spaces, six and three hexadecimal digits, names, what is no colour, what is none that is known, and nothing."""
+    k = F.col("k")
+    a, b, none = k % 256, k * 7 % 256, F.lit(None).cast("string")
+    forms = F.array(
+        F.concat(F.lit("rgb( "), a.cast("string"), F.lit(" ,"), b.cast("string"), F.lit(",3 )")), F.lower(F.format_string("#%02X%02x09", a, b)), F.format_string("#%03x", k % 4096), F.lit(" Red "), F.lit("none"), F.lit("GREY"), F.lit("nonsense"), none
+    )
+    p = A.table(spark, d, "part").select(F.col("p_partkey").alias("k")).withColumn("c", X.css_color(F.element_at(forms, (k % 8 + 1).cast("int"))))
+    return p.select("k", "c.r", "c.g", "c.b")
 
 
 @query("mm_round_table", f"WITH {dims.FABRIC_SQL} SELECT id, " + ", ".join(f"cast(floor({c}::DOUBLE / 0.1::DOUBLE + 0.5) AS BIGINT) AS {n}" for c, n in (("row_mm", "row_u"), ("satin_mm", "satin_u"), ("length_mm", "length_u"), ("pull_mm", "pull_u"), ("push_mm", "push_u"), ("min_mm", "min_u"), ("trim_mm", "trim_u"))) + " FROM fabric")
@@ -488,44 +495,44 @@ _BANDS = f"""WITH {A.PIXELS_SQL}, lu AS (SELECT *, greatest(0, least(1, ((0.299:
 
 @query("luminance_bands", _BANDS + "SELECT * FROM bn")
 def _(spark, d):
-    return raster.luminance_bands(A.pixels(spark))
+    return raster.luminance_bands(A.pixels(spark, d))
 
 
 @query("band_segments", _BANDS + ", bi AS (SELECT *, x - row_number() OVER (PARTITION BY img, y, band ORDER BY x) AS k FROM bn WHERE band IS NOT NULL) SELECT img, y, band, min(x) AS x1, max(x) AS x2 FROM bi GROUP BY img, y, band, k")
 def _(spark, d):
-    return raster.band_segments(raster.luminance_bands(A.pixels(spark)))
+    return raster.band_segments(raster.luminance_bands(A.pixels(spark, d)))
 
 
 @query("majority_smooth", f"""WITH {A.PIXELS_SQL}, vo AS (SELECT p.img, p.x, p.y, q.label, sum(CASE WHEN q.x = p.x AND q.y = p.y THEN 2 ELSE 1 END) AS votes, min((q.y - p.y) * 3 + q.x - p.x) AS turn
   FROM px p JOIN px q ON p.img = q.img AND q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1 GROUP BY ALL)
 SELECT img, x, y, arg_max(label, votes * 100 - turn) AS smooth FROM vo GROUP BY ALL""")
 def _(spark, d):
-    return raster.majority(A.pixels(spark).select("img", "x", "y", "label"))
+    return raster.majority(A.pixels(spark, d).select("img", "x", "y", "label"))
 
 
 @query("morph_close", f"""WITH {A.PIXELS_SQL}, k0 AS (SELECT img, x, y, label, (label = 1)::INT AS m FROM px), k1 AS (SELECT img, x, y, label, max(m) OVER (PARTITION BY img, y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM k0),
 k2 AS (SELECT img, x, y, label, max(m) OVER (PARTITION BY img, x ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM k1), k3 AS (SELECT img, x, y, label, min(m) OVER (PARTITION BY img, y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM k2)
 SELECT img, x, y, label, min(m) OVER (PARTITION BY img, x ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS closed FROM k3""")
 def _(spark, d):
-    return raster.closing(A.pixels(spark), 1)
+    return raster.closing(A.pixels(spark, d), 1)
 
 
 @query("boundary_edges", f"""WITH {A.PIXELS_SQL}, s(k, dx, dy, sx, sy, ex, ey) AS (VALUES (0, 0, -1, 0, 0, 1, 0), (1, 1, 0, 1, 0, 1, 1), (2, 0, 1, 1, 1, 0, 1), (3, -1, 0, 0, 1, 0, 0))
 SELECT p.img, p.label, p.x + sx AS sx, p.y + sy AS sy, p.x + ex AS ex, p.y + ey AS ey FROM px p CROSS JOIN s LEFT JOIN px q ON q.img = p.img AND q.x = p.x + dx AND q.y = p.y + dy WHERE q.label IS NULL OR q.label <> p.label""")
 def _(spark, d):
-    return raster.boundary_edges(A.pixels(spark))
+    return raster.boundary_edges(A.pixels(spark, d))
 
 
 @query("palette_means", f"""WITH {A.PIXELS_SQL}, pm AS (SELECT img, label, cast(floor(sum(r) / count(*) + 0.5) AS BIGINT) AS r, cast(floor(sum(g) / count(*) + 0.5) AS BIGINT) AS g, cast(floor(sum(b) / count(*) + 0.5) AS BIGINT) AS b, min(y * 65536 + x) AS f FROM px GROUP BY ALL)
 SELECT img, label, r, g, b, cast(row_number() OVER (PARTITION BY img ORDER BY f) - 1 AS BIGINT) AS place FROM pm""")
 def _(spark, d):
-    return raster.palette_of(A.pixels(spark))
+    return raster.palette_of(A.pixels(spark, d))
 
 
 @query("white_background", f"WITH {A.PIXELS_SQL} SELECT img, count(*) FILTER (r >= 200 AND g >= 120 AND b >= 60) >= 3 AND img <> 3 AS white FROM px WHERE x IN (0, 63) AND y IN (0, 47) GROUP BY img")
 def _(spark, d):
     """The fourth image has a transparent corner."""
-    px = A.pixels(spark).select("img", "x", "y", F.when(F.col("r") >= 200, 255).otherwise(0).alias("r"), F.when(F.col("g") >= 120, 255).otherwise(0).alias("g"), F.when(F.col("b") >= 60, 255).otherwise(0).alias("b"))
+    px = A.pixels(spark, d).select("img", "x", "y", F.when(F.col("r") >= 200, 255).otherwise(0).alias("r"), F.when(F.col("g") >= 120, 255).otherwise(0).alias("g"), F.when(F.col("b") >= 60, 255).otherwise(0).alias("b"))
     return raster.white_background(px.withColumn("a", F.when((F.col("img") == 3) & (F.col("x") == 63) & (F.col("y") == 0), 0).otherwise(255)))
 
 

@@ -92,10 +92,11 @@ def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
 COLORS_SQL = "rgb AS (SELECT p_partkey AS id, cast((p_partkey * 37) % 256 AS INT) AS r, cast((p_partkey * 91 + 13) % 256 AS INT) AS g, cast((p_partkey * 151 + 7) % 256 AS INT) AS b FROM part)"
 
 
-def pixels(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    """img, x, y, label, r, g, b: four images of 64 by 48 with a disc (0), a ring (1), background (2) and some specks."""
-    i = F.col("id")
-    px = spark.range(12288).select((i % 4).cast("int").alias("img"), F.expr("cast(((id - id % 4) div 4) % 64 as int)").alias("x"), F.expr("cast(id div 256 as int)").alias("y"))
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """img, x, y, label, r, g, b: an image of 64 by 48 for each supplier, with a disc (0), a ring (1), background (2) and some specks."""
+    i = F.explode(F.sequence(F.lit(0), F.lit(64 * 48 - 1)))
+    px = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("img"), i.alias("i"))
+    px = px.select("img", (F.col("i") % 64).cast("int").alias("x"), F.expr("cast(i div 64 as int)").alias("y"))
     d = (F.col("x") - 32) * (F.col("x") - 32) + (F.col("y") - 24) * (F.col("y") - 24)
     label = F.when((F.col("x") * 7 + F.col("y") * 13 + F.col("img") * 5) % 97 == 0, (F.col("x") + F.col("y")) % 3).when(d < 100, 0).when(d < 400, 1).otherwise(2)
     px = px.withColumn("label", label.cast("int"))
@@ -104,7 +105,7 @@ def pixels(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
 
 
 PIXELS_SQL = """
-px0 AS (SELECT cast(i % 4 AS INT) AS img, cast(((i - i % 4) // 4) % 64 AS INT) AS x, cast(i // 256 AS INT) AS y FROM range(12288) t(i)),
+px0 AS (SELECT cast(s_suppkey AS INT) AS img, cast(i % 64 AS INT) AS x, cast(i // 64 AS INT) AS y FROM supplier, range(3072) t(i)),
 px1 AS (
   SELECT *, cast(CASE WHEN (x * 7 + y * 13 + img * 5) % 97 = 0 THEN (x + y) % 3 WHEN (x - 32) * (x - 32) + (y - 24) * (y - 24) < 100 THEN 0
          WHEN (x - 32) * (x - 32) + (y - 24) * (y - 24) < 400 THEN 1 ELSE 2 END AS INT) AS label FROM px0
