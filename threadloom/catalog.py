@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom import catalog_kernels, catalog_records, catalog_shapes
 from threadloom.functions import dims
 from threadloom.functions import exprs as X
-from threadloom.operators import color, geometry, layout, library, machine, plan, raster, report, rules
+from threadloom.operators import color, geometry, layout, library, machine, plan, raster, report, rules, vector
 from threadloom.plans import queries as kernel_queries
 from threadloom.plans import samples
 from threadloom.sources import adapters as A
@@ -639,13 +639,13 @@ def _(spark, d):
 @query("hidden_ratio", _EDGES.replace("WITH ", f"WITH {A.STITCHES_SQL.strip()}, ", 1) + """, hp AS (SELECT design_id, block_idx, run_idx, seq, x, y FROM st)
 SELECT s.design_id, s.block_idx, s.run_idx, count(*) AS points, count(*) FILTER (EXISTS (SELECT 1 FROM bx b WHERE b.design_id = s.design_id % 50 AND b.poly % 7 > s.block_idx AND s.x >= b.bx0 AND s.x < b.bx1 AND s.y >= b.by0 AND s.y < b.by1)) AS hidden FROM hp s GROUP BY ALL""")
 def _(spark, d):
-    """Points of runs under outlines that are sewn later (layer over their block): boxes first, then rings, then a semi join by point."""
+    """Points of runs under outlines that are sewn later (layer over their block): points meet the rings of their cells only, then a join by
+    point."""
     s = A.stitches(spark, d)
-    r = A.rings(spark, d).select("design_id", "poly", "outer", X.ring_bounds("outer").alias("b")).withColumnRenamed("design_id", "pd")
-    j = s.withColumn("pd", F.col("design_id") % 50).join(r, "pd").where("poly % 7 > block_idx and x between b.min_x and b.max_x and y between b.min_y and b.max_y").where(X.point_in_ring("x", "y", "outer"))
-    hit = j.select("design_id", "block_idx", "run_idx", "seq").distinct().withColumn("hit", F.lit(1))
-    keys = ["design_id", "block_idx", "run_idx"]
-    return s.join(hit, [*keys, "seq"], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), F.count("hit").alias("hidden"))
+    keys = ["plan", "block_idx", "run_idx"]
+    q = s.select((F.col("design_id") % 50).alias("design_id"), F.col("design_id").alias("plan"), "block_idx", "run_idx", F.col("seq").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    hit = vector.holders(q, A.rings(spark, d)).where("poly % 7 > block_idx").select(*keys, "q").distinct().withColumn("hit", F.lit(1))
+    return q.join(hit, [*keys, "q"], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), F.count("hit").alias("hidden")).withColumnRenamed("plan", "design_id")
 
 
 @query("arc_length", _RUNS + "SELECT design_id, block_idx, run_idx, seq, cast(coalesce(sum(len) OVER (PARTITION BY design_id, block_idx, run_idx ORDER BY seq), 0) AS BIGINT) AS along FROM stl")
