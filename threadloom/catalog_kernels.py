@@ -469,7 +469,7 @@ def _(spark, d):
 
     def one(k):
         box = lambda x, s, c, n: {"outer": S.ring([(x, 0), (x + s, 0), (x + s, s), (x, s)]), "holes": [], "color": c, "object_id": n, "fill_type": "outline" if k % 2 == 0 else "tatami"}
-        regions = [box(0, 60, red, 0), box(100, 60, red, 1), box(200, 60, red, 2), box(0, 90, blue, 3), box(300, 10, green, 4)]
+        regions = [box(0, 60, red, 0), box(100, 60, red, 1), box(200, 60, red, 2), box(0, 90, blue, 3), box(300, 20, green, 4)]
         plan = D.digitize(regions, D.Options(color_order=(green, red, blue), object_order=(4, 2, 0, 1, 3), min_extent=30.0))
         seen = list(dict.fromkeys(r["object_id"] for b in plan if b["thread"] == red for r in b["runs"]))
         return ",".join(names[b["thread"]] for b in plan), ",".join(map(str, seen)), len(plan), "outline" if plan[1]["runs"][0]["stitch_type"] == "running" else "tatami"
