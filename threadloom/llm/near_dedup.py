@@ -203,9 +203,12 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int = S
     # rows that are alike come once
     texts = stored(found.select("cid", "text").mapInArrow(shrink, "cid long, size long, body binary").groupBy("cid").agg(F.max(F.struct("size", "body")).alias("_t")).select("cid", "_t.*"))
     forget(need)
-    deals = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("deals"))
-    one = pairs.join(deals, "b").select("b", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int").alias("deal"), F.lit(1).alias("kind"), F.col("a").alias("cid"))
-    hub = deals.select("b", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(0).alias("kind"), F.col("b").alias("cid"))
+    # hubs of many pairs, in a table of known size, so that pairs need not meet by hub to learn how theirs are dealt
+    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    large = stored(counts.where(F.col("n") > HUB_PAIRS).select("b", F.ceil(F.col("n") / HUB_PAIRS).cast("int").alias("deals")))
+    deals = F.coalesce("deals", F.lit(1))
+    one = pairs.join(large, "b", "left").select("b", F.pmod(F.xxhash64("a"), deals).cast("int").alias("deal"), F.lit(1).alias("kind"), F.col("a").alias("cid"))
+    hub = counts.join(large, "b", "left").select("b", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), F.lit(0).alias("kind"), F.col("b").alias("cid"))
     rows = one.unionByName(hub).join(texts, "cid").select("b", "deal", "kind", "cid", "size", "body")
     rows = rows.repartition(partitions(docs.sparkSession), "b", "deal").sortWithinPartitions("b", "deal", "kind")
 
