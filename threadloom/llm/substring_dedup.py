@@ -127,9 +127,17 @@ class _Packed:
         return at[anchors[near] & ((r != 0) | anchors[near + self.block])]
 
     def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the windows at `at`, made of the words that they cover and no others."""
         if not len(at):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return windows(self.hashes, WINDOW)[at], windows(self.c.hashes(family=1), WINDOW)[at]
+        edge = np.zeros(len(self.doc) + 1, np.int32)
+        edge[at] += 1
+        edge[at + WINDOW] -= 1
+        inside = np.cumsum(edge[:-1]) > 0
+        covered = np.flatnonzero(inside)
+        # windows across the gaps between stretches are made too, and not looked at
+        place = (np.cumsum(inside) - 1)[at]
+        return windows(self.hashes[covered], WINDOW)[place], windows(self.c.hashes(family=1, words=covered), WINDOW)[place]
 
 
 def _cuts(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:

@@ -68,10 +68,11 @@ class Chunk:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), self.n_words)
 
-    def hashes(self, first: int | None = None, family: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word, or of its first bytes: blocks of eight bytes, each mixed into what came before, so no
+    def hashes(self, first: int | None = None, family: int = 0, words: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """A 64-bit hash of each word (or of those at `words`), or of its first bytes: blocks of eight bytes, each mixed into what came before, so no
         difference between two words cancels out as it can in a sum of powers. The two families share nothing but the words."""
-        sizes = self.ends - self.starts
+        starts = self.starts[words]
+        sizes = self.ends[words] - starts
         if first is not None:
             sizes = np.minimum(sizes, first)
         out = mix(sizes.astype(np.uint64) + np.uint64(_SEEDS[family]))
@@ -80,21 +81,22 @@ class Chunk:
         padded = np.empty(len(self.buf) + 8, np.uint8)
         padded[:-8], padded[-8:] = self.buf, 0
         blocks = np.ndarray((len(self.buf) + 1,), "<u8", padded, strides=(1,))
-        out = mix(out ^ (blocks[self.starts] & _FIRST[np.minimum(sizes, 8)]))
+        out = mix(out ^ (blocks[starts] & _FIRST[np.minimum(sizes, 8)]))
         at = np.flatnonzero((sizes > 8) & (sizes <= LONG))
         done = 8
         while len(at):
-            out[at] = mix(out[at] * _ODD ^ (blocks[self.starts[at] + done] & _FIRST[np.minimum(sizes[at] - done, 8)]))
+            out[at] = mix(out[at] * _ODD ^ (blocks[starts[at] + done] & _FIRST[np.minimum(sizes[at] - done, 8)]))
             done += 8
             at = at[sizes[at] > done]
         for k in np.flatnonzero(sizes > LONG).tolist():
-            word = self.buf[self.starts[k] : self.starts[k] + sizes[k]]
+            word = self.buf[starts[k] : starts[k] + sizes[k]]
             out[k] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8, salt=b"%d" % family).digest(), "little")
         return out
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * _ODD ^ mix(b + np.uint64(0x632BE59BD9B4E019)))
+    """Two hashes as one. The factors differ by an odd multiple of two, so that two exchanged hashes give another one."""
+    return mix(a * _ODD + b * np.uint64(_SEEDS[0]))
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
