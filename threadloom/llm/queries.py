@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, language, mixing, near_dedup, pii, quality, substring_dedup, toxicity
+from . import bpe, chat, conversations, exact_dedup, language, mixing, near_dedup, pii, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_quality": quality.query,
     "op10_bpe": bpe.query,
+    "op12_conversation_repair": conversations.query,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op7_near_dedup": near_dedup.SQL,
     "op8_mixing": mixing.SQL,
+    "op12_conversation_repair": conversations.SQL,
 }
