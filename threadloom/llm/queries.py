@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, conversations, exact_dedup, language, mixing, near_dedup, pii, quality, substring_dedup, toxicity
+from . import bpe, chat, conversations, exact_dedup, language, lexical, mixing, near_dedup, pii, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.query,
     "op10_bpe": bpe.query,
     "op12_conversation_repair": conversations.query,
+    "op13_lexical_search": lexical.query,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op7_near_dedup": near_dedup.SQL,
     "op8_mixing": mixing.SQL,
     "op12_conversation_repair": conversations.SQL,
+    "op13_lexical_search": lexical.SQL,
 }
