@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, conversations, exact_dedup, language, lexical, mixing, near_dedup, pii, quality, substring_dedup, toxicity
+from . import bpe, chat, conversations, exact_dedup, language, lexical, mixing, near_dedup, pii, quality, quality_classifier, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_quality": quality.query,
     "op10_bpe": bpe.query,
+    "op11_quality_classifier": quality_classifier.query,
     "op12_conversation_repair": conversations.query,
     "op13_lexical_search": lexical.query,
 }
