@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import dims
 from threadloom.functions import exprs as X
+from threadloom.tables import forget, scope, stored
 
 
 def nearest_thread(df: DataFrame, r="r", g="g", b="b") -> Column:
@@ -77,3 +78,38 @@ def kmeans(pixels: DataFrame, k: int, iterations: int = 16) -> list[tuple[float,
             break
     lab.unpersist()
     return centers
+
+
+def kmeans_by_picture(pixels: DataFrame, k: int, rounds: int = 16, still: float = 0.01) -> DataFrame:
+    """(img, place, l, a, b): up to k centres in Lab of each picture's pixels (img, r, g, b, pos), in millionths: the colour of the first pixel, then
+    each time the colour farthest from those there are (the first one on ties); then means, until they move by less than `still` in all.
+
+    All pictures take each round in one job, those that have come to rest no further part.  Colours go through it with their counts,
+    centres are an array in a table, a row for each picture; nothing comes to the driver.  Whole millionths keep sums exact, so a
+    result doesn't depend on the order in which tasks finish."""
+    point, micro = F.struct("l", "a", "b"), lambda c: X.round_half_up(F.col(f"lab.{c}") * 1_000_000.0).cast("long").alias(c)
+    colors = pixels.groupBy("img", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos")).withColumn("lab", X.rgb_to_lab("r", "g", "b"))
+    with scope(pixels.sparkSession) as own:
+        lab = stored(colors.select("img", "n", "pos", *(micro(c) for c in "lab")))
+        near = F.array_min(F.transform("centers", lambda c, i: F.struct(X.delta_e2(point, c).alias("d"), i.alias("place"))))
+        state = stored(lab.groupBy("img").agg(F.array(F.min_by(point, "pos")).alias("centers"), F.lit(False).alias("done")))
+        for _ in range(k - 1):
+            far = lab.join(state.select("img", "centers"), "img").select("img", point.alias("p"), F.struct(near["d"].alias("d"), (-F.col("pos")).alias("pos")).alias("far"))
+            far = far.groupBy("img").agg(F.max_by("p", "far").alias("p"), F.max("far.d").alias("d"))
+            new = stored(state.join(far, "img").select("img", F.when(F.col("d") > 0, F.array_append("centers", F.col("p"))).otherwise(F.col("centers")).alias("centers"), "done"))
+            forget(state)
+            state = new
+        for _ in range(rounds):
+            each = lab.join(state.where("not done").select("img", "centers"), "img").select("img", "n", "l", "a", "b", near["place"].alias("place"))
+            # floor(sum / n + 1/2) in whole numbers
+            mean = lambda c: F.floor((F.sum(F.col(c) * F.col("n")) * 2 + F.sum("n")).cast("decimal(38,0)") / (F.sum("n") * 2)).cast("long").alias(c)
+            means = each.groupBy("img", "place").agg(mean("l"), mean("a"), mean("b")).groupBy("img").agg(F.map_from_entries(F.collect_list(F.struct("place", point))).alias("means"))
+            new = state.join(means, "img", "left").withColumn("moved", F.transform("centers", lambda c, i: F.coalesce(F.try_element_at("means", i), c)))
+            way = F.aggregate(F.zip_with("centers", "moved", X.delta_e2), F.lit(0).cast("long"), lambda s, d: s + d)
+            new = stored(new.select("img", F.col("moved").alias("centers"), (F.col("done") | (way < F.lit(int(still * 10**12)))).alias("done")))
+            forget(state)
+            state = new
+            if state.where("not done").isEmpty():
+                break
+        own.release(state)
+    return state.select("img", F.posexplode("centers").alias("place", "c")).select("img", "place", "c.*")
