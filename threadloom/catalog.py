@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threadloom import catalog_kernels, catalog_pictures, catalog_records, catalog_shapes
+from threadloom import catalog_kernels, catalog_pictures, catalog_plans, catalog_records, catalog_shapes
 from threadloom.functions import dims
 from threadloom.functions import exprs as X
 from threadloom.operators import color, geometry, layout, library, machine, plan, raster, report, rules, vector
@@ -664,6 +664,7 @@ def _(spark, d):
     return s.groupBy("design_id").agg((F.max_by("bin", F.struct("total", -F.col("bin"))) * 5).alias("angle"))
 
 
-for _part in (kernel_queries, catalog_shapes, catalog_records, catalog_kernels, catalog_pictures):
+for _part in (kernel_queries, catalog_shapes, catalog_records, catalog_kernels, catalog_pictures, catalog_plans):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
+SQL |= {name: SQL[other] for name, other in catalog_plans.SAME_AS.items()}

@@ -53,6 +53,14 @@ def operations(st: DataFrame, locks: bool = True) -> DataFrame:
     # where the thread came from before a run's end: the last move in it, else the end of the run before
     s = s.withColumns({"bx": F.coalesce("back.x", "ex"), "by": F.coalesce("back.y", "ey")})
     s = s.withColumns({"pbx": F.lag("bx").over(d), "pby": F.lag("by").over(d)})
+    each = with_operations(s, locks).select("design_id", "block_idx", "run_idx", "seq", F.posexplode("ops").alias("k", "op"))
+    number = F.row_number().over(Window.partitionBy("design_id").orderBy("block_idx", "run_idx", "seq", "k")) - 1
+    return each.select("design_id", number.cast("long").alias("op_seq"), "op.*")
+
+
+def with_operations(s: DataFrame, locks: bool = True) -> DataFrame:
+    """Stitches that know what `operations` has to know of them, with ops, the array of theirs."""
+    moved = F.col("px").isNotNull() & ((F.col("px") != F.col("x")) | (F.col("py") != F.col("y")))
     first, start, apart = F.col("px").isNull(), F.col("qx").isNull(), (F.col("x") != F.col("qx")) | (F.col("y") != F.col("qy"))
     how = X.connection(X.squared(F.col("x") - F.col("qx"), F.col("y") - F.col("qy")), start)
     new_block = F.col("qblock").isNull() | (F.col("qblock") != F.col("block_idx"))
@@ -65,9 +73,7 @@ def operations(st: DataFrame, locks: bool = True) -> DataFrame:
     tie_in = F.when(start | new_block | cut, lock("x", "y", F.col("towards.x"), F.col("towards.y"))).otherwise(_none())
     own = F.when(first, F.concat(lead, F.array(_op("stitch", "x", "y")), tie_in)).when(moved, _moves("stitch", "px", "py", "x", "y")).otherwise(_none())
     tail = F.when(F.col("is_last"), F.concat(lock("x", "y", "bx", "by"), F.array(_op("end")))).otherwise(_none())
-    each = s.select("design_id", "block_idx", "run_idx", "seq", F.posexplode(F.concat(own, tail)).alias("k", "op"))
-    number = F.row_number().over(Window.partitionBy("design_id").orderBy("block_idx", "run_idx", "seq", "k")) - 1
-    return each.select("design_id", number.cast("long").alias("op_seq"), "op.*")
+    return s.withColumn("ops", F.concat(own, tail))
 
 
 def frames(ops: DataFrame) -> DataFrame:

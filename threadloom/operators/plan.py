@@ -88,9 +88,9 @@ def stats(st: DataFrame) -> DataFrame:
     )
 
 
-def sequence(st: DataFrame) -> DataFrame:
-    """A row for each run in sewing order."""
-    r = runs(st)
+def sequence(st: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """A row for each run in sewing order; known: runs, if there are any already."""
+    r = runs(st) if known is None else known
     start = F.col("pblock").isNull() | (F.col("pblock") != F.col("block_idx")) | (F.col("run_idx") == 0)
     r = r.withColumn("_start", start)
     return r.select(
