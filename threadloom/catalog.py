@@ -667,4 +667,4 @@ def _(spark, d):
 for _part in (kernel_queries, catalog_shapes, catalog_records, catalog_kernels, catalog_pictures, catalog_plans):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
-SQL |= {name: SQL[other] for name, other in catalog_plans.SAME_AS.items()}
+SQL |= {name: f"SELECT {catalog_plans.PART_OF.get(name, '*')} FROM ({SQL[other]})" for name, other in catalog_plans.SAME_AS.items()}

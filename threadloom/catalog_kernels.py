@@ -337,23 +337,19 @@ def _(spark, d):
     k = F.col("p_partkey")
     pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (k % 3 + 1).cast("int"))
     px = A.table(spark, d, "part").select(pick(220, 30, 255).alias("r"), pick(30, 60, 255).alias("g"), pick(30, 200, 255).alias("b"), k.alias("pos"))
-    cut = lambda v: int(np.floor(v * 10 + 1e-9))
-    return spark.createDataFrame([tuple(map(cut, c)) for c in color.kmeans(px, 3)], "l bigint, a bigint, b bigint")
+    c = color.kmeans_by_picture(px.withColumn("img", F.lit(0)), 3)
+    return c.select(*(F.floor(F.col(m) / 100_000.0 + 1e-9).cast("long").alias(m) for m in "lab"))
 
 
-@query("dst_headers", _K + """ SELECT k, 'LA:Job ' || rpad((k % 1000)::VARCHAR, 12, ' ') || chr(13) || 'ST:' || lpad((4 + k % 20)::VARCHAR, 7, ' ') || chr(13) || 'CO:  0' || chr(13) || '+X:' || lpad((10 * (2 + k % 20))::VARCHAR, 5, ' ') || chr(13) AS head, 512 + 3 * (4 + k % 20) + 3 AS bytes FROM c""")
+@query("dst_headers", _K + """ SELECT k, 'LA:Job ' || rpad((k % 1000)::VARCHAR, 12, ' ') || chr(13) || 'ST:' || lpad((3 + k % 20 + 1 + 2 * 2)::VARCHAR, 7, ' ') || chr(13) || 'CO:  0' || chr(13) || '+X:' || lpad((10 * (2 + k % 20))::VARCHAR, 5, ' ') || chr(13) AS head, 512 + 3 * (3 + k % 20 + 1 + 2 * 2) + 3 AS bytes FROM c""")
 def _(spark, d):
-    """The first fields of a header, padded with spaces, and a file's size: a jump to the start, stitches, and no locks."""
+    """The first fields of a header, padded with spaces, and a file's size: the stitches of a line, the jump to it, and two stitches of a lock at
+    each end."""
 
     def one(k):
-        n = 3 + k % 20
-        plan = {"name": f"Job {k % 1000}", "blocks": [{"thread": {"r": 0, "g": 0, "b": 0}, "runs": [{"stitches": [(10 * j, 0) for j in range(n)], "connection": "jump"}]}]}
+        plan = {"name": f"Job {k % 1000}", "blocks": [{"thread": {"r": 0, "g": 0, "b": 0}, "runs": [{"stitches": [(10 * j, 0) for j in range(3 + k % 20)], "connection": "jump"}]}]}
         made = codec.write_dst(plan)
-        full = codec.read_dst(made)
-        # without the locks at both ends
-        extra = full["stitches"] - (n + 1)
-        text = made[:47].decode()
-        return text.replace(f"ST:{full['stitches']:7d}", f"ST:{full['stitches'] - extra:7d}"), len(made) - 3 * extra
+        return made[:47].decode(), len(made)
 
     return _each(spark, d, "k bigint, head string, bytes bigint", one)
 
@@ -503,17 +499,19 @@ def _(spark, d):
     return _each(spark, d, "k bigint, lines bigint, dashes bigint, color string, width bigint", one)
 
 
-@query("medial_rails", _K + f""", p AS (SELECT k, 100 + k % 60 AS w, 20 + k % 30 AS h FROM c) SELECT k, floor((w + 2 * h) / 3.0::DOUBLE + 0.5)::BIGINT AS points, {_M('w')} AS lower, {_M('w + 2 * h')} AS upper FROM p""")
+@query("medial_rails", _K + f""", p AS (SELECT k, 100 + k % 60 AS w, 20 + k % 30 AS h FROM c), n AS (SELECT *, floor((w + 2 * h) / 3.0::DOUBLE + 0.5)::BIGINT AS n FROM p),
+q AS (SELECT *, unnest(range(0, n)) AS j FROM n), s AS (SELECT *, j * (w + 2 * h) / (n - 1)::DOUBLE AS along FROM q),
+t AS (SELECT *, CASE WHEN along <= h THEN 0 WHEN along <= h + w THEN along - h ELSE w END AS x, CASE WHEN along <= h THEN along WHEN along <= h + w THEN h ELSE w + 2 * h - along END AS y FROM s),
+u AS (SELECT k, n, w, x - lag(x) OVER v AS dx, y - lag(y) OVER v AS dy FROM t WINDOW v AS (PARTITION BY k ORDER BY j))
+SELECT k, n AS points, {_M('any_value(w)')} AS lower, {_M('round(sum(sqrt(dx * dx + dy * dy)), 6)')} AS upper FROM u GROUP BY k, n""")
 def _(spark, d):
-    """The two halves of boxes between their ends: as many points on each, and how long they are."""
+    """The two halves of boxes between their ends: as many points on each, and the way along them, which cuts the corners of the box."""
 
     def one(k):
-        one_, two = G.medial_rails(S.ring([(0, 0), (100 + k % 60, 0), (100 + k % 60, 20 + k % 30), (0, 20 + k % 30)]))
-        # corners are cut by the last step before them, so the way along the points is a little less than that along the box
-        way = lambda z: float(np.abs(np.diff(np.concatenate([z, []]))).sum())
         w, h = 100 + k % 60, 20 + k % 30
-        whole = w + 2 * h
-        return len(one_), _milli(round(way(one_), 6)), _milli(whole) if whole - 6 < way(two) <= whole else -1
+        one_, two = G.medial_rails(S.ring([(0, 0), (w, 0), (w, h), (0, h)]))
+        way = lambda z: _milli(round(float(np.abs(np.diff(z)).sum()), 6))
+        return len(one_), way(one_), way(two)
 
     return _each(spark, d, "k bigint, points bigint, lower bigint, upper bigint", one)
 
@@ -701,13 +699,25 @@ def _(spark, d):
     return _each(spark, d, "k bigint, like_specks bigint, far_specks bigint", one)
 
 
-@query("designs_for_target", """SELECT s_suppkey AS design_id, true AS at_target, CASE WHEN s_suppkey % 2 = 0 THEN 1.0 ELSE 2.0 END::DOUBLE AS factor FROM supplier""")
-def _(spark, d):
-    """Targets that a plan meets as it is, and that none meets: the rows are spread to twice their distance at most."""
-    from threadloom.plans import pictures
-
-    box = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (200, 0), (200, 100), (0, 100))))
-    r = A.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("design_id"), F.lit(0).alias("region_idx"), box.alias("outer"), F.array().cast("array<array<struct<x:double,y:double>>>").alias("holes"), *(F.lit(0).alias(c) for c in "rgb"))
-    even, odd = r.where("design_id % 2 = 0"), r.where("design_id % 2 = 1")
-    made = [pictures.designs_for_target(part, target).groupBy("design_id", "factor").agg((F.count(F.lit(1)) <= target).alias("_met")).withColumn("at_target", F.col("_met") == met) for part, target, met in ((even, 100_000, True), (odd, 10, False))]
-    return made[0].unionByName(made[1]).select("design_id", "at_target", "factor")
+@query("designs_for_target", """WITH p AS (SELECT s_suppkey AS design_id, 200 + s_suppkey % 60 AS w, 100 + s_suppkey % 40 AS h, 100 + s_suppkey % 3 * 70 AS target FROM supplier), f AS (SELECT *, unnest(range(0, 21)) AS step FROM p),
+n AS (SELECT *, greatest(1, floor((h::DOUBLE - h::DOUBLE % (4.0::DOUBLE * factor)) / (4 * factor) + 0.5))::BIGINT AS n FROM (SELECT *, round(1 + step * 0.05::DOUBLE, 2) AS factor FROM f)),
+y AS (SELECT design_id, step, count(*) FILTER (floor((r + 0.5::DOUBLE) * 4 * factor + 0.5 + 1e-9) - floor((r - 0.5::DOUBLE) * 4 * factor + 0.5 + 1e-9) < 5) AS near FROM (SELECT *, unnest(range(1, n + 1)) AS r FROM n) WHERE r < n GROUP BY ALL),
+-- a step to the next row that is under half a millimetre is left out
+c AS (SELECT n.*, cast((n + 1) // 2 * (2 + greatest(0, ceil((w - 37.5::DOUBLE) / 30))) + n // 2 * (2 + greatest(0, ceil((w - 22.5::DOUBLE) / 30))) - coalesce(near, 0) AS BIGINT) AS stitches FROM n LEFT JOIN y USING (design_id, step)),
+k AS (SELECT *, row_number() OVER (PARTITION BY design_id ORDER BY stitches > target AND step < 20, step) AS k FROM c)
+SELECT design_id, target::BIGINT AS target, stitches, cast(round(factor * 100) AS BIGINT) AS factor FROM k WHERE k = 1""")
+def _(spark, d):
+    """Boxes of many sizes, and three targets: how many stitches a plan has, and by how much (in hundredths) its rows had to be spread for that,
+    twice at most."""
+    from threadloom.plans import digitize, pictures
+
+    k = F.col("design_id")
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    w, h, zero = k % 60 + 200, k % 40 + 100, F.lit(0)
+    r = A.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("design_id"))
+    r = r.select("design_id", F.lit(0).alias("region_idx"), F.array(p(zero, zero), p(w, zero), p(w, h), p(zero, h)).alias("outer"), F.array().cast("array<array<struct<x:double,y:double>>>").alias("holes"), *(F.lit(0).alias(c) for c in "rgb"))
+    made = None
+    for target, part in ((100 + 70 * j, r.where(k % 3 == j)) for j in range(3)):
+        one = pictures.designs_for_target(part, target, digitize.Options(angle_deg=0.0)).groupBy("design_id", "factor").agg(F.count(F.lit(1)).alias("stitches")).withColumn("target", F.lit(target).cast("long"))
+        made = one if made is None else made.unionByName(one)
+    return made.select("design_id", "target", "stitches", F.round(F.col("factor") * 100).cast("long").alias("factor"))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.operators import nested, plan, wide
+from threadloom.operators import fits, library, nested, plan, raster, simplify, wide
+from threadloom.plans import queries as kernel_queries
 from threadloom.sources import adapters as A
+from threadloom.sources import formats
+from threadloom.streaming import recompile
+from threadloom.tables import current
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -96,3 +100,110 @@ def _(spark, d):
     s = wide.scanned(wide.dealt(A.stitches(spark, d), ["design_id"], order), ["design_id"], order, sums={"no": F.lit(1)}, before={"px": "x", "py": "y"})
     moves = s.select("design_id", (F.col("no") - 1).alias("rec"), (F.col("x") - F.coalesce("px", F.lit(0))).alias("dx"), (F.coalesce("py", F.lit(0)) - F.col("y")).alias("dy"), F.lit("stitch").alias("kind"))
     return wide.dst_points(moves)
+
+
+def _written(spark, d, kind):
+    """Plans written as files of a kind and read back."""
+    formats.register(spark)
+    path = current(spark).new_path(kind)
+    formats.clustered(kernel_queries.plan_rows(spark, d)).write.format(kind).mode("append").save(path)
+    return spark.read.format(kind).load(path).withColumn("design_id", F.regexp_extract("file", r"design-(-?\d+)\.", 1).cast("long"))
+
+
+@query("dst_source", same_as="file_roundtrip")
+def _(spark, d):
+    """Records of the files, and where their stitches land."""
+    r = _written(spark, d, "dst")
+    p = wide.scanned(wide.dealt(r, ["design_id"], ["rec"]), ["design_id"], ["rec"], sums={"x": "dx", "down": "dy"}).withColumn("y", -F.col("down"))
+    sewn = F.col("kind") == "stitch"
+    return p.groupBy("design_id").agg(F.count("rec").alias("dst_records"), F.count_if(F.col("kind") == "colorChange").alias("color_changes"), F.count_if(sewn).alias("dst_stitches"), F.sum(F.when(sewn, F.col("x") * 31 + F.col("y") * 17)).alias("dst_check"), F.count("error").alias("errors"))
+
+
+@query("pes_source", same_as="file_roundtrip")
+def _(spark, d):
+    r = _written(spark, d, "pes")
+    p = wide.scanned(wide.dealt(r, ["design_id"], ["rec"]), ["design_id"], ["rec"], sums={"x": "dx", "y": "dy"})
+    sewn = F.col("kind") == "stitch"
+    return p.groupBy("design_id").agg(F.count_if(sewn).alias("pes_stitches"), F.sum(F.when(sewn, F.col("x") * 31 + F.col("y") * 17)).alias("pes_check"), F.size(F.any_value("palette")).cast("long").alias("pes_colors"), F.count("error").alias("errors"))
+
+
+#: What two sources have of that query's figures.
+PART_OF = {"dst_source": "design_id, dst_records, color_changes, dst_stitches, dst_check, 0::BIGINT AS errors", "pes_source": "design_id, pes_stitches, pes_check, pes_colors, 0::BIGINT AS errors"}
+
+
+_SIX_HOURS = 6 * 3600 * 1000
+
+
+@query("debounced_edits", f"""WITH e AS (SELECT user_id AS design_id, epoch_us(ts) AS us, event_id FROM events),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY design_id ORDER BY us, event_id) <= {_SIX_HOURS * 1000} THEN 0 ELSE 1 END AS b FROM e),
+s AS (SELECT *, sum(b) OVER (PARTITION BY design_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+t AS (SELECT design_id, min(us) AS first_us, max(us) AS last_us, count(*) AS edits FROM s GROUP BY design_id, k)
+SELECT design_id, first_us, last_us, edits FROM t WHERE last_us // 1000 + {_SIX_HOURS} + 1 < (SELECT max(us) // 1000 FROM e)""")
+def _(spark, d):
+    """Events as edits: designs that were left alone for six hours."""
+    out = recompile.run_stream(spark, d, lambda e: e.select(F.col("user_id").alias("design_id"), F.col("ts").cast("timestamp").alias("at")), _SIX_HOURS, "events.parquet")
+    return out.select("design_id", F.unix_micros("first_edit").alias("first_us"), F.unix_micros("last_edit").alias("last_us"), "edits")
+
+
+@query("library_pages", f"WITH {A.LIBRARY_SQL} SELECT id, row_number() OVER (ORDER BY updated DESC, id) AS rank, ((row_number() OVER (ORDER BY updated DESC, id)) - 1) // 50 + 1 AS page FROM lib")
+def _(spark, d):
+    return library.pages(A.library(spark, d).select("id", "updated")).select("id", "rank", "page")
+
+
+@query("dominant_colors", f"""WITH {A.PIXELS_SQL}, g AS (SELECT img, r, g, b, count(*) AS n, min(y * 65536 + x) AS first FROM px GROUP BY img, r, g, b)
+SELECT img, rank, r, g, b, n FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY n DESC, first) AS rank FROM g) WHERE rank <= 8""")
+def _(spark, d):
+    return raster.dominant_colors(A.pixels(spark, d))
+
+
+def _gap_sql(p: str, a: str, b: str) -> str:
+    dx, dy, wx, wy = f"({b}.x - {a}.x)::DOUBLE", f"({b}.y - {a}.y)::DOUBLE", f"({p}.x - {a}.x)::DOUBLE", f"({p}.y - {a}.y)::DOUBLE"
+    t = f"(CASE WHEN {dx} * {dx} + {dy} * {dy} > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({wx} * {dx} + {wy} * {dy}) / ({dx} * {dx} + {dy} * {dy}))) ELSE 0.0::DOUBLE END)"
+    return f"({wx} - {t} * {dx}) * ({wx} - {t} * {dx}) + ({wy} - {t} * {dy}) * ({wy} - {t} * {dy})"
+
+
+_TOLERANCE = 150
+
+
+@query("run_nodes", f"""WITH RECURSIVE {A.STITCHES_SQL}, sp AS (SELECT design_id * 1000000 + block_idx * 10000 + run_idx AS path, seq, x, y FROM st),
+seg(path, lo, hi) AS (
+  SELECT path, 0::BIGINT, max(seq) FROM sp GROUP BY path
+  UNION ALL
+  SELECT path, CASE side WHEN 0 THEN lo ELSE m END, CASE side WHEN 0 THEN m ELSE hi END FROM (
+    SELECT s.path, s.lo, s.hi, p.seq AS m, {_gap_sql('p', 'a', 'b')} AS gap, row_number() OVER (PARTITION BY s.path, s.lo ORDER BY {_gap_sql('p', 'a', 'b')} DESC, p.seq) AS k
+    FROM seg s JOIN sp p ON p.path = s.path AND p.seq > s.lo AND p.seq < s.hi JOIN sp a ON a.path = s.path AND a.seq = s.lo JOIN sp b ON b.path = s.path AND b.seq = s.hi
+  ) f, range(0, 2) t(side) WHERE k = 1 AND gap > {_TOLERANCE * _TOLERANCE}
+), kept AS (SELECT DISTINCT path, lo AS seq FROM seg UNION SELECT path, hi FROM seg),
+nd AS (SELECT st.*, kept.path, st.x - lag(st.x) OVER w AS ax, st.y - lag(st.y) OVER w AS ay, lead(st.x) OVER w - st.x AS bx, lead(st.y) OVER w - st.y AS by_ FROM kept JOIN st ON kept.path = design_id * 1000000 + block_idx * 10000 + run_idx AND kept.seq = st.seq WINDOW w AS (PARTITION BY kept.path ORDER BY kept.seq)),
+tn AS (SELECT *, sqrt((ax * ax + ay * ay)::DOUBLE) AS la, sqrt((bx * bx + by_ * by_)::DOUBLE) AS lb FROM nd)
+SELECT design_id, block_idx, run_idx, seq, x, y, NOT (ax IS NULL OR bx IS NULL OR (la > 0 AND lb > 0 AND degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (ax * bx + ay * by_) / (la * lb))))) >= 50)) AS smooth FROM tn""")
+def _(spark, d):
+    """Runs without the points that lie near what is left, as nodes."""
+    keys = ["design_id", "block_idx", "run_idx"]
+    return simplify.nodes(A.stitches(spark, d).select(*keys, F.col("seq").alias("i"), "x", "y"), keys, float(_TOLERANCE)).withColumnRenamed("i", "seq")
+
+
+_WIDTH = 7
+
+
+@query("merged_strokes", f"""WITH RECURSIVE {A.STITCHES_SQL}, rn AS (SELECT design_id, block_idx, run_idx, count(*) AS n, arg_min(x, seq) / 100.0::DOUBLE AS ax, arg_min(y, seq) / 100.0::DOUBLE AS ay, arg_max(x, seq) / 100.0::DOUBLE AS zx, arg_max(y, seq) / 100.0::DOUBLE AS zy FROM st GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY design_id ORDER BY block_idx, run_idx) AS pos, (1 + (design_id + run_idx * 3) % {_WIDTH}) * 0.5::DOUBLE AS width, n % 5 = 0 AS closed FROM rn),
+m(design_id, pos, head, width, zx, zy, able) AS (
+  SELECT design_id, pos, pos, width, zx, zy, NOT closed AND width >= 1.4 FROM f WHERE pos = 1
+  UNION ALL
+  SELECT design_id, pos, CASE WHEN goes THEN head ELSE pos END, CASE WHEN goes THEN hw ELSE width END, zx, zy, able FROM (
+    SELECT f.*, m.head, m.width AS hw, NOT f.closed AND f.width >= 1.4 AS able,
+           m.able AND NOT f.closed AND f.width >= 1.4 AND abs(m.width - f.width) <= greatest(0.3::DOUBLE, m.width * 0.2::DOUBLE) AND (f.ax - m.zx) * (f.ax - m.zx) + (f.ay - m.zy) * (f.ay - m.zy) < greatest(m.width, 1.5::DOUBLE) * greatest(m.width, 1.5::DOUBLE) AS goes
+    FROM m JOIN f ON f.design_id = m.design_id AND f.pos = m.pos + 1)
+)
+SELECT m.design_id, m.head AS pos, count(*) AS parts, sum(f.n)::BIGINT - count(*) + 1 AS points, any_value(h.width) AS width FROM m JOIN f ON f.design_id = m.design_id AND f.pos = m.pos JOIN f h ON h.design_id = m.design_id AND h.pos = m.head GROUP BY m.design_id, m.head""")
+def _(spark, d):
+    """Runs as strokes of several widths, every fifth one closed; those that go on in one another are one."""
+    from pyspark.sql import Window
+
+    s = A.stitches(spark, d)
+    point = F.struct("seq", (F.col("x") / 100.0).alias("x"), (F.col("y") / 100.0).alias("y"))
+    r = s.groupBy("design_id", "block_idx", "run_idx").agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    pos = F.row_number().over(Window.partitionBy("design_id").orderBy("block_idx", "run_idx")).cast("long")
+    r = r.select("design_id", pos.alias("pos"), F.lit("stroke").alias("kind"), (F.size("points") % 5 == 0).alias("closed"), ((1 + (F.col("design_id") + F.col("run_idx") * 3) % _WIDTH) * 0.5).alias("width"), "points")
+    return fits.merged(r).select("design_id", "pos", "parts", F.size("points").cast("long").alias("points"), "width")

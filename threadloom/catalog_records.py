@@ -158,10 +158,10 @@ def _(spark, d):
     return R.with_fallback(answers, local).withColumn("color_count", F.col("color_count").cast("long"))
 
 
-@query("project_files", """SELECT c_custkey::VARCHAR AS file, c_name AS name, 3 AS version, c_custkey % 180 + 0.5::DOUBLE AS angle FROM customer""")
+@query("project_files", """SELECT c_custkey::VARCHAR AS file, c_name AS name, 3 AS version, c_custkey % 180 + 0.5::DOUBLE AS angle, CASE WHEN c_custkey % 2 = 0 THEN '2020-02-0' || (1 + c_custkey % 9) || 'T00:00:00.000Z' ELSE '2024-03-01T12:30:00.250Z' END AS created, '2024-03-01T12:30:00.250Z' AS updated FROM customer""")
 def _(spark, d):
-    """Projects written as JSON, and what the text holds."""
-    c = A.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("file"), F.to_json(F.struct(F.lit(1).alias("version"), F.col("c_name").alias("name"), F.struct((F.col("c_custkey") % 180 + 0.5).alias("angleDeg")).alias("settings"))).alias("content"))
-    out = files.project_json(files.projects(c))
+    """Projects written as JSON, every second one for the first time, and what the text holds."""
+    c = A.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("file"), F.to_json(F.struct(F.lit(1).alias("version"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("2020-02-0"), 1 + F.col("c_custkey") % 9, F.lit("T00:00:00.000Z"))).alias("createdAt"), F.struct((F.col("c_custkey") % 180 + 0.5).alias("angleDeg")).alias("settings"))).alias("content"))
+    out = files.project_json(files.projects(c), F.expr("make_timestamp(2024, 3, 1, 12, 30, 0.25, 'UTC')"))
     at = lambda path: F.get_json_object("content", path)
-    return out.select("file", at("$.name").alias("name"), at("$.version").cast("int").alias("version"), at("$.settings.angleDeg").cast("double").alias("angle"))
+    return out.select("file", at("$.name").alias("name"), at("$.version").cast("int").alias("version"), at("$.settings.angleDeg").cast("double").alias("angle"), at("$.createdAt").alias("created"), at("$.updatedAt").alias("updated"))

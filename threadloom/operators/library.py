@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import wide
+
 
 def search(lib: DataFrame, query: str | None = None, tags: list[str] | None = None, favorites: bool = False) -> DataFrame:
     """All tags, and the query somewhere in name, note or a tag, without regard to case; newest first."""
@@ -19,6 +21,14 @@ def search(lib: DataFrame, query: str | None = None, tags: list[str] | None = No
     return lib.orderBy(F.desc("updated"), "id")
 
 
+def pages(lib: DataFrame, size: int = 50) -> DataFrame:
+    """Entries newest first, by id on ties, with their rank and page from 1: sorted by range, so that no task holds the whole order, and numbered
+    by what the stretches before have."""
+    order = ["_newest", "id"]
+    ranked = wide.scanned(wide.dealt(lib.withColumn("_newest", -F.col("updated")), [], order), [], order, sums={"rank": F.lit(1)})
+    return ranked.drop("_newest", "_part").withColumn("page", F.floor((F.col("rank") - 1) / size) + 1)
+
+
 def tags(lib: DataFrame) -> DataFrame:
     return lib.select(F.explode("tags").alias("tag")).distinct()
 

@@ -61,6 +61,14 @@ def palette_of(pixels: DataFrame) -> DataFrame:
     return g.withColumn("place", (F.row_number().over(Window.partitionBy("img").orderBy("first")) - 1).cast("long")).drop("first")
 
 
+def dominant_colors(pixels: DataFrame, k: int = 8) -> DataFrame:
+    """The k colours that most pixels of a picture have, the one met first on ties: (img, rank, r, g, b, n).  Counts are summed before they are moved,
+    and no task hands on more than k of a picture."""
+    g = pixels.groupBy("img", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("y").cast("long") * 65536 + F.col("x")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("img").orderBy(F.desc("n"), "first"))
+    return g.withColumn("rank", rank).where(F.col("rank") <= k).select("img", "rank", "r", "g", "b", "n")
+
+
 def white_background(pixels: DataFrame, threshold: int = 240) -> DataFrame:
     """Whether three of an image's four corners are near white, and none of them transparent (a: null where there is no such channel)."""
     size = pixels.groupBy("img").agg(F.max("x").alias("mx"), F.max("y").alias("my"))

@@ -106,7 +106,7 @@ def _(spark, d):
     return g.select("design_id", "block_idx", "r", "g", "b", "objects", "trims_in_objects", ((F.col("_n") >= 2) & (F.col("_far") == 0)).alias("within_limits"))
 
 
-def _plan_rows(spark, d):
+def plan_rows(spark, d):
     st = A.stitches(spark, d)
     r, g, b = report.thread_color("thread")
     runs = P.runs(st).select(*P.RUN, "connection")
@@ -129,7 +129,7 @@ def file_roundtrip(spark, d):
         return pd.DataFrame([row])
 
     schema = "design_id bigint, dst_bytes bigint, dst_records bigint, color_changes bigint, dst_stitches bigint, dst_check bigint, dst_label string, min_x bigint, max_x bigint, min_y bigint, max_y bigint, pes_bytes bigint, pes_stitches bigint, pes_check bigint, pes_colors bigint"
-    return _plan_rows(spark, d).groupBy("design_id").applyInPandas(one, schema)
+    return plan_rows(spark, d).groupBy("design_id").applyInPandas(one, schema)
 
 
 #: To follow the operations of plans (ops: design_id, op_seq, kind, x, y). A trim is three records of DST; in PES a jump that was landed
@@ -336,4 +336,4 @@ def _(spark, d):
     return st.groupBy("design_id", "steps").agg(F.count_distinct("object_id").alias("objects"))
 
 
-__all__ = ["FILE_SQL", "QUERIES", "SQL", "file_roundtrip"]
+__all__ = ["FILE_SQL", "QUERIES", "SQL", "file_roundtrip", "plan_rows"]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.kernels import codec, svg
@@ -96,13 +96,15 @@ def projects(texts: DataFrame, column: str = "content") -> DataFrame:
     error = F.when(F.col("p.version").isNull(), "no version").when(~ok, F.concat(F.lit("version "), F.col("p.version").cast("string"), F.lit(f" is later than {PROJECT_VERSION}")))
     text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
     every = merged_settings("m", {k: text(v) for k, v in PROJECT_DEFAULTS.items()} | {"underlay": '["edge"]'})
-    return p.select("file", F.coalesce("p.name", F.lit("untitled")).alias("name"), ok.alias("ok"), *(default(k, v) for k, v in PROJECT_DEFAULTS.items()), under, every.alias("settings"), error.alias("error"))
+    return p.select("file", F.coalesce("p.name", F.lit("untitled")).alias("name"), "p.createdAt", "p.updatedAt", ok.alias("ok"), *(default(k, v) for k, v in PROJECT_DEFAULTS.items()), under, every.alias("settings"), error.alias("error"))
 
 
-def project_json(df: DataFrame) -> DataFrame:
-    """(file, content) of project rows."""
+def project_json(df: DataFrame, now: Column | None = None) -> DataFrame:
+    """(file, content) of project rows, saved at `now`: updatedAt is that, createdAt what the project has, or that as well."""
     settings = F.struct(*PROJECT_DEFAULTS, "underlay")
-    return df.select("file", F.to_json(F.struct(F.lit(PROJECT_VERSION).alias("version"), "name", settings.alias("settings"))).alias("content"))
+    at = F.date_format(F.to_utc_timestamp(F.current_timestamp() if now is None else now, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    created = F.coalesce(F.col("createdAt"), at) if "createdAt" in df.columns else at
+    return df.select("file", F.to_json(F.struct(F.lit(PROJECT_VERSION).alias("version"), "name", created.alias("createdAt"), at.alias("updatedAt"), settings.alias("settings"))).alias("content"))
 
 
 def plan_of(pdf: pd.DataFrame, name: str) -> dict:
