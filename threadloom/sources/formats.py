@@ -155,6 +155,8 @@ class DstFiles(_Files):
 
     @staticmethod
     def rows(data: bytes) -> list[tuple]:
+        if len(data) < 512:
+            raise ValueError("shorter than a header")
         return [(k, kind, dx, dy) for k, (dx, dy, kind) in enumerate(codec.read_dst(data)["records"])]
 
     @staticmethod
