@@ -8,17 +8,16 @@ extra ones too; null and empty texts have no toxic term and stay unless the mode
 have no near copies, and are never taken by the mix; texts of any length are judged whole; of repeated rows and ties one stays from exact
 dedup on; rows without a doc_id stay unless they are copies of a row that has one; an empty table gives an empty table.
 
-What stages store for themselves is deleted once their result is written, and each result once the next one is.
+What stages store for themselves is deleted once their result is written, and each result once the next one is; the last but one is what the
+result reads, and goes when the application ends (or the scope that the caller has opened).
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
-from threadloom.llm.frames import clean, delete, shared_dir
+from threadloom.tables import current, scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,16 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    written = None
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{name}")
-            docs = spark.read.parquet(f"{base}/{name}")
-            clean(spark)
-            if written:
-                delete(spark, written)
-            written = f"{base}/{name}"
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    results = current(spark)
+    for name, stage in STAGES[:-1]:
+        # what a stage stores for itself goes with its scope, and nobody else's tables do
+        with scope(spark):
+            at = results.new_path(f"pipeline-{name}")
+            stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if before:
+            results.drop(before)
+        before = at
+    return STAGES[-1][1](spark, docs, sf_dir)

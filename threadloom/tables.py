@@ -47,6 +47,10 @@ class Scope:
         (around or _application(self.spark)).paths.add(table.stored_at)
         return table
 
+    def drop(self, path: str) -> None:
+        self.paths.discard(path)
+        delete(self.spark, path)
+
     def clean(self) -> None:
         while self.paths:
             delete(self.spark, self.paths.pop())
