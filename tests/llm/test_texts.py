@@ -165,6 +165,52 @@ def test_pii_equal_values_stay_linked_in_all_ways_of_writing():
     assert of("DE89 3704 0044 0532 0130 00").replace(" ", "") == of("DE89370400440532013000")
 
 
+def test_pii_all_days_in_all_notations():
+    """Held against a finder of its own: every day of four years, in each order, padded or not, with each separator, between other words."""
+    import datetime
+
+    day, found = datetime.date(1999, 1, 1), 0
+    while day < datetime.date(2003, 1, 1):
+        y, m, d = day.year, day.month, day.day
+        pad = (f"{m:02d}", f"{d:02d}")
+        for mm, dd in {pad, (str(m), str(d))}:
+            for sep in "-./":
+                for text in (f"{y}{sep}{mm}{sep}{dd}", f"{dd}{sep}{mm}{sep}{y}", f"{mm}{sep}{dd}{sep}{y}"):
+                    whole = f"on {text}, then"
+                    out, spans = pii.pseudonymize(whole, KEY)
+                    assert [k for *_, k in spans] == ["date"] and spans[0][0] == 3, text
+                    found += 1
+                    if found % 7 == 0:
+                        assert pii.pseudonymize(out, KEY, back=True)[0] == whole, text
+        day += datetime.timedelta(days=1)
+    for text in ("3.12.1999", "2/28/2021", "7/04/1985", "1.02.2003", "9.11.1989", "13/1/1999", "3-12-1999"):
+        assert pii.pseudonymize(text, KEY)[1][0][2] == "date"
+
+
+def test_pii_addresses_and_numbers_in_other_writings():
+    of = lambda text: pii.pseudonymize(text, KEY)
+    assert of("2001:db8::1")[0] == of("2001:0db8:0:0:0:0:0:1")[0] == of("2001:DB8::1")[0].lower()
+    assert pii.pseudonymize(of("2001:db8::1")[0], KEY, back=True)[0] == "2001:db8::1"
+    assert of("::1") == ("::1", []) and of("0:0:0:0:0:0:0:1")[1] == []
+    assert re.sub(r"\D", "", of("078 05 1120")[0]) == re.sub(r"\D", "", of("078-05-1120")[0]) != "078051120"
+    out, spans = of("o'brien@x.org")
+    assert spans == [(0, len(out), "email")] and not out.startswith("o'b")
+    assert of("'ann@x.org'")[1][0][:1] == (1,)
+    out, spans = of("be68 5390 0754 7034")
+    assert [k for *_, k in spans] == ["iban"] and out.upper() == of("BE68 5390 0754 7034")[0]
+    assert of("4155550132")[1] == of("28 February 2021")[1] == []
+
+
+def test_pii_key_is_the_sessions(spark):
+    df_key = pii.session_key(spark)
+    assert len(df_key) == 32 and pii.session_key(spark) == df_key
+    spark.conf.set(pii.KEY_SETTING, "named")
+    try:
+        assert pii.session_key(spark) == b"named"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_pii_dates_are_permuted_within_their_shape():
     import datetime
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.tables import delete, forget, shared_dir, stored
+
+__all__ = ["delete", "forget", "shared_dir", "stored"]
+
 #: The separators of words, as a Java and RE2 regular expression.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -20,15 +22,6 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Where none is named, a session on one machine takes one in its warehouse; on a
-    cluster that is an error, as the warehouse may be a folder of the driver's own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
-    return at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_threadloom"
-
-
 #: Bytes of a batch that goes to Python, where the session leaves it at Spark's default.
 BATCH_BYTES = 4 << 20
 DEFAULT_BATCH_BYTES = "67108864b"
@@ -41,41 +34,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder and read from there: lineage ends, and a lost executor costs no recomputation.
-    The table stays until `forget`; what a returned DataFrame still reads stays until `clean`."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    _STORED.setdefault(spark.sparkContext.applicationId, set()).add(path)
-    return out
-
-
-#: Stored tables that are still there, by application.
-_STORED: dict[str, set[str]] = {}
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more."""
-    for df in tables:
-        _STORED.get(df.sparkSession.sparkContext.applicationId, set()).discard(df.stored_at)
-        delete(df.sparkSession, df.stored_at)
-
-
-def clean(spark: SparkSession) -> None:
-    """Deletes all stored tables of the application; to be called once the results that read them have been written."""
-    paths = _STORED.get(spark.sparkContext.applicationId, set())
-    while paths:
-        delete(spark, paths.pop())
-
-
 def free_name(df: DataFrame, like: str) -> str:
     """A column name that the table does not have, in upper or lower case."""
     taken, name = {c.lower() for c in df.columns}, f"_{like}"
