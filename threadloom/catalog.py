@@ -517,8 +517,9 @@ def _(spark, d):
     return raster.closing(A.pixels(spark, d), 1)
 
 
-@query("boundary_edges", f"""WITH {A.PIXELS_SQL}, s(k, dx, dy, sx, sy, ex, ey) AS (VALUES (0, 0, -1, 0, 0, 1, 0), (1, 1, 0, 1, 0, 1, 1), (2, 0, 1, 1, 1, 0, 1), (3, -1, 0, 0, 1, 0, 0))
-SELECT p.img, p.label, p.x + sx AS sx, p.y + sy AS sy, p.x + ex AS ex, p.y + ey AS ey FROM px p CROSS JOIN s LEFT JOIN px q ON q.img = p.img AND q.x = p.x + dx AND q.y = p.y + dy WHERE q.label IS NULL OR q.label <> p.label""")
+@query("boundary_edges", f"""WITH {A.PIXELS_SQL}, s(way, sx, sy, ex, ey) AS (VALUES (0, 0, 0, 1, 0), (1, 1, 0, 1, 1), (2, 1, 1, 0, 1), (3, 0, 1, 0, 0)),
+near AS (SELECT *, [lag(label) OVER c, lead(label) OVER r, lead(label) OVER c, lag(label) OVER r] AS beside FROM px WINDOW c AS (PARTITION BY img, x ORDER BY y), r AS (PARTITION BY img, y ORDER BY x))
+SELECT img, label, x + sx AS sx, y + sy AS sy, x + ex AS ex, y + ey AS ey FROM near, s WHERE beside[way + 1] IS DISTINCT FROM label""")
 def _(spark, d):
     return raster.boundary_edges(A.pixels(spark, d))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import dims
@@ -113,3 +113,24 @@ def kmeans_by_picture(pixels: DataFrame, k: int, rounds: int = 16, still: float
                 break
         own.release(state)
     return state.select("img", F.posexplode("centers").alias("place", "c")).select("img", "place", "c.*")
+
+
+def promoted(pixels: DataFrame, centers: DataFrame, contrast: float = 25.0, least: int = 4, most: int = 4) -> DataFrame:
+    """Centres (img, place, l, a, b) that pictures get besides those they have: the means of connected blobs of pixels (img, x, y, r, g, b) that stand
+    farther than `contrast` from all of them, of at least `least` pixels, the `most` largest of each picture, the first one on ties.
+
+    Pixels meet their picture's centres, an array; blobs are the parts of what is far; only ranks of blobs are compared within a picture."""
+    from threadloom.operators import stretches
+
+    micro = lambda c: X.round_half_up(F.col(f"lab.{c}") * 1_000_000.0).cast("long").alias(c)
+    own = centers.groupBy("img").agg(F.collect_list(F.struct("l", "a", "b")).alias("centers"), F.max("place").alias("last"))
+    p = pixels.withColumn("lab", X.rgb_to_lab("r", "g", "b")).select("img", "x", "y", *(micro(c) for c in "lab"))
+    near = F.array_min(F.transform("centers", lambda c: X.delta_e2(F.struct("l", "a", "b"), c)))
+    far = stored(p.join(own, "img").where(near > F.lit(int(contrast**2 * 10**12))).select("img", "x", "y", "l", "a", "b", "last"))
+    labeled = stored(stretches.parted(stored(stretches.of_pixels(far.select("img", "x", "y", F.lit(0).alias("label"))))))
+    rank = F.row_number().over(Window.partitionBy("img").orderBy(F.desc("area"), "part"))
+    chosen = stretches.parts(labeled).where(F.col("area") >= least).withColumn("rank", rank).where(F.col("rank") <= most).select("img", "part", "rank")
+    spans = labeled.join(chosen, ["img", "part"]).select("img", F.col("y").alias("row"), "x1", "x2", "rank")
+    inside = far.join(spans, (far["img"] == spans["img"]) & (F.col("y") == F.col("row")) & F.col("x").between(F.col("x1"), F.col("x2"))).drop(spans["img"])
+    mean = lambda c: F.floor((F.sum(c) * 2 + F.count(F.lit(1))).cast("decimal(38,0)") / (F.count(F.lit(1)) * 2)).cast("long").alias(c)
+    return inside.groupBy("img", (F.col("last") + F.col("rank")).alias("place")).agg(mean("l"), mean("a"), mean("b"))

@@ -200,3 +200,55 @@ def ring_sizes(r: DataFrame) -> DataFrame:
     """Of each ring: corners, length and twice its signed area; outer rings are positive."""
     twice = F.sum(F.col("x") * F.col("ey") - F.col("ex") * F.col("y"))
     return r.groupBy("img", "label", "ring").agg(F.count(F.lit(1)).alias("corners"), F.sum(F.abs(F.col("ex") - F.col("x")) + F.abs(F.col("ey") - F.col("y"))).alias("length"), twice.alias("area2"))
+
+
+def joined(st: DataFrame) -> DataFrame:
+    """Stretches that may lie over each other, or side by side, as one each."""
+    w = Window.partitionBy("img", "label", "y").orderBy("x1", "x2")
+    apart = F.when(F.col("x1") > F.max("x2").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, 1).otherwise(0)
+    s = st.select("img", "label", "y", "x1", "x2", apart.alias("apart")).withColumn("island", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return s.groupBy("img", "label", "y", "island").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2")).drop("island")
+
+
+def grown(st: DataFrame, radius: float, sizes: DataFrame) -> DataFrame:
+    """Masks grown by a disc, within pictures of sizes (img, width, height): a stretch grows into one for each row of the disc."""
+    r = int(radius)
+    rows = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(int((radius * radius - dy * dy) ** 0.5)).alias("half")) for dy in range(-r, r + 1)))
+    g = st.select("img", "label", "y", "x1", "x2", F.explode(rows).alias("d")).join(sizes, "img")
+    g = g.select("img", "label", (F.col("y") + F.col("d.dy")).alias("y"), F.greatest(F.col("x1") - F.col("d.half"), F.lit(0)).alias("x1"), F.least(F.col("x2") + F.col("d.half"), F.col("width") - 1).alias("x2"), "height")
+    return joined(g.where("y >= 0 and y < height"))
+
+
+def outside(st: DataFrame, sizes: DataFrame) -> DataFrame:
+    """What masks leave of their pictures; sizes: (img, label, width, height), a row for each mask, empty ones too."""
+    rows = sizes.select("img", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1)).alias("y"), F.col("width").cast("long").alias("x1"), F.col("width").cast("long").alias("x2"))
+    w = Window.partitionBy("img", "label", "y").orderBy("x1")
+    gaps = st.select("img", "label", "y", "x1", "x2").unionByName(rows).select("img", "label", "y", F.coalesce(F.lag("x2").over(w) + 1, F.lit(0)).cast("long").alias("a"), (F.col("x1") - 1).alias("b"))
+    return gaps.where("a <= b").select("img", "label", "y", F.col("a").alias("x1"), F.col("b").alias("x2"))
+
+
+def shrunk(st: DataFrame, radius: float, sizes: DataFrame) -> DataFrame:
+    """Masks shrunk by a disc: what is left by the grown outside.  Beyond a picture's border nothing grows in."""
+    return outside(grown(outside(st, sizes), radius, sizes.select("img", "width", "height").distinct()), sizes)
+
+
+def background(pixels: DataFrame, white: int = 240) -> DataFrame:
+    """Stretches (img, label 0) of the background of pictures (img, x, y, r, g, b, a): transparent pixels, and near-white ones that are connected with the
+    border through others like them."""
+    clear = F.col("a") < 128
+    p = pixels.select("img", "x", "y", clear.alias("clear"), (clear | (F.least("r", "g", "b") >= white)).alias("open"))
+    size = p.groupBy("img").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    mask = lambda c: of_pixels(p.where(c).select("img", "x", "y", F.lit(0).alias("label")))
+    labeled = stored(parted(stored(mask("open"))))
+    at_border = parts(labeled).join(size, "img").where("min_x = 0 or min_y = 0 or max_x = mx or max_y = my").select("img", "part")
+    return joined(labeled.join(at_border, ["img", "part"], "left_semi").select("img", "label", "y", "x1", "x2").unionByName(mask("clear").select("img", "label", "y", "x1", "x2")))
+
+
+def area_filter(found: DataFrame, colors: DataFrame, least: float = 300.0, contrast: float = 25.0) -> DataFrame:
+    """Parts (img, label, part, area) with `kept`: those of `least` or more, and smaller ones down to a thirtieth of that (4 at least) if their colour (label,
+    lab) stands far from another one; the others are what is left out."""
+    a, b = colors.select("label", "lab"), colors.select(F.col("label").alias("other"), F.col("lab").alias("lab2"))
+    far = a.crossJoin(F.broadcast(b)).where((F.col("label") != F.col("other")) & (X.delta_e2(F.col("lab"), F.col("lab2")) > contrast**2)).select("label").distinct().withColumn("stands_out", F.lit(True))
+    rescued = F.coalesce("stands_out", F.lit(False)) & (F.col("area") >= max(4, int(least / 30 + 0.5)))
+    # a palette has some ten colours
+    return found.join(F.broadcast(far), "label", "left").withColumn("kept", (F.col("area") >= least) | rescued).drop("stands_out")
