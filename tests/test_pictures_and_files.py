@@ -138,11 +138,10 @@ def test_holes_of_no_ring_go_to_the_nearest(spark):
     assert {(r.hole_poly, r.outer_poly, r.holders) for r in geometry.holes_to_outers(df).collect()} == {(1, 1, 0), (2, 0, 1)}
 
 
-def test_centres_are_bounded(spark, monkeypatch):
+def test_centres_in_blocks(spark, monkeypatch):
     from threadloom.operators import color
 
     df = spark.createDataFrame([(k, k % 3, [float(k % 3), 0.0]) for k in range(9)], "vec_id long, label long, embedding array<double>")
     assert {(r.vec_id, r.center) for r in color.nearest_center(df).collect()} == {(k, k % 3) for k in range(9)}
-    monkeypatch.setattr(color, "MOST_CENTERS", 2)
-    with pytest.raises(Exception, match="too many centres"):
-        color.nearest_center(df).collect()
+    monkeypatch.setattr(color, "CENTERS_AT_ONCE", 2)
+    assert {(r.vec_id, r.center) for r in color.nearest_center(df).collect()} == {(k, k % 3) for k in range(9)}

@@ -227,3 +227,12 @@ def test_scopes_delete_their_own(spark):
     assert outside.count() == 5 and kept.count() == 7
     tables.forget(outside, kept)
     assert not os.path.exists(kept.stored_at.removeprefix("file:"))
+
+
+def test_nearest_centers_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(k, [float(v) for v in rng.normal(0, 1, 3)], int(k % 41)) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    whole = sorted(map(tuple, color.nearest_center(df).collect()))
+    monkeypatch.setattr(color, "CENTERS_AT_ONCE", 6)
+    assert sorted(map(tuple, color.nearest_center(df).collect())) == whole and len(whole) == 400

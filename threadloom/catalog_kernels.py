@@ -256,8 +256,9 @@ def _(spark, d):
     def one(k):
         w, h = 120 + k % 60, 90 + k % 50
         box = S.ring([(0, 0), (w, 0), (w, h), (0, h)])
-        edge, rows = G.fill_underlay(box, [], ("edge", "tatami"), 90.0)
-        return 2, len(edge), len(G.micro(box)[0]), len(np.unique(np.round(rows.imag)))
+        under = G.fill_underlay(box, [], ("edge", "tatami"), 90.0)
+        edge, rows = under
+        return len(under), len(edge), len(G.micro(box)[0]), len(np.unique(np.round(rows.imag)))
 
     return _each(spark, d, "k bigint, runs bigint, edge bigint, micro bigint, rows bigint", one)
 

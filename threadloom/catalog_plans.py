@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.operators import fits, library, nested, plan, raster, simplify, wide
+from threadloom.operators import edits, fits, library, nested, plan, raster, reading, simplify, wide
 from threadloom.plans import queries as kernel_queries
 from threadloom.sources import adapters as A
 from threadloom.sources import formats
@@ -207,3 +207,35 @@ def _(spark, d):
     pos = F.row_number().over(Window.partitionBy("design_id").orderBy("block_idx", "run_idx")).cast("long")
     r = r.select("design_id", pos.alias("pos"), F.lit("stroke").alias("kind"), (F.size("points") % 5 == 0).alias("closed"), ((1 + (F.col("design_id") + F.col("run_idx") * 3) % _WIDTH) * 0.5).alias("width"), "points")
     return fits.merged(r).select("design_id", "pos", "parts", F.size("points").cast("long").alias("points"), "width")
+
+
+_TURNS = f"""WITH {A.STITCHES_SQL}, t0 AS (SELECT *, x - lag(x) OVER w AS ax, y - lag(y) OVER w AS ay, lead(x) OVER w - x AS bx, lead(y) OVER w - y AS by_ FROM st WINDOW w AS (PARTITION BY design_id, block_idx, run_idx ORDER BY seq)),
+t1 AS (SELECT *, ax::BIGINT * ax + ay::BIGINT * ay AS a2, bx::BIGINT * bx + by_::BIGINT * by_ AS b2, ax::BIGINT * bx + ay::BIGINT * by_ AS dot, (ax + bx)::BIGINT * (ax + bx) + (ay + by_)::BIGINT * (ay + by_) < 6.25 AS near FROM t0),
+t2 AS (SELECT *, coalesce(dot < 0 AND a2 > 0 AND b2 > 0 AND 4 * dot * dot > a2 * b2, false) AS back FROM t1), t3 AS (SELECT *, near OR back AS turns, a2 >= 36 AND b2 >= 36 AS wide FROM t2)"""
+
+
+@query("satin_columns", _TURNS + """, z AS (SELECT *, seq - row_number() OVER (PARTITION BY design_id, block_idx, run_idx ORDER BY seq) AS island FROM t3 WHERE ax IS NOT NULL AND bx IS NOT NULL AND turns AND wide)
+SELECT design_id, block_idx, run_idx, min(seq) - 1 AS first, max(seq) + 1 AS last, count(*) AS turns FROM z GROUP BY design_id, block_idx, run_idx, island HAVING count(*) >= 5""")
+def _(spark, d):
+    return reading.columns(A.stitches(spark, d))
+
+
+@query("run_looks", _TURNS + """, f0 AS (SELECT *, lag(ax) OVER w AS lx, lag(ay) OVER w AS ly FROM t3 WHERE a2 >= 36 WINDOW w AS (PARTITION BY design_id, block_idx, run_idx ORDER BY seq)),
+f1 AS (SELECT design_id, block_idx, run_idx, count(*) FILTER (ax::BIGINT * lx + ay::BIGINT * ly < 0 AND 4 * (ax::BIGINT * lx + ay::BIGINT * ly) * (ax::BIGINT * lx + ay::BIGINT * ly) > a2 * (lx::BIGINT * lx + ly::BIGINT * ly)) AS rows_back FROM f0 GROUP BY ALL), g AS (SELECT design_id, block_idx, run_idx, count(*) AS points, count(*) FILTER (back) AS reversals, count(*) FILTER (a2 > 0 AND b2 > 0) AS bends, coalesce(sum(floor(sqrt(a2::DOUBLE) * 1000 + 0.5)), 0)::BIGINT AS length,
+floor(sqrt((max(x) - min(x))::DOUBLE * (max(x) - min(x)) + (max(y) - min(y))::DOUBLE * (max(y) - min(y))) * 1000 + 0.5)::BIGINT AS diagonal FROM t3 GROUP BY ALL)
+SELECT design_id, block_idx, run_idx, points, reversals, length, diagonal, points >= 2 AND (bends = 0 OR reversals * 100 < bends * 15) AND length < 8 * greatest(diagonal, 10000) AS is_line, points >= 6 AND coalesce(rows_back, 0) >= 3 AND diagonal > 0 AND length > 3 * diagonal AS is_fill FROM g LEFT JOIN f1 USING (design_id, block_idx, run_idx)""")
+def _(spark, d):
+    return reading.looks(A.stitches(spark, d))
+
+
+@query("spaced_runs", f"""WITH RECURSIVE {A.STITCHES_SQL}, kp(design_id, block_idx, run_idx, seq, x, y, kept, lx, ly) AS (
+  SELECT design_id, block_idx, run_idx, seq, x, y, true, x, y FROM st WHERE seq = 0
+  UNION ALL
+  SELECT s.design_id, s.block_idx, s.run_idx, s.seq, s.x, s.y, k, CASE WHEN k THEN s.x ELSE lx END, CASE WHEN k THEN s.y ELSE ly END FROM (
+    SELECT s.*, p.lx, p.ly, (s.x - p.lx)::BIGINT * (s.x - p.lx) + (s.y - p.ly)::BIGINT * (s.y - p.ly) >= 160000 AS k FROM kp p JOIN st s ON s.design_id = p.design_id AND s.block_idx = p.block_idx AND s.run_idx = p.run_idx AND s.seq = p.seq + 1) s
+) SELECT design_id, block_idx, run_idx, row_number() OVER (PARTITION BY design_id, block_idx, run_idx ORDER BY seq) - 1 AS i, x, y FROM kp WHERE kept""")
+def _(spark, d):
+    """Runs without the points nearer than 400 units to the last one kept."""
+    point = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.struct("x", "y").alias("p")))), lambda e: e["p"])
+    r = A.stitches(spark, d).groupBy("design_id", "block_idx", "run_idx").agg(point.alias("z"))
+    return r.select("design_id", "block_idx", "run_idx", F.posexplode(edits.spaced_nodes("z", 400.0)).alias("i", "p")).select("design_id", "block_idx", "run_idx", F.col("i").cast("long").alias("i"), "p.x", "p.y")

@@ -346,7 +346,7 @@ def _(spark, d):
                 runs = strokes.stroke_stitch(S.ring([(0, 0), (w, 0), (w, h), (0, h)]))
                 z = np.concatenate(runs) if runs else np.zeros(0, complex)
                 off = int(((z.real < 0) | (z.real > w) | (z.imag < 0) | (z.imag > h)).sum()) if runs else None
-                out.append((k, "none" if not runs else "running" if h <= strokes.THIN else "satin", len(runs), off))
+                out.append((k, "none" if not runs else "running" if len(z) < w / 10 else "satin", len(runs), off))
             yield pd.DataFrame(out, columns=["poly", "how", "runs", "outside"]).astype({"outside": "Int64"})
 
     return A.rings(spark, d).select("poly").mapInPandas(run, "poly bigint, how string, runs bigint, outside bigint")

@@ -27,19 +27,28 @@ def centers_of(df: DataFrame, label: str = "label", vector: str = "embedding") -
     return e.groupBy(label, "pos").agg((F.sum(X.round_half_up(F.col("v").cast("double") * 1_000_000)) / F.count(F.lit(1)) / 1_000_000.0).alias("mean"))
 
 
-#: Centres that vectors are compared with all at once; a search among more is an index's task.
-MOST_CENTERS = 100_000
+#: Centres that vectors are compared with all at once: so many are one row of a broadcast, of some tens of megabytes.
+CENTERS_AT_ONCE = 20_000
 
 
 def nearest_center(df: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
-    """(key, center, d2_milli): the centre nearest to each vector, the lower label on ties.  All centres are one row, an array that goes to
-    every task, so vectors stay where they are; over MOST_CENTERS of them are refused."""
+    """(key, center, d2_milli): the centre nearest to each vector, the lower label on ties.  Up to CENTERS_AT_ONCE centres are one array that goes to every
+    task, so vectors stay where they are.  More of them are taken block by block, by a hash of the label: each block's best is found in that way, and the
+    best of a vector's blocks, a row of three numbers for each, is what is left; the result is the same, and no task holds more than a block."""
     c = centers_of(df, label, vector).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("vec"))
-    one = c.agg(F.collect_list(F.struct(F.col(label).alias("center"), "vec")).alias("centers"))
-    one = one.withColumn("centers", F.when(F.size("centers") > MOST_CENTERS, F.raise_error(F.lit("too many centres"))).otherwise(F.col("centers")))
+    c = stored(c.select(F.col(label).alias("center"), "vec"))
+    blocks = max(1, -(-c.count() // CENTERS_AT_ONCE))
     far = lambda v: X.milli(F.aggregate(F.zip_with(F.col(vector), v, lambda a, m: (a.cast("double") - m) * (a.cast("double") - m)), F.lit(0.0), lambda s, x: s + x))
     best = F.array_min(F.transform("centers", lambda c: F.struct(far(c["vec"]).alias("d2_milli"), c["center"].alias("center"))))
-    return df.select(key, vector).crossJoin(F.broadcast(one)).select(key, best.alias("b")).select(key, "b.center", "b.d2_milli")
+    found = None
+    for k in range(blocks):
+        own = c if blocks == 1 else c.where(F.pmod(F.xxhash64("center"), F.lit(blocks)) == k)
+        one = own.agg(F.collect_list(F.struct("center", "vec")).alias("centers"))
+        part = df.select(key, vector).crossJoin(F.broadcast(one)).select(key, best.alias("b"))
+        found = part if found is None else found.unionByName(part)
+    if blocks > 1:
+        found = found.groupBy(key).agg(F.min("b").alias("b"))
+    return found.select(key, "b.center", "b.d2_milli")
 
 
 def lab_table(df: DataFrame) -> DataFrame:
