@@ -189,14 +189,14 @@ def test_stages_on_an_empty_table(spark, folder):
 
 def test_stored_tables_go(spark, clean):
     from threadloom.llm import frames
+    from threadloom.tables import scope
 
-    frames.clean(spark)
     before = set(_tables(spark))
-    same_table = frames.stored(clean)
-    assert same_table.count() == clean.count() and len(_tables(spark)) == len(before) + 1
-    near_dedup.near_duplicates(clean, 2).count()
-    frames.clean(spark)
-    assert set(_tables(spark)) <= before
+    with scope(spark):
+        same_table = frames.stored(clean)
+        assert same_table.count() == clean.count() and len(_tables(spark)) == len(before) + 1
+        near_dedup.near_duplicates(clean, 2).count()
+    assert set(_tables(spark)) == before
 
 
 def _tables(spark):
