@@ -16,7 +16,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([HERE, os.environ.get("PYTHONPATH", "
 HEADLINE = (
     "thread_length_by_block", "plan_counts", "plan_stats", "sequence_view", "validation_issues", "machine_ops", "sim_frames", "long_stitch_split", "shoelace_area", "point_in_polygon", "containment_depth", "scan_rows",
     "nearest_palette", "nearest_center_embedding", "library_search", "text_layout_horizontal", "work_order", "op1_substring_dedup", "op2_chat_format", "op3_toxicity", "op4_language", "op5_pii", "op6_exact_dedup",
-    "op7_near_dedup", "op8_mixing", "op9_quality", "op10_bpe",
+    "op7_near_dedup", "op8_mixing", "op9_quality", "op10_bpe", "op11_quality_classifier", "op12_conversation_repair", "op13_lexical_search",
 )
 
 
