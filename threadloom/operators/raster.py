@@ -70,11 +70,19 @@ def dominant_colors(pixels: DataFrame, k: int = 8) -> DataFrame:
 
 
 def white_background(pixels: DataFrame, threshold: int = 240) -> DataFrame:
-    """Whether three of an image's four corners are near white, and none of them transparent (a: null where there is no such channel)."""
-    size = pixels.groupBy("img").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
-    corner = F.col("x").isin(0) | (F.col("x") == F.col("mx"))
-    corner = corner & (F.col("y").isin(0) | (F.col("y") == F.col("my")))
+    """Whether three of an image's four corners are near white, and none of them transparent (a: null where there is no such channel).
+
+    One aggregate of whole numbers, summed up before anything moves: of the first row, the first column and the whole picture the last
+    pixel, each as its place with two bits for what it is.  So pixels are joined with nothing, and no side can be taken for small."""
     alpha = F.coalesce(F.col("a"), F.lit(255)) if "a" in pixels.columns else F.lit(255)
-    p = pixels.withColumn("_alpha", alpha).join(size, "img").where(corner)
-    white = F.count_if((F.col("r") >= threshold) & (F.col("g") >= threshold) & (F.col("b") >= threshold)) >= 3
-    return p.groupBy("img").agg((white & (F.min("_alpha") >= 128)).alias("white"))
+    near = F.coalesce((F.col("r") >= threshold) & (F.col("g") >= threshold) & (F.col("b") >= threshold), F.lit(False))
+    x, y, bits = F.col("x").cast("long"), F.col("y").cast("long"), F.when(near, 2).otherwise(0) + F.when(alpha >= 128, 1).otherwise(0)
+    last = lambda at, where=None: F.max(at * 4 + bits if where is None else F.when(where, at * 4 + bits))
+    g = pixels.groupBy("img").agg(F.max(x).alias("mx"), F.max(y).alias("my"), last(F.lit(0), (x == 0) & (y == 0)).alias("p0"), last(x, y == 0).alias("p1"), last(y, x == 0).alias("p2"), last(x * F.lit(1 << 30) + y).alias("p3"))
+    mx, my = F.col("mx"), F.col("my")
+    place = lambda p: F.shiftright(p, 2)
+    # a picture of one row or column has the same pixel at two corners, and one that lacks pixels may have none there
+    is_corner = (F.col("p0").isNotNull(), (mx > 0) & (place("p1") == mx), (my > 0) & (place("p2") == my), (mx > 0) & (my > 0) & (place("p3") == mx * F.lit(1 << 30) + my))
+    there = F.filter(F.array(*(F.when(ok, F.col(f"p{k}").bitwiseAND(3)) for k, ok in enumerate(is_corner))), lambda c: c.isNotNull())
+    found = g.select("img", there.alias("c")).where(F.size("c") > 0)
+    return found.select("img", ((F.size(F.filter("c", lambda c: c >= 2)) >= 3) & F.forall("c", lambda c: c % 2 == 1)).alias("white"))
