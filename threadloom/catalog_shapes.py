@@ -89,7 +89,7 @@ def _(spark, d):
                 out.append((poly, cut(s.width), cut(s.widths.max()), cut(s.length), strokes.looks_like_stroke(s)))
             yield pd.DataFrame(out, columns=["poly", "width", "widest", "length", "is_stroke"])
 
-    return A.rings(spark, d).select("poly", "outer").mapInPandas(run, "poly bigint, width bigint, widest bigint, length bigint, is_stroke boolean")
+    return A.dealt(A.rings(spark, d).select("poly", "outer"), "poly").mapInPandas(run, "poly bigint, width bigint, widest bigint, length bigint, is_stroke boolean")
 
 
 def _queries(spark, d):
@@ -206,11 +206,14 @@ SELECT poly, seq, cast(floor(len::DOUBLE * (seq // 2) / n + 0.5) AS BIGINT) AS x
 def _(spark, d):
     def run(batches):
         for pdf in batches:
-            for poly in pdf["poly"]:
-                z = strokes.zigzag_line(np.array([0, 100 + poly % 60], complex), 20.0)[0]
-                yield pd.DataFrame({"poly": poly, "seq": np.arange(len(z)), "x": z.real.astype(int), "y": z.imag.astype(int)})
+            # a frame for some hundred lines, which is what takes long
+            for at in range(0, len(pdf), 500):
+                polys = pdf["poly"].to_numpy()[at : at + 500]
+                made = [strokes.zigzag_line(np.array([0, 100 + poly % 60], complex), 20.0)[0] for poly in polys.tolist()]
+                n, z = [len(m) for m in made], np.concatenate(made)
+                yield pd.DataFrame({"poly": np.repeat(polys, n), "seq": np.concatenate([np.arange(k) for k in n]), "x": z.real.astype(int), "y": z.imag.astype(int)})
 
-    return A.rings(spark, d).select("poly").mapInPandas(run, "poly bigint, seq bigint, x bigint, y bigint")
+    return A.dealt(A.rings(spark, d).select("poly"), "poly").mapInPandas(run, "poly bigint, seq bigint, x bigint, y bigint")
 
 
 def _regions(spark, d):
@@ -258,7 +261,7 @@ def _(spark, d):
                 out.append((poly, len(z), round(float(z.imag[0] if level else z.real[0]))))
             yield pd.DataFrame(out, columns=["poly", "points", "axis"])
 
-    return A.rings(spark, d).select("poly", "outer").mapInPandas(run, "poly bigint, points bigint, axis bigint")
+    return A.dealt(A.rings(spark, d).select("poly", "outer"), "poly").mapInPandas(run, "poly bigint, points bigint, axis bigint")
 
 
 @query("line_underlays", """WITH l AS (SELECT c_custkey AS poly, 100 + c_custkey % 60 AS len FROM customer), n AS (SELECT *, floor(len / 25.0::DOUBLE + 0.5)::BIGINT AS n FROM l)
@@ -269,7 +272,7 @@ def _(spark, d):
             made = [(k, strokes.line_underlay(np.array([0, 100 + k % 60], complex), 40.0, ("center", "zigzag", "edge", "tatami"))) for k in pdf["poly"]]
             yield pd.DataFrame([(k, *map(len, runs)) for k, runs in made], columns=["poly", "center", "zigzag", "edge"])
 
-    return A.rings(spark, d).select("poly").mapInPandas(run, "poly bigint, center bigint, zigzag bigint, edge bigint")
+    return A.dealt(A.rings(spark, d).select("poly"), "poly").mapInPandas(run, "poly bigint, center bigint, zigzag bigint, edge bigint")
 
 
 @query("transformed_regions", _POLY + f""", t AS (SELECT poly, ring, i, -2.0::DOUBLE * x AS x, 2.0::DOUBLE * y AS y FROM poly)
@@ -304,7 +307,7 @@ def _(spark, d):
                 out.append((k, len(images), one.shape[1], one.shape[0], int(one[2, 3, 0]), len(doc["layers"])))
             yield pd.DataFrame(out, columns=["s_suppkey", "images", "width", "height", "red", "layers"])
 
-    return A.table(spark, d, "supplier").select("s_suppkey").mapInPandas(run, "s_suppkey bigint, images bigint, width bigint, height bigint, red bigint, layers bigint")
+    return A.dealt(A.table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").mapInPandas(run, "s_suppkey bigint, images bigint, width bigint, height bigint, red bigint, layers bigint")
 
 
 @query("shrunk_pictures", "SELECT s_suppkey, 600::BIGINT AS width, cast(floor((300 + s_suppkey % 200) / 2.0::DOUBLE + 0.5) AS BIGINT) AS height, 40 + s_suppkey % 100 AS mean FROM supplier")
@@ -322,7 +325,7 @@ def _(spark, d):
                 out.append((k, b.shape[1], b.shape[0], int(b[0, :, 0].mean())))
             yield pd.DataFrame(out, columns=["s_suppkey", "width", "height", "mean"])
 
-    return A.table(spark, d, "supplier").select("s_suppkey").mapInPandas(run, "s_suppkey bigint, width bigint, height bigint, mean bigint")
+    return A.dealt(A.table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").mapInPandas(run, "s_suppkey bigint, width bigint, height bigint, mean bigint")
 
 
 @query("nearest_stitch", f"WITH {A.STITCHES_SQL}" + """, qs AS (SELECT c_custkey % 15 AS design_id, c_custkey AS q, (c_custkey * 61) % 801 - 400 AS qx, (c_custkey * 29) % 801 - 400 AS qy FROM customer),
@@ -349,7 +352,7 @@ def _(spark, d):
                 out.append((k, "none" if not runs else "running" if len(z) < w / 10 else "satin", len(runs), off))
             yield pd.DataFrame(out, columns=["poly", "how", "runs", "outside"]).astype({"outside": "Int64"})
 
-    return A.rings(spark, d).select("poly").mapInPandas(run, "poly bigint, how string, runs bigint, outside bigint")
+    return A.dealt(A.rings(spark, d).select("poly"), "poly").mapInPandas(run, "poly bigint, how string, runs bigint, outside bigint")
 
 
 @query("stitches_to_strokes", "SELECT c_custkey AS poly, CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 2 END::BIGINT AS points, c_custkey % 2 = 0 AS closed FROM customer")
@@ -367,4 +370,4 @@ def _(spark, d):
                 out.append((k, len(e["points"]), e["closed"]))
             yield pd.DataFrame(out, columns=["poly", "points", "closed"])
 
-    return A.rings(spark, d).select("poly").mapInPandas(run, "poly bigint, points bigint, closed boolean")
+    return A.dealt(A.rings(spark, d).select("poly"), "poly").mapInPandas(run, "poly bigint, points bigint, closed boolean")

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key to as many tasks as the session shuffles to.  For kernels that take long over rows that are few and small: Spark reads a
+    file of them as one split, or a row group as one, and adaptive execution would put what was shuffled into one task again."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def stitches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """design_id, thread, block_idx, run_idx, seq, x, y: a user is a design, an event type a colour block.  One shuffle, by
     design; all windows over parts of a design reuse it."""
