@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import exprs as X
 
-from .vector import holders
+from .vector import holders, let
 
 RING = ["design_id", "poly", "ring"]
 
@@ -112,8 +112,9 @@ def _copies(rings: DataFrame, keys: list[str], point) -> DataFrame:
 
     def moved(ring, outer: bool):
         r = F.transform(F.col(ring), lambda p: point(p["x"].cast("double"), p["y"].cast("double")))
-        area = X.doubled_area(r)
-        return F.when(area < 0 if outer else area > 0, F.reverse(r)).otherwise(r)
+        # a ring is moved once, and not again for each of the points that its area asks for
+        wound = lambda r: F.when(X.doubled_area(r) < 0 if outer else X.doubled_area(r) > 0, F.reverse(r)).otherwise(r)
+        return let(r, wound)
 
     r = rings.select("design_id", "poly", *keys, F.posexplode(F.array(moved("outer", True), F.when(F.col("hole").isNotNull(), moved("hole", False)))).alias("ring", "_r")).where("_r is not null")
     r = r.select("design_id", "poly", *keys, "ring", F.posexplode("_r").alias("i", "p"))
