@@ -78,7 +78,7 @@ def _(spark, d):
                 out.append((poly, len(runs), len(z), int(z.real.min()), int(z.real.max()), int(z.imag.min()), int(z.imag.max()), inner))
             yield pd.DataFrame(out, columns=["poly", "runs", "stitches", "min_x", "max_x", "min_y", "max_y", "in_hole"]).astype({"in_hole": "Int64"})
 
-    return A.rings(spark, d).select("poly", "outer", "hole").mapInPandas(run, "poly bigint, runs bigint, stitches bigint, min_x bigint, max_x bigint, min_y bigint, max_y bigint, in_hole bigint")
+    return A.dealt(A.rings(spark, d).select("poly", "outer", "hole"), "poly").mapInPandas(run, "poly bigint, runs bigint, stitches bigint, min_x bigint, max_x bigint, min_y bigint, max_y bigint, in_hole bigint")
 
 
 def _regions(spark, d):
@@ -151,7 +151,7 @@ def _(spark, d):
             made = [qr.encode(t) for t in pdf["text"]]
             yield pdf.assign(back=[qr.decode(m) for m in made], side=[m.shape[0] for m in made])
 
-    return A.table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("text")).mapInPandas(run, "c_custkey bigint, text string, back string, side bigint")
+    return A.dealt(A.table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("text")), "c_custkey").mapInPandas(run, "c_custkey bigint, text string, back string, side bigint")
 
 
 #: A picture for each supplier, 64 by 48: a red and a blue box on white, and a green one in the red.
@@ -200,7 +200,7 @@ def _(spark, d):
                     out += [(k, "hole", r["color"][0], round(S.area(h))) for h in r["holes"]]
             yield pd.DataFrame(out, columns=["design_id", "kind", "r", "area"])
 
-    return A.table(spark, d, "supplier").select("s_suppkey").mapInPandas(run, "design_id bigint, kind string, r int, area bigint")
+    return A.dealt(A.table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").mapInPandas(run, "design_id bigint, kind string, r int, area bigint")
 
 
 @query("pictures_to_plans", _PAINTED + """, pa AS (SELECT design_id, 220 AS r, 30 AS g, 30 AS b, aw * ah - 80 AS area, 0 AS k FROM pk UNION ALL SELECT design_id, 30, 60, 200, bw * bh, 1 FROM pk UNION ALL SELECT design_id, 30, 150, 70, 80, 2 FROM pk)
@@ -225,7 +225,7 @@ def _(spark, d):
                 out.append((k, len(runs), round(sum(np.abs(np.diff(r)).sum() for r in runs)), sum(e in runs[0] for e in ends)))
             yield pd.DataFrame(out, columns=["poly", "runs", "length", "ends"])
 
-    return A.rings(spark, d).select("poly").mapInPandas(run, "poly bigint, runs bigint, length bigint, ends bigint")
+    return A.dealt(A.rings(spark, d).select("poly"), "poly").mapInPandas(run, "poly bigint, runs bigint, length bigint, ends bigint")
 
 
 @query("satin_runs", "SELECT c_custkey AS poly, 1::BIGINT AS runs, false AS branched, 20 + c_custkey % 30 AS width, 2 * ((100 + c_custkey % 60) // 3) AS stitches, 0::BIGINT AS min_y, 20 + c_custkey % 30 AS max_y FROM customer")
@@ -242,7 +242,7 @@ def _(spark, d):
                 out.append((poly, len(runs), branched, round(width), len(z), round(z.imag.min()), round(z.imag.max())))
             yield pd.DataFrame(out, columns=["poly", "runs", "branched", "width", "stitches", "min_y", "max_y"])
 
-    return A.rings(spark, d).select("poly").mapInPandas(run, "poly bigint, runs bigint, branched boolean, width bigint, stitches bigint, min_y bigint, max_y bigint")
+    return A.dealt(A.rings(spark, d).select("poly"), "poly").mapInPandas(run, "poly bigint, runs bigint, branched boolean, width bigint, stitches bigint, min_y bigint, max_y bigint")
 
 
 @query("svg_import", """WITH s AS (SELECT p_partkey, 40 + p_partkey % 50 AS w, p_partkey % 4096 AS c FROM part), t AS (SELECT *, 1000.0::DOUBLE / greatest(p_partkey % 7 + 2 * w, 87) AS f, (p_partkey % 7 + 2 * w) / 2.0::DOUBLE AS mx FROM s)
@@ -264,7 +264,7 @@ def _(spark, d):
                 out.append((k, len(r), sum(len(x["holes"]) for x in r), *r[0]["color"], r[1]["color"][0], milli(abs(S.area(o))), milli(abs(S.area(r[0]["holes"][0]))), milli(o.real.min()), milli(o.imag.min())))
             yield pd.DataFrame(out, columns=["p_partkey", "regions", "holes", "r", "g", "b", "stroke_r", "outer_area", "hole_area", "min_x", "min_y"])
 
-    return A.table(spark, d, "part").select("p_partkey").mapInPandas(run, "p_partkey bigint, regions bigint, holes bigint, r int, g int, b int, stroke_r int, outer_area bigint, hole_area bigint, min_x bigint, min_y bigint")
+    return A.dealt(A.table(spark, d, "part").select("p_partkey"), "p_partkey").mapInPandas(run, "p_partkey bigint, regions bigint, holes bigint, r int, g int, b int, stroke_r int, outer_area bigint, hole_area bigint, min_x bigint, min_y bigint")
 
 
 @query("photo_stitch", """WITH g AS (SELECT s_suppkey, s_suppkey * 7 % 200 AS grey FROM supplier)
@@ -283,7 +283,7 @@ def _(spark, d):
                 out.append((k, grey, len(runs), len(z), round(z.real.min()), round(z.real.max())))
             yield pd.DataFrame(out, columns=["s_suppkey", "thread", "runs", "stitches", "min_x", "max_x"])
 
-    return A.table(spark, d, "supplier").select("s_suppkey").mapInPandas(run, "s_suppkey bigint, thread bigint, runs bigint, stitches bigint, min_x bigint, max_x bigint")
+    return A.dealt(A.table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").mapInPandas(run, "s_suppkey bigint, thread bigint, runs bigint, stitches bigint, min_x bigint, max_x bigint")
 
 
 @query("sketch_compile", """WITH k AS (SELECT c_custkey AS doc, 200 + 10 * (c_custkey % 5) AS w FROM customer)
@@ -326,7 +326,7 @@ def _(spark, d):
                 out.append((poly, len(scan), int(np.floor(total * 10 + 0.5))))
             yield pd.DataFrame(out, columns=["poly", "rows", "length"])
 
-    return A.rings(spark, d).select("poly", "outer").mapInPandas(run, "poly bigint, rows bigint, length bigint")
+    return A.dealt(A.rings(spark, d).select("poly", "outer"), "poly").mapInPandas(run, "poly bigint, rows bigint, length bigint")
 
 
 @query("reduced_designs", _BOX + """SELECT design_id, 'spacing,spacing,drop5,drop10,length' AS steps, count(*) FILTER (4 * w * h - CASE WHEN poly % 3 = 0 THEN 100 ELSE 0 END >= 1000) AS objects FROM bb GROUP BY design_id""")
