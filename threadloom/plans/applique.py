@@ -4,7 +4,6 @@ the machine stops in between."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +40,11 @@ STEP_ROWS = f"{D.STITCH_ROWS}, step string"
 def applique_designs(regions: DataFrame, satin_mm: float = SATIN_MM, inset_mm: float = INSET_MM) -> DataFrame:
     """Stitches of each design as appliqué, with their step: rows as digitize_designs takes them, a region after the other."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("region_idx").to_dict("records")
+    def made(key, rows):
         plan = [b for r in rows for b in blocks(D.region_of(r), satin_mm, inset_mm)]
-        st = D.stitch_rows(int(rows[0]["design_id"]), plan)
-        st["step"] = st["block_idx"].map(dict(enumerate(b["step"] for b in plan)))
-        return st
+        yield from D.stitch_frames(key, plan, step=[b["step"] for b in plan])
 
-    return regions.groupBy("design_id").applyInPandas(one, STEP_ROWS)
+    return D.each_design(regions, made, STEP_ROWS)
 
 
 def width_warning(satin_mm) -> Column:

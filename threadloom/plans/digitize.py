@@ -3,6 +3,7 @@ parallel, as groups of a DataFrame."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -106,7 +107,7 @@ def digitize(regions: list[dict], o: Options = Options()) -> list[dict]:
     for k in keep:
         groups.setdefault(tuple(regions[k]["color"]), []).append(k)
     colors = list(groups)
-    size = {c: sum(_area(regions[k]) for k in ks) for c, ks in groups.items()}
+    size = {c: sum(regions[k]["area"] if regions[k].get("area") is not None else _area(regions[k]) for k in ks) for c, ks in groups.items()}
     if o.color_order:
         rank = {c: k for k, c in enumerate(o.color_order)}
         colors.sort(key=lambda c: (rank.get(c, len(rank)), -size[c]))
@@ -172,19 +173,52 @@ def for_target(regions: list[dict], o: Options, target: int) -> tuple[list[dict]
 STITCH_ROWS = "design_id bigint, block_idx bigint, run_idx bigint, seq bigint, x int, y int, r int, g int, b int, connection string, object_id bigint, stitch_type string"
 
 
-def stitch_rows(design_id: int, blocks: list[dict]) -> pd.DataFrame:
+#: Rows of a frame that goes to Spark at once: a plan is some bytes a stitch, its rows as a frame are hundreds.
+FRAME_ROWS = 100_000
+
+
+def stitch_frames(design_id: int, blocks: list[dict], **more) -> Iterator[pd.DataFrame]:
+    """A plan's rows, frame by frame.  more: further columns, of one value, or of one for each block."""
     names = [c.split()[0] for c in STITCH_ROWS.split(", ")]
-    parts = []
-    for bi, b in enumerate(blocks):
-        for ri, run in enumerate(b["runs"]):
-            z = run["stitches"]
-            parts.append(pd.DataFrame({"design_id": design_id, "block_idx": bi, "run_idx": ri, "seq": np.arange(len(z)), "x": z.real.astype(int), "y": z.imag.astype(int), "r": b["thread"][0], "g": b["thread"][1], "b": b["thread"][2], "connection": run["connection"], "object_id": run["object_id"], "stitch_type": run["stitch_type"]}))
-    return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
+    runs = [(bi, ri, run) for bi, b in enumerate(blocks) for ri, run in enumerate(b["runs"])]
+    at = 0
+    while at < len(runs):
+        end, n = at, 0
+        while end < len(runs) and (end == at or n + len(runs[end][2]["stitches"]) <= FRAME_ROWS):
+            n += len(runs[end][2]["stitches"])
+            end += 1
+        part, at = runs[at:end], end
+        size = [len(r["stitches"]) for *_, r in part]
+        each = lambda values: np.repeat(np.array(values), size)  # noqa: B023, E731
+        text = lambda key: np.repeat(np.array([r[key] for *_, r in part], object), size)  # noqa: B023, E731
+        z = np.concatenate([r["stitches"] for *_, r in part])
+        out = {"design_id": design_id, "block_idx": each([bi for bi, *_ in part]), "run_idx": each([ri for _, ri, _ in part]), "seq": np.concatenate([np.arange(k) for k in size]), "x": z.real.astype(int), "y": z.imag.astype(int)}
+        out |= {c: each([blocks[bi]["thread"][k] for bi, *_ in part]) for k, c in enumerate("rgb")}
+        out |= {"connection": text("connection"), "object_id": each([r["object_id"] for *_, r in part]), "stitch_type": text("stitch_type")}
+        out |= {c: np.repeat(np.array([v[bi] for bi, *_ in part], object), size) if isinstance(v, list) else v for c, v in more.items()}
+        yield pd.DataFrame(out)[[*names, *more]]
+
+
+def stitch_rows(design_id: int, blocks: list[dict]) -> pd.DataFrame:
+    frames = list(stitch_frames(design_id, blocks))
+    return pd.concat(frames) if frames else pd.DataFrame(columns=[c.split()[0] for c in STITCH_ROWS.split(", ")])
+
+
+def each_design(regions: DataFrame, made, schema: str) -> DataFrame:
+    """Frames that `made` gives for each design, from its rows in order.  Designs are dealt to as many tasks as the session shuffles to, and their
+    stitches leave a frame at a time, so a task holds a plan but not all of its rows."""
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("region_idx").to_dict("records")
+        yield from made(int(rows[0]["design_id"]), rows)
+
+    tasks = max(1, int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return regions.repartition(tasks, "design_id").groupBy("design_id").applyInPandas(one, schema)
 
 
 #: What a region may have besides outer, holes, r, g, b: its number elsewhere, its fill, the row angle, pairs of points that rows turn
-#: between, and runs of stitches (arrays of points) that are kept as they are.
-OPTIONAL = ("object_id", "fill_type", "angle_deg", "angle_lines", "baked")
+#: between, runs of stitches (arrays of points) that are kept as they are, and the area that its colour is ordered by, if not its outline's.
+OPTIONAL = ("object_id", "area", "fill_type", "angle_deg", "angle_lines", "baked")
 
 
 def region_of(row) -> dict:
@@ -200,8 +234,4 @@ def digitize_designs(regions: DataFrame, options: Options = Options()) -> DataFr
     """Stitches of each design, from rows (design_id, region_idx, outer, holes, r, g, b and any of OPTIONAL); a design is one
     group, and its size is bounded by what a hoop holds."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("region_idx").to_dict("records")
-        return stitch_rows(int(rows[0]["design_id"]), digitize([region_of(r) for r in rows], options))
-
-    return regions.groupBy("design_id").applyInPandas(one, STITCH_ROWS)
+    return each_design(regions, lambda key, rows: stitch_frames(key, digitize([region_of(r) for r in rows], options)), STITCH_ROWS)
