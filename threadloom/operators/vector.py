@@ -227,63 +227,80 @@ def _edges(points: DataFrame, keep: list[str]) -> DataFrame:
     return points.withColumns({"nx": F.coalesce(F.lead("x").over(w), F.first("x").over(first)), "ny": F.coalesce(F.lead("y").over(w), F.first("y").over(first))}).select(*keep, "ring", "i", "x", "y", "nx", "ny")
 
 
-def near_edges(queries: DataFrame, points: DataFrame, reach: float, cell: int = CELL) -> DataFrame:
-    """Pairs of queries (design_id, q, qx, qy) and edges of rings at most `reach` apart: poly, ring, i, d, and the nearest point of the
-    edge. An edge lies in all cells that its box, widened by `reach`, covers, and a query in one."""
-    e = _edges(points, ["design_id", "poly"])
-    box = {"_gx": (F.least("x", "nx") - reach, F.greatest("x", "nx") + reach), "_gy": (F.least("y", "ny") - reach, F.greatest("y", "ny") + reach)}
+def places(queries: DataFrame) -> DataFrame:
+    """The places (design_id, qx, qy) of queries, once each: what is near a place is near all queries there."""
+    return queries.select("design_id", "qx", "qy").distinct()
+
+
+def _in_cells(at: DataFrame, cell: int) -> DataFrame:
+    return at.withColumns({"_gx": F.floor(F.col("qx") / cell).cast("long"), "_gy": F.floor(F.col("qy") / cell).cast("long")})
+
+
+def _spread(rows: DataFrame, box: dict, cell: int) -> DataFrame:
     for name, (lo, hi) in box.items():
-        e = e.withColumn(name, F.explode(_cells(lo, hi, cell)))
-    q = queries.withColumns({"_gx": F.floor(F.col("qx") / cell).cast("long"), "_gy": F.floor(F.col("qy") / cell).cast("long")})
-    j = q.join(e, ["design_id", "_gx", "_gy"])
+        rows = rows.withColumn(name, F.explode(_cells(lo, hi, cell)))
+    return rows
+
+
+def near_edges(queries: DataFrame, points: DataFrame, reach: float, last: bool = False, cell: int = CELL) -> DataFrame:
+    """Pairs of places (design_id, qx, qy) and edges of rings at most `reach` apart: poly, ring, i, d, and the nearest point of the
+    edge. An edge lies in all cells that its box, widened by `reach`, covers, and a place in one.  Of edges of a design that lie on each other
+    the first is taken (the last one with `last`), as none of the others can be preferred to it."""
+    e, own = _edges(points, ["design_id", "poly"]), F.struct("poly", "ring", "i")
+    e = e.groupBy("design_id", "x", "y", "nx", "ny").agg((F.max(own) if last else F.min(own)).alias("_own"))
+    box = {"_gx": (F.least("x", "nx") - reach, F.greatest("x", "nx") + reach), "_gy": (F.least("y", "ny") - reach, F.greatest("y", "ny") + reach)}
+    at = places(queries)
+    j = _in_cells(at, cell).join(_spread(e, box, cell), ["design_id", "_gx", "_gy"])
     dx, dy = (F.col("nx") - F.col("x")).cast("double"), (F.col("ny") - F.col("y")).cast("double")
     n = dx * dx + dy * dy
     t = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("qx") - F.col("x")) * dx + (F.col("qy") - F.col("y")) * dy) / n))).otherwise(F.lit(0.0))
     j = j.withColumns({"hx": F.col("x") + dx * t, "hy": F.col("y") + dy * t})
     j = j.withColumn("d", X.distance(F.col("hx") - F.col("qx"), F.col("hy") - F.col("qy")))
-    return j.where(F.col("d") <= reach).select("design_id", "q", "qx", "qy", "poly", "ring", "i", "d", "hx", "hy")
+    return j.where(F.col("d") <= reach).select("design_id", "qx", "qy", "_own.*", "d", "hx", "hy")
+
+
+_PLACE = ["design_id", "qx", "qy"]
 
 
 def snapped(queries: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
     """Each query moved to the nearest point of an edge nearer than the threshold, the first of equally near ones; else where it is."""
-    best = near_edges(queries, points, threshold).where(F.col("d") < threshold).groupBy("design_id", "q").agg(F.min_by(F.struct("hx", "hy"), F.struct("d", "poly", "ring", "i")).alias("h"))
-    return queries.join(best, ["design_id", "q"], "left").select("design_id", "q", X.milli(F.coalesce("h.hx", F.col("qx").cast("double"))).alias("x"), X.milli(F.coalesce("h.hy", F.col("qy").cast("double"))).alias("y"))
+    best = near_edges(queries, points, threshold).where(F.col("d") < threshold).groupBy(*_PLACE).agg(F.min_by(F.struct("hx", "hy"), F.struct("d", "poly", "ring", "i")).alias("h"))
+    return queries.join(best, _PLACE, "left").select("design_id", "q", X.milli(F.coalesce("h.hx", F.col("qx").cast("double"))).alias("x"), X.milli(F.coalesce("h.hy", F.col("qy").cast("double"))).alias("y"))
 
 
 def nearest_segment(queries: DataFrame, points: DataFrame, tolerance: float) -> DataFrame:
     """The nearest edge within the tolerance, the last of equally near ones."""
     order = F.struct(-F.col("d"), F.col("poly"), F.col("ring"), F.col("i"))
-    g = near_edges(queries, points, tolerance).groupBy("design_id", "q").agg(F.max_by(F.struct("poly", "ring", "i", "hx", "hy"), order).alias("s"), F.min("d").alias("d"))
-    return g.select("design_id", "q", "s.poly", "s.ring", "s.i", X.milli("s.hx").alias("x"), X.milli("s.hy").alias("y"))
+    g = near_edges(queries, points, tolerance, last=True).groupBy(*_PLACE).agg(F.max_by(F.struct("poly", "ring", "i", "hx", "hy"), order).alias("s"))
+    return queries.join(g, _PLACE).select("design_id", "q", "s.poly", "s.ring", "s.i", X.milli("s.hx").alias("x"), X.milli("s.hy").alias("y"))
 
 
 def nearest_node(queries: DataFrame, points: DataFrame, tolerance: float, cell: int = CELL) -> DataFrame:
-    """The nearest node within the tolerance, the last of equally near ones."""
+    """The nearest node within the tolerance, the last of equally near ones; of nodes in one place the last is taken at once."""
     r = float(tolerance)
-    p = points.select("design_id", "poly", "ring", "i", "x", "y").withColumn("_gx", F.explode(_cells(F.col("x") - r, F.col("x") + r, cell))).withColumn("_gy", F.explode(_cells(F.col("y") - r, F.col("y") + r, cell)))
-    q = queries.withColumns({"_gx": F.floor(F.col("qx") / cell).cast("long"), "_gy": F.floor(F.col("qy") / cell).cast("long")})
-    j = q.join(p, ["design_id", "_gx", "_gy"]).withColumn("d2", X.squared(F.col("x") - F.col("qx"), F.col("y") - F.col("qy"))).where(F.col("d2") <= tolerance * tolerance)
-    g = j.groupBy("design_id", "q").agg(F.max_by(F.struct("poly", "ring", "i"), F.struct(-F.col("d2"), "poly", "ring", "i")).alias("s"), F.min("d2").alias("d2"))
-    return g.select("design_id", "q", "s.poly", "s.ring", "s.i", "d2")
+    p = points.groupBy("design_id", "x", "y").agg(F.max(F.struct("poly", "ring", "i")).alias("_own"))
+    p = _spread(p, {"_gx": (F.col("x") - r, F.col("x") + r), "_gy": (F.col("y") - r, F.col("y") + r)}, cell)
+    j = _in_cells(places(queries), cell).join(p, ["design_id", "_gx", "_gy"]).withColumn("d2", X.squared(F.col("x") - F.col("qx"), F.col("y") - F.col("qy"))).where(F.col("d2") <= tolerance * tolerance)
+    g = j.groupBy(*_PLACE).agg(F.max(F.struct((-F.col("d2")).alias("near"), "_own.poly", "_own.ring", "_own.i")).alias("s"))
+    return queries.join(g, _PLACE).select("design_id", "q", "s.poly", "s.ring", "s.i", (-F.col("s.near")).alias("d2"))
 
 
 def holders(queries: DataFrame, rings: DataFrame, cell: int = CELL) -> DataFrame:
-    """Pairs of queries (design_id, q, qx, qy, ...) and the outer rings that hold them: a ring lies in the cells of its box, a query in
-    one, so a design's points and rings meet only where they are."""
+    """Pairs of queries (design_id, qx, qy, ...) and the outer rings that hold them: a ring lies in the cells of its box, a query in
+    one, so a design's points and rings meet only where they are.  rings: design_id, outer, and whatever else they have."""
     b = X.ring_bounds("outer")
-    r = rings.select("design_id", "poly", "outer", "hole", b.alias("b"))
-    r = r.withColumn("_gx", F.explode(_cells("b.min_x", "b.max_x", cell))).withColumn("_gy", F.explode(_cells("b.min_y", "b.max_y", cell)))
-    q = queries.withColumns({"_gx": F.floor(F.col("qx") / cell).cast("long"), "_gy": F.floor(F.col("qy") / cell).cast("long")})
-    j = q.join(r, ["design_id", "_gx", "_gy"]).where("qx between b.min_x and b.max_x and qy between b.min_y and b.max_y")
+    r = _spread(rings.withColumn("b", b), {"_gx": ("b.min_x", "b.max_x"), "_gy": ("b.min_y", "b.max_y")}, cell)
+    j = _in_cells(queries, cell).join(r, ["design_id", "_gx", "_gy"]).where("qx between b.min_x and b.max_x and qy between b.min_y and b.max_y")
     return j.where(X.point_in_ring("qx", "qy", "outer")).drop("_gx", "_gy", "b")
 
 
 def hits(queries: DataFrame, rings: DataFrame, points: DataFrame, reach: float = 20.0) -> DataFrame:
     """What lies under each query: the topmost region (the one sewn last) that holds it, holes excepted; else the one with the nearest
-    edge under `reach`, the first of equally near ones; null if there is none."""
-    top = holders(queries, rings).where(~F.coalesce(X.point_in_ring("qx", "qy", "hole"), F.lit(False))).groupBy("design_id", "q").agg(F.max("poly").alias("_inside"))
-    edge = near_edges(queries, points, reach).where(F.col("d") < reach).groupBy("design_id", "q").agg(F.min_by("poly", F.struct("d", "poly")).alias("_near"))
-    return queries.join(top, ["design_id", "q"], "left").join(edge, ["design_id", "q"], "left").select("design_id", "q", F.coalesce("_inside", "_near").alias("poly"), F.col("_inside").isNotNull().alias("inside"))
+    edge under `reach`, the first of equally near ones; null if there is none.  Of regions that lie on each other the topmost is taken at once."""
+    alike = rings.groupBy("design_id", "outer", "hole").agg(F.max("poly").alias("poly"))
+    top = holders(places(queries), alike).where(~F.coalesce(X.point_in_ring("qx", "qy", "hole"), F.lit(False))).groupBy(*_PLACE).agg(F.max("poly").alias("_inside"))
+    edge = near_edges(queries, points, reach).where(F.col("d") < reach).groupBy(*_PLACE).agg(F.min_by("poly", F.struct("d", "poly")).alias("_near"))
+    return queries.join(top, _PLACE, "left").join(edge, _PLACE, "left").select("design_id", "q", F.coalesce("_inside", "_near").alias("poly"), F.col("_inside").isNotNull().alias("inside"))
 
 
 def nearest_stitch(queries: DataFrame, st: DataFrame, reach: int = 60, cell: int = CELL) -> DataFrame:
