@@ -645,8 +645,10 @@ def _(spark, d):
     s = A.stitches(spark, d)
     keys = ["plan", "block_idx", "run_idx"]
     q = s.select((F.col("design_id") % 50).alias("design_id"), F.col("design_id").alias("plan"), "block_idx", "run_idx", F.col("seq").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-    hit = vector.holders(q, A.rings(spark, d)).where("poly % 7 > block_idx").select(*keys, "q").distinct().withColumn("hit", F.lit(1))
-    return q.join(hit, [*keys, "q"], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), F.count("hit").alias("hidden")).withColumnRenamed("plan", "design_id")
+    # of outlines that lie on each other the last layer hides, and points in one place lie under the same ones
+    layers = A.rings(spark, d).groupBy("design_id", "outer").agg(F.max(F.col("poly") % 7).alias("layer"))
+    top = vector.holders(vector.places(q), layers).groupBy("design_id", "qx", "qy").agg(F.max("layer").alias("layer"))
+    return q.join(top, ["design_id", "qx", "qy"], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), F.count_if(F.coalesce(F.col("layer") > F.col("block_idx"), F.lit(False))).alias("hidden")).withColumnRenamed("plan", "design_id")
 
 
 @query("arc_length", _RUNS + "SELECT design_id, block_idx, run_idx, seq, cast(coalesce(sum(len) OVER (PARTITION BY design_id, block_idx, run_idx ORDER BY seq), 0) AS BIGINT) AS along FROM stl")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import exprs as X
 
-from .vector import holders, let
+from .vector import holders, let, places
 
 RING = ["design_id", "poly", "ring"]
 
@@ -60,22 +60,28 @@ def holes_to_outers(rings: DataFrame) -> DataFrame:
     ring holds, and they alone, are compared with all of their design.  rings: design_id, poly, outer, hole."""
     mean = lambda c: F.aggregate(F.transform("hole", lambda p: p[c].cast("double")), F.lit(0.0), lambda a, v: a + v) / F.size("hole")
     h = rings.where("hole is not null").select("design_id", F.col("poly").alias("q"), mean("x").alias("qx"), mean("y").alias("qy"), F.abs(X.doubled_area("hole")).cast("long").alias("hole2"))
-    size = X.doubled_area("outer").cast("long")
-    j = holders(h, rings).withColumn("outer2", size).where("outer2 > hole2")
-    found = j.groupBy("design_id", "q").agg(F.min_by("poly", F.struct("outer2", "poly")).alias("outer_poly"), F.count(F.lit(1)).alias("holders"))
+    # holes of one size and middle find the same ring, and rings that lie on each other are one, with the first of their keys and their number
+    keys = ["design_id", "qx", "qy", "hole2"]
+    at = h.select(*keys).distinct()
+    o = rings.groupBy("design_id", "outer").agg(F.min("poly").alias("poly"), F.count(F.lit(1)).alias("n")).withColumn("outer2", X.doubled_area("outer").cast("long"))
+    j = holders(at, o).where("outer2 > hole2")
+    found = j.groupBy(*keys).agg(F.min_by("poly", F.struct("outer2", "poly")).alias("outer_poly"), F.sum("n").alias("holders"))
     b = X.ring_bounds("outer")
-    o = rings.select("design_id", F.col("poly").alias("outer_poly"), size.alias("outer2"), ((b["min_x"] + b["max_x"]) / 2).alias("ox"), ((b["min_y"] + b["max_y"]) / 2).alias("oy"))
-    lost = h.join(found, ["design_id", "q"], "left_anti").join(o, "design_id").where("outer2 > hole2")
+    o = o.select("design_id", F.col("poly").alias("outer_poly"), "outer2", ((b["min_x"] + b["max_x"]) / 2).alias("ox"), ((b["min_y"] + b["max_y"]) / 2).alias("oy"))
+    lost = at.join(found, keys, "left_anti").join(o, "design_id").where("outer2 > hole2")
     far = X.distance(F.col("ox") - F.col("qx"), F.col("oy") - F.col("qy"))
-    lost = lost.groupBy("design_id", "q").agg(F.min_by("outer_poly", F.struct(far, "outer_poly")).alias("outer_poly"), F.lit(0).cast("long").alias("holders"))
-    return found.unionByName(lost).select("design_id", F.col("q").alias("hole_poly"), "outer_poly", "holders")
+    lost = lost.groupBy(*keys).agg(F.min_by("outer_poly", F.struct(far, "outer_poly")).alias("outer_poly"), F.lit(0).cast("long").alias("holders"))
+    return h.join(found.unionByName(lost), keys).select("design_id", F.col("q").alias("hole_poly"), "outer_poly", "holders")
 
 
 def depths(rings: DataFrame) -> DataFrame:
-    """How many other outer rings of the design hold a ring's first point: even ones are outlines, odd ones holes."""
-    p = rings.select("design_id", F.col("poly").alias("q"), F.col("outer")[0]["x"].alias("qx"), F.col("outer")[0]["y"].alias("qy"))
-    n = holders(p, rings).where("poly <> q").groupBy("design_id", "q").agg(F.count(F.lit(1)).alias("depth"))
-    return p.join(n, ["design_id", "q"], "left").select("design_id", F.col("q").alias("poly"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    """How many other outer rings of the design hold a ring's first point: even ones are outlines, odd ones holes.  Points in one place are looked
+    up once, and rings that lie on each other are one with their number; a ring that holds its own first point doesn't count itself."""
+    p = rings.select("design_id", F.col("poly").alias("q"), F.col("outer")[0]["x"].alias("qx"), F.col("outer")[0]["y"].alias("qy"), "outer")
+    alike = rings.groupBy("design_id", "outer").agg(F.count(F.lit(1)).alias("n"))
+    n = holders(places(p), alike).groupBy("design_id", "qx", "qy").agg(F.sum("n").alias("n"))
+    own = F.when(X.point_in_ring("qx", "qy", "outer"), 1).otherwise(0)
+    return p.join(n, ["design_id", "qx", "qy"], "left").select("design_id", F.col("q").alias("poly"), F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.col("n") - own).alias("depth"))
 
 
 def grid_hits(rings: DataFrame, step: int = 50) -> DataFrame:
