@@ -101,7 +101,8 @@ COLORS_SQL = "rgb AS (SELECT p_partkey AS id, cast((p_partkey * 37) % 256 AS INT
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img, x, y, label, r, g, b: an image of 64 by 48 for each supplier, with a disc (0), a ring (1), background (2) and some specks."""
     i = F.explode(F.sequence(F.lit(0), F.lit(64 * 48 - 1)))
-    px = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("img"), i.alias("i"))
+    # pictures are dealt before they are spread, and what is grouped or ordered within a picture stays where it is
+    px = dealt(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("img")), "img").select("img", i.alias("i"))
     px = px.select("img", (F.col("i") % 64).cast("int").alias("x"), F.expr("cast(i div 64 as int)").alias("y"))
     d = (F.col("x") - 32) * (F.col("x") - 32) + (F.col("y") - 24) * (F.col("y") - 24)
     label = F.when((F.col("x") * 7 + F.col("y") * 13 + F.col("img") * 5) % 97 == 0, (F.col("x") + F.col("y")) % 3).when(d < 100, 0).when(d < 400, 1).otherwise(2)
