@@ -69,16 +69,64 @@ def placed_outlines(texts: DataFrame, glyphs: DataFrame, line_height: int, spaci
     return s.select("text_id", "pos", "x4", "y4", "advance", F.explode("rings").alias("r")).select(F.col("text_id").alias("img"), F.lit(0).cast("long").alias("label"), "pos", ring.alias("ring"))
 
 
+#: Rings of more points together are scanned where they lie.
+SHAPE_POINTS = 10_000
+
+
+def _groups(outlines: DataFrame) -> DataFrame:
+    """Rings (img, label, ring) with the group (band, island) that they belong to, and its points: groups are a row or a column of pixels apart at
+    least, so what is inside, and which pixels hang together, can be told of each alone."""
+    least = lambda c: F.ceil(F.array_min(F.transform("ring", lambda p: p[c].cast("double"))) - 0.5)
+    most = lambda c: F.ceil(F.array_max(F.transform("ring", lambda p: p[c].cast("double"))) - 0.5) - 1
+    r = outlines.where(F.size("ring") > 2).select("img", "label", "ring", least("x").alias("x1"), most("x").alias("x2"), least("y").alias("y1"), most("y").alias("y2"))
+
+    for name, by, lo, hi in (("band", ["img", "label"], "y1", "y2"), ("island", ["img", "label", "band"], "x1", "x2")):
+        w = Window.partitionBy(*by).orderBy(lo, hi)
+        new = F.when(F.col(lo) > F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, 1).otherwise(0)
+        r = r.withColumn("new", new).withColumn(name, F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    return r.withColumn("points", F.sum(F.size("ring")).over(Window.partitionBy("img", "label", "band", "island")))
+
+
+def _shapes(groups: DataFrame) -> DataFrame:
+    """A row for each group: img, label, shape (its rings, moved by whole pixels to the origin where that loses no digit), by which it was moved (sx,
+    sy), and a hash of the shape."""
+    g = groups.groupBy("img", "label", "band", "island").agg(F.min("x1").alias("sx"), F.min("y1").alias("sy"), F.array_sort(F.collect_list("ring")).alias("rings"))
+    s = lambda c: F.col(f"s{c}").cast("double")
+    exact = F.forall("rings", lambda r: F.forall(r, lambda p: ((p["x"] - s("x")) + s("x") == p["x"]) & ((p["y"] - s("y")) + s("y") == p["y"])))
+    g = g.withColumn("exact", exact).withColumns({c: F.when(F.col("exact"), F.col(c)).otherwise(0).cast("long") for c in ("sx", "sy")})
+    shape = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] - s("x")).alias("x"), (p["y"] - s("y")).alias("y"))))
+    return g.select("img", "label", "sx", "sy", shape.alias("shape")).withColumn("hash", F.xxhash64("shape"))
+
+
 def regions(outlines: DataFrame, pixels: float = 1.0, least: float = 0.0, rule: str = "nonzero") -> DataFrame:
     """From outlines in units, with `pixels` to a unit: a row for each region of at least `least` square units: img, label, ring (which names it),
     outer, holes (arrays of corners, in units), area (without the holes).  Rings are of one part each, and a hole belongs to the outer ring of
-    its part, so no hole is compared with any ring."""
-    scaled = outlines.withColumn("ring", F.transform("ring", lambda p: F.struct((p["x"] * pixels).alias("x"), (p["y"] * pixels).alias("y"))))
-    st = stored(spans(scaled, rule))
+    its part, so no hole is compared with any ring.
+
+    Groups of rings that lie apart are scanned each alone, and those of one shape, like a letter wherever it stands, once."""
+    real = lambda p: F.struct((p["x"].cast("double") * pixels).alias("x"), (p["y"].cast("double") * pixels).alias("y"))
+    groups = stored(_groups(outlines.select("img", "label", F.transform("ring", real).alias("ring"))))
+    met = stored(_shapes(groups.where(F.col("points") <= SHAPE_POINTS)))
+    shapes = stored(met.select("hash", "shape").distinct().withColumn("id", F.monotonically_increasing_id()))
+    found = _scanned(shapes.select(F.col("id").alias("img"), F.lit(0).cast("long").alias("label"), F.explode("shape").alias("ring")), rule).drop("label")
+    found = stored(shapes.join(found.withColumnRenamed("img", "id"), "id").drop("id"))
+    g = met.join(found, ["hash", "shape"]).drop("hash", "shape")
+    large = groups.where(F.col("points") > SHAPE_POINTS)
+    if not large.isEmpty():
+        zero = F.lit(0).cast("long")
+        g = g.unionByName(_scanned(large.select("img", "label", "ring"), rule).withColumns({"sx": zero, "sy": zero}))
+    path = lambda p: F.transform(p, lambda c: F.struct(((c["x"] + F.col("sx")) / pixels).alias("x"), ((c["y"] + F.col("sy")) / pixels).alias("y")))
+    area = F.col("area") / (2.0 * pixels * pixels)
+    ring = F.col("ring") + (F.col("sy") * F.lit(stretches._ROW) + F.col("sx")) * 4
+    return g.where(area >= least).select("img", "label", ring.alias("ring"), path("outer").alias("outer"), F.transform("holes", path).alias("holes"), area.alias("area"))
+
+
+def _scanned(outlines: DataFrame, rule: str) -> DataFrame:
+    """Regions of outlines in pixels: img, label, ring, outer, holes, and twice the area, all in whole pixels."""
+    st = stored(spans(outlines, rule))
     r = stretches.rings(st)
-    corner = F.struct("i", (F.col("x") / pixels).alias("x"), (F.col("y") / pixels).alias("y"))
-    size = F.sum(F.col("x") * F.col("ey") - F.col("ex") * F.col("y")) / (2.0 * pixels * pixels)
-    path = F.transform(F.array_sort(F.collect_list(corner)), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
+    size = F.sum(F.col("x") * F.col("ey") - F.col("ex") * F.col("y"))
+    path = F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "y"))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
     # a ring's first corner touches a pixel of its part: an outer ring's the one to its lower right, a hole's the one above that
     first = F.min(F.when(F.col("i") == 0, F.struct("x", "y")))
     each = r.groupBy("img", "label", "ring").agg(size.alias("area"), path.alias("path"), first.alias("first"))
@@ -87,7 +135,7 @@ def regions(outlines: DataFrame, pixels: float = 1.0, least: float = 0.0, rule:
     of = _part_of(each, stretches.parted(st))
     outer = F.max(F.when(F.col("area") > 0, F.struct("ring", "path")))
     g = of.groupBy("img", "label", "part").agg(outer.alias("o"), F.transform(F.array_sort(F.collect_list(F.when(F.col("area") < 0, F.struct("ring", "path")))), lambda h: h["path"]).alias("holes"), F.sum("area").alias("area"))
-    return g.where(F.col("area") >= least).select("img", "label", "o.ring", F.col("o.path").alias("outer"), "holes", "area")
+    return g.select("img", "label", "o.ring", F.col("o.path").alias("outer"), "holes", "area")
 
 
 def _part_of(points: DataFrame, labeled: DataFrame) -> DataFrame:
