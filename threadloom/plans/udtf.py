@@ -18,8 +18,9 @@ class StitchesOf:
         ring = lambda r: S.ring([(p["x"], p["y"]) for p in r])
         runs = make(S.wound(ring(outer), True), [S.wound(ring(h), False) for h in holes or ()], dict(params or {}))
         for k, run in enumerate(runs):
-            for n, z in enumerate(fills.finish(run)):
-                yield k, n, int(z.real), int(z.imag)
+            z = fills.finish(run)
+            for n, (x, y) in enumerate(zip(z.real.astype(int).tolist(), z.imag.astype(int).tolist(), strict=True)):
+                yield k, n, x, y
 
 
 def register(spark: SparkSession, name: str = "stitches_of") -> None:
