@@ -54,7 +54,7 @@ SELECT poly, 2 * i AS i, x * 10::BIGINT AS x10, y * 10::BIGINT AS y10, false AS
 def _(spark, d):
     """Outlines with a node more on every side: those are smooth, the others corners; the third one is then made smooth."""
     nodes = vector.nodes_of(vector.subdivided_ring("outer"))
-    r = A.rings(spark, d).select("poly", nodes.alias("n")).select("poly", F.posexplode(F.arrays_zip("n", vector.node_types("n", True, 2).alias("c"))).alias("i", "p"))
+    r = A.dealt(A.rings(spark, d).select("poly", "outer"), "poly").select("poly", nodes.alias("n")).select("poly", F.posexplode(F.arrays_zip("n", vector.node_types("n", True, 2).alias("c"))).alias("i", "p"))
     return r.select("poly", "i", (F.col("p.n.x") * 10).cast("long").alias("x10"), (F.col("p.n.y") * 10).cast("long").alias("y10"), F.col("p.n.smooth").alias("smooth"), F.col("p.c.smooth").alias("changed"))
 
 

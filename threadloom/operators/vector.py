@@ -59,15 +59,18 @@ def _through(p: Column, closed: bool, samples: int) -> Column:
 
 def nodes_of(path, closed: bool = True, corner: float = 50.0) -> Column:
     """Nodes for the points of a path: corners where it turns by `corner` degrees or more, and at the ends of an open one."""
-    p = X.col(path)
+    def nodes(p):
+        def node(v, i):
+            a, b = _at(p, i - 1, True), _at(p, i + 1, True)
+            # the neighbours are looked up once, not for every use of a difference
+            turn = let(F.struct((v["x"] - a["x"]).alias("ax"), (v["y"] - a["y"]).alias("ay"), (b["x"] - v["x"]).alias("bx"), (b["y"] - v["y"]).alias("by")), lambda d: X.turn_degrees(d["ax"], d["ay"], d["bx"], d["by"]))
+            sharp = turn >= corner
+            sharp = sharp if closed else sharp | (i == 0) | (i == F.size(p) - 1)
+            return F.struct(v["x"].cast("double").alias("x"), v["y"].cast("double").alias("y"), (~sharp).alias("smooth"))
 
-    def node(v, i):
-        a, b = _at(p, i - 1, True), _at(p, i + 1, True)
-        sharp = X.turn_degrees(v["x"] - a["x"], v["y"] - a["y"], b["x"] - v["x"], b["y"] - v["y"]) >= corner
-        sharp = sharp if closed else sharp | (i == 0) | (i == F.size(p) - 1)
-        return F.struct(v["x"].cast("double").alias("x"), v["y"].cast("double").alias("y"), (~sharp).alias("smooth"))
+        return F.transform(p, node)
 
-    return F.transform(p, node)
+    return let(X.col(path), nodes)
 
 
 def node_types(nodes, smooth: bool, at: int | None = None) -> Column:
@@ -213,8 +216,8 @@ def soft_moved(points: DataFrame, selected: DataFrame, dx: float, dy: float, rad
 
 def subdivided_ring(ring) -> Column:
     """A node more in the middle of every edge, the closing one too."""
-    r = X.col(ring)
-    return F.flatten(F.transform(r, lambda v, i: F.array(_point(v["x"], v["y"]), _point((v["x"] + _at(r, i + 1, True)["x"]) / 2, (v["y"] + _at(r, i + 1, True)["y"]) / 2))))
+    between = lambda v, b: F.array(_point(v["x"], v["y"]), _point((v["x"] + b["x"]) / 2, (v["y"] + b["y"]) / 2))
+    return let(X.col(ring), lambda r: F.flatten(F.transform(r, lambda v, i: let(_at(r, i + 1, True), lambda b: between(v, b)))))
 
 
 def _cells(lo, hi, cell: int) -> Column:
