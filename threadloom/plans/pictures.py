@@ -84,17 +84,22 @@ def pictures_to_plans(files: DataFrame, colors: int = 6, size_mm: float = 80.0,
     return D.digitize_designs(regions.withColumns({"object_id": F.col("region_idx").cast("long"), "region_idx": ordered}), options)
 
 
-REDUCED_ROWS = f"{D.STITCH_ROWS}, steps string"
+REDUCED_ROWS = f"{D.RUN_ROWS}, steps string"
 
 
-def reduced_designs(regions: DataFrame, options: D.Options = D.Options(), limit: int = D.MAX_STITCHES, shrink: bool = False) -> DataFrame:
-    """Stitches of the first plan of each design that is within the limit, and the steps taken for it."""
+def reduced_runs(regions: DataFrame, options: D.Options = D.Options(), limit: int = D.MAX_STITCHES, shrink: bool = False) -> DataFrame:
+    """Runs of the first plan of each design that is within the limit, and the steps taken for it."""
 
-    def made(key, rows):
-        plan, steps = D.reduced([D.region_of(r) for r in rows], options, limit, shrink)
-        yield from D.stitch_frames(key, plan, steps=",".join(steps))
+    def made(key, own):
+        runs, steps = D.reduced_runs(own, options, limit, shrink)
+        yield from D.run_frames(key, runs, steps=",".join(steps))
+
+    return D.each_plan(regions, made, REDUCED_ROWS)
 
-    return D.each_design(regions, made, REDUCED_ROWS)
+
+def reduced_designs(regions: DataFrame, options: D.Options = D.Options(), limit: int = D.MAX_STITCHES, shrink: bool = False) -> DataFrame:
+    """Their stitches."""
+    return D.in_stitches(reduced_runs(regions, options, limit, shrink))
 
 
 TARGET_ROWS = f"{D.STITCH_ROWS}, factor double"

@@ -332,8 +332,8 @@ def _(spark, d):
 @query("reduced_designs", _BOX + """SELECT design_id, 'spacing,spacing,drop5,drop10,length' AS steps, count(*) FILTER (4 * w * h - CASE WHEN poly % 3 = 0 THEN 100 ELSE 0 END >= 1000) AS objects FROM bb GROUP BY design_id""")
 def _(spark, d):
     """Designs under a limit that none can meet: all steps are taken, and small objects go."""
-    st = C.reduced_designs(_regions(spark, d), limit=50)
-    return st.groupBy("design_id", "steps").agg(F.count_distinct("object_id").alias("objects"))
+    runs = C.reduced_runs(_regions(spark, d), limit=50)
+    return runs.groupBy("design_id", "steps").agg(F.count_distinct("object_id").alias("objects"))
 
 
 __all__ = ["FILE_SQL", "QUERIES", "SQL", "file_roundtrip", "plan_rows"]
