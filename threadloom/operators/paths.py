@@ -20,31 +20,36 @@ def edges(points: DataFrame, keys: list[str], closed: bool = False) -> DataFrame
     return e.withColumn("len", X.milli(X.distance(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))))
 
 
-def resampled(points: DataFrame, keys: list[str], spacing: float | None = None, count: int | None = None, closed: bool = False) -> DataFrame:
-    """(keys, k, x, y): points at even lengths along each path, both ends included, about `spacing` apart or `count` of them; of a path without
-    length its first point.  A step belongs to the edge that it falls on, so every edge makes its own points and nothing is searched for."""
+def _even(points: DataFrame, keys: list[str], spacing: float | None, count: int | None, closed: bool) -> DataFrame:
+    """(keys, k, x, y, n): `resampled`, with a path's last k.  Every edge makes its own points, the last one the path's end too, so the rows are
+    read, moved and sorted once."""
     w, whole = Window.partitionBy(*keys).orderBy("i"), Window.partitionBy(*keys)
     e = edges(points, keys, closed)
     e = e.select("*", F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s0"), F.coalesce(F.sum("len").over(whole), F.lit(0)).alias("total"), F.row_number().over(w).alias("_first"), F.lead("i").over(w).isNull().alias("_last"))
     n = F.lit(count - 1) if count else F.greatest(F.lit(1), F.floor(F.col("total") / F.lit(1000.0 * spacing) + 0.5))
-    e = e.withColumn("n", n.cast("long"))
-    s0, total, n = F.col("s0"), F.col("total"), F.col("n")
-    # the whole numbers k with s0 * n <= k * total < (s0 + len) * n
-    on = e.where("total > 0 and len > 0").withColumns({"low": F.expr("(s0 * n + total - 1) div total"), "high": F.expr("((s0 + len) * n + total - 1) div total - 1")}).where("low <= high").select("*", F.explode(F.sequence("low", "high")).alias("k"))
-    t = (F.col("k") * total - s0 * n).cast("double") / (n * F.col("len")).cast("double")
-    between = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * t
-    inner = on.where("k < n").select(*keys, "k", between("x", "nx").alias("x"), between("y", "ny").alias("y"))
-    end = ("nx", "ny") if closed else ("x", "y")
-    last = e.where("_last and total > 0").select(*keys, F.col("n").alias("k"), *(F.col(c).cast("double").alias(o) for c, o in zip(end, "xy", strict=True)))
-    still = e.where("_first = 1 and total = 0").select(*keys, F.lit(0).cast("long").alias("k"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return inner.unionByName(last).unionByName(still)
+    e = e.withColumn("n", F.when(F.col("total") > 0, n).otherwise(0).cast("long"))
+    # the whole numbers k with s0 * n <= k * total < (s0 + len) * n, without n; a path without length has none
+    e = e.withColumns({"low": F.expr("(s0 * n + total - 1) div greatest(total, 1)"), "high": F.expr("least(n - 1, ((s0 + len) * n + total - 1) div greatest(total, 1) - 1)")})
+    none = F.array().cast("array<bigint>")
+    inner = F.when(F.expr("total > 0 and len > 0 and low <= high"), F.sequence("low", "high")).otherwise(none)
+    end = F.when(F.expr("_last and total > 0"), F.array("n")).when(F.expr("_first = 1 and total = 0"), F.array(F.lit(0).cast("long"))).otherwise(none)
+    t = (F.col("k") * F.col("total") - F.col("s0") * F.col("n")).cast("double") / F.greatest(F.col("n") * F.col("len"), F.lit(1)).cast("double")
+    on = e.select(*keys, "x", "y", "nx", "ny", "s0", "len", "total", "n", F.explode(F.concat(inner, end)).alias("k"))
+    last = ("nx", "ny") if closed else ("x", "y")
+    at = lambda c, o: F.when(F.col("total") == 0, F.col(c).cast("double")).when(F.col("k") == F.col("n"), F.col(o).cast("double")).otherwise(F.col(c) + (F.col(f"n{c}") - F.col(c)) * t)
+    return on.select(*keys, "k", at("x", last[0]).alias("x"), at("y", last[1]).alias("y"), "n")
+
+
+def resampled(points: DataFrame, keys: list[str], spacing: float | None = None, count: int | None = None, closed: bool = False) -> DataFrame:
+    """(keys, k, x, y): points at even lengths along each path, both ends included, about `spacing` apart or `count` of them; of a path without
+    length its first point.  A step belongs to the edge that it falls on, so every edge makes its own points and nothing is searched for."""
+    return _even(points, keys, spacing, count, closed).drop("n")
 
 
 def running(points: DataFrame, keys: list[str], length: float = RUNNING_LENGTH, closed: bool = False, passes: int = 1) -> DataFrame:
     """(keys, seq, x, y): even stitches along each path, forth, and back for each pass more, in whole units."""
-    z = resampled(points, keys, length, closed=closed)
-    last = F.max("k").over(Window.partitionBy(*keys))
-    z = z.select(*keys, "k", last.alias("n"), X.round_half_up("x").cast("int").alias("x"), X.round_half_up("y").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
+    z = _even(points, keys, length, None, closed)
+    z = z.select(*keys, "k", "n", X.round_half_up("x").cast("int").alias("x"), X.round_half_up("y").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
     place = F.col("pass") * F.col("n") + F.when(F.col("pass") % 2 == 0, F.col("k")).otherwise(F.col("n") - F.col("k"))
     # a pass begins where the one before it ended, and that point is there already
     return z.withColumn("seq", place).where((F.col("pass") == 0) | (F.col("seq") > F.col("pass") * F.col("n"))).select(*keys, "seq", "x", "y")
@@ -95,20 +100,24 @@ def satin(points: DataFrame, keys: list[str], width: float, spacing: float = SAT
     """(keys, seq, x, y): a column of even width along each path, its two sides by turns; where one side moves at least twice as far as the other,
     both are cut in up to four.  Paths without length have none."""
     w = Window.partitionBy(*keys).orderBy("k")
-    c = resampled(points, keys, spacing)
+    # a path without length has one point, k and n of which are 0
+    c = _even(points, keys, spacing, None, False).where("n > 0")
     near = lambda c, f: F.coalesce(f(c).over(w), F.col(c))
     mx, my = _unit(near("x", F.lead) - near("x", F.lag), near("y", F.lead) - near("y", F.lag))
     c = c.select(*keys, "k", F.struct((F.col("x") - my * width / 2).alias("x"), (F.col("y") + mx * width / 2).alias("y")).alias("a"), F.struct((F.col("x") + my * width / 2).alias("x"), (F.col("y") - mx * width / 2).alias("y")).alias("b"))
-    c = c.withColumns({"pa": F.lag("a").over(w), "pb": F.lag("b").over(w), "paths": F.count(F.lit(1)).over(Window.partitionBy(*keys))}).where("paths > 1")
+    c = c.withColumns({"pa": F.lag("a").over(w), "pb": F.lag("b").over(w)})
     far = lambda p, q: X.distance(F.col(f"{q}.x") - F.col(f"{p}.x"), F.col(f"{q}.y") - F.col(f"{p}.y"))
     lo, hi = F.least(far("pa", "a"), far("pb", "b")), F.greatest(far("pa", "a"), far("pb", "b"))
     cut = F.when((lo > 1) & (hi / lo >= 2), F.least(X.round_half_up(hi / lo), F.lit(4))).otherwise(F.lit(1)).cast("int")
-    c = c.withColumn("cut", F.when(F.col("pa").isNull(), 1).otherwise(cut)).select("*", F.explode(F.sequence(F.lit(1), "cut")).alias("part"))
+    # a step's stitches follow those of the steps before it, so the rows that it is cut into aren't sorted again
+    c = c.withColumn("cut", F.when(F.col("pa").isNull(), 1).otherwise(cut))
+    before = F.coalesce(F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = c.withColumn("before", before).select("*", F.explode(F.sequence(F.lit(1), "cut")).alias("part"))
     t = F.col("part").cast("double") / F.col("cut")
     at = lambda p, q, m: F.when(F.col(p).isNull(), F.col(f"{q}.{m}")).otherwise(F.col(f"{p}.{m}") + (F.col(f"{q}.{m}") - F.col(f"{p}.{m}")) * t)
     side = lambda s, p, q: F.struct(F.lit(s).alias("side"), *(X.round_half_up(at(p, q, m)).cast("int").alias(m) for m in "xy"))
-    c = c.select(*keys, "k", "part", F.explode(F.array(side(0, "pa", "a"), side(1, "pb", "b"))).alias("s"))
-    seq = (F.row_number().over(Window.partitionBy(*keys).orderBy("k", "part", "s.side")) - 1).cast("long")
+    c = c.select(*keys, "before", "part", F.explode(F.array(side(0, "pa", "a"), side(1, "pb", "b"))).alias("s"))
+    seq = ((F.col("before") + F.col("part") - 1) * 2 + F.col("s.side")).cast("long")
     return c.select(*keys, seq.alias("seq"), "s.x", "s.y")
 
 
