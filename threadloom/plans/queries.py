@@ -94,12 +94,13 @@ _SEGMENTS = ", ".join(f"('{t}', {h >> 16 & 255}, {h >> 8 & 255}, {h & 255})" for
 SELECT design_id, row_number() OVER (PARTITION BY design_id ORDER BY area DESC, first_poly) - 1 AS block_idx, r, g, b, objects, 0::BIGINT AS trims_in_objects, true AS within_limits FROM ca JOIN tc USING (thread)""")
 def _(spark, d):
     """Plans of whole designs: a block for each colour, by area; every object sewn, none with a trim inside, no stitch over 12.1 mm."""
-    st = D.digitize_designs(_regions(spark, d), D.of_fabric("standard"))
+    runs = D.digitize_runs(_regions(spark, d), D.of_fabric("standard"))
     from pyspark.sql import Window
 
-    run = Window.partitionBy("design_id", "block_idx", "run_idx").orderBy("seq")
-    far = F.greatest(F.abs(F.col("x") - F.lag("x").over(run)), F.abs(F.col("y") - F.lag("y").over(run))) > 121
-    r = st.withColumn("_far", far).groupBy("design_id", "block_idx", "run_idx", "object_id", "connection", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"), F.count_if("_far").alias("_far"))
+    n = F.size("xs")
+    steps = lambda c: F.zip_with(F.slice(c, 2, n), F.slice(c, 1, n - 1), lambda to, at: F.abs(to - at))
+    far = F.size(F.filter(F.zip_with(steps("xs"), steps("ys"), lambda dx, dy: F.greatest(dx, dy)), lambda v: v > 121))
+    r = runs.select("design_id", "block_idx", "run_idx", "object_id", "connection", "r", "g", "b", n.alias("n"), far.alias("_far"))
     w = Window.partitionBy("design_id", "block_idx").orderBy("run_idx")
     r = r.withColumn("_same", F.lag("object_id").over(w) == F.col("object_id"))
     g = r.groupBy("design_id", "block_idx", "r", "g", "b").agg(F.count_distinct("object_id").alias("objects"), F.count_if(F.col("_same") & (F.col("connection") == "trim")).alias("trims_in_objects"), F.min("n").alias("_n"), F.sum("_far").alias("_far"))
