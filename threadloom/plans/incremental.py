@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,11 @@ def with_hash(regions: DataFrame, options: Options) -> DataFrame:
     return one.groupBy("design_id").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("region_idx", "h"))), F.lit(repr(options))).alias("hash"))
 
 
-def regenerate(regions: DataFrame, kept: DataFrame, options: Options = Options()) -> DataFrame:
-    """Stitches with a hash column: those in `kept` (from an earlier call) where nothing has changed, new ones elsewhere."""
+def regenerate(regions: DataFrame, kept: DataFrame, options: Options = Options(), plans: Callable[[DataFrame, Options], DataFrame] = digitize_designs) -> DataFrame:
+    """Stitches with a hash column: those in `kept` (from an earlier call) where nothing has changed, new ones elsewhere.  plans: what makes them,
+    digitize_runs for a run a row."""
     hashes = with_hash(regions, options)
     same = hashes.join(kept.select("design_id", "hash").distinct(), ["design_id", "hash"])
     fresh = regions.join(same.select("design_id"), "design_id", "left_anti")
-    made = digitize_designs(fresh, options).join(hashes, "design_id")
+    made = plans(fresh, options).join(hashes, "design_id")
     return kept.join(same, ["design_id", "hash"], "left_semi").select(*made.columns).unionByName(made)
